@@ -127,7 +127,9 @@ def _count(groups: int):
                 order = np.lexsort((at[later], doc[later]))
                 doc, at = doc[later][order], at[later][order]
                 rows = [(k, b) for k, _, b in _deal(_home(doc, groups), 1, doc, at)]
-        rows += [(k, b.as_py()) for k, kind, b in zip(table.column("key").to_pylist(), kinds, blocks, strict=True) if kind == 1]
+        marked = [_unpack(b.as_py(), False) for k, b in zip(kinds, blocks, strict=True) if k == 1]
+        if marked:  # their key is their documents' group
+            rows.append((table.column("key")[0].as_py(), _pack(*(np.concatenate(x) for x in zip(*marked, strict=True)))))
         return pa.table({"home": pa.array([r[0] for r in rows], pa.int32()), "block": pa.array([r[1] for r in rows], pa.binary())})
 
     return run
@@ -179,7 +181,7 @@ def substring_dedup(docs: DataFrame, width: int = 20, carry: tuple[str, ...] = (
     for the method and the defined cases."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(F.col(c).alias(f"carry_{c}") for c in carry))
     words = rows.select("doc_id", "text")
-    groups = groups_for(words)
+    groups = groups_for(words, 16, 2)
     marks = words.mapInArrow(_windows(width, groups), PACKED).groupBy("key").applyInArrow(_count(groups), "home int, block binary")
     home = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(NULL_ID))), F.lit(groups)).cast("int")
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema if f.name != "text"}
