@@ -248,9 +248,8 @@ def _forest(linked: np.ndarray, ids: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _edges(rows: DataFrame, percent: int) -> DataFrame:
-    """``rows``: (family, left, right, set_id, asks, root, shingles)."""
-    groups = groups_for(rows)
+def _edges(rows: DataFrame, percent: int, groups: int) -> DataFrame:
+    """``rows``: (family, left, right, set_id, asks, root, shingles), dealt to ``groups`` groups of whole blocks."""
     bucket = F.pmod(F.xxhash64("family", "left", "right"), F.lit(groups)).cast("int")
     return rows.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(_compare(percent), "a long, b long").distinct()
 
@@ -267,7 +266,7 @@ def join_components(docs: DataFrame, width: int = 3, percent: int = 90) -> DataF
         classes[r["block"] * SKETCH_BLOCK : (r["block"] + 1) * SKETCH_BLOCK] = np.frombuffer(r["classes"], np.uint8)
     shared = spark.sparkContext.broadcast(classes)
 
-    parts = groups_for(texts, 4, 1)
+    parts, groups = groups_for(texts, 4, 1), groups_for(texts)
     prefixes = texts.select("text").mapInArrow(_prefixes(width, percent, shared), "token long, set_id long, n long, m long").repartition(parts, "token")
     prefixes = prefixes.groupBy("token", "set_id").agg(F.first("n").alias("n"), F.first("m").alias("m"))
     same = Window.partitionBy("token")
@@ -291,7 +290,7 @@ def join_components(docs: DataFrame, width: int = 3, percent: int = 90) -> DataF
     sized = members.join(families, "family").withColumn("own", F.pmod(F.xxhash64("set_id", F.lit("block")), F.col("blocks")).cast("int"))
     first = F.when(F.col("set_id") == F.col("family"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own"))
     first = sized.withColumn("left", F.explode(first)).select("family", "left", F.lit(-1).alias("right"), "set_id", F.lit(True).alias("asks"), F.col("set_id").alias("root"))
-    edges = materialize(_edges(first.join(sets, "set_id"), percent))
+    edges = materialize(_edges(first.join(sets, "set_id"), percent, groups))
     roots = components(edges)
 
     large = sized.where("blocks > 1").join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
@@ -306,7 +305,7 @@ def join_components(docs: DataFrame, width: int = 3, percent: int = 90) -> DataF
         asking = asking.withColumn("right", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("asks", F.lit(True))
         asked = second.withColumn("left", F.explode(F.sequence(F.lit(0), F.col("askers") - 1))).withColumn("right", F.col("own")).withColumn("asks", F.lit(False))
         columns = ("family", "left", "right", "set_id", "asks", "root")
-        more = materialize(_edges(asking.select(*columns).unionByName(asked.select(*columns)).join(sets, "set_id"), percent))
+        more = materialize(_edges(asking.select(*columns).unionByName(asked.select(*columns)).join(sets, "set_id"), percent, groups))
         if not more.isEmpty():
             roots = components(edges.unionByName(more))
 

@@ -110,7 +110,7 @@ def _fewest(k: int):
     return run
 
 
-def search(vectors: DataFrame, every: int = 50, k: int = 5, centroids: int = 48, sample: int = 20_000, reach: float = 0.2, least: int = 4000, block: int = 20_000) -> DataFrame:
+def search(vectors: DataFrame, every: int = 50, k: int = 5, centroids: int = 48, sample: int = 20_000, reach: float = 0.45, least: int = 4000, block: int = 20_000) -> DataFrame:
     """For every row of ``vectors`` (vec_id, embedding) whose id is divisible by ``every``: its k
     nearest other rows by cosine: query_id, rank (from 1), vec_id, score. See the module."""
     spark = vectors.sparkSession
@@ -144,7 +144,7 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, centroids: int = 48,
         counts[r["cell"]] = r["count"]
     enough = max(least, int(np.ceil(reach * counts.sum())))
     sizes = spark.sparkContext.broadcast(counts.reshape(-1, width))
-    parts = 4 * shuffle_partitions(spark)
+    parts = shuffle_partitions(spark)
 
     def visits(batches):
         for batch in batches:
