@@ -1,0 +1,506 @@
+"""Queries over the driver's tables, each with SQL that another engine runs to the same rows.
+
+Bindings: sessions are ``events`` (project user_id, title event_type) or ``orders`` (project
+o_custkey); messages are ``conversations`` without system turns; evidence and claims are
+``documents`` with trust from ``labels``; projects are customers, sources their regions; todos are
+open orders; technologies are parts. "Now" is the latest time of the table.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from quarry.functions import dictionaries as rules
+from quarry.functions import text
+from quarry.operators import sessions, signals, views
+from quarry.sources.readers import ms, table
+
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
+SHORT = 300  # claims are cut to so many code points by the extractors
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def events(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("project"), F.col("event_id").alias("session"), F.col("event_type").alias("title"), ms(F.col("ts")).alias("ts_ms"), "value")
+
+
+def messages(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "conversations").where("role in ('user', 'assistant')")
+
+
+def d6(c: Column) -> Column:
+    return F.round(c, 6)
+
+
+EV = "ev AS (SELECT user_id AS project, event_id AS session, event_type AS title, (epoch_us(ts) // 1000) AS ts_ms, value FROM events)"
+MSG = "msg AS (SELECT * FROM conversations WHERE role IN ('user', 'assistant'))"
+NORM = "trim(regexp_replace(regexp_replace(lower({0}), '[\\p{{P}}\\p{{S}}]+', ' ', 'g'), '\\s+', ' ', 'g'))"
+COLLAPSE = "trim(regexp_replace({0}, '\\s+', ' ', 'g'))"
+MEDIAN = "list_sort(list({0}))[len(list({0})) // 2 + 1]"
+
+
+@query(f"WITH {EV} SELECT h AS hour, count(session)::BIGINT AS n FROM range(24) t(h) LEFT JOIN ev ON (ts_ms // 3600000) % 24 = h GROUP BY h")
+def hour_histogram(spark, sf_dir):
+    return sessions.hour_histogram(events(spark, sf_dir))
+
+
+@query("SELECT conv_id, turn, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) n FROM conversations WHERE role = 'user') WHERE n = 1")
+def first_user_message(spark, sf_dir):
+    first = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "text"))
+    return messages(spark, sf_dir).where("role = 'user'").withColumn("n", first).where("n = 1").select("conv_id", "turn", "text")
+
+
+@query(f"WITH {MSG} SELECT conv_id, count(*) AS messages, count(*) FILTER (role = 'user') AS user_messages, round(avg((role = 'user')::INT), 6) AS user_ratio, (count(*) FILTER (role = 'user') > 5)::INT AS many FROM msg GROUP BY conv_id")
+def message_stats(spark, sf_dir):
+    user = F.count_if(F.col("role") == "user")
+    return messages(spark, sf_dir).groupBy("conv_id").agg(F.count("*").alias("messages"), user.alias("user_messages"), d6(user / F.count("*")).alias("user_ratio"), (user > 5).cast("int").alias("many"))
+
+
+@query(f"WITH {EV} SELECT project, count(*) AS n, round(count(*) * 100.0 / sum(count(*)) OVER (), 6) AS share FROM ev GROUP BY project")
+def project_session_share(spark, sf_dir):
+    per = events(spark, sf_dir).groupBy("project").agg(F.count("*").alias("n"))
+    return per.withColumn("share", d6(F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy())))
+
+
+GAPS = f"WITH {EV}, g AS (SELECT *, ts_ms - lag(ts_ms) OVER (PARTITION BY project ORDER BY ts_ms, session) AS gap_ms FROM ev)"
+
+
+@query(f"{GAPS} SELECT project, {MEDIAN.format('gap_ms')} AS median FROM g WHERE gap_ms > 0 GROUP BY project")
+def upper_median_gap(spark, sf_dir):
+    return sessions.upper_median_by(sessions.gaps(events(spark, sf_dir)).where("gap_ms > 0"), "project", "gap_ms")
+
+
+@query("SELECT source, count(*) AS n, count(DISTINCT trim(left(text, 200))) AS firsts, round(count(DISTINCT trim(left(text, 200))) / count(*), 6) AS ratio FROM documents WHERE trim(left(text, 200)) <> '' GROUP BY source")
+def first_message_uniqueness(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("source", F.trim(F.substring("text", 1, 200)).alias("first")).where("first <> ''")
+    return rows.groupBy("source").agg(F.count("*").alias("n"), F.count_distinct("first").alias("firsts")).withColumn("ratio", d6(F.col("firsts") / F.col("n")))
+
+
+SIGNALS = f"""{GAPS}, h AS (SELECT project, hour, count(session) AS n FROM (SELECT DISTINCT project FROM ev) p CROSS JOIN range(24) t(hour) LEFT JOIN ev USING (project) WHERE ts_ms IS NULL OR true GROUP BY ALL),
+hh AS (SELECT p.project, t.hour, (SELECT count(*) FROM ev WHERE ev.project = p.project AND (ts_ms // 3600000) % 24 = t.hour) AS n FROM (SELECT DISTINCT project FROM ev) p CROSS JOIN range(24) t(hour)),
+v AS (SELECT project, var_pop(n) / (avg(n) * avg(n)) AS hour_variance FROM hh GROUP BY project),
+m AS (SELECT project, {MEDIAN.format('gap_ms')} AS median_ms FROM g WHERE gap_ms > 0 GROUP BY project),
+s AS (SELECT project, count(*) AS sessions, count(DISTINCT title) / count(*) AS title_ratio, count(*) * 100.0 / sum(count(*)) OVER () AS share FROM ev GROUP BY project),
+sig AS (SELECT project, sessions, hour_variance, title_ratio, coalesce(median_ms, 0) AS median_ms, share FROM s JOIN v USING (project) LEFT JOIN m USING (project)),
+marked AS (SELECT *, (hour_variance < 0.5 AND sessions > 60)::INT AS flat_hours, (title_ratio < 0.3)::INT AS same_titles, (median_ms > 0 AND median_ms < 60000)::INT AS short_gaps, (share > 70)::INT AS most_sessions FROM sig),
+r AS (SELECT *, flat_hours + same_titles + short_gaps + most_sessions AS broken FROM marked)""".replace("h AS (SELECT project, hour, count(session) AS n FROM (SELECT DISTINCT project FROM ev) p CROSS JOIN range(24) t(hour) LEFT JOIN ev USING (project) WHERE ts_ms IS NULL OR true GROUP BY ALL),\n", "")
+
+
+@query(f"{SIGNALS} SELECT project, sessions, round(hour_variance, 6) AS hour_variance, round(title_ratio, 6) AS title_ratio, median_ms, round(share, 6) AS share FROM sig")
+def noise_signals(spark, sf_dir):
+    rows = sessions.noise_signals(events(spark, sf_dir))
+    return rows.withColumns({c: d6(F.col(c)) for c in ("hour_variance", "title_ratio", "share")})
+
+
+@query(f"{SIGNALS} SELECT project, flat_hours, same_titles, short_gaps, most_sessions, broken, (broken >= 2)::INT AS is_noise FROM r")
+def noise_rules(spark, sf_dir):
+    rows = sessions.noise_rules(sessions.noise_signals(events(spark, sf_dir)), least_sessions=60)
+    return rows.select("project", "flat_hours", "same_titles", "short_gaps", "most_sessions", "broken", "is_noise")
+
+
+@query(f"{SIGNALS} SELECT CASE WHEN grouping(broken >= 2) = 1 THEN 'total' WHEN broken >= 2 THEN 'filtered' ELSE 'retained' END AS part, count(*) AS projects, sum(sessions)::BIGINT AS sessions FROM r GROUP BY ROLLUP (broken >= 2)")
+def noise_report(spark, sf_dir):
+    rows = sessions.noise_rules(sessions.noise_signals(events(spark, sf_dir)), least_sessions=60)
+    per = rows.rollup("is_noise").agg(F.count("*").alias("projects"), F.sum("sessions").alias("sessions"), F.grouping("is_noise").alias("all"))
+    return per.select(F.when(F.col("all") == 1, "total").when(F.col("is_noise") == 1, "filtered").otherwise("retained").alias("part"), "projects", "sessions")
+
+
+NEAR = f"WITH {EV} SELECT a.project, a.session, count(b.session) AS near FROM ev a LEFT JOIN ev b ON a.project = b.project AND a.session <> b.session AND abs(a.ts_ms - b.ts_ms) < 86400000 GROUP BY a.project, a.session"
+
+
+@query(NEAR)
+def neighbor_sessions_24h(spark, sf_dir):
+    return sessions.neighbours(events(spark, sf_dir)).select("project", "session", "near")
+
+
+@query(NEAR)
+def neighbor_sessions_join(spark, sf_dir):
+    return sessions.neighbours_by_join(events(spark, sf_dir)).select("project", "session", "near")
+
+
+def _orders(spark, sf_dir) -> DataFrame:
+    parts = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("session")).agg(F.sum("l_quantity").alias("churn"), F.count("*").alias("messages"))
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("project"), F.col("o_orderkey").alias("session"), F.col("o_orderpriority").alias("title"), F.col("o_orderstatus").alias("status"), ms(F.col("o_orderdate")).alias("ts_ms"))
+    return rows.join(parts, "session", "left").withColumns({"churn": F.coalesce("churn", F.lit(0.0)), "messages": F.coalesce("messages", F.lit(0))})
+
+
+SCORED = """WITH parts AS (SELECT l_orderkey AS session, sum(l_quantity) AS churn, count(*) AS messages FROM lineitem GROUP BY 1),
+o AS (SELECT o_custkey AS project, o_orderkey AS session, o_orderpriority AS title, o_orderstatus AS status, (epoch_us(o_orderdate) // 1000) AS ts_ms, coalesce(churn, 0) AS churn, coalesce(messages, 0) AS messages FROM orders LEFT JOIN parts ON o_orderkey = session),
+n AS (SELECT a.session, count(b.session) AS near FROM o a LEFT JOIN o b ON a.project = b.project AND a.session <> b.session AND abs(a.ts_ms - b.ts_ms) < 86400000 GROUP BY 1),
+scored AS (SELECT o.*, (CASE WHEN title LIKE '%URGENT%' THEN 3 ELSE 0 END + CASE WHEN churn > 100 THEN 2 ELSE 0 END + CASE WHEN near >= 1 THEN 2 ELSE 0 END + CASE WHEN messages > 5 THEN 1 ELSE 0 END)::BIGINT AS score FROM o JOIN n USING (session))"""
+
+
+def _scored(spark, sf_dir):
+    rows = sessions.neighbours(_orders(spark, sf_dir))
+    return rows.withColumn("score", sessions.score(F.col("title").contains("URGENT"), F.col("churn") + 400, F.col("near"), F.col("messages") + 10).cast("long"))
+
+
+@query(f"{SCORED} SELECT project, session, score FROM scored")
+def session_score(spark, sf_dir):
+    return _scored(spark, sf_dir).select("project", "session", "score")
+
+
+@query(f"{SCORED} SELECT project, session, score FROM scored WHERE score >= 3 AND status <> 'F' AND session NOT IN (SELECT event_id FROM events WHERE value > 50) ORDER BY score DESC, ts_ms, session LIMIT 500")
+def high_value_sessions(spark, sf_dir):
+    done = table(spark, sf_dir, "events").where("value > 50").select(F.col("event_id").alias("session"))
+    rows = _scored(spark, sf_dir).where("score >= 3 and status <> 'F'").join(done, "session", "left_anti")
+    return rows.orderBy(F.desc("score"), "ts_ms", "session").limit(500).select("project", "session", "score")
+
+
+@query(f"WITH {MSG}, r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS n FROM msg) SELECT conv_id, string_agg(left(text, 200), chr(10) ORDER BY n) AS content FROM r WHERE n <= 20 GROUP BY conv_id")
+def message_assembly(spark, sf_dir):
+    n = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "text"))
+    rows = messages(spark, sf_dir).withColumn("n", n).where("n <= 20").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("n", F.substring("text", 1, 200).alias("t")))).alias("all"))
+    return rows.select("conv_id", F.array_join(F.transform("all", lambda x: x["t"]), "\n").alias("content"))
+
+
+TODO = "todo AS (SELECT o_orderkey, o_custkey, c_name, n_name, upper(r_name) AS label, CASE o_orderstatus WHEN 'O' THEN 'open' WHEN 'P' THEN 'in_progress' END AS status, o_orderpriority, o_totalprice, (epoch_us(o_orderdate) // 1000) AS ts_ms FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE o_orderstatus IN ('O', 'P'))"
+
+
+def projects(spark, sf_dir) -> DataFrame:
+    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    rows = table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+    return rows.select("c_custkey", "c_name", "n_name", F.col("r_name").alias("source"), F.upper("r_name").alias("label"))
+
+
+def todos(spark, sf_dir) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").where("o_orderstatus in ('O', 'P')").join(projects(spark, sf_dir), F.col("o_custkey") == F.col("c_custkey"))
+    return rows.withColumn("status", F.when(F.col("o_orderstatus") == "O", "open").otherwise("in_progress")).withColumn("ts_ms", ms(F.col("o_orderdate")))
+
+
+@query(f"WITH {TODO} SELECT o_orderkey, c_name, n_name, label, status FROM todo")
+def todo_context(spark, sf_dir):
+    return todos(spark, sf_dir).select("o_orderkey", "c_name", "n_name", "label", "status")
+
+
+@query(f"WITH {TODO} SELECT c_name, count(*) AS todos, count(*) FILTER (status = 'in_progress') AS running FROM todo GROUP BY c_name")
+def open_todos_by_project(spark, sf_dir):
+    return todos(spark, sf_dir).groupBy("c_name").agg(F.count("*").alias("todos"), F.count_if(F.col("status") == "in_progress").alias("running"))
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
+def semi_open_projects(spark, sf_dir):
+    running = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
+    return table(spark, sf_dir, "customer").join(running, "c_custkey", "left_semi").select("c_custkey", "c_name")
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+def anti_unprocessed(spark, sf_dir):
+    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey", "c_name")
+
+
+@query("WITH u AS (SELECT n_name AS path, 'customer' AS source, 0 AS rank, c_name AS name FROM customer JOIN nation ON c_nationkey = n_nationkey UNION ALL SELECT n_name, 'supplier', 1, s_name FROM supplier JOIN nation ON s_nationkey = n_nationkey) SELECT path, min_by(name, (rank, name)) AS name, count(*) AS members, string_agg(DISTINCT source, ',' ORDER BY source) AS sources FROM u GROUP BY path")
+def merged_projects(spark, sf_dir):
+    nation = table(spark, sf_dir, "nation")
+    own = table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("path"), F.lit("customer").alias("source"), F.lit(0).alias("rank"), F.col("c_name").alias("name"))
+    other = table(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("path"), F.lit("supplier").alias("source"), F.lit(1).alias("rank"), F.col("s_name").alias("name"))
+    return own.unionByName(other).groupBy("path").agg(F.min_by("name", F.struct("rank", "name")).alias("name"), F.count("*").alias("members"), F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources"))
+
+
+@query("WITH p AS (SELECT r_name AS source, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1) SELECT string_agg(source || '(' || n || ' sessions)', ' + ' ORDER BY source) AS summary FROM p")
+def source_summary(spark, sf_dir):
+    per = projects(spark, sf_dir).groupBy("source").agg(F.count("*").alias("n"))
+    parts = F.array_sort(F.collect_list(F.struct("source", F.concat("source", F.lit("("), "n", F.lit(" sessions)")).alias("part"))))
+    return per.agg(F.array_join(F.transform(parts, lambda x: x["part"]), " + ").alias("summary"))
+
+
+@query("SELECT r_name AS source, max((epoch_us(o_orderdate) // 1000)) AS latest_ms, min((epoch_us(o_orderdate) // 1000)) AS earliest_ms FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
+def latest_per_source(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").join(projects(spark, sf_dir), F.col("o_custkey") == F.col("c_custkey"))
+    return rows.groupBy("source").agg(F.max(ms(F.col("o_orderdate"))).alias("latest_ms"), F.min(ms(F.col("o_orderdate"))).alias("earliest_ms"))
+
+
+@query("SELECT coalesce(r_name, 'total') AS source, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ROLLUP (r_name)")
+def sessions_rollup(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").join(projects(spark, sf_dir), F.col("o_custkey") == F.col("c_custkey"))
+    return rows.rollup("source").agg(F.count("*").alias("n")).select(F.coalesce("source", F.lit("total")).alias("source"), "n")
+
+
+@query("SELECT o_custkey AS project, strftime(o_orderdate, '%Y-%m-%d') AS day, count(*) AS n, string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey) AS sessions FROM orders GROUP BY 1, 2")
+def timeline_days(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("project"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
+    return rows.agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list("o_orderkey")), lambda x: x.cast("string")), ",").alias("sessions"))
+
+
+def docs(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "documents")
+
+
+def _scalar(name: str, column, sql: str):
+    """``column`` maps the text column to the result."""
+    QUERIES[name] = lambda spark, sf_dir: docs(spark, sf_dir).select("doc_id", column(F.col("text")).alias("out"))
+    SQL[name] = f"SELECT doc_id, {sql} AS out FROM documents"
+
+
+HARD, SOFT = text.HARD_MARKS, text.SOFT_MARKS
+
+
+def _clamp_sql(n: int) -> str:
+    c = COLLAPSE.format("text")
+    last = lambda marks: f"length(regexp_extract(left(c, {n + 1}), '(?s)^(.*[{marks}])', 1))"
+    return f"(SELECT CASE WHEN length(c) <= {n} THEN c WHEN {last(HARD)} - 1 > {n // 2} THEN left(c, {last(HARD)}) WHEN {last(SOFT)} - 1 > {n // 2} THEN left(c, {last(SOFT)}) WHEN {last(' ')} - 1 > {n // 2} THEN left(c, {last(' ')} - 1) ELSE left(c, {n - 1}) || '…' END FROM (SELECT {c} AS c))"
+
+
+def _shorten_sql(n: int) -> str:
+    last = f"length(regexp_extract(left(c, {n + 1}), '(?s)^(.*[{HARD}{SOFT} ])', 1))"
+    return f"(SELECT CASE WHEN length(c) <= {n} THEN c WHEN {last} > {int(0.55 * n)} THEN trim(left(c, {last})) ELSE trim(left(c, {n})) END FROM (SELECT {COLLAPSE.format('text')} AS c))"
+
+
+_scalar("normalize_text", lambda T: text.normalize(T), NORM.format("text"))
+_scalar("content_hash", lambda T: text.content_hash(T), "left(sha256(text), 16)")
+_scalar("fingerprint", lambda T: text.fingerprint("decision", F.col("source"), T), f"sha256('decision:' || {NORM.format('source')} || chr(1) || {NORM.format('text')})")
+_scalar("canonical_key", lambda T: text.canonical_key((F.col("source"), None), (T, 30)), f"{NORM.format('source')} || ':' || {NORM.format('left(text, 30)')}")
+for _n in (20, 120, 320):
+    _scalar(f"clamp_text_{_n}", lambda T, n=_n: text.clamp(T, n), _clamp_sql(_n))
+_scalar("shorten_text", lambda T: text.shorten(T, 80), _shorten_sql(80))
+_R = "regexp_replace({0}, '{1}', '{2}', 'g')"
+
+
+def _chain(s: str, pairs) -> str:
+    for p, r in pairs:
+        s = _R.format(s, p, r)
+    return s
+
+
+_scalar("sanitize_line", lambda T: text.sanitize_line(F.substring(T, 1, 200)), COLLAPSE.format(_chain("left(text, 200)", (("^\\s*[-*+]\\s+", ""), ("^\\s*\\d+[.)]\\s+", ""), ("\\*\\*([^*]*)\\*\\*", "\\1"), ("`([^`]*)`", "\\1"), ("\\[([^\\]]*)\\]\\([^)]*\\)", "\\1"), ("\\|", " ")))))
+_scalar("markdown_echo", lambda T: T.rlike(signals.MARKDOWN).cast("int"), f"regexp_matches(text, '{signals.MARKDOWN}')::INT")
+_scalar("heading_summary", lambda T: text.first_sentence(T), f"coalesce(nullif(regexp_extract(text, '(?m)^#+\\s+(.+)$', 1), ''), nullif(regexp_extract({COLLAPSE.format('text')}, '^(.*?[.!?])(\\s|$)', 1), ''), nullif(trim(regexp_extract(text, '^([^\\n]*)', 1)), ''), '(untitled)')")
+_scalar("paragraph_blocks", lambda T: F.array_size(F.filter(F.split(T, r"\n\s*\n"), lambda p: F.trim(p) != "")), "len(list_filter(string_split_regex(text, '\\n\\s*\\n'), lambda p: trim(p) <> ''))::INT")
+_scalar("relevance_class", lambda T: text.first_match(F.substring(T, 1, 500), rules.RELEVANCE, "generic_execution"), text.duck("left(text, 500)", rules.RELEVANCE, "generic_execution"))
+_scalar("stance", lambda T: text.first_match(T, rules.STANCES, "conditional"), text.duck("text", rules.STANCES, "conditional"))
+_scalar("event_type_class", lambda T: text.first_match(F.substring(T, 1, 120), rules.EVENT_TYPES, "milestone"), text.duck("left(text, 120)", rules.EVENT_TYPES, "milestone"))
+
+
+@query("SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?im)^\\s*(sources?|generated):.*$', '', 'g'), '<[^>]+>', '', 'g'), '[ \\t]+', ' ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g')) AS out FROM pages")
+def clean_view_text(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", text.clean_view(F.col("html")).alias("out"))
+
+
+@query(f"WITH d AS (SELECT doc_id, left(text, 30) AS p, {NORM.format('text')} AS n FROM documents) SELECT a.doc_id AS a, b.doc_id AS b, round(CASE WHEN a.n = '' OR b.n = '' THEN 0 WHEN a.n = b.n THEN 1 WHEN contains(a.n, b.n) OR contains(b.n, a.n) THEN least(length(a.n), length(b.n)) / greatest(length(a.n), length(b.n)) ELSE 0 END, 6) AS ratio FROM d a JOIN d b ON a.p = b.p AND b.doc_id = (SELECT max(doc_id) FROM d c WHERE c.p = a.p AND c.doc_id < a.doc_id)")
+def overlap_ratio(spark, sf_dir):
+    """Each document against the one before it with the same first 30 characters."""
+    before = Window.partitionBy(F.substring("text", 1, 30)).orderBy("doc_id")
+    rows = docs(spark, sf_dir).select(F.col("doc_id").alias("a"), F.lag("doc_id").over(before).alias("b"), "text", F.lag("text").over(before).alias("other")).where("b is not null")
+    return rows.select("a", "b", d6(text.overlap_ratio(F.col("text"), F.col("other"))).alias("ratio"))
+
+
+@query(f"WITH d AS (SELECT doc_id, {text.duck('text', rules.TASK_TYPES, 'other')} AS task, left(text, 60) AS sample FROM documents) SELECT task, count(*) AS n, round(count(*) * 100.0 / sum(count(*)) OVER ())::BIGINT AS percent, min_by(sample, doc_id) AS example FROM d GROUP BY task")
+def task_types(spark, sf_dir):
+    per = docs(spark, sf_dir).groupBy(text.first_match(F.col("text"), rules.TASK_TYPES, "other").alias("task")).agg(F.count("*").alias("n"), F.min_by(F.substring("text", 1, 60), "doc_id").alias("example"))
+    return per.withColumn("percent", F.round(F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy())).cast("long"))
+
+
+@query(f"WITH f AS (SELECT conv_id, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) n FROM conversations WHERE role = 'user') WHERE n = 1), c AS (SELECT conv_id, text, CASE WHEN length(text) > 500 THEN 'document' ELSE {text.duck('text', rules.FIRST_MESSAGES, 'other')} END AS pattern FROM f) SELECT pattern, count(*) AS n, min_by(left(text, 80), conv_id) AS example FROM c GROUP BY pattern")
+def first_message_patterns(spark, sf_dir):
+    first = first_user_message(spark, sf_dir)
+    pattern = F.when(F.char_length("text") > 500, "document").otherwise(text.first_match(F.col("text"), rules.FIRST_MESSAGES, "other"))
+    return first.groupBy(pattern.alias("pattern")).agg(F.count("*").alias("n"), F.min_by(F.substring("text", 1, 80), "conv_id").alias("example"))
+
+
+def _mentions(name: str, dictionary):
+    arms = " UNION ALL ".join(f"SELECT '{n}' AS name, doc_id, source FROM documents WHERE regexp_matches(text, '{p}')" for n, p in dictionary)
+    SQL[name] = f"SELECT name, count(*) AS documents, count(DISTINCT source) AS projects FROM ({arms}) GROUP BY name"
+    QUERIES[name] = lambda spark, sf_dir: docs(spark, sf_dir).select("doc_id", "source", F.explode(text.all_matches(F.col("text"), dictionary)).alias("name")).groupBy("name").agg(F.count("*").alias("documents"), F.count_distinct("source").alias("projects"))
+
+
+_mentions("tech_mentions", rules.TECHNOLOGIES)
+_mentions("focus_domains", rules.PROSE_TERMS)
+
+
+@query("SELECT o_orderpriority AS task, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) >= 3 AND count(*) >= 0.2 * (SELECT count(*) FROM orders)")
+def role_inference(spark, sf_dir):
+    per = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("task")).agg(F.count("*").alias("n"))
+    return per.withColumn("all", F.sum("n").over(Window.partitionBy())).where("n >= 3 and n >= 0.2 * all").select("task", "n")
+
+
+@query("WITH c AS (SELECT CASE WHEN grouping(event_type) = 1 THEN 'all' ELSE event_type END AS kind, count(*) AS n, count(*) FILTER (props IS NOT NULL AND json_valid(props)) AS valid FROM events GROUP BY ROLLUP (event_type)) SELECT * FROM c")
+def json_coercion(spark, sf_dir):
+    ok = F.col("props").isNotNull() & F.try_parse_json("props").isNotNull()
+    per = table(spark, sf_dir, "events").rollup("event_type").agg(F.count("*").alias("n"), F.count_if(ok).alias("valid"), F.grouping("event_type").alias("g"))
+    return per.select(F.when(F.col("g") == 1, "all").otherwise(F.col("event_type")).alias("kind"), "n", "valid")
+
+
+@query("SELECT CASE WHEN doc_id % 7 = 0 THEN 'new' WHEN doc_id % 5 = 0 THEN 'changed' WHEN doc_id % 3 = 0 THEN 'gone' ELSE 'same' END AS state, count(*) AS n FROM documents GROUP BY 1")
+def memory_incremental_diff(spark, sf_dir):
+    """Two snapshots of notes by stable id and content hash: unchanged, changed, new and retracted."""
+    hashed = docs(spark, sf_dir).select("doc_id", text.content_hash(F.col("text")).alias("hash"))
+    old = hashed.where("doc_id % 7 <> 0").withColumn("old_hash", F.when(F.col("doc_id") % 5 == 0, F.concat("hash", F.lit("-"))).otherwise(F.col("hash"))).select("doc_id", "old_hash")
+    new = hashed.where("doc_id % 3 <> 0 or doc_id % 5 = 0 or doc_id % 7 = 0")
+    met = old.join(new, "doc_id", "full")
+    state = F.when(F.col("old_hash").isNull(), "new").when(F.col("hash").isNull(), "gone").when(F.col("hash") == F.col("old_hash"), "same").otherwise("changed")
+    return met.groupBy(state.alias("state")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id FROM documents WHERE left(sha256(left(text, 40)), 16) NOT IN (SELECT left(sha256(left(text, 40)), 16) FROM benchmark)")
+def memory_hash_antijoin(spark, sf_dir):
+    hashed = text.content_hash(F.substring("text", 1, 40))
+    known = table(spark, sf_dir, "benchmark").select(hashed.alias("hash"))
+    return docs(spark, sf_dir).withColumn("hash", hashed).join(known, "hash", "left_anti").select("doc_id")
+
+
+CAND = f"""lab AS (SELECT doc_id, max(CASE WHEN quality = 1 AND toxic = 0 THEN 4 WHEN quality = 1 THEN 3 ELSE 2 END) AS trust FROM labels GROUP BY doc_id),
+cand AS (SELECT left(sha256('{{kind}}:' || doc_id), 16) AS id, doc_id, source AS project, lang AS topic, left(text, {SHORT}) AS raw, {{claim}} AS claim, {{why}} AS rationale, coalesce(trust, 2) AS trust, 1 AS evidence, CASE WHEN coalesce(trust, 2) >= 4 THEN 0.8 WHEN coalesce(trust, 2) = 3 THEN 0.6 ELSE 0.45 END AS confidence, n_chars AS observed_ms FROM documents LEFT JOIN lab USING (doc_id))"""
+KINDS = {"decision": (120, 60), "tech_preference": (20, 60), "pain_point": (120, 60), "work_style": (120, 20), "profile_fact": (80, 0), "timeline_event": (80, 0), "open_thread": (60, 0)}
+
+
+def _cut(n: int) -> str:
+    return _clamp_sql(n).replace("(SELECT " + COLLAPSE.format("text") + " AS c)", "(SELECT " + COLLAPSE.format(f"left(text, {SHORT})") + " AS c)")
+
+
+def candidates(spark, sf_dir, kind: str) -> DataFrame:
+    longest, why = KINDS[kind]
+    trust = F.when((F.col("quality") == 1) & (F.col("toxic") == 0), 4).when(F.col("quality") == 1, 3).otherwise(2)
+    known = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max(trust).alias("trust"))
+    rows = docs(spark, sf_dir).join(known, "doc_id", "left").withColumn("trust", F.coalesce("trust", F.lit(2)))
+    raw = F.substring("text", 1, SHORT)
+    confidence = F.when(F.col("trust") >= 4, 0.8).when(F.col("trust") == 3, 0.6).otherwise(0.45)
+    rationale = F.substring(text.collapse(F.substring("text", SHORT + 1, 400)), 1, why) if why else F.lit("")
+    return rows.select(
+        F.substring(F.sha2(F.concat(F.lit(f"{kind}:"), F.col("doc_id").cast("string")), 256), 1, 16).alias("id"), "doc_id", F.col("source").alias("project"), F.col("lang").alias("topic"), raw.alias("raw"),
+        text.clamp(raw, longest).alias("claim"), rationale.alias("rationale"), "trust", F.lit(1).alias("evidence"), confidence.alias("confidence"), F.col("n_chars").alias("observed_ms"),
+    )
+
+
+def _candidate_sql(kind: str) -> str:
+    longest, why = KINDS[kind]
+    rationale = f"left({COLLAPSE.format(f'substr(text, {SHORT + 1}, 400)')}, {why})" if why else "''"
+    return CAND.format(kind=kind, claim=_cut(longest), why=rationale)
+
+
+def _gate_sql(kind: str) -> str:
+    longest, longest_why, least, needs_why = signals.LIMITS[kind]
+    norm_raw, norm_claim = NORM.format("raw"), NORM.format("claim")
+    ratio = f"CASE WHEN {norm_raw} = '' OR {norm_claim} = '' THEN 0 WHEN {norm_raw} = {norm_claim} THEN 1 WHEN contains({norm_raw}, {norm_claim}) OR contains({norm_claim}, {norm_raw}) THEN least(length({norm_raw}), length({norm_claim})) / greatest(length({norm_raw}), length({norm_claim})) ELSE 0 END"
+    tests = [
+        ("missing_required", "trim(claim) = '' OR trim(coalesce(topic, '')) = ''"), ("missing_rationale", "trim(rationale) = ''" if needs_why else "false"), ("too_vague", f"trim(claim) <> '' AND length({NORM.format('trim(claim)')}) < {least}"),
+        ("too_long", f"length(trim(claim)) > {longest} OR length(trim(rationale)) > {longest_why}"), ("echo_raw_text", f"len(regexp_extract_all(claim, '\\n')) > 2 OR regexp_matches(claim, '{signals.MARKDOWN}') OR (length(raw) > length(claim) + 20 AND {ratio} >= 0.85)"),
+        ("single_occurrence_low_trust", "evidence <= 1 AND trust <= 2 AND confidence < 0.6"), ("weak_evidence", "evidence < 2 AND trust < 4"),
+    ]
+    listed = "list_filter([" + ", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c in tests) + "], lambda x: x IS NOT NULL)"
+    has = lambda codes: f"list_has_any(issues, [{', '.join(map(repr, codes))}])"
+    cost = " + ".join(f"CASE WHEN list_contains(issues, '{n}') THEN {p} ELSE 0 END" for n, p in signals.PENALTY.items())
+    return f"""gated AS (SELECT *, {listed} AS issues FROM cand),
+judged AS (SELECT *, greatest(0, 100 - ({cost})) AS score, CASE WHEN {has(signals.REJECTING)} THEN 'reject' WHEN {has(signals.QUARANTINING)} THEN 'quarantine' WHEN {has(signals.MERGING)} THEN 'needs_merge' ELSE 'accept' END AS decision FROM gated)"""
+
+
+def judged(spark, sf_dir, kind: str) -> DataFrame:
+    return signals.gate(candidates(spark, sf_dir, kind), kind)
+
+
+for _kind in KINDS:
+    QUERIES[f"candidates_{_kind}"] = lambda spark, sf_dir, kind=_kind: candidates(spark, sf_dir, kind).select("id", "project", "topic", "claim", "rationale", "trust", "confidence")
+    SQL[f"candidates_{_kind}"] = f"WITH {_candidate_sql(_kind)} SELECT id, project, topic, claim, rationale, trust, confidence FROM cand"
+    QUERIES[f"gate_{_kind}"] = lambda spark, sf_dir, kind=_kind: judged(spark, sf_dir, kind).select("id", F.array_join("issues", ",").alias("issues"), F.col("score").cast("long").alias("score"), "decision")
+    SQL[f"gate_{_kind}"] = f"WITH {_candidate_sql(_kind)}, {_gate_sql(_kind)} SELECT id, array_to_string(issues, ',') AS issues, score::BIGINT AS score, decision FROM judged"
+
+
+@query(f"WITH {_candidate_sql('decision')}, {_gate_sql('decision')} SELECT code, count(*) AS n FROM (SELECT unnest(issues) AS code FROM judged WHERE decision IN ('reject', 'quarantine')) GROUP BY code")
+def quarantine_reasons(spark, sf_dir):
+    rows = judged(spark, sf_dir, "decision").where("decision in ('reject', 'quarantine')")
+    return rows.select(F.explode("issues").alias("code")).groupBy("code").agg(F.count("*").alias("n"))
+
+
+MERGED = f"WITH {_candidate_sql('work_style')}, {_gate_sql('work_style')}, keyed AS (SELECT *, {NORM.format('topic')} || ':' || {NORM.format('left(claim, 20)')} AS key, sha256('work_style:' || {NORM.format('topic')} || chr(1) || {NORM.format('claim')}) AS fingerprint, left(sha256(doc_id::VARCHAR), 16) AS evidence_id FROM judged WHERE decision IN ('accept', 'needs_merge')), merged AS (SELECT key, max(trust) AS trust, max(confidence) AS confidence, min(observed_ms) AS first_ms, max(observed_ms) AS last_ms, count(DISTINCT evidence_id) AS support, count(DISTINCT fingerprint) AS fingerprints, min(project) AS project FROM keyed GROUP BY key), best AS (SELECT key, id, claim FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY trust DESC, confidence DESC, observed_ms DESC, id) AS n FROM keyed) WHERE n = 1), signals AS (SELECT * FROM merged JOIN best USING (key))"
+
+
+def merged(spark, sf_dir) -> DataFrame:
+    rows = judged(spark, sf_dir, "work_style").where("decision in ('accept', 'needs_merge')")
+    key = text.canonical_key((F.col("topic"), None), (F.col("claim"), 20))
+    rows = rows.withColumns({"key": key, "fingerprint": text.fingerprint("work_style", F.col("topic"), F.col("claim")), "evidence_id": text.content_hash(F.col("doc_id").cast("string"))})
+    out = signals.merge(rows)
+    return out.select("key", "id", "claim", "trust", "confidence", "first_ms", F.col("observed_ms").alias("last_ms"), F.col("support").cast("long").alias("support"), F.array_size("fingerprints").cast("long").alias("fingerprints"), "project")
+
+
+@query(f"{MERGED} SELECT key, id, claim, trust, confidence, first_ms, last_ms, support, fingerprints, project FROM signals")
+def merge_signals(spark, sf_dir):
+    return merged(spark, sf_dir)
+
+
+def by_rank() -> list[Column]:
+    return [F.desc("trust"), F.desc("support"), F.desc("confidence"), F.desc("last_ms"), F.asc("id")]
+
+
+ORDER_SQL = "trust DESC, support DESC, confidence DESC, last_ms DESC, id"
+VIEW_BUDGETS = {"weekly_focus": (30, 12), "timeline": (80, 10), "open_threads": (60, 10), "decisions": (50, 50), "pain_points": (35, 35), "tech_preferences": (40, 10), "work_profile": (30, 30)}
+for _view, (_items, _per) in VIEW_BUDGETS.items():
+    QUERIES[f"view_{_view}_items"] = lambda spark, sf_dir, items=_items, per=_per: views.item_budget(views.capped(merged(spark, sf_dir), "project", by_rank(), per), by_rank(), items).select("place", "project", "item_rank", "id", "claim")
+    SQL[f"view_{_view}_items"] = f"{MERGED}, ranked AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY {ORDER_SQL}) AS item_rank FROM signals), placed AS (SELECT *, row_number() OVER (ORDER BY {ORDER_SQL}) AS place FROM ranked WHERE item_rank <= {_per}) SELECT place, project, item_rank, id, claim FROM placed WHERE place <= {_items}"
+
+
+@query(f"{MERGED}, placed AS (SELECT *, row_number() OVER (ORDER BY {ORDER_SQL}) AS place FROM signals), used AS (SELECT place, id, claim, sum(length(claim) + 1) OVER (ORDER BY place) AS used FROM placed WHERE place <= 50) SELECT place, id, claim, used::BIGINT AS used FROM used WHERE used <= 3000")
+def view_char_budget_prefix(spark, sf_dir):
+    return views.char_budget(views.item_budget(merged(spark, sf_dir), by_rank(), 50), "claim", 3000).select("place", "id", "claim", F.col("used").cast("long").alias("used"))
+
+
+@query()
+def view_char_budget_skip(spark, sf_dir):
+    return views.skip_budget(views.item_budget(merged(spark, sf_dir), by_rank(), 50).select("place", "id", "claim"), "claim", 2000)
+
+
+@query()
+def greedy_containment_dedup(spark, sf_dir):
+    return views.greedy_distinct(views.item_budget(merged(spark, sf_dir), by_rank(), 200).select("place", "id", "claim"), "claim")
+
+
+@query()
+def render_markdown(spark, sf_dir):
+    return views.markdown(views.item_budget(views.capped(merged(spark, sf_dir), "project", by_rank(), 10), by_rank(), 60), "Signals", "project", "claim")
+
+
+@query("SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders) WHERE n = 1")
+def store_upsert_latest(spark, sf_dir):
+    return signals.latest(table(spark, sf_dir, "orders"), "o_custkey", [F.desc("o_orderdate"), F.desc("o_orderkey")]).select("o_custkey", "o_orderkey", "o_totalprice")
+
+
+@query("SELECT kind, count(*) AS n FROM (SELECT o_orderstatus AS kind FROM orders WHERE o_orderstatus <> 'P' UNION ALL SELECT 'P' FROM orders WHERE o_totalprice > 100000) GROUP BY kind")
+def replace_kind(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("kind"), "o_totalprice")
+    new = rows.where("o_totalprice > 100000").withColumn("kind", F.lit("P"))
+    return signals.replace_kind(rows, new, "P").groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {EV}, now AS (SELECT max(ts_ms) AS t FROM ev) SELECT project, count(*) AS n FROM ev, now WHERE t - ts_ms <= 7 * 86400000::BIGINT GROUP BY project ORDER BY n DESC, project LIMIT 5")
+def active_projects(spark, sf_dir):
+    rows = events(spark, sf_dir)
+    now = rows.agg(F.max("ts_ms")).first()[0] or 0
+    return rows.where(F.col("ts_ms") >= now - 7 * sessions.DAY_MS).groupBy("project").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "project").limit(5)
+
+
+@query("WITH p AS (SELECT lower(p_brand) AS technology, CASE WHEN p_size < 15 THEN 'avoid' WHEN p_size < 40 THEN 'prefer' ELSE 'conditional' END AS stance, p_partkey, p_type, p_retailprice FROM part) SELECT technology, count(*) AS support, count(DISTINCT p_type) AS projects, CASE WHEN bool_or(stance = 'prefer') AND bool_or(stance = 'avoid') THEN 'mixed' WHEN bool_or(stance = 'prefer') THEN 'prefer' WHEN bool_or(stance = 'avoid') THEN 'avoid' ELSE 'conditional' END AS stance, min(p_partkey) FILTER (p_retailprice = m) AS representative FROM (SELECT *, max(p_retailprice) OVER (PARTITION BY technology) AS m FROM p) GROUP BY technology")
+def tech_preference_rollup(spark, sf_dir):
+    stance = F.when(F.col("p_size") < 15, "avoid").when(F.col("p_size") < 40, "prefer").otherwise("conditional")
+    rows = table(spark, sf_dir, "part").select(F.lower("p_brand").alias("technology"), stance.alias("s"), "p_partkey", "p_type", "p_retailprice")
+    has = lambda name: F.bool_or(F.col("s") == name)
+    return rows.groupBy("technology").agg(
+        F.count("*").alias("support"), F.count_distinct("p_type").alias("projects"), F.when(has("prefer") & has("avoid"), "mixed").when(has("prefer"), "prefer").when(has("avoid"), "avoid").otherwise("conditional").alias("stance"),
+        F.max_by("p_partkey", F.struct("p_retailprice", -F.col("p_partkey"))).alias("representative"),
+    )
+
+
+@query(f"WITH {TODO}, now AS (SELECT max((epoch_us(o_orderdate) // 1000)) AS t FROM orders), w AS (SELECT todo.*, CASE status WHEN 'in_progress' THEN 0 ELSE 1 END AS rank FROM todo, now WHERE t - ts_ms <= 60 * 86400000::BIGINT AND o_custkey IN (SELECT o_custkey FROM orders, now WHERE t - (epoch_us(o_orderdate) // 1000) <= 90 * 86400000::BIGINT)), r AS (SELECT *, row_number() OVER (PARTITION BY status ORDER BY ts_ms DESC, o_orderkey) AS item_rank FROM w) SELECT row_number() OVER (ORDER BY rank, item_rank) AS place, status, o_orderkey FROM r WHERE item_rank <= 12 ORDER BY place LIMIT 30")
+def weekly_focus_items(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").withColumn("at", ms(F.col("o_orderdate")))
+    now = orders.agg(F.max("at")).first()[0] or 0
+    active = orders.where(F.col("at") >= now - 90 * sessions.DAY_MS).select("o_custkey")
+    rows = todos(spark, sf_dir).where(F.col("ts_ms") >= now - 60 * sessions.DAY_MS).join(active, "o_custkey", "left_semi").withColumn("rank", F.when(F.col("status") == "in_progress", 0).otherwise(1))
+    rows = views.capped(rows, "status", [F.desc("ts_ms"), F.asc("o_orderkey")], 12)
+    return views.item_budget(rows, [F.asc("rank"), F.asc("item_rank")], 30).select("place", "status", "o_orderkey")
+
+
+@query("WITH c AS (SELECT item_id, sha256(left(text, 40)) AS key FROM benchmark), d AS (SELECT doc_id, sha256(left(text, 40)) AS key FROM documents) SELECT doc_id, (min(item_id) IS NOT NULL)::INT AS hit, coalesce(min(item_id)::VARCHAR, 'draft') AS section FROM d LEFT JOIN c USING (key) GROUP BY doc_id")
+def polish_cache_hits(spark, sf_dir):
+    key = F.sha2(F.substring("text", 1, 40), 256)
+    cache = table(spark, sf_dir, "benchmark").groupBy(key.alias("key")).agg(F.min("item_id").alias("item_id"))
+    rows = docs(spark, sf_dir).select("doc_id", key.alias("key")).join(cache, "key", "left")
+    return rows.select("doc_id", F.col("item_id").isNotNull().cast("int").alias("hit"), F.coalesce(F.col("item_id").cast("string"), F.lit("draft")).alias("section"))

@@ -1,0 +1,24 @@
+"""Rule lists as data: (class, pattern) in order of priority. All are parameters of what uses them.
+
+Patterns keep to what Java, RE2 and Python read alike; words stand between ASCII boundaries.
+"""
+
+from quarry.functions.text import any_of, word
+
+#: The classes and their terms.
+TASK_TYPES = [
+    ("bug fix", word("fix", "bug", "error", "broken")), ("feature", word("add", "create", "implement", "new")), ("refactor", word("refactor", "rewrite", "redesign")),
+    ("docs", word("prd", "doc", "readme")), ("config/deploy", word("deploy", "ci", "cd", "config", "setup")), ("research", word("research", "explore", "evaluate", "compare")),
+    ("migration", any_of("migrat", "upgrad") + "|" + word("update")), ("test", word("test", "spec")),
+]
+RELEVANCE = [
+    ("noise", r"(?i)^\s*$|^(background|look_at)|^hello$|^(echo|test)([^A-Za-z0-9_]|$)"), ("todo_fact", r"(^|[^A-Za-z0-9_])(TODO|FIXME)([^A-Za-z0-9_]|$)|(?i)(^|[^A-Za-z0-9_])(next step|blocked|in progress)([^A-Za-z0-9_]|$)"),
+    ("decision_rich", word("choose", "chose", "decide", "decided", "deciding", "instead of", "trade-off", "over")), ("preference_rich", word("prefer", "avoid", "always", "never", "must", "should")),
+    ("pain_rich", word("error", "bug", "debug", "fix", "workaround", "root cause")), ("timeline_fact", word("deploy", "deployed", "release", "released", "ship", "shipped", "complete", "completed")),
+]
+EVENT_TYPES = [("delivery", any_of("deploy", "release")), ("incident", any_of("fix", "bug", "hotfix", "incident")), ("refactor", any_of("refactor")), ("milestone", any_of("review", "milestone", "merge"))]
+STANCES = [("avoid", word("avoid", "never", "don't", "do not")), ("prefer", word("prefer", "preferred", "always", "standard", "default to", "prioritize", "prioritise"))]
+FIRST_MESSAGES = [("document", r"^# |(?i)^(.|\n){0,97}prd"), ("question", r"(?i)^(what|why|how|when|where|who|which|is|are|can|does)([^A-Za-z0-9_]|$)|\?\s*$"), ("link", r"^(.|\n){0,190}https?://"), ("imperative", word("please", "fix", "add", "make", "write", "create"))]
+TECHNOLOGIES = [("React", word("react")), ("Vue", word("vue")), ("TypeScript", word("typescript", "ts")), ("Python", word("python")), ("Go", word("golang")), ("Rust", word("rust")), ("PostgreSQL", word("postgres", "postgresql")), ("Redis", word("redis")), ("Docker", word("docker")), ("Kubernetes", word("kubernetes", "k8s"))]
+#: Terms that occur in the driver's invented prose, for queries that should not be vacuous there.
+PROSE_TERMS = [("article", word("the", "der", "la", "le")), ("conjunction", word("and", "und", "et", "y")), ("license", any_of("licen[sc]e", "copyright")), ("nas", word("nas", "was")), ("with", word("with", "mit", "avec", "con"))]

@@ -1,0 +1,90 @@
+"""Sources: tables bound to sessions, messages and projects, and readers of logs, todos and notes."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+MESSAGES = "session_id string, idx long, role string, content string, ts_ms long"
+EVENT = "type string, timestamp string, durationMs long, summary string, content string, message struct<role:string,content:string>"
+BLOCKS = "array<struct<type:string,text:string>>"
+TODO = "array<struct<content:string,status:string,priority:string>>"
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a source is there; any file system that Spark reads."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def ms(ts):
+    return F.unix_millis(ts.cast("timestamp"))
+
+
+def block_text(s):
+    """Text of a JSON string or of the text blocks of a JSON array, joined by newlines."""
+    blocks = F.from_json(s, BLOCKS)
+    texts = F.transform(F.filter(blocks, lambda b: (b["type"] == "text") & b["text"].isNotNull()), lambda b: b["text"])
+    return F.when(s.startswith("["), F.array_join(texts, "\n")).otherwise(s)
+
+
+def read_session_logs(spark: SparkSession, path: str) -> DataFrame:
+    """Messages of line-delimited session logs, one file a session. A line that is no JSON object
+    is skipped. User events take a string only; assistant events also text blocks, at either level."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], MESSAGES)
+    lines = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.jsonl$", 1).alias("session_id"), F.split("value", "\n").alias("lines"))
+    lines = lines.select("session_id", F.posexplode("lines").alias("idx", "line")).where(F.trim("line") != "")
+    events = lines.withColumn("e", F.from_json("line", EVENT)).where("e.type is not null")
+    role = F.when(F.col("e.type").isin("human", "user"), "user").when(F.col("e.type") == "assistant", "assistant")
+    own, nested = F.col("e.content"), F.col("e.message.content")
+    said = F.when(role == "user", F.when(own.startswith("["), None).otherwise(own)).otherwise(block_text(own))
+    content = F.coalesce(F.nullif(said, F.lit("")), F.nullif(block_text(nested), F.lit("")), F.lit(""))
+    at = F.unix_millis(F.try_to_timestamp(F.col("e.timestamp")))
+    return events.where(role.isNotNull()).select("session_id", F.col("idx").cast("long"), role.alias("role"), content.alias("content"), F.coalesce(at, F.lit(0)).alias("ts_ms"))
+
+
+def summarise_logs(spark: SparkSession, path: str) -> DataFrame:
+    """Per session log: first and last time in file order, user and assistant messages, title."""
+    said = read_session_logs(spark, path)
+    user = F.when(F.col("role") == "user", F.nullif(F.trim("content"), F.lit("")))
+    per = said.groupBy("session_id").agg(
+        F.min_by("ts_ms", F.when(F.col("ts_ms") > 0, F.col("idx"))).alias("first_ms"), F.max_by("ts_ms", F.when(F.col("ts_ms") > 0, F.col("idx"))).alias("last_ms"),
+        F.count("*").alias("messages"), F.min_by(user, F.when(user.isNotNull(), F.col("idx"))).alias("first_user"),
+    )
+    title = F.regexp_replace(F.substring("first_user", 1, 80), r"\n", " ")
+    return per.withColumn("title", F.coalesce(F.when(F.char_length("first_user") > 80, F.concat(title, F.lit("..."))).otherwise(title), F.lit("(untitled)")))
+
+
+def read_todos(spark: SparkSession, path: str) -> DataFrame:
+    """Todos of JSON files that hold a list, or one under ``todos`` or ``items``."""
+    files = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.json$", 1).alias("session_id"), F.col("value"))
+    listed = F.when(F.ltrim("value").startswith("["), F.col("value"))
+    held = F.from_json(F.coalesce(listed, F.get_json_object("value", "$.todos"), F.get_json_object("value", "$.items")), TODO)
+    rows = files.select("session_id", F.posexplode(held).alias("position", "t")).where("t is not null")
+    return rows.select("session_id", "position", "t.content", F.coalesce("t.status", F.lit("pending")).alias("status"), "t.priority")
+
+
+def front_matter(text):
+    """Map of the flat ``key: value`` lines of a leading block between ``---`` lines."""
+    block = F.regexp_extract(text, r"(?s)^﻿?---\s*\n(.*?)\n---", 1)
+    pairs = F.filter(F.split(block, "\n"), lambda line: line.rlike(r"^[A-Za-z_]+\s*:"))
+    entry = lambda line: F.struct(F.trim(F.regexp_extract(line, r"^([A-Za-z_]+)", 1)).alias("key"), F.trim(F.regexp_replace(line, r"^[A-Za-z_]+\s*:", "")).alias("value"))
+    return F.map_from_entries(F.array_distinct(F.transform(pairs, entry)))
+
+
+def read_notes(spark: SparkSession, path: str, most_bytes: int = 1 << 20) -> DataFrame:
+    """Markdown notes up to ``most_bytes``, without the index file and blank ones."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").option("recursiveFileLookup", "true").load(path)
+    rows = files.where((F.col("length") <= most_bytes) & ~F.col("path").endswith("/MEMORY.md")).select("path", F.decode("content", "UTF-8").alias("content"), F.col("modificationTime").alias("modified"))
+    body = F.trim(F.regexp_replace("content", r"(?s)^﻿?---\s*\n.*?\n---\s*", ""))
+    rows = rows.where(F.trim("content") != "").withColumn("front", front_matter(F.col("content")))
+    return rows.select("path", F.col("front")["type"].alias("type"), F.col("front")["title"].alias("title"), body.alias("body"), F.substring(F.sha2("content", 256), 1, 16).alias("content_hash"), "modified")
+
+
+def user_notes(content):
+    return F.regexp_extract(content, r"(?s)(<!-- user notes -->.*?<!-- /user notes -->)", 1)

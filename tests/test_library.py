@@ -1,0 +1,95 @@
+"""Expressions, readers, merge and streaming on literal tables; catalog queries against SQL."""
+
+import json
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+from quarry import catalog
+from quarry.functions import text
+from quarry.operators import sessions, signals, views
+from quarry.sources import readers
+from quarry.streaming import stream
+
+SF = "/root/testdata/sf0.001"
+
+
+def one(spark, column, value):
+    return spark.createDataFrame([(value,)], "s string").select(column(F.col("s"))).first()[0]
+
+
+@pytest.mark.parametrize(("value", "n", "expected"), [("short", 20, "short"), ("One sentence here. And more", 20, "One sentence here."), ("no marks but spaces in this one", 20, "no marks but spaces"), ("x" * 30, 10, "x" * 9 + "…")])
+def test_clamp(spark, value, n, expected):
+    assert one(spark, lambda s: text.clamp(s, n), value) == expected
+
+
+def test_ascii_boundary(spark):
+    assert one(spark, lambda s: s.rlike(text.word("fix")), "请fix这个") is True
+    assert one(spark, lambda s: s.rlike(text.word("fix")), "prefix") is False
+
+
+def test_neighbours_agree_and_exclude_the_edge(spark):
+    day = sessions.DAY_MS
+    rows = spark.createDataFrame([(1, 1, 0), (1, 2, day - 1), (1, 3, 2 * day - 1), (2, 4, 0)], "project int, session int, ts_ms long")
+    got = {r["session"]: r["near"] for r in sessions.neighbours(rows).collect()}
+    assert got == {1: 1, 2: 1, 3: 0, 4: 0} or got == {1: 1, 2: 1, 3: 0, 4: 0}
+    assert {r["session"]: r["near"] for r in sessions.neighbours_by_join(rows).collect()} == got
+
+
+def test_upper_median(spark):
+    rows = spark.createDataFrame([("a", 1), ("a", 2), ("a", 3), ("a", 4), ("b", 5)], "k string, v int")
+    assert {r["k"]: r["median"] for r in sessions.upper_median_by(rows, "k", "v").collect()} == {"a": 3, "b": 5}
+
+
+def test_session_logs(spark, tmp_path):
+    lines = [{"type": "user", "content": "hello", "timestamp": "2024-01-01T00:00:00Z"}, {"type": "assistant", "message": {"role": "assistant", "content": [{"type": "text", "text": "a"}, {"type": "text", "text": "b"}]}}, {"type": "user", "content": [{"type": "text", "text": "ignored"}]}]
+    (tmp_path / "s1.jsonl").write_text("\n".join([json.dumps(lines[0]), "", "{broken", *map(json.dumps, lines[1:])]))
+    got = readers.read_session_logs(spark, str(tmp_path)).orderBy("idx").collect()
+    assert [(r["role"], r["content"]) for r in got] == [("user", "hello"), ("assistant", "a\nb"), ("user", "")]
+    assert readers.read_session_logs(spark, str(tmp_path / "none")).count() == 0
+    assert readers.summarise_logs(spark, str(tmp_path)).first()["title"] == "hello"
+
+
+def test_notes_and_todos(spark, tmp_path):
+    (tmp_path / "a.md").write_text("---\ntype: user\ntitle: Hi\n---\nbody here")
+    (tmp_path / "MEMORY.md").write_text("index")
+    note = readers.read_notes(spark, str(tmp_path)).collect()
+    assert [(n["type"], n["title"], n["body"]) for n in note] == [("user", "Hi", "body here")]
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t/x.json").write_text('{"todos": [{"content": "do", "status": "in_progress"}, {"content": "later"}]}')
+    assert [r["status"] for r in readers.read_todos(spark, str(tmp_path / "t")).orderBy("position").collect()] == ["in_progress", "pending"]
+
+
+def test_merge_is_idempotent_and_order_free(spark):
+    rows = catalog.judged(spark, SF, "work_style").withColumns({"key": text.canonical_key((F.col("topic"), None), (F.col("claim"), 20)), "fingerprint": F.sha2("claim", 256), "evidence_id": F.col("id")})
+    first = signals.merge(rows)
+    plain = lambda df: sorted(map(str, df.collect()))
+    assert plain(first) == plain(signals.merge(rows.repartition(7)))
+    again = signals.merge(rows, first.withColumn("trust", F.col("trust").cast("int")))
+    assert plain(first.drop("support")) == plain(again.drop("support"))
+
+
+def test_budgets(spark):
+    rows = spark.createDataFrame([(1, "aaaa"), (2, "bbbbbbbb"), (3, "cc"), (4, "aa")], "place int, line string")
+    assert [r["place"] for r in views.char_budget(rows, "line", 9).collect()] == [1]
+    assert sorted(r["place"] for r in views.skip_budget(rows, "line", 9).collect()) == [1, 3]
+    assert sorted(r["place"] for r in views.greedy_distinct(rows, "line").collect()) == [1, 2, 3]
+
+
+def test_stream_upsert_equals_batch(spark, tmp_path):
+    rows = spark.createDataFrame([(k % 5, k, f"v{k}") for k in range(40)], "k int, at int, v string")
+    rows.repartition(4).write.parquet(str(tmp_path / "in"))
+    got = stream.upsert_available(spark, str(tmp_path / "in"), "k", ["at"])
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, signals.latest(rows, "k", [F.desc("at")]).collect()))
+
+
+@pytest.mark.parametrize("name", ["hour_histogram", "noise_rules", "neighbor_sessions_24h", "gate_decision", "merge_signals", "clamp_text_120", "view_decisions_items", "tech_preference_rollup"])
+def test_against_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "benchmark", "labels", "conversations", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    want = con.execute(catalog.SQL[name]).df()
+    got = catalog.QUERIES[name](spark, SF).toPandas()[list(want.columns)]
+    as_rows = lambda df: sorted(tuple(str(round(v, 6)) if isinstance(v, float) else str(v) for v in row) for row in df.itertuples(index=False))
+    assert as_rows(got) == as_rows(want)
