@@ -122,7 +122,7 @@ def matches(n: np.ndarray, percent: int, expected: np.ndarray) -> tuple[np.ndarr
     ``expected``: mean sketch class of the shortest prefix above the sketch's own noise."""
     least = -(-percent * n // 100)
     short = n - least + 1
-    m = 2 + np.ceil(short * np.minimum(0.15 + 0.05 * expected, 0.5)).astype(np.int64)
+    m = 2 + np.ceil(short * np.minimum(0.6 + 0.05 * expected, 1.0)).astype(np.int64)
     m = np.clip(m, 1, np.maximum(least, 1))
     return m, n - least + m
 
