@@ -10,7 +10,8 @@ Documents link when 100 * intersection >= percent * union; the result is the con
    expects more candidates for each shingle, and correspondingly more shared shingles needed.
 3. Sets that share fewer prefix shingles with all others together than any partner could need
    are out; that is repeated once without them. What is left meets at its shared prefix shingles:
-   all sets of a shingle form a family with the smallest set there.
+   all sets of a shingle form a family with the smallest set there. A set gives up families that
+   it meets at few shingles, fewer in all than half of what a link needs.
 4. A family's whole sets are compared exactly, in blocks of ``BLOCK`` sets. A family of several
    blocks first compares each block with itself and with the family's smallest set; only sets
    outside the family's largest component so found are then compared with all other blocks. So a
@@ -254,6 +255,17 @@ def _edges(rows: DataFrame, percent: int, groups: int) -> DataFrame:
     return rows.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(_compare(percent), "a long, b long").distinct()
 
 
+def _memberships(held: DataFrame) -> DataFrame:
+    """(family, set_id, n). A set leaves the families that it meets at the fewest shingles, as long
+    as it gives up at most (m - 1) / 2 of them: two linked sets share m, so that at least one
+    shingle's family keeps both."""
+    own = Window.partitionBy("set_id")
+    rows = held.groupBy("family", "set_id").agg(F.first("n").alias("n"), F.count("*").alias("hits"), F.min(F.least("m", "least_m")).alias("least"))
+    given_up = F.sum("hits").over(own.orderBy("hits", "family"))
+    rows = rows.withColumns({"given_up": given_up, "m": F.min("least").over(own)}).where("given_up > floor((m - 1) / 2)")
+    return rows.withColumn("members", F.count("*").over(Window.partitionBy("family"))).where("members > 1").select("family", "set_id", "n")
+
+
 def join_components(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id (the smallest doc_id
     that links reach). See the module for the method and the defined cases."""
@@ -276,7 +288,7 @@ def join_components(docs: DataFrame, width: int = 3, percent: int = 90) -> DataF
         enough = held.groupBy("set_id").agg(F.count("*").alias("hits"), F.min(F.least("m", "least_m")).alias("needs")).where("hits >= needs")
         left = held.join(materialize(enough.select("set_id")), "set_id", "left_semi").select("token", "set_id", "n", "m")
         held = materialize(met(left))
-    members = materialize(held.groupBy("family", "set_id").agg(F.first("n").alias("n")))
+    members = materialize(_memberships(held))
 
     wanted = members.select("set_id").distinct()
     of_set = known.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
