@@ -26,6 +26,8 @@ from quarry.llm import tokens
 
 RESULT = "doc_id long, severity double, p_toxic double, grade int, toxic boolean"
 GRADES = 3
+#: Standard deviations by which a word's document share must differ between the classes to be a feature.
+SURE = 4.0
 
 
 def _separators() -> np.ndarray:
@@ -103,7 +105,10 @@ def fit(bags, share: float, features: int = 1024, rounds: int = 400) -> Grader |
     in_toxic = np.bincount(of, toxic[row], len(names))
     in_clean = np.bincount(of, 1 - toxic[row], len(names))
     odds = np.log((in_toxic + 0.5) / (toxic.sum() + 1)) - np.log((in_clean + 0.5) / ((1 - toxic).sum() + 1))
-    weight = np.abs(odds) * np.maximum(in_toxic, in_clean) * ((in_toxic + in_clean) >= 3)
+    a, b = toxic.sum(), (1 - toxic).sum()
+    both = (in_toxic + in_clean) / len(bags)
+    deviation = np.abs(in_toxic / a - in_clean / b) / np.sqrt(np.maximum(both * (1 - both), 1e-9) * (1 / a + 1 / b))
+    weight = np.where((in_toxic + in_clean >= 3) & (deviation >= SURE), deviation, 0)
     chosen = np.sort(np.argsort(-weight, kind="stable")[:features])
     chosen = chosen[weight[chosen] > 0]
     if not len(chosen):
