@@ -89,7 +89,7 @@ def first_message_uniqueness(spark, sf_dir):
 
 SIGNALS = f"""{GAPS}, h AS (SELECT project, hour, count(session) AS n FROM (SELECT DISTINCT project FROM ev) p CROSS JOIN range(24) t(hour) LEFT JOIN ev USING (project) WHERE ts_ms IS NULL OR true GROUP BY ALL),
 hh AS (SELECT p.project, t.hour, (SELECT count(*) FROM ev WHERE ev.project = p.project AND (ts_ms // 3600000) % 24 = t.hour) AS n FROM (SELECT DISTINCT project FROM ev) p CROSS JOIN range(24) t(hour)),
-v AS (SELECT project, var_pop(n) / (avg(n) * avg(n)) AS hour_variance FROM hh GROUP BY project),
+v AS (SELECT project, (24 * sum(n * n) - sum(n) * sum(n))::DOUBLE / (sum(n) * sum(n))::DOUBLE AS hour_variance FROM hh GROUP BY project),
 m AS (SELECT project, {MEDIAN.format('gap_ms')} AS median_ms FROM g WHERE gap_ms > 0 GROUP BY project),
 s AS (SELECT project, count(*) AS sessions, count(DISTINCT title) / count(*) AS title_ratio, count(*) * 100.0 / sum(count(*)) OVER () AS share FROM ev GROUP BY project),
 sig AS (SELECT project, sessions, hour_variance, title_ratio, coalesce(median_ms, 0) AS median_ms, share FROM s JOIN v USING (project) LEFT JOIN m USING (project)),
@@ -97,10 +97,10 @@ marked AS (SELECT *, (hour_variance < 0.5 AND sessions > 60)::INT AS flat_hours,
 r AS (SELECT *, flat_hours + same_titles + short_gaps + most_sessions AS broken FROM marked)""".replace("h AS (SELECT project, hour, count(session) AS n FROM (SELECT DISTINCT project FROM ev) p CROSS JOIN range(24) t(hour) LEFT JOIN ev USING (project) WHERE ts_ms IS NULL OR true GROUP BY ALL),\n", "")
 
 
-@query(f"{SIGNALS} SELECT project, sessions, round(hour_variance, 6) AS hour_variance, round(title_ratio, 6) AS title_ratio, median_ms, round(share, 6) AS share FROM sig")
+@query(f"{SIGNALS} SELECT project, sessions, hour_variance, round(title_ratio, 6) AS title_ratio, median_ms, round(share, 6) AS share FROM sig")
 def noise_signals(spark, sf_dir):
     rows = sessions.noise_signals(events(spark, sf_dir))
-    return rows.withColumns({c: d6(F.col(c)) for c in ("hour_variance", "title_ratio", "share")})
+    return rows.withColumns({c: d6(F.col(c)) for c in ("title_ratio", "share")})
 
 
 @query(f"{SIGNALS} SELECT project, flat_hours, same_titles, short_gaps, most_sessions, broken, (broken >= 2)::INT AS is_noise FROM r")

@@ -42,12 +42,13 @@ def noise_signals(sessions: DataFrame) -> DataFrame:
     median of positive gaps, and share of all sessions in percent."""
     hours = [F.count_if(F.pmod(F.floor(F.col("ts_ms") / 3_600_000), F.lit(24)) == h) for h in range(24)]
     per = sessions.groupBy("project").agg(F.count("*").alias("sessions"), F.count_distinct("title").alias("titles"), F.array(*hours).alias("hours"))
-    mean = F.col("sessions") / 24
-    spread = F.aggregate("hours", F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / 24
+    # Variance over squared mean of 24 counts, in whole numbers up to one division.
+    squares = F.aggregate("hours", F.lit(0).cast("long"), lambda a, x: a + x * x)
+    all_squared = F.col("sessions") * F.col("sessions")
     positive = upper_median_by(gaps(sessions).where("gap_ms > 0"), "project", "gap_ms")
     total = F.sum("sessions").over(Window.partitionBy())
     per = per.join(positive, "project", "left")
-    return per.select("project", "sessions", (spread / (mean * mean)).alias("hour_variance"), (F.col("titles") / F.col("sessions")).alias("title_ratio"), F.coalesce("median", F.lit(0)).alias("median_ms"), (F.col("sessions") * 100.0 / total).alias("share"))
+    return per.select("project", "sessions", ((24 * squares - all_squared) / all_squared).alias("hour_variance"), (F.col("titles") / F.col("sessions")).alias("title_ratio"), F.coalesce("median", F.lit(0)).alias("median_ms"), (F.col("sessions") * 100.0 / total).alias("share"))
 
 
 def noise_rules(signals: DataFrame, least_sessions: int = 100, variance: float = 0.5, titles: float = 0.3, median_ms: int = 60_000, share: float = 70.0, needed: int = 2) -> DataFrame:
