@@ -12,10 +12,16 @@ Documents link when 100 * intersection >= percent * union; the result is the con
    are out; that is repeated once without them. What is left meets at its shared prefix shingles:
    all sets of a shingle form a family with the smallest set there. A set gives up families that
    it meets at few shingles, fewer in all than half of what a link needs.
-4. A family's whole sets are compared exactly, in blocks of ``BLOCK`` sets. A family of several
-   blocks first compares each block with itself and with the family's smallest set; only sets
-   outside the family's largest component so found are then compared with all other blocks. So a
-   large group of near copies costs about its size, and no link between components is missed.
+4. A family's sets are compared by parity bitmaps of one to two bits a shingle: bit k says whether
+   an odd number of shingles hash to k, so that two bitmaps differ in at most as many bits as the
+   sets in shingles. Pairs that differ in more bits than a link allows are out; nothing else is.
+   The connected components of what is left hold every link within one component.
+5. A component's whole sets, each sent once, are compared exactly.
+
+Steps 4 and 5 work in blocks of ``BLOCK`` sets. A group of several blocks first compares each block
+with itself and with the group's smallest set; only sets outside the group's largest component so
+found are then compared with all other blocks. So a large group of near copies costs about its
+size, and no link between components is missed.
 
 Skew: copies collapse in each task before they are sent; a family is split into blocks; hot keys
 meet only one-row-a-key tables. Nothing but the sketch (a byte for each counter) is collected.
@@ -42,6 +48,8 @@ SKETCH = 22
 SKETCH_BLOCK = 1 << 13
 BLOCK = 128
 BLOCK_TOKENS = 1 << 19
+#: The shortest bitmap: small sets differ in few shingles, of which few may fall together by chance.
+LEAST_PLACES = 256
 #: Up to so many representatives are broadcast (8 bytes each) when their texts are looked up.
 BROADCAST_IDS = 1_000_000
 
@@ -75,6 +83,21 @@ class Shingler:
             yield row, rows, h[new], of[new]
 
 
+def bitmap(h: np.ndarray) -> bytes:
+    """Parity of the number of hashes at each place of a power of two of places, at least their number."""
+    places = max(LEAST_PLACES, 1 << (len(h) - 1).bit_length())
+    counts = np.bincount((h & np.uint64(places - 1)).astype(np.int64), minlength=places)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def fold(bits: int, places: int, to: int) -> int:
+    """The parity bitmap that the same set has with fewer places."""
+    while places > to:
+        places >>= 1
+        bits = (bits >> places) ^ (bits & ((1 << places) - 1))
+    return bits
+
+
 def slots(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - SKETCH)).astype(np.int64)
 
@@ -90,22 +113,33 @@ def set_ids(h: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray, np.n
 
 
 def _survey(width: int):
-    """Rows (doc_id, set_id, n) of documents, then (block, counts) of the task's sketch."""
+    """Rows (doc_id, key, set_id, n, bits) of documents, bits once a set and task, then (block,
+    counts) of the task's sketch."""
 
     def run(batches):
         shingler, counts = Shingler(width), np.zeros(1 << SKETCH, np.uint32)
-        names = ["doc_id", "set_id", "n", "block", "counts"]
+        names = ["doc_id", "key", "set_id", "n", "bits", "block", "counts"]
+        seen: set[int] = set()
         for batch in batches:
-            ids, sizes = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-            for _, rows, h, of in shingler.sets(batch.column(1)):
+            ids, sizes, bits = [np.empty(0, np.int64)], [np.empty(0, np.int64)], []
+            for _, rows, h, of in shingler.sets(batch.column(2)):
                 np.add.at(counts, slots(h), np.uint32(1))
                 i, n = set_ids(h, of, rows)
                 ids.append(i), sizes.append(n)
+                cuts = np.r_[0, np.cumsum(n)].tolist()
+                for k, set_id in enumerate(i.tolist()):
+                    if set_id in seen or cuts[k] == cuts[k + 1]:
+                        bits.append(None)
+                        continue
+                    seen.add(set_id)
+                    bits.append(bitmap(h[cuts[k] : cuts[k + 1]]))
+                if len(seen) > 2_000_000:
+                    seen.clear()
             none = batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(ids)), pa.array(np.concatenate(sizes)), pa.nulls(none, pa.int32()), pa.nulls(none, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate(ids)), pa.array(np.concatenate(sizes)), pa.array(bits, pa.binary()), pa.nulls(none, pa.int32()), pa.nulls(none, pa.binary())], names)
         blocks = [(k, zstandard.compress(c.tobytes(), 1)) for k, c in enumerate(counts.reshape(-1, SKETCH_BLOCK)) if c.any()]
         none = len(blocks)
-        yield pa.RecordBatch.from_arrays([*(pa.nulls(none, pa.int64()) for _ in range(3)), pa.array([b[0] for b in blocks], pa.int32()), pa.array([b[1] for b in blocks], pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(none, pa.int64()) for _ in range(4)), pa.nulls(none, pa.binary()), pa.array([b[0] for b in blocks], pa.int32()), pa.array([b[1] for b in blocks], pa.binary())], names)
 
     return run
 
@@ -169,7 +203,7 @@ def _whole_sets(width: int):
                 ids.append(i)
                 sets += [h[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
             same = np.concatenate(ids) == batch.column(0).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["set_id", "shingles"]).filter(pa.array(same))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["set_id", "data"]).filter(pa.array(same))
 
     return run
 
@@ -197,18 +231,71 @@ def overlaps(sets: list[np.ndarray], left: int) -> np.ndarray:
     return both.astype(np.int64)
 
 
+def _blocks(table: pa.Table, last: str):
+    """Rows of each block, (order, cuts), a block's rows sorted by the column ``last``."""
+    keys = np.stack([table.column(c).to_numpy() for c in ("family", "left", "right")])
+    order = np.lexsort((table.column("set_id").to_numpy(), table.column(last).to_numpy(zero_copy_only=False), *keys))
+    keys = keys[:, order]
+    cuts = np.flatnonzero(np.r_[True, (keys[:, 1:] != keys[:, :-1]).any(0), True]) if len(order) else np.zeros(1, np.int64)
+    return order, cuts.tolist()
+
+
+def _edge_table(edges: list[tuple[int, int]]) -> pa.Table:
+    return pa.table({"a": pa.array([e[0] for e in edges], pa.int64()), "b": pa.array([e[1] for e in edges], pa.int64())})
+
+
+def _close(percent: int):
+    """Edges that connect the sets of each block whose bitmaps differ in no more bits than linked
+    sets may differ in shingles. A block is (family, left, right); rows with ``asks`` are compared
+    with all rows of the block that are of another component."""
+
+    def run(table: pa.Table) -> pa.Table:
+        order, cuts = _blocks(table, "n")
+        ids, sizes, asks, roots = (table.column(c).to_numpy(zero_copy_only=False)[order].tolist() for c in ("set_id", "n", "asks", "root"))
+        raw, order = table.column("data").combine_chunks(), order.tolist()
+        known: dict[int, tuple[int, int]] = {}
+
+        def bits(k: int) -> tuple[int, int]:
+            if ids[k] not in known:
+                data = raw[order[k]].as_py()
+                known[ids[k]] = int.from_bytes(data, "little"), 8 * len(data)
+            return known[ids[k]]
+
+        edges: list[tuple[int, int]] = []
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            above = list(range(a, b))
+
+            def top(k: int) -> int:
+                while above[k - a] != k:
+                    above[k - a] = k = above[above[k - a] - a]
+                return k
+
+            for i in range(a, b):
+                most = 100 * sizes[i] // percent
+                for j in range(i + 1, b):
+                    if sizes[j] > most:
+                        break
+                    if not (asks[i] or asks[j]) or roots[i] == roots[j] or top(i) == top(j):
+                        continue
+                    (x, places), (y, others) = bits(i), bits(j)
+                    to, both = min(places, others), sizes[i] + sizes[j]
+                    if (fold(x, places, to) ^ fold(y, others, to)).bit_count() <= both - 2 * -(-percent * both // (100 + percent)):
+                        above[top(j) - a] = top(i)
+                        edges.append((max(ids[i], ids[j]), min(ids[i], ids[j])))
+        return _edge_table([e for e in edges if e[0] != e[1]])
+
+    return run
+
+
 def _compare(percent: int):
     """Edges between linked sets of each block: one from every set to the smallest set that links
-    within the block reach. A block is (family, left, right); rows with ``asks`` are compared with
-    all rows of the block that are of another component."""
+    within the block reach. Blocks and ``asks`` are those of _close."""
 
     def run(table: pa.Table) -> pa.Table:
-        keys = np.stack([table.column(c).to_numpy() for c in ("family", "left", "right")])
-        order = np.lexsort((table.column("set_id").to_numpy(), ~table.column("asks").to_numpy(zero_copy_only=False), *keys))
-        keys = keys[:, order]
-        cuts = np.flatnonzero(np.r_[True, (keys[:, 1:] != keys[:, :-1]).any(0), True]) if len(order) else [0]
+        table = table.append_column("asked", pa.array(~table.column("asks").to_numpy(zero_copy_only=False)))
+        order, cuts = _blocks(table, "asked")
         ids, asks, roots = (table.column(c).to_numpy(zero_copy_only=False)[order] for c in ("set_id", "asks", "root"))
-        raw = table.column("shingles")
+        raw = table.column("data").combine_chunks()
         out: list[tuple[int, int]] = []
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             own, new = ids[a:b], {}
@@ -223,7 +310,7 @@ def _compare(percent: int):
             linked = (100 * both >= percent * (n[:left, None] + n[None, :] - both)) & (root[:left, None] != root[None, :])
             linked[np.arange(left), np.arange(left)] = False
             out += _forest(linked, own)
-        return pa.table({"a": pa.array([e[0] for e in out], pa.int64()), "b": pa.array([e[1] for e in out], pa.int64())})
+        return _edge_table(out)
 
     return run
 
@@ -249,10 +336,38 @@ def _forest(linked: np.ndarray, ids: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _edges(rows: DataFrame, percent: int, groups: int) -> DataFrame:
-    """``rows``: (family, left, right, set_id, asks, root, shingles), dealt to ``groups`` groups of whole blocks."""
+def _edges(rows: DataFrame, compare, groups: int) -> DataFrame:
+    """``rows``: (family, left, right, set_id, n, asks, root, data), dealt to ``groups`` groups of whole blocks."""
     bucket = F.pmod(F.xxhash64("family", "left", "right"), F.lit(groups)).cast("int")
-    return rows.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(_compare(percent), "a long, b long").distinct()
+    return rows.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(compare, "a long, b long").distinct()
+
+
+def _linked(members: DataFrame, payload: DataFrame, compare, groups: int) -> DataFrame:
+    """``members`` (family, set_id, n), a family named by its smallest set, and ``payload`` (set_id,
+    data) to (node, root): the components of the edges that ``compare`` finds within families."""
+    columns = ("family", "left", "right", "set_id", "n", "asks", "root")
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_TOKENS)).cast("int")
+    families = materialize(members.groupBy("family").agg(blocks.alias("blocks")))
+    sized = members.join(families, "family").withColumn("own", F.pmod(F.xxhash64("set_id", F.lit("block")), F.col("blocks")).cast("int"))
+    first = F.when(F.col("set_id") == F.col("family"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own"))
+    first = sized.withColumns({"left": F.explode(first), "right": F.lit(-1), "asks": F.lit(True), "root": F.col("set_id")}).select(*columns)
+    edges = materialize(_edges(first.join(payload, "set_id"), compare, groups))
+    roots = components(edges)
+    if families.where("blocks > 1").isEmpty():
+        return roots
+
+    large = sized.where("blocks > 1").join(roots.withColumnRenamed("node", "set_id"), "set_id", "left")
+    large = materialize(large.withColumn("root", F.coalesce("root", "set_id")))
+    per_root = large.groupBy("family", "root").agg(F.count("*").alias("members"), F.sum("n").alias("n"))
+    most = per_root.groupBy("family").agg(F.max_by("root", F.struct("members", "root")).alias("most"), F.sum("members").alias("all"), F.sum("n").alias("all_n"), F.max(F.struct("members", "root", "n")).alias("top"))
+    rest, rest_n = F.col("all") - F.col("top.members"), F.col("all_n") - F.col("top.n")
+    most = most.select("family", "most", F.greatest(F.ceil(rest / BLOCK), F.ceil(rest_n / BLOCK_TOKENS)).cast("int").alias("askers")).where("askers > 0")
+    second = large.join(materialize(most), "family")
+    asking = second.where("root <> most").withColumn("left", F.pmod(F.xxhash64("set_id", F.lit("ask")), F.col("askers")).cast("int"))
+    asking = asking.withColumn("right", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("asks", F.lit(True))
+    asked = second.withColumn("left", F.explode(F.sequence(F.lit(0), F.col("askers") - 1))).withColumn("right", F.col("own")).withColumn("asks", F.lit(False))
+    more = materialize(_edges(asking.select(*columns).unionByName(asked.select(*columns)).join(payload, "set_id"), compare, groups))
+    return roots if more.isEmpty() else components(edges.unionByName(more))
 
 
 def _memberships(held: DataFrame) -> DataFrame:
@@ -271,8 +386,9 @@ def join_components(docs: DataFrame, width: int = 3, percent: int = 90) -> DataF
     that links reach). See the module for the method and the defined cases."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    survey = materialize(texts.mapInArrow(_survey(width), "doc_id long, set_id long, n long, block int, counts binary"))
-    known = survey.where("block is null").select("doc_id", "set_id", "n")
+    texts = texts.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text")  # one key for equal rows only, ids null or not
+    survey = materialize(texts.mapInArrow(_survey(width), "doc_id long, key long, set_id long, n long, bits binary, block int, counts binary"))
+    known = survey.where("block is null").select("doc_id", "key", "set_id", "n")
     classes = np.zeros(1 << SKETCH, np.uint8)
     for r in survey.where("block is not null").select("block", "counts").groupBy("block").applyInArrow(_add_up, "block int, classes binary").toLocalIterator():
         classes[r["block"] * SKETCH_BLOCK : (r["block"] + 1) * SKETCH_BLOCK] = np.frombuffer(r["classes"], np.uint8)
@@ -291,35 +407,17 @@ def join_components(docs: DataFrame, width: int = 3, percent: int = 90) -> DataF
     members = materialize(_memberships(held))
 
     wanted = members.select("set_id").distinct()
-    of_set = known.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
-    chosen = materialize(of_set.join(wanted, "set_id", "left_semi"))
-    near = F.broadcast(chosen) if chosen.count() <= BROADCAST_IDS else chosen
-    sets = texts.join(near, "doc_id").select("set_id", "text").mapInArrow(_whole_sets(width), "set_id long, shingles binary")
+    bits = survey.where("bits is not null").select("set_id", F.col("bits").alias("data"))
+    bits = materialize(bits.join(wanted, "set_id", "left_semi").dropDuplicates(["set_id"]))
+    close = _linked(members, bits, _close(percent), groups)
+
+    of_set = known.where("n > 0").groupBy("set_id").agg(F.min("key").alias("key"), F.first("n").alias("n"))
+    chosen = materialize(of_set.join(close.select(F.col("node").alias("set_id"), F.col("root").alias("family")), "set_id"))
+    near = chosen.select("set_id", "key")
+    near = F.broadcast(near) if chosen.count() <= BROADCAST_IDS else near
+    sets = texts.join(near, "key").select("set_id", "text").mapInArrow(_whole_sets(width), "set_id long, data binary")
     sets = materialize(sets.dropDuplicates(["set_id"]))
-
-    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_TOKENS)).cast("int")
-    families = materialize(members.groupBy("family").agg(blocks.alias("blocks")))
-    sized = members.join(families, "family").withColumn("own", F.pmod(F.xxhash64("set_id", F.lit("block")), F.col("blocks")).cast("int"))
-    first = F.when(F.col("set_id") == F.col("family"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own"))
-    first = sized.withColumn("left", F.explode(first)).select("family", "left", F.lit(-1).alias("right"), "set_id", F.lit(True).alias("asks"), F.col("set_id").alias("root"))
-    edges = materialize(_edges(first.join(sets, "set_id"), percent, groups))
-    roots = components(edges)
-
-    large = sized.where("blocks > 1").join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
-    if not families.where("blocks > 1").isEmpty():
-        large = materialize(large)
-        per_root = large.groupBy("family", "root").agg(F.count("*").alias("members"), F.sum("n").alias("n"))
-        most = per_root.groupBy("family").agg(F.max_by("root", F.struct("members", "root")).alias("most"), F.sum("members").alias("all"), F.sum("n").alias("all_n"), F.max(F.struct("members", "root", "n")).alias("top"))
-        rest, rest_n = F.col("all") - F.col("top.members"), F.col("all_n") - F.col("top.n")
-        most = most.select("family", "most", F.greatest(F.ceil(rest / BLOCK), F.ceil(rest_n / BLOCK_TOKENS)).cast("int").alias("askers")).where("askers > 0")
-        second = large.join(materialize(most), "family")
-        asking = second.where("root <> most").withColumn("left", F.pmod(F.xxhash64("set_id", F.lit("ask")), F.col("askers")).cast("int"))
-        asking = asking.withColumn("right", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("asks", F.lit(True))
-        asked = second.withColumn("left", F.explode(F.sequence(F.lit(0), F.col("askers") - 1))).withColumn("right", F.col("own")).withColumn("asks", F.lit(False))
-        columns = ("family", "left", "right", "set_id", "asks", "root")
-        more = materialize(_edges(asking.select(*columns).unionByName(asked.select(*columns)).join(sets, "set_id"), percent, groups))
-        if not more.isEmpty():
-            roots = components(edges.unionByName(more))
+    roots = _linked(chosen.select("family", "set_id", "n"), sets, _compare(percent), groups)
 
     rooted = known.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("root", "set_id")).alias("root"))
     least = materialize(rooted.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id")))

@@ -65,6 +65,24 @@ def test_ngram_join(spark):
         assert got == {k: (len(s), root[k]) for k, s in enumerate(sets)}
 
 
+def test_ngram_join_without_ids(spark):
+    base = prose(120, 3).split()
+    texts = [" ".join(base), " ".join([*base, "new"]), prose(90, 5), None]
+    docs = spark.createDataFrame([(None, t) for t in texts] + [(7, " ".join(["old", *base]))], "doc_id long, text string")
+    got = sorted((r["n_shingles"], r["component_id"] or 0) for r in ngram_join.join_components(docs).collect())
+    assert got == [(0, 0), (88, 0), (118, 7), (119, 7), (119, 7)]
+
+
+def test_bitmaps_bound_the_difference():
+    draw = np.random.default_rng(2)
+    for sizes in ((300, 40, 10), (250, 200, 300), (5, 1, 0)):
+        both, one, two = (draw.integers(0, 1 << 63, k).astype(np.uint64) for k in sizes)
+        a, b = np.r_[both, one], np.r_[both, two]
+        (x, m), (y, n) = ((int.from_bytes(ngram_join.bitmap(s), "little"), 8 * len(ngram_join.bitmap(s))) for s in (a, b))
+        to = min(m, n)
+        assert (ngram_join.fold(x, m, to) ^ ngram_join.fold(y, n, to)).bit_count() <= len(one) + len(two)
+
+
 def test_overlaps_and_forest():
     draw = np.random.default_rng(1)
     sets = [np.unique(draw.integers(0, 40, 20).astype(np.uint64)) for _ in range(12)]
