@@ -371,14 +371,14 @@ def _linked(members: DataFrame, payload: DataFrame, compare, groups: int) -> Dat
 
 
 def _memberships(held: DataFrame) -> DataFrame:
-    """(family, set_id, n). A set leaves the families that it meets at the fewest shingles, as long
+    """(family, set_id, n), families of one set included. A set leaves the families that it meets at the fewest shingles, as long
     as it gives up at most (m - 1) / 2 of them: two linked sets share m, so that at least one
     shingle's family keeps both."""
     own = Window.partitionBy("set_id")
     rows = held.groupBy("family", "set_id").agg(F.first("n").alias("n"), F.count("*").alias("hits"), F.min(F.least("m", "least_m")).alias("least"))
     given_up = F.sum("hits").over(own.orderBy("hits", "family"))
-    rows = rows.withColumns({"given_up": given_up, "m": F.min("least").over(own)}).where("given_up > floor((m - 1) / 2)")
-    return rows.withColumn("members", F.count("*").over(Window.partitionBy("family"))).where("members > 1").select("family", "set_id", "n")
+    rows = rows.withColumns({"given_up": given_up, "m": F.min("least").over(own)})
+    return rows.where("given_up > floor((m - 1) / 2)").select("family", "set_id", "n")
 
 
 def join_components(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
@@ -405,6 +405,8 @@ def join_components(docs: DataFrame, width: int = 3, percent: int = 90) -> DataF
         left = held.join(materialize(enough.select("set_id")), "set_id", "left_semi").select("token", "set_id", "n", "m")
         held = materialize(met(left))
     members = materialize(_memberships(held))
+    several = members.groupBy("family").count().where("count > 1").select("family")
+    members = materialize(members.join(several, "family", "left_semi"))
 
     wanted = members.select("set_id").distinct()
     bits = survey.where("bits is not null").select("set_id", F.col("bits").alias("data"))
