@@ -7,7 +7,9 @@ merge into maximal removal intervals. Windows are judged on the input.
 
 Skew: a task sends a hash once, with its earliest place; later places in the same task are
 marked at once. So a window that stands in a third of all documents costs its bucket one entry
-a task. Two different windows are taken as equal only if 64-bit hashes of random words collide.
+a task. The bucket comes from a second hash on another base, so that two different windows are
+taken as equal only if 64 bits and the bucket collide: 64 bits and the logarithm of the buckets,
+whose number grows with the input (86 bits at 100 TB).
 
 Defined cases: null text is an empty text; fewer words than ``width`` lose nothing; rows that
 share a doc_id are one document, and a window at the same place of both is no repetition; a
@@ -77,19 +79,18 @@ def _first_of_equal(doc, at, h):
 
 def _windows(width: int, groups: int):
     def run(batches):
-        base, values, separators = tokens.Powers(), tokens.byte_values(False), tokens.white_space()
+        base, other, values, separators = tokens.Powers(), tokens.Powers(tokens.OTHER_BASE), tokens.byte_values(False), tokens.white_space()
         held: list = []
         size = 0
 
         def flush():
-            doc, at, h = (np.concatenate(x) for x in zip(*held, strict=True))
+            doc, at, h, key = (np.concatenate(x) for x in zip(*held, strict=True))
             first = _first_of_equal(doc, at, h)
             later, doc_at = ~first, (doc, at)
             if later.any():
                 d, a = (x[later] for x in doc_at)
                 yield from _deal(_home(d, groups), 1, d, a)
-            d, a, h = doc[first], at[first], h[first]
-            yield from _deal((h % np.uint64(groups)).astype(np.int64), 0, d, a, h)
+            yield from _deal(key[first], 0, doc[first], at[first], h[first])
 
         def out(rows):
             rows = list(rows)
@@ -100,11 +101,13 @@ def _windows(width: int, groups: int):
             data, starts = tokens.utf8(batch.column(1))
             for row, part, offsets in tokens.chunks(data, starts):
                 first, behind, doc = tokens.word_spans(part, offsets, separators)
-                at, h = tokens.window_hashes(tokens.span_hashes(values[part], first, behind, base), doc, width, base)
+                words = tokens.span_hashes(values[part], first, behind, base)
+                at, h = tokens.window_hashes(words, doc, width, base)
                 if len(h):
+                    key = tokens.window_hashes(words, doc, width, other)[1] % np.uint64(groups)
                     where = doc[at]
                     begin = np.searchsorted(doc, where)
-                    held.append((ids[row + where], at - begin, h))
+                    held.append((ids[row + where], at - begin, h, key.astype(np.int32)))
                     size += len(h)
                 if size >= FLUSH:
                     yield out(flush())

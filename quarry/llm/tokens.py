@@ -13,7 +13,8 @@ import pyarrow.compute as pc
 
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
-BASE_INVERSE = pow(BASE, -1, 1 << 64)
+#: For a second hash that is independent of the first.
+OTHER_BASE = 0xC6A4A7935BD1E995
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -43,12 +44,13 @@ def powers(base: int, n: int) -> np.ndarray:
 class Powers:
     """Powers of the base and of its inverse, as long as any chunk so far needed."""
 
-    def __init__(self) -> None:
+    def __init__(self, base: int = BASE) -> None:
+        self.base, self.inverse = base, pow(base, -1, 1 << 64)
         self.up = self.down = np.empty(0, U)
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            self.up, self.down = powers(BASE, n), powers(BASE_INVERSE, n)
+            self.up, self.down = powers(self.base, n), powers(self.inverse, n)
         return self.up[:n], self.down[:n]
 
 
