@@ -30,7 +30,7 @@ from quarry.llm import tokens
 from quarry.scratch import groups_for
 
 NULL_ID = -(1 << 63)
-FLUSH = 1 << 21
+FLUSH = 1 << 20
 PACKED = "key int, kind int, block binary"
 RESULT = "kept_text string, n_words long, n_removed long, removed array<struct<first:long,behind:long>>"
 
@@ -65,15 +65,22 @@ def _home(doc: np.ndarray, groups: int) -> np.ndarray:
 
 
 def _first_of_equal(doc, at, h):
-    """Which entries are the earliest of their hash; entries come in any order."""
+    """Which entries are the earliest of their hash; entries come in any order. Only those whose
+    hash another entry has, which are few, are sorted by place."""
+    order = np.argsort(h)
+    equal = h[order]
+    equal = equal[1:] == equal[:-1]
+    out = np.ones(len(h), bool)
+    out[order[1:][equal]] = False
+    out[order[:-1][equal]] = False
+    several = np.flatnonzero(~out)
+    doc, at, h = doc[several], at[several], h[several]
     order = np.lexsort((at, doc, h))
     h, doc, at = h[order], doc[order], at[order]
     fresh = np.ones(len(h), bool)
     fresh[1:] = h[1:] != h[:-1]
     top = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
-    same = (doc == doc[top]) & (at == at[top])
-    out = np.empty(len(h), bool)
-    out[order] = same
+    out[several[order]] = (doc == doc[top]) & (at == at[top])
     return out
 
 
@@ -85,6 +92,7 @@ def _windows(width: int, groups: int):
 
         def flush():
             doc, at, h, key = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
             first = _first_of_equal(doc, at, h)
             later, doc_at = ~first, (doc, at)
             if later.any():
@@ -111,7 +119,7 @@ def _windows(width: int, groups: int):
                     size += len(h)
                 if size >= FLUSH:
                     yield out(flush())
-                    held, size = [], 0
+                    size = 0
         if size:
             yield out(flush())
 
@@ -125,6 +133,7 @@ def _count(groups: int):
         places = [_unpack(b.as_py(), True) for k, b in zip(kinds, blocks, strict=True) if k == 0]
         if places:
             doc, at, h = (np.concatenate(x) for x in zip(*places, strict=True))
+            places.clear()
             later = ~_first_of_equal(doc, at, h)
             if later.any():
                 order = np.lexsort((at[later], doc[later]))
