@@ -20,7 +20,7 @@ from __future__ import annotations
 import base64
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
@@ -201,16 +201,17 @@ class _Shared:
         return getattr(held, key)
 
 
-def _by_size(texts: list[str], limit: int = 1 << 22):
-    """Runs of texts of about ``limit`` characters."""
-    first, size = 0, 0
-    for k, text in enumerate(texts):
-        size += len(text)
+def _by_size(column: pa.Array, limit: int = 1 << 20):
+    """Runs of a column's texts of about ``limit`` characters; null is empty."""
+    texts, size = [], 0
+    for value in column:
+        texts.append(value.as_py() or "")
+        size += len(texts[-1])
         if size >= limit:
-            yield texts[first : k + 1]
-            first, size = k + 1, 0
-    if first < len(texts):
-        yield texts[first:]
+            yield texts
+            texts, size = [], 0
+    if texts:
+        yield texts
 
 
 class Bpe:
@@ -220,17 +221,17 @@ class Bpe:
     def __init__(self, spark: SparkSession, path: str, pattern: str) -> None:
         shared = _Shared(spark.sparkContext.broadcast(read_ranks(path)))
 
-        @F.pandas_udf("binary")
-        def encode(column: pd.Series) -> pd.Series:
+        @F.arrow_udf("binary")
+        def encode(column: pa.Array) -> pa.Array:
             split, encoder, out = regex.compile(pattern).findall, shared.encoder(), []
-            for texts in _by_size([t or "" for t in column]):
+            for texts in _by_size(column):
                 out += encoder.encode([split(t) for t in texts])
-            return pd.Series(out, dtype=object)
+            return pa.array(out, pa.binary())
 
-        @F.pandas_udf("binary")
-        def decode(column: pd.Series) -> pd.Series:
+        @F.arrow_udf("binary")
+        def decode(column: pa.Array) -> pa.Array:
             encoder = shared.encoder()
-            return pd.Series([encoder.decode(ids or b"") for ids in column], dtype=object)
+            return pa.array([encoder.decode(ids.as_py() or b"") for ids in column], pa.binary())
 
         self._encode, self._decode = encode, decode
 
