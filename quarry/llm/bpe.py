@@ -25,6 +25,8 @@ import regex
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.llm import tokens
+
 NONE = 1 << 30
 REMEMBERED = 300_000
 
@@ -226,6 +228,7 @@ class Bpe:
             split, encoder, out = regex.compile(pattern).findall, shared.encoder(), []
             for texts in _by_size(column):
                 out += encoder.encode([split(t) for t in texts])
+            tokens.release()
             return pa.array(out, pa.binary())
 
         @F.arrow_udf("binary")

@@ -139,6 +139,8 @@ def _survey(width: int):
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate(ids)), pa.array(np.concatenate(sizes)), pa.array(bits, pa.binary()), pa.nulls(none, pa.int32()), pa.nulls(none, pa.binary())], names)
         blocks = [(k, zstandard.compress(c.tobytes(), 1)) for k, c in enumerate(counts.reshape(-1, SKETCH_BLOCK)) if c.any()]
         none = len(blocks)
+        del seen, counts
+        tokens.release()
         yield pa.RecordBatch.from_arrays([*(pa.nulls(none, pa.int64()) for _ in range(4)), pa.nulls(none, pa.binary()), pa.array([b[0] for b in blocks], pa.int32()), pa.array([b[1] for b in blocks], pa.binary())], names)
 
     return run
@@ -188,6 +190,7 @@ def _prefixes(width: int, percent: int, classes):
                 out.append((h[keep].view(np.int64), ids[o], n[o], m[o]))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["token", "set_id", "n", "m"])
+        tokens.release()
 
     return run
 

@@ -122,6 +122,7 @@ def _windows(width: int, groups: int):
                     size = 0
         if size:
             yield out(flush())
+        tokens.release()
 
     return run
 
@@ -142,6 +143,8 @@ def _count(groups: int):
         marked = [_unpack(b.as_py(), False) for k, b in zip(kinds, blocks, strict=True) if k == 1]
         if marked:  # their key is their documents' group
             rows.append((table.column("key")[0].as_py(), _pack(*(np.concatenate(x) for x in zip(*marked, strict=True)))))
+        del places, marked
+        tokens.release()
         return pa.table({"home": pa.array([r[0] for r in rows], pa.int32()), "block": pa.array([r[1] for r in rows], pa.binary())})
 
     return run
@@ -177,6 +180,7 @@ def _remove(width: int):
                 edges = [0, *itertools.chain.from_iterable(gone), len(words)]
                 words = [w for x, y in zip(edges[::2], edges[1::2], strict=True) for w in words[x:y]]
             kept.append(b" ".join(words))
+        tokens.release()
         own = {name: docs.column(name) for name in docs.column_names if name not in ("text", "home")}
         return pa.table(own | {
             "kept_text": pa.array(kept, pa.binary()).cast(pa.string()), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()),

@@ -7,6 +7,8 @@ byte values, read off prefix sums (Rabin-Karp), then mixed.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -111,6 +113,14 @@ def window_hashes(words: np.ndarray, row: np.ndarray, width: int, base: Powers)
     return first, span_hashes(words, first, first + width, base)
 
 
+def release() -> None:
+    """Give memory that is free in this worker back to the system: it may stay idle beside others."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def hash_long(x: np.ndarray) -> np.ndarray:
     """Spark's xxhash64 of a long column, as int64."""
     p1, p2, p3, p4, p5 = (U(v) for v in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
