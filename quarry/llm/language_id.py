@@ -15,11 +15,15 @@ every text is ``und``; a null doc_id is never held out; labels are any strings.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm import tokens
+
 UNKNOWN = "und"
 WINDOW = 64
 HIDDEN = 6
@@ -184,9 +188,9 @@ def train(rows: list[tuple[str, str]], per_document: int = 4, epochs: int = 3, b
     return net
 
 
-def predict(net: Network, texts: list[str]) -> tuple[list[str], list[float]]:
-    """Language and its pooled probability for each text; blocks of windows bound the memory."""
-    sums = np.zeros((len(texts), len(net.langs)))
+def predict(net: Network, texts: Iterable[str], count: int) -> tuple[list[str], list[float]]:
+    """Language and its pooled probability for each of ``count`` texts; blocks of windows bound the memory."""
+    sums = np.zeros((count, len(net.langs)))
     held: list[bytes] = []
     rows: list[int] = []
     size = 0
@@ -218,10 +222,11 @@ def annotate(docs: DataFrame, lang: str, score: str, sample: int = 2400, per_doc
     if net is None:
         return docs.withColumns({lang: F.lit(UNKNOWN), score: F.lit(0.0)})
 
-    @F.pandas_udf("lang string, score double")
-    def labelled(text: pd.Series) -> pd.DataFrame:
-        langs, scores = predict(net, [t or "" for t in text])
-        return pd.DataFrame({"lang": langs, "score": scores})
+    @F.arrow_udf("lang string, score double")
+    def labelled(text: pa.Array) -> pa.Array:
+        langs, scores = predict(net, (t.as_py() or "" for t in text), len(text))
+        tokens.release()
+        return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang", "score"])
 
     said = docs.withColumn(lang, labelled(F.col("text").cast("string")))
     known = F.when(readable, F.col(lang)["lang"]).otherwise(UNKNOWN)

@@ -170,7 +170,6 @@ def _prefixes(width: int, percent: int, classes):
         noise = float(np.median(table))
         seen: set[int] = set()
         for batch in batches:
-            out = []
             for _, rows, h, of in shingler.sets(batch.column(0), table):
                 ids, n = set_ids(h, of, rows)
                 cuts = np.r_[0, np.cumsum(n)]
@@ -187,9 +186,7 @@ def _prefixes(width: int, percent: int, classes):
                     seen.clear()
                 keep = fresh[of] & (rank < length[of])
                 o = of[keep]
-                out.append((h[keep].view(np.int64), ids[o], n[o], m[o]))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["token", "set_id", "n", "m"])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (h[keep].view(np.int64), ids[o], n[o], m[o])], ["token", "set_id", "n", "m"])
         tokens.release()
 
     return run
@@ -199,14 +196,14 @@ def _whole_sets(width: int):
     def run(batches):
         shingler = Shingler(width)
         for batch in batches:
-            ids, sets = [np.empty(0, np.int64)], []
-            for _, rows, h, of in shingler.sets(batch.column(1)):
-                i, n = set_ids(h, of, rows)
+            for row, rows, h, of in shingler.sets(batch.column(1)):
+                ids, n = set_ids(h, of, rows)
                 cuts = np.r_[0, np.cumsum(n)]
-                ids.append(i)
-                sets += [h[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-            same = np.concatenate(ids) == batch.column(0).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["set_id", "data"]).filter(pa.array(same))
+                sets = [h[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+                wanted = batch.column(0).slice(row, rows)
+                same = ids == wanted.to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([wanted, pa.array(sets, pa.binary())], ["set_id", "data"]).filter(pa.array(same))
+        tokens.release()
 
     return run
 
@@ -285,6 +282,8 @@ def _close(percent: int):
                     if (fold(x, places, to) ^ fold(y, others, to)).bit_count() <= both - 2 * -(-percent * both // (100 + percent)):
                         above[top(j) - a] = top(i)
                         edges.append((max(ids[i], ids[j]), min(ids[i], ids[j])))
+        known.clear()
+        tokens.release()
         return _edge_table([e for e in edges if e[0] != e[1]])
 
     return run
@@ -313,6 +312,7 @@ def _compare(percent: int):
             linked = (100 * both >= percent * (n[:left, None] + n[None, :] - both)) & (root[:left, None] != root[None, :])
             linked[np.arange(left), np.arange(left)] = False
             out += _forest(linked, own)
+        tokens.release()
         return _edge_table(out)
 
     return run
