@@ -3,11 +3,12 @@
 Markup is stripped into lines, one for each block element's own text. Lines in containers that by
 tag, role, class or id are menus, headers, footers, sidebars, notices, adverts, forms or reader
 comments carry no text, nor do lines that are mostly links. The text lengths of ``WINDOW`` lines
-are summed at every line. The text surges at the first line, and dives behind the last line,
-whose window reaches the threshold and which stands in the run of windows around the largest sum; where the
+are summed at every line, a line counting for ``LINE`` characters at most, so that one long
+paragraph does not put ordinary ones below the threshold. The text surges at the first line, and
+dives behind the last line, whose window reaches the threshold, a share of the largest sum; where the
 page marks an ``article`` or ``main`` element, windows reach the threshold only inside it, by any
 text. A heading just above the surge belongs to the text. All lines between that carry text are
-kept.
+kept, lists and tables of short lines too.
 
 Defined cases: null or empty html, or html without such text, gives an empty text; unclosed and
 stray tags are closed by their parents; repeated pages are extracted each on their own.
@@ -25,6 +26,8 @@ from pyspark.sql import functions as F
 WINDOW = 3
 #: Least share of the largest window sum that counts as text where no article is marked.
 SHARE = 0.2
+#: A line counts for at most so many characters in a window, about one printed line.
+LINE = 80
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|</?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.S)
@@ -150,26 +153,15 @@ def main_text(page: str | None) -> str:
         weight.append(len(text) if carries and not mostly_links and (inside or not marked) else 0)
     if not any(weight):
         return ""
-    sums = [sum(weight[max(0, k - WINDOW // 2) : k + WINDOW // 2 + 1]) for k in range(len(weight))]
-    top = max(range(len(sums)), key=sums.__getitem__)
+    counted = [min(w, LINE) for w in weight]
+    sums = [sum(counted[max(0, k - WINDOW // 2) : k + WINDOW // 2 + 1]) for k in range(len(weight))]
     if marked:
         within = [k for k, w in enumerate(weight) if w]
         surge, dive = within[0], within[-1]
     else:
-        least = max(1, SHARE * sums[top])
-        surge = dive = top
-        gap = 0
-        for k in range(top, -1, -1):  # a lull shorter than a window doesn't end the text
-            gap = 0 if sums[k] >= least else gap + 1
-            if gap > WINDOW:
-                break
-            surge = k if sums[k] >= least and weight[k] else surge
-        gap = 0
-        for k in range(top, len(sums)):
-            gap = 0 if sums[k] >= least else gap + 1
-            if gap > WINDOW:
-                break
-            dive = k if sums[k] >= least and weight[k] else dive
+        least = max(1, SHARE * max(sums))
+        within = [k for k, w in enumerate(weight) if w and sums[k] >= least]
+        surge, dive = within[0], within[-1]
         while surge and rows[surge - 1][4] in HEADINGS and weight[surge - 1]:
             surge -= 1
     return "\n\n".join(rows[k][0] for k in range(surge, dive + 1) if weight[k])

@@ -202,6 +202,17 @@ def test_html_text():
     assert html_text.main_text(None) == html_text.main_text("") == html_text.main_text("<nav>x</nav>") == ""
 
 
+def test_html_text_keeps_lists_and_short_paragraphs():
+    long, item = "<p>" + "word " * 80 + "</p>", "<li>an item of the list</li>"
+    inner = long * 5 + "<ul>" + item * 8 + "</ul>" + long * 6
+    kept = html_text.main_text(f"<body><nav><a href=x>Home</a></nav><div>{inner}</div><footer>c</footer></body>").split("\n\n")
+    assert kept == [" ".join(["word"] * 80)] * 5 + ["an item of the list"] * 8 + [" ".join(["word"] * 80)] * 6
+    short = [f"Paragraph {k} is of an ordinary, short length." for k in range(12)]
+    paragraphs = [*short[:6], "x " * 20_000, *short[6:]]
+    kept = html_text.main_text("<body><div>" + "".join(f"<p>{t}</p>" for t in paragraphs) + "</div></body>").split("\n\n")
+    assert kept == [t.strip() for t in paragraphs]
+
+
 def test_toxicity(spark):
     rows = [(k, prose(60, k) + (" idiot moron" if k % 8 == 0 else ""), "en", "s", 0, 1, "x") for k in range(400)] + [(999, None, "en", "s", 0, 1, "x")]
     labels = spark.createDataFrame([(k, 1, int(k % 8 == 0)) for k in range(200)] + [(5, 1, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
