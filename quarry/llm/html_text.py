@@ -6,8 +6,8 @@ comments carry no text, nor do lines that are mostly links. The text lengths of
 are summed at every line, a line counting for ``LINE`` characters at most, so that one long
 paragraph does not put ordinary ones below the threshold. The text surges at the first line, and
 dives behind the last line, whose window reaches the threshold, a share of the largest sum; where the
-page marks an ``article`` or ``main`` element, windows reach the threshold only inside it, by any
-text. A heading just above the surge belongs to the text. All lines between that carry text are
+page marks an ``article`` or ``main`` element, only lines inside it have weight and the threshold is
+one character, so that short first and last lines of the mark stay (README). A heading just above the surge belongs to the text. All lines between that carry text are
 kept, lists and tables of short lines too.
 
 Defined cases: null or empty html, or html without such text, gives an empty text; unclosed and
@@ -155,15 +155,11 @@ def main_text(page: str | None) -> str:
         return ""
     counted = [min(w, LINE) for w in weight]
     sums = [sum(counted[max(0, k - WINDOW // 2) : k + WINDOW // 2 + 1]) for k in range(len(weight))]
-    if marked:
-        within = [k for k, w in enumerate(weight) if w]
-        surge, dive = within[0], within[-1]
-    else:
-        least = max(1, SHARE * max(sums))
-        within = [k for k, w in enumerate(weight) if w and sums[k] >= least]
-        surge, dive = within[0], within[-1]
-        while surge and rows[surge - 1][4] in HEADINGS and weight[surge - 1]:
-            surge -= 1
+    least = 1 if marked else max(1, SHARE * max(sums))
+    within = [k for k, w in enumerate(weight) if w and sums[k] >= least]
+    surge, dive = within[0], within[-1]
+    while surge and rows[surge - 1][4] in HEADINGS and weight[surge - 1]:
+        surge -= 1
     return "\n\n".join(rows[k][0] for k in range(surge, dive + 1) if weight[k])
 
 

@@ -213,6 +213,12 @@ def test_html_text_keeps_lists_and_short_paragraphs():
     assert kept == [t.strip() for t in paragraphs]
 
 
+def test_html_text_keeps_short_ends_of_a_mark():
+    ends = "<p>Hi.</p><p>Go on.</p>", "<p>So.</p><p>The end.</p>"
+    page = "<body><p>Outside</p><article>" + ends[0] + "<p>" + "word " * 80 + "</p>" + ends[1] + "</article></body>"
+    assert html_text.main_text(page).split("\n\n") == ["Hi.", "Go on.", " ".join(["word"] * 80), "So.", "The end."]
+
+
 def test_toxicity(spark):
     rows = [(k, prose(60, k) + (" idiot moron" if k % 8 == 0 else ""), "en", "s", 0, 1, "x") for k in range(400)] + [(999, None, "en", "s", 0, 1, "x")]
     labels = spark.createDataFrame([(k, 1, int(k % 8 == 0)) for k in range(200)] + [(5, 1, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
