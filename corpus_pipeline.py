@@ -16,7 +16,7 @@ from quarry.scratch import materialize
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Pooled probability below which a language is no language that was learned; far below what clean text scores.
 LEAST_SCORE = 0.3
-#: Up to so many ids are broadcast (8 bytes each) to select documents.
+#: Up to so many ids and row keys are broadcast (16 bytes each) to select documents.
 BROADCAST_IDS = 1_000_000
 
 
@@ -29,16 +29,19 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every group of documents that share 0.8 of their five-word shingles, the one with the
-    smallest id stays. Documents without an id stay."""
-    groups = materialize(ngram_join.join_components(docs, width=5, percent=80))
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    rows = docs.select(*COLUMNS).join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti")
-    twice = groups.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1")
+    smallest id stays. Documents without an id or without a word stay. Rows that share an id are
+    documents of their own, told apart by their text; of equal ones in a group one stays."""
+    groups = materialize(ngram_join.join_components(docs, width=5, percent=80, keys=True)).where("doc_id is not null and component_key is not null")
+    first = (F.col("doc_id") == F.col("component_id")) & (F.col("key") == F.col("component_key"))
+    gone = materialize(groups.where(~first).select("doc_id", "key").distinct())
+    rows = docs.select(*COLUMNS).withColumn("key", ngram_join.row_key())
+    rows = rows.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, ["doc_id", "key"], "left_anti")
+    twice = groups.where(first).groupBy("doc_id", "key").count().where("count > 1")
     if twice.isEmpty():
-        return rows
-    ids = materialize(twice.select("doc_id"))
-    first = rows.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("row")).select("doc_id", "row.*")
-    return rows.join(ids, "doc_id", "left_anti").unionByName(first)
+        return rows.select(*COLUMNS)
+    ids = materialize(twice.select("doc_id", "key"))
+    one = rows.join(ids, ["doc_id", "key"], "left_semi").groupBy("doc_id", "key").agg(F.min(F.struct(*COLUMNS[1:])).alias("row")).select("doc_id", "row.*")
+    return rows.join(ids, ["doc_id", "key"], "left_anti").select(*COLUMNS).unionByName(one)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

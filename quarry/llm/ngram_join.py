@@ -37,7 +37,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm import tokens
@@ -384,12 +384,19 @@ def _memberships(held: DataFrame) -> DataFrame:
     return rows.where("given_up > floor((m - 1) / 2)").select("family", "set_id", "n")
 
 
-def join_components(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
+def row_key() -> Column:
+    """A key for equal rows (doc_id, text) only, ids null or not."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+
+def join_components(docs: DataFrame, width: int = 3, percent: int = 90, keys: bool = False) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id (the smallest doc_id
-    that links reach). See the module for the method and the defined cases."""
+    that links reach); with ``keys`` also key, the row's ``row_key``, and component_key, the key of
+    the component's first row by (doc_id, key), null where no row has an id or the set is empty.
+    See the module for the method and the defined cases."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    texts = texts.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text")  # one key for equal rows only, ids null or not
+    texts = texts.select("doc_id", row_key().alias("key"), "text")
     survey = materialize(texts.mapInArrow(_survey(width), "doc_id long, key long, set_id long, n long, bits binary, block int, counts binary"))
     known = survey.where("block is null").select("doc_id", "key", "set_id", "n")
     classes = np.zeros(1 << SKETCH, np.uint8)
@@ -424,6 +431,7 @@ def join_components(docs: DataFrame, width: int = 3, percent: int = 90) -> DataF
     sets = materialize(sets.dropDuplicates(["set_id"]))
     roots = _linked(chosen.select("family", "set_id", "n"), sets, _compare(percent), groups)
 
-    rooted = known.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("root", "set_id")).alias("root"))
-    least = materialize(rooted.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id")))
-    return rooted.join(least, "root", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    own, first = ["key"] * keys, F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "key")))["key"].alias("component_key") if keys else None
+    rooted = known.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("root", "set_id")).alias("root"), *own)
+    least = materialize(rooted.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"), *([first] if keys else [])))
+    return rooted.join(least, "root", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), *own, *(["component_key"] * keys))
