@@ -54,10 +54,12 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it whole, by its taken words to the nearest time."""
-    taken = mixing.mix_sources(docs).where("taken > 0")
-    times = taken.groupBy("doc_id").agg(F.max(F.round(F.col("taken") / F.col("size")).cast("int")).alias("times")).where("times > 0")
-    rows = docs.select(*COLUMNS).join(times, "doc_id")
+    """Each row as often as the mix takes it whole, by its taken words to the nearest time. Rows with
+    a null or repeated id are rows of their own."""
+    docs = materialize(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")))
+    taken = mixing.mix_sources(docs, key="row").where("taken > 0")
+    times = taken.select("row", F.round(F.col("taken") / F.col("size")).cast("int").alias("times")).where("times > 0")
+    rows = docs.join(times, "row")
     return rows.withColumn("time", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*COLUMNS)
 
 

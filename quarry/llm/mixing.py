@@ -92,14 +92,17 @@ def schedule(sources: DataFrame, n_sources: int, slots: int, block: int) -> Data
     return kept.unionByName(late.select((F.lit(slots) + F.col("rank")).alias("slot"), "source_no", "rank"))
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float = 3.0, block: int = BLOCK) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float = 3.0, block: int = BLOCK, key: str | None = None) -> DataFrame:
     """Per row of ``docs`` (doc_id, text, source): doc_id, source, size, source_size, target,
     taken: the words that the mix takes of it, repeats counted, at most ``cap`` times its size
-    (``cap`` should be whole for that). See the module for the method and the defined cases."""
+    (``cap`` should be whole for that). ``key`` names a column of unique longs that is returned too;
+    rows are then told apart by their text, with null or repeated ids as well. See the module for
+    the method and the defined cases."""
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), *([F.xxhash64("text").alias("own"), F.col(key)] if key else []))
     parts = max(16, 4 * shuffle_partitions(spark))
-    rows = rows.withColumn("mixed", F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit("mix")))
+    rows = rows.withColumn("mixed", F.xxhash64(F.coalesce("doc_id", F.col("own") if key else F.lit(-1)), F.lit("mix")))
+    keys, told = ([key], ["own", key]) if key else ([], [])
     sizes = materialize(rows.withColumn("part", F.pmod(F.shiftright("mixed", 20), F.lit(parts)).cast("int")))
     per = materialize(targets(sizes, weights, cap))
     n_sources, words = per.agg(F.count("*"), F.coalesce(F.sum("words"), F.lit(0))).first()
@@ -110,7 +113,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: floa
     by_part = sizes.groupBy("source_no", "part").agg(F.sum("size").alias("part_size"))
     begin = F.sum("part_size").over(Window.partitionBy("source_no").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     by_part = by_part.select("source_no", "part", F.coalesce(begin, F.lit(0)).alias("part_begin"))
-    within = F.sum("size").over(Window.partitionBy("source_no", "part").orderBy("mixed", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1))
+    within = F.sum("size").over(Window.partitionBy("source_no", "part").orderBy("mixed", "doc_id", "size", *told).rowsBetween(Window.unboundedPreceding, -1))
     placed = sizes.withColumn("within", F.coalesce(within, F.lit(0))).join(by_part, ["source_no", "part"])
     placed = placed.withColumn("begin", F.col("part_begin") + F.col("within")).drop("part_begin", "within", "part", "mixed", "weight", "low")
 
@@ -123,4 +126,4 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: floa
     taken = pieces.join(plan, ["source_no", "rank"]).groupBy("source_no", "begin").agg(F.sum(overlap * F.col("taken_block")).alias("got"))
     zero = F.when(F.col("size") > 0, F.col("got"))
     out = placed.join(taken, ["source_no", "begin"], "left")
-    return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce(zero, F.lit(0)).cast("long").alias("taken"))
+    return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce(zero, F.lit(0)).cast("long").alias("taken"), *keys)

@@ -2,7 +2,10 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
+from quarry.llm import mixing
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -27,3 +30,18 @@ def test_near_duplicates_of_repeated_ids(spark):
     copies = [(30, prose(90, 5), "s")] * 3
     got = found(corpus_pipeline.drop_near_duplicates(spark, documents(spark, crossed + alone + copies), ""))
     assert got == sorted((k or 0, t or "", s) for k, t, s in [crossed[0], crossed[3], *alone, copies[0]])
+
+
+def test_mixing_of_null_and_repeated_ids(spark):
+    rows = [(None if k % 3 else k // 9, prose(20 + k, k), "ab"[k % 2]) for k in range(60)]
+    docs = documents(spark, rows)
+    got = found(corpus_pipeline.mix(spark, docs.repartition(3), ""))
+    assert any(k == 0 for k, _, _ in got) and {r[2] for r in got} == {"a", "b"}
+    words = {s: sum(len(t.split()) for _, t, x in rows if x == s) for s in "ab"}
+    target = {s: sum(words.values()) * w / 3 for s, w in (("a", 1), ("b", 2))}
+    for s in "ab":  # times are rounded for each row, by at most half its size
+        assert abs(sum(len(t.split()) for _, t, x in got if x == s) - target[s]) <= words[s] / 2
+    keyed = mixing.mix_sources(docs.withColumn("row", F.monotonically_increasing_id()), key="row").collect()
+    want = sum(round(r["taken"] / r["size"] + 1e-9) for r in keyed)
+    assert len(keyed) == len(rows) and len(got) == want
+    assert {t for _, t, _ in got} <= {t for _, t, _ in rows} and len({t for _, t, _ in got}) > len(rows) / 2
