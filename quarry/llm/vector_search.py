@@ -1,14 +1,17 @@
-"""Approximate nearest neighbours by an inverted multi-index.
+"""Exact nearest neighbours by an inverted multi-index.
 
 Vectors are scaled to length 1 and cut in two halves, each quantised by its own codebook of
 ``centroids`` points (k-means on a bounded sample of ``sample`` vectors). A vector is an entry of
 the cell of its two nearest centroids. A query walks the pairs of centroids in ascending sum of
-distances with a heap until the cells it met hold ``reach`` of all entries, and at least
-``least`` of them; all entries of those cells are reranked by the exact cosine in double precision.
+distances with a heap until the cells it met hold ``reach`` of all entries, which are reranked by
+the exact cosine in double precision. The k-th score so found bounds the distance of any better
+neighbour; a second round reranks every other cell that may hold one: by the triangle inequality,
+a cell is out only if the least and the greatest distances of its entries from its centroids
+leave none so near. So ``reach`` sets the cost, not the result, at every size of the input.
 
 Skew: equal vectors are one entry with its ``k + 1`` smallest ids, which is all that any result
 can hold; a cell with more than ``block`` entries is dealt to as many parts as it needs, and a
-query visits every part. Only the codebooks and the cells' counts (centroids**2 numbers) go to the
+query visits every part. Only the codebooks and the cells' counts and distances (5 * centroids**2 numbers) go to the
 driver and the executors, both of fixed size.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components take no part,
@@ -30,6 +33,8 @@ from pyspark.sql import functions as F
 from quarry.scratch import materialize, shuffle_partitions
 
 FOUND = "query_id long, vec_id long, score double"
+#: Far above what rounding adds to a squared distance of unit vectors.
+SLACK = 1e-9
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 3) -> np.ndarray:
@@ -63,6 +68,17 @@ def walk(near: np.ndarray, far: np.ndarray, counts: np.ndarray, enough: int):
                 heapq.heappush(heap, (near[rows[u]] + far[cols[v]], u, v))
 
 
+def may_hold(near: np.ndarray, far: np.ndarray, counts: np.ndarray, ranges: np.ndarray, edge: float | None, met: list) -> list:
+    """Cells not in ``met`` that may hold an entry of score ``edge`` or more; all, without an edge."""
+    one, two = np.sqrt(near)[:, None], np.sqrt(far)[None, :]
+    gap = np.square(np.maximum(0, np.maximum(one - ranges[1], ranges[0] - one)))
+    gap += np.square(np.maximum(0, np.maximum(two - ranges[3], ranges[2] - two)))
+    left = (counts > 0) & (gap <= (4 if edge is None else 2 - 2 * edge) + SLACK)
+    for a, b in met:
+        left[a, b] = False
+    return [(int(a), int(b)) for a, b in zip(*left.nonzero(), strict=True)]
+
+
 def _unit(vectors) -> np.ndarray:
     x = np.array([np.frombuffer(v, "<f8") for v in vectors])
     return x / np.sqrt(np.square(x).sum(1))[:, None]
@@ -110,7 +126,7 @@ def _fewest(k: int):
     return run
 
 
-def search(vectors: DataFrame, every: int = 50, k: int = 5, centroids: int = 48, sample: int = 20_000, reach: float = 0.45, least: int = 4000, block: int = 20_000) -> DataFrame:
+def search(vectors: DataFrame, every: int = 50, k: int = 5, centroids: int = 48, sample: int = 20_000, reach: float = 0.45, block: int = 20_000) -> DataFrame:
     """For every row of ``vectors`` (vec_id, embedding) whose id is divisible by ``every``: its k
     nearest other rows by cosine: query_id, rank (from 1), vec_id, score. See the module."""
     spark = vectors.sparkSession
@@ -131,38 +147,48 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, centroids: int = 48,
     shared = spark.sparkContext.broadcast(books)
     width = len(books[1])
 
-    @F.pandas_udf("int")
-    def cell(column: pd.Series) -> pd.Series:
+    @F.pandas_udf("cell int, one double, two double")
+    def placed(column: pd.Series) -> pd.DataFrame:
         if not len(column):
-            return pd.Series([], dtype="int32")
+            return pd.DataFrame({"cell": np.zeros(0, np.int32), "one": np.zeros(0), "two": np.zeros(0)})
         x, (one, two) = _unit(column), shared.value
-        return pd.Series(nearest(x[:, :half], one) * len(two) + nearest(x[:, half:], two)).astype("int32")
-
-    entries = materialize(entries.withColumn("cell", cell("vector")))
-    counts = np.zeros(len(books[0]) * width, np.int64)
-    for r in entries.groupBy("cell").count().collect():  # at most centroids**2 rows
-        counts[r["cell"]] = r["count"]
-    enough = max(least, int(np.ceil(reach * counts.sum())))
+        a, b = nearest(x[:, :half], one), nearest(x[:, half:], two)
+        away = (np.sqrt(np.square(y - c).sum(1)) for y, c in ((x[:, :half], one[a]), (x[:, half:], two[b])))
+        return pd.DataFrame(dict(zip(("cell", "one", "two"), ((a * len(two) + b).astype(np.int32), *away), strict=True)))
+
+    entries = materialize(entries.withColumn("at", placed("vector")).select("vector", "ids", "at.*"))
+    counts, spans = np.zeros(len(books[0]) * width, np.int64), np.zeros((4, len(books[0]) * width))
+    spread = (F.min("one").alias("one_least"), F.max("one").alias("one_most"), F.min("two").alias("two_least"), F.max("two").alias("two_most"))
+    for r in entries.groupBy("cell").agg(F.count("*").alias("n"), *spread).collect():  # at most centroids**2 rows
+        counts[r["cell"]] = r["n"]
+        spans[:, r["cell"]] = r["one_least"], r["one_most"], r["two_least"], r["two_most"]
+    enough = int(np.ceil(reach * counts.sum()))
     sizes = spark.sparkContext.broadcast(counts.reshape(-1, width))
+    ranges = spark.sparkContext.broadcast(spans.reshape(4, -1, width))
     parts = shuffle_partitions(spark)
 
     def visits(batches):
+        """The first round's cells of (vec_id, vector); the second round's of (vec_id, vector, k-th score)."""
         for batch in batches:
             ids, raw = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            out_id, out_vector, out_cell, out_part = [], [], [], []
+            edges = batch.column(2).to_pylist() if batch.num_columns > 2 else None
+            out_id, out_vector, out_cell, out_part, out_edge = [], [], [], [], []
             (one, two), counts = shared.value, sizes.value
-            for i, v in zip(ids, raw, strict=True):
+            for at, (i, v) in enumerate(zip(ids, raw, strict=True)):
                 u = _unit([v])[0]
                 near = np.square(one - u[:half]).sum(1)
                 far = np.square(two - u[half:]).sum(1)
                 cells: dict[int, list[int]] = {}
-                for a, b in walk(near, far, counts, enough):
+                met = list(walk(near, far, counts, enough))
+                if edges is not None:
+                    met = may_hold(near, far, counts, ranges.value, edges[at], met)
+                for a, b in met:
                     c = a * len(two) + b
                     for sub in range(-(-int(counts[a, b]) // block)):
                         cells.setdefault((c * 31 + sub) % parts, []).append(c)
                 for part, c in cells.items():
-                    out_id.append(i), out_vector.append(v), out_cell.append(np.unique(np.array(c, "<i4")).tobytes()), out_part.append(part)
-            yield pa.RecordBatch.from_arrays([pa.array(out_part, pa.int32()), pa.array(out_id, pa.int64()), pa.array(out_vector, pa.binary()), pa.array(out_cell, pa.binary())], ["part", "query_id", "vector", "cells"])
+                    out_id.append(i), out_vector.append(v), out_cell.append(np.unique(np.array(c, "<i4")).tobytes()), out_part.append(part), out_edge.append(edges[at] if edges else None)
+            yield pa.RecordBatch.from_arrays([pa.array(out_part, pa.int32()), pa.array(out_id, pa.int64()), pa.array(out_vector, pa.binary()), pa.array(out_cell, pa.binary()), pa.array(out_edge, pa.float64())], ["part", "query_id", "vector", "cells", "edge"])
 
     def rerank(keys, visitors: pa.Table, held: pa.Table) -> pa.Table:
         out = []
@@ -174,7 +200,7 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, centroids: int = 48,
             x = np.array([np.frombuffer(raw[int(j)].as_py(), "<f8") for j in order])
             ids = [ids[int(j)].as_py() for j in order]
             size = np.sqrt(np.square(x).sum(1))
-            for i, v, wanted in zip(*(visitors.column(c).to_pylist() for c in ("query_id", "vector", "cells")), strict=True):
+            for i, v, wanted, least in zip(*(visitors.column(c).to_pylist() for c in ("query_id", "vector", "cells", "edge")), strict=True):
                 wanted = np.frombuffer(wanted, "<i4")
                 low, high = np.searchsorted(cells, wanted), np.searchsorted(cells, wanted, side="right")
                 at = np.concatenate([np.arange(a, b) for a, b in zip(low, high, strict=True)])
@@ -182,6 +208,9 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, centroids: int = 48,
                     continue
                 q = np.frombuffer(v, "<f8")
                 score = (x[at] * q).sum(1) / (size[at] * np.sqrt(np.square(q).sum()))
+                if least is not None:  # what scores less than the k-th of the first round is no result
+                    keep = score >= least - SLACK
+                    at, score = at[keep], score[keep]
                 if len(at) > k + 1:
                     edge = np.partition(score, len(at) - k - 1)[len(at) - k - 1]
                     keep = score >= edge
@@ -198,8 +227,12 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, centroids: int = 48,
 
     turn = F.pmod(F.xxhash64("vector"), F.lit(1 << 30))
     held = entries.withColumn("part", dealt("cell", turn)).select("part", "cell", "vector", "ids")
-    asked = rows.where(F.pmod(F.col("vec_id"), F.lit(every)) == 0).mapInArrow(visits, "part int, query_id long, vector binary, cells binary")
-    found = asked.groupBy("part").cogroup(held.groupBy("part")).applyInArrow(rerank, FOUND)
+    queries = rows.where(F.pmod(F.col("vec_id"), F.lit(every)) == 0)
+    visit = "part int, query_id long, vector binary, cells binary, edge double"
+    rerun = lambda asked: materialize(asked.mapInArrow(visits, visit).groupBy("part").cogroup(held.groupBy("part")).applyInArrow(rerank, FOUND))
     best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("far"), "vec_id"))), 1, k)
+    found = rerun(queries)
+    edges = found.groupBy("query_id").agg(best.alias("best")).select(F.col("query_id").alias("vec_id"), F.when(F.size("best") == k, -F.element_at("best", -1)["far"]).alias("edge"))
+    found = found.unionByName(rerun(queries.join(materialize(edges), "vec_id", "left").select("vec_id", "vector", "edge")))
     ranked = found.groupBy("query_id").agg(best.alias("best")).select("query_id", F.posexplode("best").alias("at", "b"))
     return ranked.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), (-F.col("b.far")).alias("score"))

@@ -136,6 +136,19 @@ def test_vector_search(spark):
     assert vector_search.search(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
+def test_vector_search_recall(spark):
+    x = np.random.default_rng(4).normal(size=(10_000, 64))
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in vector_search.search(rows).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    for q in range(0, 10_000, 50):
+        score = unit @ unit[q]
+        score[q] = -2
+        assert got[q] == np.argsort(-score, kind="stable")[:5].tolist()
+
+
 def test_bpe(spark):
     tiktoken, P = pytest.importorskip("tiktoken"), pytest.importorskip("public_tokenizers")
     path = P.path("byte_bpe_multi_50k.tiktoken")
