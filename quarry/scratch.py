@@ -1,8 +1,8 @@
 """Intermediate tables in the folder that all executors share.
 
 A table written here cuts lineage: it survives the loss of any executor and is read back
-instead of being computed again. The folder is ``spark.checkpoint.dir``; only where that is
-unset (tests on one machine) a folder of this session is made and set.
+instead of being computed again. The folder is ``spark.checkpoint.dir``; only on one machine
+(master ``local``) and where that is unset, a folder of this session is made and set.
 """
 
 from __future__ import annotations
@@ -10,15 +10,21 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _UNKNOWN = 1 << 60
+#: Paths written in each open ``passing`` block, the innermost last.
+_open: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
     place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not place:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         place = "file://" + tempfile.mkdtemp(prefix="quarry-")
         spark.conf.set("spark.checkpoint.dir", place)
     return place.rstrip("/")
@@ -28,10 +34,39 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once and return a reader of what was written."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quarry/{uuid.uuid4().hex}"
+    if _open:
+        _open[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that ``materialize`` writes in this block are deleted at its end. The function given
+    writes a result that stays (for the block around this one, if there is one)."""
+    own: list[str] = []
+    _open.append(own)
+
+    def keep(df: DataFrame) -> DataFrame:
+        _open[:] = [x for x in _open if x is not own]
+        try:
+            return materialize(df)
+        finally:
+            _open.append(own)
+
+    try:
+        yield keep
+    finally:
+        _open[:] = [x for x in _open if x is not own]
+        for path in own:
+            delete(spark, path)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
