@@ -5,7 +5,8 @@ bytes are merged. Per piece a segment tree over byte positions stores the leftmo
 of the pair that starts at each live position. A merge takes the root, drops the right part,
 links its neighbours and updates the two live positions whose pairs changed, each in as many
 steps as the tree has levels. Trees of many pieces of one size are worked on together in numpy.
-Finished pieces are kept in a bounded memory of each worker; it decides speed, never results.
+Finished pieces are kept in a bounded memory of each worker, two generations of it; it decides
+speed, never results.
 
 Ranks come from a file of base64 tokens and ranks, whose path is a parameter; they are sent to
 the executors by broadcast (a vocabulary is a fixed file of about a megabyte). Special tokens
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from quarry.llm import tokens
 
 NONE = 1 << 30
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -87,6 +88,7 @@ class Encoder:
         for token, rank in ranks.items():
             self.tokens[rank] = token
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def merge(self, pieces: list[bytes]) -> list[bytes]:
         """Ids (little-endian, 32 bits) of pieces of at least two bytes; the trees of all pieces
@@ -170,17 +172,22 @@ class Encoder:
 
     def encode(self, texts: list[list[str]]) -> list[bytes]:
         """Ids of texts that are already split to pieces."""
-        known = self.known
-        new = set()
+        known, new = self.known, set()
         for pieces in texts:
             new.update(pieces)
         new.difference_update(known)
-        if new:
-            if len(known) + len(new) > REMEMBERED:
-                known = {p: known[p] for pieces in texts for p in pieces if p in known}
-            known.update(self.learn(new))
-            self.known = known if len(known) <= 2 * REMEMBERED else {}
-        return [b"".join(map(known.__getitem__, pieces)) for pieces in texts]
+        if len(known) + len(new) > REMEMBERED:  # a new generation; what is still in use moves over from the old one
+            self.older, self.known = known, {}
+            known = self.known
+            new = {p for pieces in texts for p in pieces}
+        older = self.older
+        unknown = {p for p in new if p not in older}
+        known.update((p, older[p]) for p in new - unknown)
+        known.update(self.learn(unknown))
+        out = [b"".join(map(known.__getitem__, pieces)) for pieces in texts]
+        if len(known) > 2 * REMEMBERED:  # one very long text
+            self.known, self.older = {}, {}
+        return out
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -217,29 +224,32 @@ def _by_size(column: pa.Array, limit: int = 1 << 20):
 
 
 class Bpe:
-    """``encode`` gives a column of ids (binary, little-endian 32-bit), ``decode`` turns ids back
-    into bytes. ``path``: the vocabulary; ``pattern``: what a piece is."""
+    """``path``: the vocabulary; ``pattern``: what a piece is. ``coded`` gives a text's ids (binary,
+    little-endian 32-bit) and the bytes that they decode to, ``decode`` turns ids into bytes."""
 
     def __init__(self, spark: SparkSession, path: str, pattern: str) -> None:
         shared = _Shared(spark.sparkContext.broadcast(read_ranks(path)))
 
-        @F.arrow_udf("binary")
-        def encode(column: pa.Array) -> pa.Array:
-            split, encoder, out = regex.compile(pattern).findall, shared.encoder(), []
+        @F.arrow_udf("ids binary, decoded binary")
+        def coded(column: pa.Array) -> pa.Array:
+            split, encoder, ids, back = regex.compile(pattern).findall, shared.encoder(), [], []
             for texts in _by_size(column):
-                out += encoder.encode([split(t) for t in texts])
+                some = encoder.encode([split(t) for t in texts])
+                ids += some
+                back += map(encoder.decode, some)
             tokens.release()
-            return pa.array(out, pa.binary())
+            return pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(back, pa.binary())], ["ids", "decoded"])
 
         @F.arrow_udf("binary")
         def decode(column: pa.Array) -> pa.Array:
             encoder = shared.encoder()
             return pa.array([encoder.decode(ids.as_py() or b"") for ids in column], pa.binary())
 
-        self._encode, self._decode = encode, decode
+        # Not said to be deterministic, so that the optimizer never evaluates it twice.
+        self._coded, self._decode = coded.asNondeterministic(), decode
 
-    def encode(self, text: Column) -> Column:
-        return self._encode(text.cast("string"))
+    def coded(self, text: Column) -> Column:
+        return self._coded(text.cast("string"))
 
     def decode(self, ids: Column) -> Column:
         return self._decode(ids)

@@ -29,8 +29,8 @@ def op4_bpe(spark, sf_dir):
     import public_tokenizers
 
     coder = bpe.Bpe(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
-    ids = _table(spark, sf_dir, "documents").select("doc_id", coder.encode(F.col("text")).alias("ids"))
-    return ids.select("doc_id", bpe.n_tokens(F.col("ids")).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(coder.decode(F.col("ids")), 256).alias("decoded_sha256"))
+    rows = _table(spark, sf_dir, "documents").select("doc_id", coder.coded(F.col("text")).alias("c"))
+    return rows.select("doc_id", bpe.n_tokens(F.col("c.ids")).alias("n_tokens"), F.sha2("c.ids", 256).alias("ids_sha256"), F.sha2("c.decoded", 256).alias("decoded_sha256"))
 
 
 def op5_mixing(spark, sf_dir):
