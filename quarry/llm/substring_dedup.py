@@ -7,13 +7,17 @@ merge into maximal removal intervals. Windows are judged on the input.
 
 Skew: a task sends a hash once, with its earliest place; later places in the same task are
 marked at once. So a window that stands in a third of all documents costs its bucket one entry
-a task. The bucket comes from a second hash on another base, so that two different windows are
-taken as equal only if 64 bits and the bucket collide: 64 bits and the logarithm of the buckets,
-whose number grows with the input (86 bits at 100 TB).
+a task. The bucket comes from a second hash, whose word hashes and base are independent of the
+first's, so that two different windows are taken as equal only if 61 bits and the bucket collide:
+61 bits and the logarithm of the buckets, whose number grows with the input.
+
+Rows are told apart by (doc_id, text): where an id stands for several texts, the text's hash is
+part of the place, and orders the rows of the id.
 
 Defined cases: null text is an empty text; fewer words than ``width`` lose nothing; rows that
-share a doc_id are one document, and a window at the same place of both is no repetition; a
-null doc_id counts as the smallest. Other columns of the input are ignored.
+share a doc_id but not the text are documents of their own; equal rows (id and text) are one
+document, so that its windows at the same place are no repetition; a null doc_id counts as the
+smallest; an empty table gives no rows. Other columns of the input are ignored unless carried.
 """
 
 from __future__ import annotations
@@ -27,26 +31,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import tokens
-from quarry.scratch import groups_for
+from quarry.scratch import groups_for, materialize
 
 NULL_ID = -(1 << 63)
 FLUSH = 1 << 20
+#: Up to so many ids that stand for several texts are broadcast (8 bytes each).
+BROADCAST_IDS = 1_000_000
 PACKED = "key int, kind int, block binary"
 RESULT = "kept_text string, n_words long, n_removed long, removed array<struct<first:long,behind:long>>"
 
 
 def _pack(*columns: np.ndarray) -> bytes:
-    """Sorted columns as differences, compressed; the last column (if of hashes) is kept as it is."""
+    """Sorted places (doc, nth, at) as differences, compressed; a column of hashes is kept as it is."""
     n = len(columns[0])
-    head = np.array([n], np.int64).tobytes()
-    small = b"".join(np.diff(c, prepend=c.dtype.type(0)).tobytes() for c in columns[:2])
-    return head + np.array([len(s := zstandard.compress(small, 1))], np.int64).tobytes() + s + b"".join(c.tobytes() for c in columns[2:])
+    small = zstandard.compress(b"".join(np.diff(c, prepend=c.dtype.type(0)).tobytes() for c in columns[:3]), 1)
+    return np.array([n, len(small)], np.int64).tobytes() + small + b"".join(c.tobytes() for c in columns[3:])
 
 
 def _unpack(block: bytes, hashes: bool) -> tuple[np.ndarray, ...]:
     n, size = np.frombuffer(block, np.int64, 2)
     small = zstandard.decompress(block[16 : 16 + size])
-    out = np.cumsum(np.frombuffer(small, np.int64, n)), np.cumsum(np.frombuffer(small, np.int64, n, 8 * n))
+    out = tuple(np.cumsum(np.frombuffer(small, np.int64, n, 8 * k * n)) for k in range(3))
     return (*out, np.frombuffer(block, np.uint64, n, 16 + size)) if hashes else out
 
 
@@ -59,12 +64,12 @@ def _deal(key: np.ndarray, kind: int, *columns: np.ndarray):
         yield int(key[a]), kind, _pack(*(c[order[a:b]] for c in columns))
 
 
-def _home(doc: np.ndarray, groups: int) -> np.ndarray:
-    """The group of a document, as Spark's pmod(xxhash64(doc_id), groups)."""
-    return tokens.hash_long(doc) % np.int64(groups)
+def _home(doc: np.ndarray, nth: np.ndarray, groups: int) -> np.ndarray:
+    """The group of a document, as Spark's pmod(xxhash64(doc_id, nth), groups)."""
+    return tokens.hash_long(nth, tokens.hash_long(doc)) % np.int64(groups)
 
 
-def _first_of_equal(doc, at, h):
+def _first_of_equal(doc, nth, at, h):
     """Which entries are the earliest of their hash; entries come in any order. Only those whose
     hash another entry has, which are few, are sorted by place."""
     order = np.argsort(h)
@@ -74,31 +79,31 @@ def _first_of_equal(doc, at, h):
     out[order[1:][equal]] = False
     out[order[:-1][equal]] = False
     several = np.flatnonzero(~out)
-    doc, at, h = doc[several], at[several], h[several]
-    order = np.lexsort((at, doc, h))
-    h, doc, at = h[order], doc[order], at[order]
+    order = several[np.lexsort((at[several], nth[several], doc[several], h[several]))]
+    h, doc, nth, at = h[order], doc[order], nth[order], at[order]
     fresh = np.ones(len(h), bool)
     fresh[1:] = h[1:] != h[:-1]
     top = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
-    out[several[order]] = (doc == doc[top]) & (at == at[top])
+    out[order] = (doc == doc[top]) & (nth == nth[top]) & (at == at[top])
     return out
 
 
 def _windows(width: int, groups: int):
     def run(batches):
-        base, other, values, separators = tokens.Powers(), tokens.Powers(tokens.OTHER_BASE), tokens.byte_values(False), tokens.white_space()
+        (one, base), (two, other), separators = tokens.ONE, tokens.TWO, tokens.white_space()
+        one, two = tokens.byte_values(False, one), tokens.byte_values(False, two)
         held: list = []
         size = 0
 
         def flush():
-            doc, at, h, key = (np.concatenate(x) for x in zip(*held, strict=True))
+            doc, nth, at, h, key = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
-            first = _first_of_equal(doc, at, h)
-            later, doc_at = ~first, (doc, at)
+            first = _first_of_equal(doc, nth, at, h)
+            later = ~first
             if later.any():
-                d, a = (x[later] for x in doc_at)
-                yield from _deal(_home(d, groups), 1, d, a)
-            yield from _deal(key[first], 0, doc[first], at[first], h[first])
+                places = doc[later], nth[later], at[later]
+                yield from _deal(_home(*places[:2], groups), 1, *places)
+            yield from _deal(key[first], 0, doc[first], nth[first], at[first], h[first])
 
         def out(rows):
             rows = list(rows)
@@ -106,16 +111,16 @@ def _windows(width: int, groups: int):
 
         for batch in batches:
             ids = batch.column(0).fill_null(NULL_ID).to_numpy(zero_copy_only=False)
-            data, starts = tokens.utf8(batch.column(1))
+            several = batch.column(1).to_numpy(zero_copy_only=False)
+            data, starts = tokens.utf8(batch.column(2))
             for row, part, offsets in tokens.chunks(data, starts):
                 first, behind, doc = tokens.word_spans(part, offsets, separators)
-                words = tokens.span_hashes(values[part], first, behind, base)
-                at, h = tokens.window_hashes(words, doc, width, base)
+                at, h = tokens.window_hashes(tokens.word_hashes(one, part, first, behind), doc, width, base)
                 if len(h):
-                    key = tokens.window_hashes(words, doc, width, other)[1] % np.uint64(groups)
+                    key = tokens.window_hashes(tokens.word_hashes(two, part, first, behind), doc, width, other)[1] % np.uint64(groups)
                     where = doc[at]
                     begin = np.searchsorted(doc, where)
-                    held.append((ids[row + where], at - begin, h, key.astype(np.int32)))
+                    held.append((ids[row + where], several[row + where], at - begin, h, key.astype(np.int32)))
                     size += len(h)
                 if size >= FLUSH:
                     yield out(flush())
@@ -133,13 +138,13 @@ def _count(groups: int):
         kinds, blocks = table.column("kind").to_pylist(), table.column("block")
         places = [_unpack(b.as_py(), True) for k, b in zip(kinds, blocks, strict=True) if k == 0]
         if places:
-            doc, at, h = (np.concatenate(x) for x in zip(*places, strict=True))
+            doc, nth, at, h = (np.concatenate(x) for x in zip(*places, strict=True))
             places.clear()
-            later = ~_first_of_equal(doc, at, h)
-            if later.any():
-                order = np.lexsort((at[later], doc[later]))
-                doc, at = doc[later][order], at[later][order]
-                rows = [(k, b) for k, _, b in _deal(_home(doc, groups), 1, doc, at)]
+            later = np.flatnonzero(~_first_of_equal(doc, nth, at, h))
+            if len(later):
+                later = later[np.lexsort((at[later], nth[later], doc[later]))]
+                doc, nth, at = doc[later], nth[later], at[later]
+                rows = [(k, b) for k, _, b in _deal(_home(doc, nth, groups), 1, doc, nth, at)]
         marked = [_unpack(b.as_py(), False) for k, b in zip(kinds, blocks, strict=True) if k == 1]
         if marked:  # their key is their documents' group
             rows.append((table.column("key")[0].as_py(), _pack(*(np.concatenate(x) for x in zip(*marked, strict=True)))))
@@ -160,18 +165,24 @@ def _removed(starts: np.ndarray, width: int, n: int) -> list[tuple[int, int]]:
     return [(int(a), int(b) + width) for a, b in zip(starts[np.r_[0, cut]], starts[np.r_[cut - 1, len(starts) - 1]], strict=True)]
 
 
-def _remove(width: int):
+def _remove(width: int, untouched: bool):
     def run(docs: pa.Table, marks: pa.Table) -> pa.Table:
         places = [_unpack(b.as_py(), False) for b in marks.column("block")]
-        doc, at = (np.concatenate(x) for x in zip(*places, strict=True)) if places else (np.empty(0, np.int64),) * 2
-        order = np.argsort(doc, kind="stable")
-        doc, at = doc[order], at[order]
-        ids = docs.column("doc_id")
-        keys = ids.combine_chunks().fill_null(NULL_ID).to_numpy(zero_copy_only=False)
-        low, high = np.searchsorted(doc, keys), np.searchsorted(doc, keys, side="right")
+        of: dict[tuple[int, int], tuple[int, int]] = {}
+        at = np.empty(0, np.int64)
+        if places:
+            doc, nth, at = (np.concatenate(x) for x in zip(*places, strict=True))
+            places.clear()
+            order = np.lexsort((nth, doc))
+            doc, nth, at = doc[order], nth[order], at[order]
+            cuts = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (nth[1:] != nth[:-1]), True])
+            of = dict(zip(zip(doc[cuts[:-1]].tolist(), nth[cuts[:-1]].tolist(), strict=True), zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True), strict=True))
+        keys = zip((NULL_ID if i is None else i for i in docs.column("doc_id").to_pylist()), docs.column("nth").to_pylist(), strict=True)
         kept, n_words, n_removed, spans = [], [], [], []
-        for text, a, b in zip(docs.column("text"), low, high, strict=True):
-            words = (text.as_py() or "").encode("utf-8", "surrogatepass").split()
+        for text, key in zip(docs.column("text"), keys, strict=True):
+            whole = (text.as_py() or "").encode("utf-8", "surrogatepass")
+            words = whole.split()
+            a, b = of.get(key, (0, 0))
             gone = _removed(at[a:b], width, len(words)) if b > a else []
             n_words.append(len(words))
             n_removed.append(sum(y - x for x, y in gone))
@@ -179,9 +190,9 @@ def _remove(width: int):
             if gone:
                 edges = [0, *itertools.chain.from_iterable(gone), len(words)]
                 words = [w for x, y in zip(edges[::2], edges[1::2], strict=True) for w in words[x:y]]
-            kept.append(b" ".join(words))
+            kept.append(whole if untouched and not gone else b" ".join(words))
         tokens.release()
-        own = {name: docs.column(name) for name in docs.column_names if name not in ("text", "home")}
+        own = {name: docs.column(name) for name in docs.column_names if name not in ("text", "home", "nth")}
         return pa.table(own | {
             "kept_text": pa.array(kept, pa.binary()).cast(pa.string()), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()),
             "removed": pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("behind", pa.int64())]))),
@@ -190,16 +201,28 @@ def _remove(width: int):
     return run
 
 
-def substring_dedup(docs: DataFrame, width: int = 20, carry: tuple[str, ...] = ()) -> DataFrame:
+def _told_apart(rows: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, text, ...) with ``nth``: 0, or the hash of the text if rows of the id differ in it."""
+    key, own = F.coalesce("doc_id", F.lit(NULL_ID)), F.xxhash64("text")
+    spread = rows.groupBy(key.alias("several")).agg(F.min(own).alias("least"), F.max(own).alias("most"))
+    several = materialize(spread.where("least <> most").select("several"))
+    n = several.count()
+    if n == 0:
+        return rows.withColumn("nth", F.lit(0).cast("long"))
+    met = rows.join(F.broadcast(several) if n <= BROADCAST_IDS else several, key == F.col("several"), "left")
+    return met.withColumn("nth", F.when(F.col("several").isNotNull(), own).otherwise(F.lit(0))).drop("several")
+
+
+def substring_dedup(docs: DataFrame, width: int = 20, carry: tuple[str, ...] = (), untouched: bool = False) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text): doc_id, the columns named in ``carry`` as
     ``carry_<name>``, then the text without the words that repeated windows cover (kept words
-    joined by one space), the counts, and the removed intervals of word positions. See the module
-    for the method and the defined cases."""
+    joined by one space; with ``untouched`` a text that loses no word stays as it is), the counts,
+    and the removed intervals of word positions. See the module for the method and the defined cases."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(F.col(c).alias(f"carry_{c}") for c in carry))
-    words = rows.select("doc_id", "text")
-    groups = groups_for(words, 16, 2)
-    marks = words.mapInArrow(_windows(width, groups), PACKED).groupBy("key").applyInArrow(_count(groups), "home int, block binary")
-    home = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(NULL_ID))), F.lit(groups)).cast("int")
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema if f.name != "text"}
+    groups = groups_for(rows.select("doc_id", "text"), 16, 2)
+    rows = _told_apart(rows)
+    marks = rows.select("doc_id", "nth", "text").mapInArrow(_windows(width, groups), PACKED).groupBy("key").applyInArrow(_count(groups), "home int, block binary")
+    home = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(NULL_ID)), "nth"), F.lit(groups)).cast("int")
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema if f.name not in ("text", "nth")}
     result = ", ".join([*(f"`{name}` {kind}" for name, kind in kinds.items()), RESULT])
-    return rows.withColumn("home", home).groupBy("home").cogroup(marks.groupBy("home")).applyInArrow(_remove(width), result)
+    return rows.withColumn("home", home).groupBy("home").cogroup(marks.groupBy("home")).applyInArrow(_remove(width, untouched), result)

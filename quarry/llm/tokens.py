@@ -1,8 +1,9 @@
 """Words and their hashes over whole Arrow columns, without a Python object per word.
 
 A word is a run of bytes other than 0x20 and 0x09-0x0D, which in UTF-8 is the same as
-``[^\\x20\\x09-\\x0D]+`` over code points. Hashes are polynomials modulo 2**64 over random
-byte values, read off prefix sums (Rabin-Karp), then mixed.
+``[^\\x20\\x09-\\x0D]+`` over code points. A word's hash is the sum of a 64-bit mix of each byte
+and its place in the word, so that no structure of long words cancels out. A window's hash is a
+polynomial over its words' hashes modulo the prime 2**61 - 1 (Rabin-Karp), built from halves.
 """
 
 from __future__ import annotations
@@ -15,8 +16,10 @@ import pyarrow.compute as pc
 
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
-#: For a second hash that is independent of the first.
-OTHER_BASE = 0xC6A4A7935BD1E995
+PRIME = (1 << 61) - 1
+#: (seed of word hashes, base of window hashes) of two independent hashes.
+ONE = (0xD1342543DE82EF95, 0x0B5297A4D3F1C68E % PRIME)
+TWO = (0x2545F4914F6CDD1D, 0x1A2F8C3B7E90D455 % PRIME)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -28,8 +31,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def byte_values(lower: bool) -> np.ndarray:
-    values = mix(np.arange(1, 257, dtype=U) * U(0xD1342543DE82EF95))
+def byte_values(lower: bool, seed: int = ONE[0]) -> np.ndarray:
+    values = mix(np.arange(1, 257, dtype=U) * U(seed))
     if lower:
         values[65:91] = values[97:123]
     return values
@@ -105,12 +108,55 @@ def span_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray, base: Po
     return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(U))
 
 
-def window_hashes(words: np.ndarray, row: np.ndarray, width: int, base: Powers) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(values: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of the bytes data[start:end] of every word; words do not overlap and ascend."""
+    length = end - start
+    sums = np.zeros(int(length.sum()) + 1, U)
+    behind = np.cumsum(length)
+    place = np.arange(len(sums) - 1, dtype=np.int64) - np.repeat(behind - length, length)
+    bytes_ = data[place + np.repeat(start, length)]
+    np.cumsum(mix(values[bytes_] + place.view(U) * U(0x9E3779B97F4A7C15)), out=sums[1:])
+    return mix(sums[behind] - sums[behind - length] + length.view(U))
+
+
+def _times(a: np.ndarray, b: int) -> np.ndarray:
+    """a * b modulo PRIME of values below it, without wider integers."""
+    half, low = U(31), U((1 << 31) - 1)
+    high, rest = a >> half, a & low
+    b_high, b_rest = U(b >> 31), U(b & ((1 << 31) - 1))
+    middle = high * b_rest + rest * b_high
+    total = high * b_high * U(2) + (middle >> U(30)) + ((middle & U((1 << 30) - 1)) << half) + rest * b_rest
+    return _reduce(total)
+
+
+def _reduce(x: np.ndarray) -> np.ndarray:
+    x = (x & U(PRIME)) + (x >> U(61))
+    return x - U(PRIME) * (x >= U(PRIME))
+
+
+def _polynomials(words: np.ndarray, width: int, base: int) -> np.ndarray:
+    """The polynomial of words[i : i + width] for every i, in steps that double the width."""
+    one, out, have, span = _reduce(words >> U(3)), None, 0, 1
+    while True:
+        if width & span:
+            if out is None:
+                out = one
+            else:
+                n = len(words) - have - span + 1
+                out = _reduce(_times(out[:n], pow(base, span, PRIME)) + one[have : have + n])
+            have += span
+        if have == width:
+            return out
+        one = _reduce(_times(one[:-span], pow(base, span, PRIME)) + one[span:])
+        span *= 2
+
+
+def window_hashes(words: np.ndarray, row: np.ndarray, width: int, base: int) -> tuple[np.ndarray, np.ndarray]:
     """Index of the first word, and a hash, for every ``width`` consecutive words of one row."""
     if len(words) < width:
         return np.empty(0, np.int64), np.empty(0, U)
     first = np.flatnonzero(row[width - 1 :] == row[: len(row) - width + 1])
-    return first, span_hashes(words, first, first + width, base)
+    return first, mix(_polynomials(words, width, base)[first] + U(width * BASE % (1 << 64)))
 
 
 def release() -> None:
@@ -121,11 +167,11 @@ def release() -> None:
         trim(0)
 
 
-def hash_long(x: np.ndarray) -> np.ndarray:
-    """Spark's xxhash64 of a long column, as int64."""
+def hash_long(x: np.ndarray, seed: np.ndarray | int = 42) -> np.ndarray:
+    """Spark's xxhash64 of a long column, as int64; ``seed``: the hash of the columns before it."""
     p1, p2, p3, p4, p5 = (U(v) for v in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
     turn = lambda v, n: (v << U(n)) | (v >> U(64 - n))
-    h = np.full(len(x), 42, U) + p5 + U(8)
+    h = (np.full(len(x), seed, np.int64) if isinstance(seed, int) else seed).view(U) + p5 + U(8)
     h ^= turn(x.astype(np.int64).view(U) * p2, 31) * p1
     h = turn(h, 27) * p1 + p4
     h = (h ^ (h >> U(33))) * p2

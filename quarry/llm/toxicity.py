@@ -36,21 +36,20 @@ def _separators() -> np.ndarray:
     return out
 
 
-def _words(text_column, base: tokens.Powers):
+def _words(text_column):
     """(first row, rows, hashes, row of each) by chunk."""
     values, separators = tokens.byte_values(True), _separators()
     data, starts = tokens.utf8(text_column)
     for row, part, offsets in tokens.chunks(data, starts):
         first, behind, doc = tokens.word_spans(part, offsets, separators)
-        yield row, len(offsets) - 1, tokens.span_hashes(values[part], first, behind, base), doc
+        yield row, len(offsets) - 1, tokens.word_hashes(values, part, first, behind), doc
 
 
 def _bags(batches):
     """Distinct words and counts of each document, as bytes."""
-    base = tokens.Powers()
     for batch in batches:
         words, counts = [], []
-        for _, rows, h, doc in _words(batch.column(1), base):
+        for _, rows, h, doc in _words(batch.column(1)):
             cuts = np.searchsorted(doc, np.arange(rows + 1))
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 w, n = np.unique(h[a:b], return_counts=True)
@@ -144,12 +143,11 @@ def fit(bags, share: float, features: int = 1024, rounds: int = 400) -> Grader |
 
 def _graded(grader: Grader | None, share: float):
     def run(batches):
-        base = tokens.Powers()
         for batch in batches:
             if grader is None:
                 above = np.tile(np.array([[float(share), 0.0]]), (batch.num_rows, 1))
             else:
-                scores = [grader.score(h, doc, rows) for _, rows, h, doc in _words(batch.column(1), base)]
+                scores = [grader.score(h, doc, rows) for _, rows, h, doc in _words(batch.column(1))]
                 above = grader.above(np.concatenate(scores) if scores else np.empty(0))
             p = np.stack([1 - above[:, 0], above[:, 0] - above[:, 1], above[:, 1]], 1)
             yield pa.RecordBatch.from_arrays(
