@@ -5,13 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.scratch import materialize
+from quarry.scratch import materialize, passing
 
 
 def components(edges: DataFrame) -> DataFrame:
     """Edges (a, b) of longs to rows (node, root), root the smallest node that links reach. Nodes
     without an edge have no row. A node of any degree is met only by map-side aggregation and by
-    joins whose other side has one row for each key."""
+    joins whose other side has one row for each key. An edge from a node to itself gives the node;
+    edges with a null end are left out; repeated edges are one; no edges give no rows."""
+    with passing(edges.sparkSession) as keep:
+        return keep(_rooted(edges.where("a is not null and b is not null")))
+
+
+def _rooted(edges: DataFrame) -> DataFrame:
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     parents = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("root")))
     left = edges.select("a", "b")

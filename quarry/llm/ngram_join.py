@@ -25,7 +25,8 @@ size, and no link between components is missed.
 
 Skew: copies collapse in each task before they are sent; a family is split into blocks; hot keys
 meet only one-row-a-key tables. Nothing but the sketch (a byte for each counter) is collected.
-Two different sets or shingles are equal only if 64-bit hashes collide.
+Two different shingles are taken as equal only if their words' 64-bit hashes or the polynomials
+modulo a 61-bit prime over them collide, two sets only if a 64-bit hash of all their shingles does.
 
 Defined cases: null text, or text without words, has the empty set, its own component and no
 link; fewer words than ``width`` are one shingle; rows that share a doc_id are documents of their
@@ -37,15 +38,18 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm import tokens
 from quarry.llm.components import components
-from quarry.scratch import groups_for, materialize
+from quarry.scratch import groups_for, materialize, passing
 
 SKETCH = 22
 SKETCH_BLOCK = 1 << 13
+#: Sketches of so many tasks are summed at once.
+FAN = 64
 BLOCK = 128
 BLOCK_TOKENS = 1 << 19
 #: The shortest bitmap: small sets differ in few shingles, of which few may fall together by chance.
@@ -58,7 +62,7 @@ class Shingler:
     """Distinct shingles of every row of an Arrow column, by chunk."""
 
     def __init__(self, width: int) -> None:
-        self.width, self.base = width, tokens.Powers()
+        self.width, self.base = width, tokens.ONE[1]
         self.values, self.separators = tokens.byte_values(True), tokens.white_space()
 
     def sets(self, column, classes: np.ndarray | None = None):
@@ -67,12 +71,16 @@ class Shingler:
         for row, part, offsets in tokens.chunks(data, starts):
             rows = len(offsets) - 1
             first, behind, doc = tokens.word_spans(part, offsets, self.separators)
-            words = tokens.span_hashes(self.values[part], first, behind, self.base)
+            words = tokens.word_hashes(self.values, part, first, behind)
             at, h = tokens.window_hashes(words, doc, self.width, self.base)
-            cuts = np.searchsorted(doc, np.arange(rows + 1))
-            few = np.flatnonzero((np.diff(cuts) > 0) & (np.diff(cuts) < self.width))
-            h = np.concatenate([h, tokens.span_hashes(words, cuts[few], cuts[few + 1], self.base)])
-            of = np.concatenate([doc[at], few])
+            n_words = np.bincount(doc, minlength=rows)
+            hashes, of = [h], [doc[at]]
+            for short in range(1, self.width):  # a text of fewer words is one shingle
+                few = np.flatnonzero(n_words[doc] == short)
+                if len(few):
+                    at, h = tokens.window_hashes(words[few], doc[few], short, self.base)
+                    hashes.append(h), of.append(doc[few][at])
+            h, of = np.concatenate(hashes), np.concatenate(of)
             order = np.argsort(h)
             if classes is not None:
                 order = order[np.argsort(classes[slots(h[order])], kind="stable")]
@@ -114,7 +122,7 @@ def set_ids(h: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray, np.n
 
 def _survey(width: int):
     """Rows (doc_id, key, set_id, n, bits) of documents, bits once a set and task, then (block,
-    counts) of the task's sketch."""
+    counts) of the task's sketch, with the task's number as n."""
 
     def run(batches):
         shingler, counts = Shingler(width), np.zeros(1 << SKETCH, np.uint32)
@@ -137,20 +145,29 @@ def _survey(width: int):
                     seen.clear()
             none = batch.num_rows
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate(ids)), pa.array(np.concatenate(sizes)), pa.array(bits, pa.binary()), pa.nulls(none, pa.int32()), pa.nulls(none, pa.binary())], names)
-        blocks = [(k, zstandard.compress(c.tobytes(), 1)) for k, c in enumerate(counts.reshape(-1, SKETCH_BLOCK)) if c.any()]
+        blocks = [(k, zstandard.compress(c.astype(np.uint64).tobytes(), 1)) for k, c in enumerate(counts.reshape(-1, SKETCH_BLOCK)) if c.any()]
         none = len(blocks)
         del seen, counts
         tokens.release()
-        yield pa.RecordBatch.from_arrays([*(pa.nulls(none, pa.int64()) for _ in range(4)), pa.nulls(none, pa.binary()), pa.array([b[0] for b in blocks], pa.int32()), pa.array([b[1] for b in blocks], pa.binary())], names)
+        task = pa.array([TaskContext.get().partitionId()] * none, pa.int64())
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(none, pa.int64()) for _ in range(3)), task, pa.nulls(none, pa.binary()), pa.array([b[0] for b in blocks], pa.int32()), pa.array([b[1] for b in blocks], pa.binary())], names)
 
     return run
 
 
-def _add_up(table: pa.Table) -> pa.Table:
+def _total(table: pa.Table) -> np.ndarray:
     total = np.zeros(SKETCH_BLOCK, np.uint64)
     for counts in table.column("counts"):
-        total += np.frombuffer(zstandard.decompress(counts.as_py()), np.uint32)
-    classes = np.floor(2 * np.log2(total.astype(np.float64) + 1)).astype(np.uint8)
+        total += np.frombuffer(zstandard.decompress(counts.as_py()), np.uint64)
+    return total
+
+
+def _sum(table: pa.Table) -> pa.Table:
+    return pa.table({"block": table.column("block").slice(0, 1), "counts": pa.array([zstandard.compress(_total(table).tobytes(), 1)], pa.binary()), "task": table.column("task").slice(0, 1)})
+
+
+def _add_up(table: pa.Table) -> pa.Table:
+    classes = np.floor(2 * np.log2(_total(table).astype(np.float64) + 1)).astype(np.uint8)
     return pa.table({"block": table.column("block").slice(0, 1), "classes": pa.array([classes.tobytes()], pa.binary())})
 
 
@@ -394,13 +411,29 @@ def join_components(docs: DataFrame, width: int = 3, percent: int = 90, keys: bo
     that links reach); with ``keys`` also key, the row's ``row_key``, and component_key, the key of
     the component's first row by (doc_id, key), null where no row has an id or the set is empty.
     See the module for the method and the defined cases."""
+    with passing(docs.sparkSession) as keep:
+        return keep(_components_of(docs, width, percent, keys))
+
+
+def _merged(sketches: DataFrame, tasks: int) -> DataFrame:
+    """(block, counts) of every task summed by a tree of FAN tasks' counts at a time to (block, classes)."""
+    rows = sketches.select("block", "counts", F.col("task"))
+    while tasks > FAN:
+        tasks = -(-tasks // FAN)
+        rows = rows.withColumn("task", F.pmod("task", F.lit(tasks)).cast("int")).groupBy("block", "task").applyInArrow(_sum, "block int, counts binary, task int")
+    return rows.groupBy("block").applyInArrow(_add_up, "block int, classes binary")
+
+
+def _components_of(docs: DataFrame, width: int, percent: int, keys: bool) -> DataFrame:
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     texts = texts.select("doc_id", row_key().alias("key"), "text")
     survey = materialize(texts.mapInArrow(_survey(width), "doc_id long, key long, set_id long, n long, bits binary, block int, counts binary"))
     known = survey.where("block is null").select("doc_id", "key", "set_id", "n")
     classes = np.zeros(1 << SKETCH, np.uint8)
-    for r in survey.where("block is not null").select("block", "counts").groupBy("block").applyInArrow(_add_up, "block int, classes binary").toLocalIterator():
+    sketches = survey.where("block is not null").select("block", "counts", F.col("n").cast("int").alias("task"))
+    tasks = (sketches.agg(F.max("task")).first()[0] or 0) + 1
+    for r in _merged(sketches, tasks).toLocalIterator():
         classes[r["block"] * SKETCH_BLOCK : (r["block"] + 1) * SKETCH_BLOCK] = np.frombuffer(r["classes"], np.uint8)
     shared = spark.sparkContext.broadcast(classes)
 
