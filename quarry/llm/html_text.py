@@ -1,17 +1,23 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped into lines, one for each block element's own text. Lines in containers that by
-tag, role, class or id are menus, headers, footers, sidebars, notices, adverts, forms or reader
-comments carry no text, nor do lines that are mostly links. The text lengths of ``WINDOW`` lines
+tag, role or a ``hidden`` attribute are menus, headers, footers, sidebars, notices, adverts, forms or
+reader comments carry no text, nor do lines that are mostly links. A class or id that says so counts,
+too, unless its container holds ``main`` or at least half of the page's text outside links, which no
+menu or notice does (what is named as comments stays out all the same). The text lengths of ``WINDOW`` lines
 are summed at every line, a line counting for ``LINE`` characters at most, so that one long
 paragraph does not put ordinary ones below the threshold. The text surges at the first line, and
 dives behind the last line, whose window reaches the threshold, a share of the largest sum; where the
-page marks an ``article`` or ``main`` element, only lines inside it have weight and the threshold is
-one character, so that short first and last lines of the mark stay (README). A heading just above the surge belongs to the text. All lines between that carry text are
+page marks ``article`` or ``main`` elements with at least ``MARK`` of its text, only lines inside them
+have weight and the threshold is one character, so that short first and last lines of the mark stay (README). A heading just above the surge belongs to the text. All lines between that carry text are
 kept, lists and tables of short lines too.
 
+Markup is scanned once, in time linear in the page, broken or not.
+
 Defined cases: null or empty html, or html without such text, gives an empty text; unclosed and
-stray tags are closed by their parents; repeated pages are extracted each on their own.
+stray tags are closed by their parents; a quote that is never closed is an ordinary character; a tag
+without an end drops what is left of the page; all windows that reach the threshold count alike, so
+ties need no rule; repeated pages are extracted each on their own; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,8 +35,12 @@ SHARE = 0.2
 #: A line counts for at most so many characters in a window, about one printed line.
 LINE = 80
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|</?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.S)
+#: Least share of the page's text that the marked elements hold, if the mark is to decide.
+MARK = 0.2
+
+QUOTES = re.compile(r"[\"'>]")
+NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
+ATTRIBUTE = re.compile(r"([^\s=/>\"']++)(?:\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]++)))?")
 RAW = frozenset("script style noscript template textarea title svg iframe object canvas math select option head".split())
 #: Elements whose content is not parsed as markup.
 OPAQUE = frozenset("script style textarea title noscript iframe".split())
@@ -46,107 +56,179 @@ HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 P_ENDS = BLOCK - {"html", "body"}
 
 
-def _is_aside(tag: str, attributes: str, in_article: bool) -> bool:
+COMMENTS = re.compile(r"(?:^|[\s_-])(?:comments?|comment\w*|disqus\w*|respond|repl(?:y|ies)|discussion)(?:$|[\s_-])", re.I)
+OPENED = re.compile(r"<(?:!--|!\[CDATA\[|[!?]|/?[a-zA-Z])")
+#: Not aside; aside by tag, role or attribute; by class or id; by a class or id of reader comments.
+NO, SURE, NAMED, COMMENT = range(4)
+
+
+def _aside(tag: str, attributes: str, in_article: bool) -> int:
     if tag in ASIDE or (tag == "header" and not in_article):
-        return True
+        return SURE
     if not attributes or tag in ("html", "body", "article", "main"):
-        return False
-    found = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(attributes)}
-    if found.get("role", "").lower() in ROLES or "hidden" in re.split(r"[\s/]+", attributes.lower()) or found.get("aria-hidden", "").lower() == "true":
-        return True
-    name = f"{found.get('class', '')} {found.get('id', '')}"
-    return bool(ASIDE_NAME.search(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name)))
+        return NO
+    found: dict[str, str] = {}
+    for name, a, b, c in ATTRIBUTE.findall(attributes):
+        found.setdefault(name.lower(), a or b or c)
+    if "hidden" in found or found.get("role", "").lower() in ROLES or found.get("aria-hidden", "").lower() == "true":
+        return SURE
+    name = re.sub(r"(?<=[a-z])(?=[A-Z])", "-", f"{found.get('class', '')} {found.get('id', '')}")
+    return COMMENT if COMMENTS.search(name) else NAMED if ASIDE_NAME.search(name) else NO
+
+
+def markup(page: str):
+    """(start, end, tag, closing, attributes) of tags, in order, each behind the one before. The tag
+    is empty for comments, declarations and the like; a CDATA section's text is its attributes."""
+    last = {mark: page.rfind(mark) for mark in ('"', "'", ">", "-->", "]]>")}
+    plain = False  # no quotes: after a tag whose quotes hide its end
+
+    def tag_end(at: int) -> int:
+        nonlocal plain
+        while not plain:
+            mark = QUOTES.search(page, at)
+            if mark is None:
+                plain = True
+            elif mark[0] == ">":
+                return mark.end()
+            else:
+                before = mark.start() - 1
+                while page[before].isspace():
+                    before -= 1
+                at = mark.end()
+                if page[before] == "=" and at <= last[mark[0]]:
+                    at = page.index(mark[0], at) + 1
+        return page.index(">", start) + 1
+
+    def behind(mark: str, at: int) -> int:
+        return page.index(mark, at) + len(mark) if at <= last[mark] else len(page)
+
+    at = 0
+    while (opened := OPENED.search(page, at)) is not None:
+        start, at = opened.span()
+        if opened[0] == "<!--":
+            at = behind("-->", at)
+            yield start, at, "", False, ""
+        elif opened[0] == "<![CDATA[" and at <= last["]]>"]:
+            at = behind("]]>", at)
+            yield start, at, "", False, page[start + 9 : at - 3]
+        elif start > last[">"]:
+            yield start, len(page), "", False, ""
+            return
+        elif opened[0][1] in "!?":
+            at = behind(">", at)
+            yield start, at, "", False, ""
+        else:
+            closing = opened[0][1] == "/"
+            name = NAME.match(page, start + 1 + closing)
+            at = tag_end(name.end())
+            tag = name[0].lower()
+            yield start, at, tag, closing, page[name.end() : at - 1]
+            if tag in OPAQUE and not closing:
+                close = re.compile(rf"</{tag}(?=[\s/>]|$)", re.I).search(page, at)
+                at = len(page) if close is None else close.start()
 
 
 def lines(page: str) -> list[tuple[str, int, bool, bool, str]]:
     """(text, characters within links, carries text, in an article, block tag) by line."""
-    out: list[tuple[str, int, bool, bool, str]] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, aside, article
+    out: list[tuple[str, int, bool, bool, str, int]] = []
+    stack: list[tuple[str, bool, bool, int]] = []  # tag, surely aside, article, named container around
+    places: dict[str, list[int]] = {}  # of the open elements of each tag in the stack
+    blocks: list[int] = []  # places of open block elements
+    named: list[tuple[int, bool]] = [(0, False)]  # by number: the container around, whether of comments
+    holds_main: set[int] = set()
     words: list[str] = []
     linked = links = raw = 0
-    asides = articles = 0
+    asides = articles = container = 0
 
     def end() -> None:
         nonlocal linked
         text = " ".join(entities.unescape("".join(words)).split())
         if text:
-            tag = next((t for t, _, _ in reversed(stack) if t in BLOCK), "")
-            out.append((text, linked, not asides, articles > 0, tag))
+            out.append((text, linked, not asides, articles > 0, stack[blocks[-1]][0] if blocks else "", container))
         words.clear()
         linked = 0
 
     def close(upto: int) -> None:
-        nonlocal links, raw, asides, articles
+        nonlocal links, raw, asides, articles, container
         while len(stack) > upto:
-            tag, aside, article = stack.pop()
+            tag, aside, article, container = stack.pop()
+            places[tag].pop()
+            if tag in BLOCK:
+                blocks.pop()
             links -= tag == "a"
             raw -= tag in RAW
             asides -= aside
             articles -= article
 
-    at, opaque = 0, None
-    for token in TOKEN.finditer(page):
-        if token.start() < at:
-            continue
-        if opaque is not None:
-            if token[1] and token[0][1] == "/" and token[1].lower() == opaque:
-                at, opaque = token.end(), None
-                close(len(stack) - 1)
-            continue
-        if token.start() > at and not raw:
-            piece = page[at : token.start()]
+    at = 0
+    for start, behind, tag, closing, attributes in markup(page):
+        if start > at and not raw:
+            piece = page[at:start]
             words.append(piece)
             linked += len(piece.strip()) * (links > 0)
-        at = token.end()
-        if not token[1]:
-            if token[0].startswith("<![CDATA[") and not raw:
-                words.append(token[0][9:-3])
+        at = behind
+        if not tag:
+            if not raw:
+                words.append(attributes)
             continue
-        tag, closing, attributes = token[1].lower(), token[0][1] == "/", token[2]
         if tag == "br":
             words.append(" ")
             continue
         if tag in BLOCK:
             end()
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    close(k)
-                    break
-                if tag not in BLOCK and stack[k][0] in BLOCK:
-                    break  # an inline end tag doesn't close blocks
+            # An inline end tag doesn't close blocks.
+            if places.get(tag) and (tag in BLOCK or not blocks or places[tag][-1] > blocks[-1]):
+                close(places[tag][-1])
             continue
         if tag in VOID or attributes.rstrip().endswith("/") and tag not in BLOCK:
             continue
-        if tag in P_ENDS:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == "p" or tag in ("li", "tr", "td", "th", "dd", "dt") and stack[k][0] == tag:
-                    close(k)
-                    break
-                if stack[k][0] in BLOCK:
-                    break
+        if tag in P_ENDS and blocks:
+            above = stack[blocks[-1]][0]
+            if above == "p" or tag in ("li", "tr", "td", "th", "dd", "dt") and above == tag:
+                close(blocks[-1])
         if tag == "body" and raw:
             close(0)
         article = tag in ("article", "main")
-        aside = _is_aside(tag, attributes, articles > 0)
-        stack.append((tag, aside, article))
+        aside = _aside(tag, attributes, articles > 0)
+        stack.append((tag, aside == SURE, article, container))
+        places.setdefault(tag, []).append(len(stack) - 1)
+        if tag in BLOCK:
+            blocks.append(len(stack) - 1)
+        if aside in (NAMED, COMMENT):
+            named.append((container, aside == COMMENT))
+            container = len(named) - 1
+        if tag == "main":
+            around = container
+            while around and around not in holds_main:
+                holds_main.add(around)
+                around = named[around][0]
         links += tag == "a"
         raw += tag in RAW
-        asides += aside
+        asides += aside == SURE
         articles += article
-        if tag in OPAQUE:
-            opaque = tag
-    if opaque is None and not raw:
+    if not raw and at < len(page):
         words.append(page[at:])
     end()
-    return out
+    out_of = [False] * len(named)
+    if len(named) > 1:
+        held = [0] * len(named)
+        for text, in_links, carries, _, _, own in out:
+            held[own] += (len(text) - min(in_links, len(text))) * carries
+        for k in range(len(named) - 1, 0, -1):
+            held[named[k][0]] += held[k]
+        for k in range(1, len(named)):
+            around, comments = named[k]
+            out_of[k] = out_of[around] or not (k in holds_main or (2 * held[k] >= held[0] > 0 and not comments))
+    return [(text, in_links, carries and not out_of[own], inside, tag) for text, in_links, carries, inside, tag, own in out]
 
 
 def main_text(page: str | None) -> str:
     if not page:
         return ""
     rows = lines(page)
-    marked = any(row[3] and row[2] for row in rows)
+    inside, outside = (sum(max(len(r[0]) - r[1], 0) for r in rows if r[2] and r[3] == mark) for mark in (True, False))
+    marked = any(row[3] and row[2] for row in rows) and inside >= MARK * (inside + outside)
     weight = []
     for text, linked, carries, inside, _ in rows:
         mostly_links = linked * 2 > len(text) and not (marked and inside and linked < len(text))
