@@ -14,10 +14,13 @@ can hold; a cell with more than ``block`` entries is dealt to as many parts as i
 query visits every part. Only the codebooks and the cells' counts and distances (5 * centroids**2 numbers) go to the
 driver and the executors, both of fixed size.
 
-Defined cases: vectors that are null, zero, or hold null or non-finite components take no part,
-nor do rows with null id; vectors of another length than the most frequent one (ties: the longer)
-take no part; fewer candidates than k give fewer rows; rows that share an id are one row, with the
-smallest vector; ties of score go to the smaller id.
+Defined cases: vectors that are null, empty, zero, or hold null or non-finite components take no
+part, nor do rows with null id; vectors are scaled by a power of two first, so that no finite one
+overflows or vanishes. Vectors of each length are searched among themselves. Every row is a candidate
+of its own: rows that share an id may each be found, equal rows (id and vector) are one. A query id
+with several vectors asks with the smallest by (length, bytes), and none of the rows with its id is
+found. Fewer candidates than k give fewer rows; ties of score go to the smaller id; an empty table
+gives no rows. Other columns are ignored. A vector is held whole by one task.
 """
 
 from __future__ import annotations
@@ -27,10 +30,11 @@ import heapq
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.scratch import materialize, shuffle_partitions
+from quarry.scratch import groups_for, materialize, passing
 
 FOUND = "query_id long, vec_id long, score double"
 #: Far above what rounding adds to a squared distance of unit vectors.
@@ -85,17 +89,22 @@ def _unit(vectors) -> np.ndarray:
 
 
 def _clean(batches):
-    """(vec_id, vector as bytes of doubles, its length) of the rows that take part."""
+    """(vec_id, vector as bytes of doubles, its length) of the rows that take part, each scaled by
+    the power of two that brings its largest component to between 1/2 and 1."""
     for batch in batches:
-        ids, vectors, lengths = [], [], []
-        for vec_id, vector in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if vec_id is None or not vector or None in vector:
-                continue
-            x = np.array(vector, "<f8") + 0.0
-            size = np.square(x).sum()
-            if np.isfinite(x).all() and size > 0 and np.isfinite(size):
-                ids.append(vec_id), vectors.append(x.tobytes()), lengths.append(len(x))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(vectors, pa.binary()), pa.array(lengths, pa.int32())], ["vec_id", "vector", "length"])
+        column, ids = batch.column(1), batch.column(0)
+        sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = column.flatten().to_numpy(zero_copy_only=False).astype("<f8") + 0.0  # null is not a number here
+        some = np.flatnonzero(sizes)
+        most = np.zeros(len(sizes))
+        if len(some):
+            with np.errstate(invalid="ignore"):
+                most[some] = np.maximum.reduceat(np.abs(flat), (np.cumsum(sizes) - sizes)[some])
+        fit = (most > 0) & np.isfinite(most) & ~ids.is_null().to_numpy(zero_copy_only=False)
+        flat = np.ldexp(flat[np.repeat(fit, sizes)], -np.repeat(np.frexp(most[fit])[1], sizes[fit]))
+        sizes = sizes[fit]
+        data = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(np.r_[0, np.cumsum(sizes) * 8].astype("<i8").tobytes()), pa.py_buffer(flat.tobytes())])
+        yield pa.RecordBatch.from_arrays([ids.filter(pa.array(fit)), data.cast(pa.binary()), pa.array(sizes, pa.int32())], ["vec_id", "vector", "length"])
 
 
 def _fewest(k: int):
@@ -113,13 +122,12 @@ def _fewest(k: int):
                 ids = held.setdefault(v, [])
                 ids.append(i)
                 if len(ids) > 4 * k:
-                    ids.sort()
-                    del ids[k:]
+                    ids[:] = sorted(set(ids))[:k]
             if len(held) > 50_000:
-                held = {v: sorted(ids)[:k] for v, ids in held.items()}
+                held = {v: sorted(set(ids))[:k] for v, ids in held.items()}
                 yield out()
                 held = {}
-        held = {v: sorted(ids)[:k] for v, ids in held.items()}
+        held = {v: sorted(set(ids))[:k] for v, ids in held.items()}
         if held:
             yield out()
 
@@ -130,15 +138,22 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, centroids: int = 48,
     """For every row of ``vectors`` (vec_id, embedding) whose id is divisible by ``every``: its k
     nearest other rows by cosine: query_id, rank (from 1), vec_id, score. See the module."""
     spark = vectors.sparkSession
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector"))
-    rows = rows.mapInArrow(_clean, "vec_id long, vector binary, length int")
-    rows = materialize(rows.groupBy("vec_id").agg(F.min(F.struct("length", "vector")).alias("own")).select("vec_id", "own.*"))
-    usual = rows.groupBy("length").count().orderBy(F.desc("count"), F.desc("length")).limit(1).collect()
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    if not usual:
-        return empty
-    rows = rows.where(F.col("length") == usual[0]["length"]).select("vec_id", "vector")
-    entries = rows.mapInArrow(_fewest(k + 1), "vector binary, vec_id long").groupBy("vector").agg(F.slice(F.array_sort(F.collect_list("vec_id")), 1, k + 1).alias("ids"))
+    with passing(spark) as keep:
+        rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector"))
+        rows = materialize(rows.mapInArrow(_clean, "vec_id long, vector binary, length int"))
+        asked = rows.where(F.pmod(F.col("vec_id"), F.lit(every)) == 0)
+        queries = materialize(asked.groupBy("vec_id").agg(F.min(F.struct("length", "vector")).alias("own")).select("vec_id", "own.*"))
+        found = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        for length in sorted(r["length"] for r in queries.select("length").distinct().collect()):  # as a rule, one
+            of_length = F.col("length") == length
+            found = found.unionByName(_search(rows.where(of_length).select("vec_id", "vector"), queries.where(of_length).select("vec_id", "vector"), k, centroids, sample, reach, block))
+        return keep(found)
+
+
+def _search(rows: DataFrame, queries: DataFrame, k: int, centroids: int, sample: int, reach: float, block: int) -> DataFrame:
+    """``search`` among vectors of one length, given what takes part."""
+    spark = rows.sparkSession
+    entries = rows.mapInArrow(_fewest(k + 1), "vector binary, vec_id long").groupBy("vector").agg(F.slice(F.array_sort(F.collect_set("vec_id")), 1, k + 1).alias("ids"))
 
     some = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
     x = _unit([r["vector"] for r in some])
@@ -165,7 +180,7 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, centroids: int = 48,
     enough = int(np.ceil(reach * counts.sum()))
     sizes = spark.sparkContext.broadcast(counts.reshape(-1, width))
     ranges = spark.sparkContext.broadcast(spans.reshape(4, -1, width))
-    parts = shuffle_partitions(spark)
+    parts = groups_for(entries, 16, 1)
 
     def visits(batches):
         """The first round's cells of (vec_id, vector); the second round's of (vec_id, vector, k-th score)."""
@@ -227,7 +242,6 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, centroids: int = 48,
 
     turn = F.pmod(F.xxhash64("vector"), F.lit(1 << 30))
     held = entries.withColumn("part", dealt("cell", turn)).select("part", "cell", "vector", "ids")
-    queries = rows.where(F.pmod(F.col("vec_id"), F.lit(every)) == 0)
     visit = "part int, query_id long, vector binary, cells binary, edge double"
     rerun = lambda asked: materialize(asked.mapInArrow(visits, visit).groupBy("part").cogroup(held.groupBy("part")).applyInArrow(rerank, FOUND))
     best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("far"), "vec_id"))), 1, k)
