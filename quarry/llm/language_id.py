@@ -10,11 +10,14 @@ language with equal weight) and ``per_document`` windows of each, from one slice
 code points at a drawn place. Prediction reads every whole text, in bounded blocks of windows.
 
 Defined cases: null text or text without a letter is ``und`` with score 0; with no labelled row
-every text is ``und``; a null doc_id is never held out; labels are any strings.
+every text is ``und``; a null doc_id is never held out; labels are any strings; among languages of
+equal probability the first by code point is given; repeated rows are drawn together and each is
+labelled; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable
 
 import numpy as np
@@ -34,19 +37,32 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("long").cast("string")) % 5 == 0, F.lit(False))
 
 
-def training_sample(docs: DataFrame, sample: int, slice_chars: int, max_langs: int = 1000) -> list[tuple[str, str]]:
-    """(lang, slice of text) of at most ``sample`` documents that are not held out. Languages
-    beyond the ``max_langs`` most frequent are not learned."""
+def _threshold(counts: list[int], expected: float) -> float:
+    """Where ``turn`` must lie below so that about ``expected`` rows do, of all languages alike."""
+    low, high = 0.0, 64.0 * max(counts)
+    for _ in range(80):
+        middle = (low + high) / 2
+        low, high = (middle, high) if sum(n * -math.expm1(-middle / n) for n in counts) < expected else (low, middle)
+    return high
+
+
+def training_sample(docs: DataFrame, sample: int, slice_chars: int) -> list[tuple[str, str]]:
+    """(lang, slice of text) of at most ``sample`` documents that are not held out. One count for
+    each language comes to the driver, then the rows whose turn is below a threshold at which few
+    less than ``sample`` rows are expected, so that what the driver gets doesn't grow with tasks."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()}
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not counts:
         return []
-    count = F.create_map(*[F.lit(x) for pair in counts.items() for x in pair])[F.col("lang")]
-    drawn = F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit("sample"))
+    count = F.create_map(*[F.lit(x) for pair in sorted(counts.items()) for x in pair])[F.col("lang")]
+    drawn = F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.xxhash64("text"), F.lit("sample"))
     unit = (F.shiftrightunsigned(drawn, 11) + 1) / F.lit(float((1 << 53) + 1))
     place = F.pmod(F.shiftright(drawn, 7), F.greatest(F.char_length("text") - slice_chars, F.lit(0)) + 1) + 1
     piece = F.col("text").substr(place.cast("int"), F.lit(slice_chars))
-    rows = rows.select("doc_id", "lang", piece.alias("piece"), (-F.log(unit) * count).alias("turn")).where("turn is not null")
+    turn = -F.log(unit) * count
+    if sum(counts.values()) > sample:
+        rows = rows.where(turn < _threshold(list(counts.values()), max(sample / 2, sample - 4 * math.sqrt(sample))))
+    rows = rows.select("doc_id", "lang", piece.alias("piece"), turn.alias("turn"))
     return [(r["lang"], r["piece"]) for r in rows.orderBy("turn", "doc_id", "piece").limit(sample).collect()]
 
 
@@ -217,6 +233,7 @@ def predict(net: Network, texts: Iterable[str], count: int) -> tuple[list[str],
 def annotate(docs: DataFrame, lang: str, score: str, sample: int = 2400, per_document: int = 4, slice_chars: int = 1024) -> DataFrame:
     """``docs`` (doc_id, text, lang) with the predicted language and its score in two further
     columns, so named. The network is learned from the rows that are not held out; see the module."""
+    tokens.small_batches(docs.sparkSession)
     net = train(training_sample(docs, sample, slice_chars), per_document)
     readable = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     if net is None:
@@ -228,7 +245,8 @@ def annotate(docs: DataFrame, lang: str, score: str, sample: int = 2400, per_doc
         tokens.release()
         return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang", "score"])
 
-    said = docs.withColumn(lang, labelled(F.col("text").cast("string")))
+    # Not said to be deterministic, so that a filter on the result never evaluates it twice.
+    said = docs.withColumn(lang, labelled.asNondeterministic()(F.col("text").cast("string")))
     known = F.when(readable, F.col(lang)["lang"]).otherwise(UNKNOWN)
     sure = F.when(readable, F.least(F.col(lang)["score"], F.lit(1.0))).otherwise(0.0)
     return said.withColumns({lang: known, score: sure})

@@ -159,6 +159,14 @@ def window_hashes(words: np.ndarray, row: np.ndarray, width: int, base: int) ->
     return first, mix(_polynomials(words, width, base)[first] + U(width * BASE % (1 << 64)))
 
 
+def small_batches(spark, rows: int = 1000) -> None:
+    """Let this session hand at most ``rows`` rows at once to Python: texts may be long, and both the
+    executor and its workers hold whole batches. Results don't depend on it."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def release() -> None:
     """Give memory that is free in this worker back to the system: it may stay idle beside others."""
     pa.default_memory_pool().release_unused()
