@@ -228,6 +228,7 @@ class Bpe:
     little-endian 32-bit) and the bytes that they decode to, ``decode`` turns ids into bytes."""
 
     def __init__(self, spark: SparkSession, path: str, pattern: str) -> None:
+        tokens.small_batches(spark)
         shared = _Shared(spark.sparkContext.broadcast(read_ranks(path)))
 
         @F.arrow_udf("ids binary, decoded binary")

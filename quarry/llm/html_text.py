@@ -29,6 +29,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm import tokens
+
 WINDOW = 3
 #: Least share of the largest window sum that counts as text where no article is marked.
 SHARE = 0.2
@@ -248,6 +250,8 @@ def main_text(page: str | None) -> str:
 def extract(pages: DataFrame) -> DataFrame:
     """Per row of ``pages`` (page_id, url, html): page_id, url, text, n_chars. See the module."""
 
+    tokens.small_batches(pages.sparkSession)
+
     @F.pandas_udf("string")
     def text(html: pd.Series) -> pd.Series:
         return html.map(main_text)

@@ -55,13 +55,13 @@ def _unpack(block: bytes, hashes: bool) -> tuple[np.ndarray, ...]:
     return (*out, np.frombuffer(block, np.uint64, n, 16 + size)) if hashes else out
 
 
-def _deal(key: np.ndarray, kind: int, *columns: np.ndarray):
-    """Rows of PACKED, one for each key."""
+def _deal(key: np.ndarray, kind: int, columns):
+    """Rows of PACKED, one for each key; ``columns`` gives the columns of some entries."""
     order = np.argsort(key, kind="stable")
     key = key[order]
     cuts = np.flatnonzero(np.diff(key, prepend=-1))
     for a, b in zip(cuts, np.append(cuts[1:], len(key)), strict=True):
-        yield int(key[a]), kind, _pack(*(c[order[a:b]] for c in columns))
+        yield int(key[a]), kind, _pack(*columns(order[a:b]))
 
 
 def _home(doc: np.ndarray, nth: np.ndarray, groups: int) -> np.ndarray:
@@ -69,22 +69,24 @@ def _home(doc: np.ndarray, nth: np.ndarray, groups: int) -> np.ndarray:
     return tokens.hash_long(nth, tokens.hash_long(doc)) % np.int64(groups)
 
 
-def _first_of_equal(doc, nth, at, h):
-    """Which entries are the earliest of their hash; entries come in any order. Only those whose
-    hash another entry has, which are few, are sorted by place."""
+def _first_of_equal(h: np.ndarray, places) -> np.ndarray:
+    """Which entries are the earliest of their hash; entries come in any order. ``places`` gives the
+    (doc, nth, at) of some: only those whose hash another entry has, which are few, are compared."""
     order = np.argsort(h)
     equal = h[order]
     equal = equal[1:] == equal[:-1]
     out = np.ones(len(h), bool)
     out[order[1:][equal]] = False
     out[order[:-1][equal]] = False
+    del order, equal
     several = np.flatnonzero(~out)
-    order = several[np.lexsort((at[several], nth[several], doc[several], h[several]))]
-    h, doc, nth, at = h[order], doc[order], nth[order], at[order]
-    fresh = np.ones(len(h), bool)
-    fresh[1:] = h[1:] != h[:-1]
+    doc, nth, at = places(several)
+    order = np.lexsort((at, nth, doc, h[several]))
+    several, doc, nth, at = several[order], doc[order], nth[order], at[order]
+    fresh = np.ones(len(several), bool)
+    fresh[1:] = h[several[1:]] != h[several[:-1]]
     top = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
-    out[order] = (doc == doc[top]) & (nth == nth[top]) & (at == at[top])
+    out[several] = (doc == doc[top]) & (nth == nth[top]) & (at == at[top])
     return out
 
 
@@ -92,26 +94,29 @@ def _windows(width: int, groups: int):
     def run(batches):
         (one, base), (two, other), separators = tokens.ONE, tokens.TWO, tokens.white_space()
         one, two = tokens.byte_values(False, one), tokens.byte_values(False, two)
-        held: list = []
-        size = 0
+        held: list = []  # by chunk of windows: row, start, hash, bucket
+        rows: list = []  # by batch: ids and what tells rows of an id apart
+        size = n_rows = 0
 
         def flush():
-            doc, nth, at, h, key = (np.concatenate(x) for x in zip(*held, strict=True))
+            row, at, h, key = (np.concatenate(x) for x in zip(*held, strict=True))
+            ids, several = (np.concatenate(x) for x in zip(*rows, strict=True))
             held.clear()
-            first = _first_of_equal(doc, nth, at, h)
-            later = ~first
-            if later.any():
-                places = doc[later], nth[later], at[later]
-                yield from _deal(_home(*places[:2], groups), 1, *places)
-            yield from _deal(key[first], 0, doc[first], nth[first], at[first], h[first])
+            places = lambda i: (ids[row[i]], several[row[i]], at[i].astype(np.int64))
+            first = _first_of_equal(h, places)
+            later = np.flatnonzero(~first)
+            if len(later):
+                later = places(later)
+                yield from _deal(_home(*later[:2], groups), 1, lambda i: tuple(x[i] for x in later))
+            first = np.flatnonzero(first)
+            yield from _deal(key[first], 0, lambda i: (*places(first[i]), h[first[i]]))
 
-        def out(rows):
-            rows = list(rows)
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in ((0, pa.int32()), (1, pa.int32()), (2, pa.binary()))], ["key", "kind", "block"])
+        def out(blocks):
+            blocks = list(blocks)
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in blocks], t) for i, t in ((0, pa.int32()), (1, pa.int32()), (2, pa.binary()))], ["key", "kind", "block"])
 
         for batch in batches:
-            ids = batch.column(0).fill_null(NULL_ID).to_numpy(zero_copy_only=False)
-            several = batch.column(1).to_numpy(zero_copy_only=False)
+            rows.append((batch.column(0).fill_null(NULL_ID).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)))
             data, starts = tokens.utf8(batch.column(2))
             for row, part, offsets in tokens.chunks(data, starts):
                 first, behind, doc = tokens.word_spans(part, offsets, separators)
@@ -120,11 +125,14 @@ def _windows(width: int, groups: int):
                     key = tokens.window_hashes(tokens.word_hashes(two, part, first, behind), doc, width, other)[1] % np.uint64(groups)
                     where = doc[at]
                     begin = np.searchsorted(doc, where)
-                    held.append((ids[row + where], several[row + where], at - begin, h, key.astype(np.int32)))
+                    held.append(((n_rows + row + where).astype(np.int32), (at - begin).astype(np.int32), h, key.astype(np.int32)))
                     size += len(h)
                 if size >= FLUSH:
                     yield out(flush())
-                    size = 0
+                    del rows[:-1]
+                    size = n_rows = 0
+            n_rows += batch.num_rows
+            del data, starts, batch
         if size:
             yield out(flush())
         tokens.release()
@@ -140,11 +148,11 @@ def _count(groups: int):
         if places:
             doc, nth, at, h = (np.concatenate(x) for x in zip(*places, strict=True))
             places.clear()
-            later = np.flatnonzero(~_first_of_equal(doc, nth, at, h))
+            later = np.flatnonzero(~_first_of_equal(h, lambda i: (doc[i], nth[i], at[i])))
             if len(later):
                 later = later[np.lexsort((at[later], nth[later], doc[later]))]
                 doc, nth, at = doc[later], nth[later], at[later]
-                rows = [(k, b) for k, _, b in _deal(_home(doc, nth, groups), 1, doc, nth, at)]
+                rows = [(k, b) for k, _, b in _deal(_home(doc, nth, groups), 1, lambda i: (doc[i], nth[i], at[i]))]
         marked = [_unpack(b.as_py(), False) for k, b in zip(kinds, blocks, strict=True) if k == 1]
         if marked:  # their key is their documents' group
             rows.append((table.column("key")[0].as_py(), _pack(*(np.concatenate(x) for x in zip(*marked, strict=True)))))
@@ -219,7 +227,8 @@ def substring_dedup(docs: DataFrame, width: int = 20, carry: tuple[str, ...] = (
     joined by one space; with ``untouched`` a text that loses no word stays as it is), the counts,
     and the removed intervals of word positions. See the module for the method and the defined cases."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(F.col(c).alias(f"carry_{c}") for c in carry))
-    groups = groups_for(rows.select("doc_id", "text"), 16, 2)
+    tokens.small_batches(docs.sparkSession)
+    groups = groups_for(rows.select("doc_id", "text"))
     rows = _told_apart(rows)
     marks = rows.select("doc_id", "nth", "text").mapInArrow(_windows(width, groups), PACKED).groupBy("key").applyInArrow(_count(groups), "home int, block binary")
     home = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(NULL_ID)), "nth"), F.lit(groups)).cast("int")
