@@ -46,6 +46,34 @@ def test_substring_dedup(spark):
         assert sum(s["behind"] - s["first"] for s in got[k]["removed"]) == len(gone)
 
 
+def thue_morse(n, a, b):
+    bits = [bin(k).count("1") % 2 for k in range(n)]
+    return "".join((a, b)[x] for x in bits), "".join((b, a)[x] for x in bits)
+
+
+def test_long_words_that_cancel_modulo_powers_of_two(spark):
+    one, other = thue_morse(1024, "a", "b")
+    tail = prose(19, 1)
+    docs = table(spark, [f"{one} {tail}", f"{other} {tail}"])
+    assert [r["n_removed"] for r in substring_dedup.substring_dedup(docs, 20).collect()] == [0, 0]
+    docs = table(spark, [f"{one} x", f"{other} x"])
+    assert sorted(r["component_id"] for r in ngram_join.join_components(docs).collect()) == [0, 1]
+
+
+def test_substring_dedup_of_shared_ids(spark):
+    x, y = prose(60, 1), prose(60, 2)
+    rows = [(1, x), (5, x), (5, y), (None, y), (None, x), (9, f"{x} {y}"), (9, f"{x} {y}")]
+    got = substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 20, untouched=True).collect()
+    # Null ids come first; the two rows of null differ from each other, so each is the first of its text.
+    left = sorted((r["doc_id"] or 0, r["n_words"], r["n_removed"]) for r in got)
+    assert left == [(0, 60, 0), (0, 60, 0), (1, 60, 60), (5, 60, 60), (5, 60, 60), (9, 120, 120), (9, 120, 120)]
+    alone = spark.createDataFrame([(1, x), (5, x), (5, y)], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["n_removed"]) for r in substring_dedup.substring_dedup(alone, 20).collect()) == [(1, 0), (5, 0), (5, 60)]
+    assert substring_dedup.substring_dedup(alone.limit(0), 20).count() == 0
+    tied = spark.createDataFrame([(3, "a\t b"), (4, "c")], "doc_id long, text string")
+    assert sorted(r["kept_text"] for r in substring_dedup.substring_dedup(tied, 20, untouched=True).collect()) == ["a\t b", "c"]
+
+
 def test_ngram_join(spark):
     base = prose(120, 3).split()
     near = [" ".join(base[:k] + ["new"] + base[k + 1 :]) for k in (5, 50, 100)]
@@ -90,35 +118,75 @@ def test_overlaps_and_forest():
     assert all(both[i, j] == len(set(sets[i].tolist()) & set(sets[j].tolist())) for i in range(5) for j in range(12) if i != j)
 
 
-def test_chat_format(spark):
-    turns = [("user", "a"), ("user", "b"), (None, "c"), ("tool", "d"), ("assistant", None), ("system", "e")]
-    rows = [(1, k, r, t) for k, (r, t) in enumerate(turns)] + [(2, 0, "assistant", "x")] + [(None, None, "user", "n")] + [(3, k // 2, "user" if k % 3 else "assistant", str(k)) for k in range(40)]
-    got = chat_format.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), segment=8).collect()
-    for chat in (1, 2, 3, None):
-        mine = sorted((r for r in got if r["conv_id"] == chat), key=lambda r: (r["segment"], r["place"]))
-        state, heads = chat_format.START, [r for r in mine if r["rendered"].startswith("<|")]
-        for r in heads:
-            now = chat_format.ROLES.index(r["role"]) + 1
-            assert now in chat_format.LEGAL[state]
-            state = now
-        assert sum(r["source_turns"] for r in mine) == sum(x[0] == chat for x in rows)
+def legal_turns(roles):
+    """Every repair of raw roles by the book: (cost, [(role, source turns)])."""
+    names = ("system", "user", "assistant")
+    follows = {None: ("system", "user"), "system": ("user",), "user": ("assistant",), "assistant": ("user",)}
+    ways = [(0, ())]
+    for raw in roles:
+        more = []
+        for cost, turns in ways:
+            last = turns[-1][0] if turns else None
+            for role in names:
+                own = cost + (0 if role == raw else 2)
+                if role == last:
+                    more.append((own + 1, (*turns[:-1], (role, turns[-1][1] + 1))))
+                if role in follows[last]:
+                    more.append((own, (*turns, (role, 1))))
+                for empty in follows[last]:
+                    if role in follows[empty]:
+                        more.append((own + 3, (*turns, (empty, 0), (role, 1))))
+        ways = more
+    return ways
 
 
 def test_chat_repair_is_cheapest():
     draw = random.Random(5)
-    for _ in range(60):
-        roles = [draw.choice(["user", "assistant", "system", None]) for _ in range(draw.randrange(1, 5))]
-        best = {chat_format.START: 0}
-        for role in roles:
-            after = {}
-            for state, cost in best.items():
-                for a, b, c, _, _ in chat_format.STEPS[role]:
-                    if a == state:
-                        after[b] = min(after.get(b, 1 << 30), cost + c)
-            best = after
-        states = chat_format.through([chat_format.transfer(roles)])
-        repaired = chat_format.repair([(r, "t") for r in roles], states[0], states[1])
-        assert sum(x[2] for x in repaired) == min(best.values())
+    for _ in range(80):
+        roles = [draw.choice(["user", "assistant", "system", None, "tool"]) for _ in range(draw.randrange(1, 6))]
+        (entry, leave, begun), = chat_format.through([chat_format.transfer(roles)])
+        repaired = chat_format.repair([(r, "t") for r in roles], entry, leave)
+        cost = sum(x[2] for x in repaired)
+        found = (cost, tuple((r, len(t)) for r, t, _, _ in repaired))
+        ways = legal_turns([r if r in chat_format.ROLES else None for r in roles])
+        assert begun == 0 and cost == min(w[0] for w in ways) and found in ways
+        for k in range(1, len(roles)):  # cut anywhere, the same turns
+            borders = chat_format.through([chat_format.transfer(roles[:k]), chat_format.transfer(roles[k:])])
+            one, two = (chat_format.repair([(r, "t") for r in part], *b[:2]) for part, b in zip((roles[:k], roles[k:]), borders, strict=True))
+            assert borders[1][2] == len(one)
+            if two[0][3]:
+                one[-1] = (one[-1][0], one[-1][1] + two[0][1], one[-1][2] + two[0][2], False)
+                two = two[1:]
+            assert one + two == repaired
+
+
+def test_chat_format(spark):
+    draw = random.Random(7)
+    turns = [("user", "a"), ("user", "b"), (None, "c"), ("tool", "d"), ("assistant", None), ("system", "e"), ("user", "")]
+    rows = [(1, k, r, t) for k, (r, t) in enumerate(turns)] + [(2, 0, "assistant", "x" * 100_000)] + [(None, None, "user", "n")] + [(3, k // 2, "user" if k % 3 else "assistant", str(k)) for k in range(40)]
+    rows += [(4, k, "user", f"m{k}") for k in range(6)] + [(5, k, draw.choice(["user", "assistant"]), f"t{k}") for k in range(300)] + [(6, None, "user", f"u{k}") for k in range(20)]
+    rows += [(7, 1, "user", "same")] * 3 + [(None, 3, "assistant", "y")]
+    docs = spark.createDataFrame([(*r, 9, "x") for r in rows], "conv_id long, turn long, role string, text string, place int, rendered string").repartition(3)
+    shown = lambda segment: sorted(map(tuple, chat_format.format_chats(docs, segment).collect()), key=lambda r: (r[0] or 0, r[1]))
+    got = shown(256)
+    assert got == shown(2) == shown(7)
+    for chat in (1, 2, 3, 4, 5, 6, 7, None):
+        mine = [r for r in got if r[0] == chat]
+        raw = sorted((r for r in rows if r[0] == chat), key=lambda r: (r[1] is None, r[1] or 0, r[2] is None, r[2] or "", r[3] is None, r[3] or ""))
+        assert [r[1] for r in mine] == list(range(len(mine)))
+        state = chat_format.START
+        for r in mine:
+            now = chat_format.ROLES.index(r[2]) + 1
+            assert now in chat_format.LEGAL[state] and r[4] == f"<|{r[2]}|>\n{r[3]}\n"
+            state = now
+        assert sum(r[5] for r in mine) == len(raw)
+        if chat != 6:
+            assert [t for r in mine if r[5] for t in (r[3].split("\n") if r[5] > 1 else [r[3]])] == [r[3] or "" for r in raw]
+        if len(raw) <= 7:
+            best = legal_turns([r[2] if r[2] in chat_format.ROLES else None for r in raw])
+            assert sum(r[6] for r in mine) == min(w[0] for w in best)
+    assert [r[3] for r in got if r[0] == 4] == ["\n".join(f"m{k}" for k in range(6))]
+    assert chat_format.format_chats(docs.limit(0)).collect() == []
 
 
 def test_vector_search(spark):
@@ -136,6 +204,19 @@ def test_vector_search(spark):
     assert vector_search.search(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
+def test_vector_search_of_odd_vectors(spark):
+    kinds = "vec_id long, embedding array<double>, rank int"
+    rows = [(0, [1e200, 1e200]), (1, [1e200, 2e200]), (50, [1e-200, 1e-200]), (2, [1.0, 0.0]), (3, [0.0, 5.0])]
+    rows += [(4, [1.0, 1.1]), (4, [1.0, 1.2]), (4, [1.0, 1.2]), (50, [3.0, 1.0, 2.0]), (100, [1.0, 2.0, 3.0]), (7, [1.0, 2.0, 3.5]), (None, [1.0, 1.0]), (200, [2.0] * 4000), (5, [2.0] * 3999 + [1.0])]
+    got = {}
+    for r in vector_search.search(spark.createDataFrame([(*r, 0) for r in rows], kinds), centroids=3).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], round(r["score"], 9)))
+    cosine = lambda a, b: round(float(np.dot(a, b) / (np.linalg.norm(a) * np.linalg.norm(b))), 9)
+    assert got[0] == [(50, 1.0), (4, cosine([1, 1], [1, 1.1])), (4, cosine([1, 1], [1, 1.2])), (1, cosine([1, 1], [1, 2])), (2, cosine([1, 1], [1, 0]))]
+    assert [v for v, _ in got[50]] == [0, 4, 4, 1, 2] and got[100] == [(7, cosine([1, 2, 3], [1, 2, 3.5])), (50, cosine([1, 2, 3], [3, 1, 2]))]
+    assert [v for v, _ in got[200]] == [5] and set(got) == {0, 50, 100, 200}
+
+
 def test_vector_search_recall(spark):
     x = np.random.default_rng(4).normal(size=(10_000, 64))
     rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
@@ -154,12 +235,29 @@ def test_bpe(spark):
     path = P.path("byte_bpe_multi_50k.tiktoken")
     ranks = bpe.read_ranks(path)
     known = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    texts = [*ODD, prose(200, 6), "<|endoftext|> aaaaaaaaab!!!! ??\n\n  x", "ŝŭĉ " * 9]
+    texts = [*ODD, prose(200, 6), "<|endoftext|> aaaaaaaaab!!!! ??\n\n  x", "ŝŭĉ " * 9, "abz" * 7000, "!?" * 3000]
     coder = bpe.Bpe(spark, path, P.PATTERN)
-    rows = table(spark, texts).select("doc_id", coder.encode(F.col("text")).alias("ids"))
-    for r in rows.select("doc_id", "ids", coder.decode(F.col("ids")).alias("back")).collect():
+    docs = table(spark, texts).union(table(spark, texts[:3]))
+    rows = docs.select("doc_id", coder.coded(F.col("text")).alias("c")).select("doc_id", "c.*", F.sha2("c.ids", 256))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"coded\(", plan.split("ArrowEvalPython")[1].split("]")[0])) == 1 and plan.count("ArrowEvalPython") == 1
+    got = rows.withColumn("back", coder.decode(F.col("ids"))).collect()
+    assert len(got) == len(texts) + 3
+    for r in got:
         assert np.frombuffer(r["ids"], "<u4").tolist() == known.encode_ordinary(texts[r["doc_id"]] or "")
-        assert bytes(r["back"]) == (texts[r["doc_id"]] or "").encode()
+        assert bytes(r["back"]) == bytes(r["decoded"]) == (texts[r["doc_id"]] or "").encode()
+    assert docs.limit(0).select(coder.coded(F.col("text")).alias("c")).collect() == []
+
+
+def test_bpe_memory_of_pieces(monkeypatch):
+    P = pytest.importorskip("public_tokenizers")
+    monkeypatch.setattr(bpe, "REMEMBERED", 40)
+    ranks = bpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
+    small, fresh = bpe.Encoder(ranks), bpe.Encoder(ranks)
+    for k in range(30):
+        pieces = [[" " + w for w in prose(30, k).split()], ["x" * (k + 1)]]
+        assert small.encode(pieces) == [b"".join(fresh.learn({p})[p] for p in ps) for ps in pieces]
+        assert len(small.known) <= 80 and len(small.older) <= 80
 
 
 def test_mixing(spark):
@@ -197,16 +295,112 @@ def test_language_id(spark):
     assert {r["lang_pred"] for r in language_id.identify(table(spark, ["abc"]).withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def phrases(text):
+    """The phrases of an LZ78 parse, by the book."""
+    seen, at = set(), ""
+    for c in text:
+        at += c
+        if at not in seen:
+            seen.add(at)
+            at = ""
+    return seen
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def check_fingerprints(spark, rows, order):
+    """``order``: the rows as their documents follow each other."""
+    docs = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, part int, extra string")
+    got = lz_fingerprint.with_neighbours(docs.repartition(3)).collect()
+    assert len(got) == len(rows)
+    left = sorted(((r["doc_id"] or 0, r["n_chars"], r["edited_sha256"], r) for r in got), key=lambda x: x[:3])
+    want = []
+    for k, (doc, t) in enumerate(order):
+        t, then = t or "", order[(k + 1) % len(order)][1] or ""
+        q = len(t) // 4
+        edited = t[: len(t) - q] + then[:q]
+        want.append((doc or 0, len(t), hashlib.sha256(edited.encode()).hexdigest(), t, edited, then))
+    for (*a, r), (*b, t, edited, then) in zip(left, sorted(want), strict=True):
+        assert a == b
+        assert r["fingerprint"] == lz_fingerprint.as_text(lz_fingerprint.signature(t))
+        assert r["edited_fingerprint"] == lz_fingerprint.as_text(lz_fingerprint.signature(edited))
+        own = phrases(t)
+        assert abs(r["near_edited"] - jaccard(own, phrases(edited))) <= 0.18
+        assert abs(r["near_next"] - jaccard(own, phrases(then))) <= 0.18
+
+
 def test_lz_fingerprint(spark):
-    texts = [*ODD, prose(300, 8), prose(300, 9), prose(300, 8)]
-    got = {r["doc_id"]: r for r in lz_fingerprint.with_neighbours(table(spark, texts).repartition(3)).collect()}
-    for k, t in enumerate(texts):
-        t, then = t or "", texts[(k + 1) % len(texts)] or ""
-        edited = t[: len(t) - len(t) // 4] + then[: len(t) // 4]
-        assert (got[k]["n_chars"], got[k]["edited_sha256"]) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
-        assert got[k]["edited_fingerprint"] == lz_fingerprint.as_text(lz_fingerprint.Printer().signature(edited))
-    assert got[7]["fingerprint"] == got[9]["fingerprint"] and got[7]["near_edited"] > got[7]["near_next"]
-    assert lz_fingerprint.phrase_ends(list("aababb")) == [1, 3, 6]  # a, ab, abb
+    texts = [*ODD, prose(300, 8), prose(300, 9), prose(300, 8), "日本語の文" * 90, "ab" * 40_000, prose(40, 3), prose(40, 3).replace(" ", "\t")]
+    texts += [prose(60 + k, 50 + k % 7) for k in range(40)]
+    rows = list(enumerate(texts))
+    check_fingerprints(spark, rows, rows)
+    check_fingerprints(spark, [(None, prose(90, 1))], [(None, prose(90, 1))])
+    check_fingerprints(spark, [(4, None)], [(4, None)])
+    shared = [(7, prose(50, 1)), (7, prose(50, 2)), (None, prose(70, 3)), (None, prose(60, 4)), (9, "end"), (9, "end"), (1, "")]
+    hashes = {t: h for t, h in spark.createDataFrame(shared, "d long, t string").select("t", F.xxhash64(F.col("t"))).collect()}
+    check_fingerprints(spark, shared, sorted(shared, key=lambda r: (-(1 << 63) if r[0] is None else r[0], hashes[r[1]])))
+    assert lz_fingerprint.with_neighbours(table(spark, texts).limit(0)).count() == 0
+
+
+def test_lz_likeness_is_that_of_the_phrase_sets():
+    draw = random.Random(4)
+    for size in (5, 60, 900, 9000):
+        one = "".join(draw.choice("abcdefgh ") for _ in range(size))
+        for other in (one, "x" + one, one[: size // 2] + one[: size // 2][::-1], one.replace(" ", "\n")):
+            got = lz_fingerprint.likeness(lz_fingerprint.signature(one), lz_fingerprint.signature(other))
+            assert abs(got - jaccard(phrases(one), phrases(other))) <= 0.16
+    empty = lz_fingerprint.signature("")
+    assert lz_fingerprint.likeness(empty, empty) == 1 and lz_fingerprint.likeness(empty, lz_fingerprint.signature("a")) == 0
+    parse = lz_fingerprint.Parse()
+    parse.read("aababb")
+    assert len(parse.hashes) == 4  # a, ab, abb
+
+
+def test_language_gradients():
+    draw = np.random.default_rng(3)
+    net = language_id.Network(["a", "b", "c"])
+    net.weights = {k: v.astype("f8") for k, v in net.weights.items()}
+    windows, left = draw.integers(1, 200, (5, language_id.WINDOW)).astype(np.uint8), np.array([64, 30, 1, 64, 7])
+    truth = np.array([0, 1, 2, 1, 0])
+
+    def loss():
+        x = np.ascontiguousarray(windows.T)
+        f, b = net.states(x, "f")[0].astype("f8"), net.states(x, "b")[0].astype("f8")
+        total = sum(-(np.log(net.label(x, np.concatenate([f[t], b[t]]))[truth, np.arange(5)]) * (left > t)).sum() for t in range(language_id.WINDOW))
+        return total / left.sum()
+
+    grads = net.gradients(windows, left, truth)
+    for name, w in net.weights.items():
+        for _ in range(6):
+            at = tuple(draw.integers(0, n) for n in w.shape)
+            if name.startswith("bytes"):
+                at = (at[0], int(windows[0, 3]))
+            keep = w[at]
+            w[at] = keep + 1e-2
+            up = loss()
+            w[at] = keep - 1e-2
+            down = loss()
+            w[at] = keep
+            assert abs((up - down) / 2e-2 - grads[name][at]) < 3e-3 * max(1, abs(grads[name][at]))
+
+
+def test_language_sample(spark):
+    rows = [(k, f"text {k}", "rare" if k % 100 == 0 else "often") for k in range(20_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(8)
+    some = language_id.training_sample(docs, 400, 100)
+    n = sum(lang == "rare" for lang, _ in some)
+    assert 300 <= len(some) <= 400 and 0.25 * len(some) <= n and some == language_id.training_sample(docs.repartition(3), 400, 100)
+    assert language_id.training_sample(docs.limit(0), 400, 100) == []
+
+
+def test_language_id_of_repeated_and_odd_rows(spark):
+    rows = [(5, "the and of with that", "en"), (5, "the and of with that", "en"), (None, "der und die", "de"), (6, None, None), (7, "123 !", "en"), (8, "der und die " * 9000, None)]
+    docs = spark.createDataFrame([(*r, 0.5) for r in rows], "doc_id long, text string, lang string, score double")
+    got = sorted(((r["doc_id"] or 0, r["lang_pred"], r["score"]) for r in language_id.identify(docs).collect()))
+    assert len(got) == 6 and got[1] == got[2] and [g[1] for g in got[3:5]] == ["und", "und"]
+    assert language_id.identify(docs.limit(0)).collect() == []
 
 
 def test_html_text():
@@ -232,6 +426,40 @@ def test_html_text_keeps_short_ends_of_a_mark():
     assert html_text.main_text(page).split("\n\n") == ["Hi.", "Go on.", " ".join(["word"] * 80), "So.", "The end."]
 
 
+def test_html_text_through_spark(spark):
+    def page(body):
+        return "<html><head><title>T</title><style>p{}</style></head><body><nav><ul><li><a href=/>Home</a></ul></nav>" + body + "<footer>Imprint</footer></body></html>"
+
+    long = ["Sentence number %d of paragraph %d stands here. " % (j, k) * 3 for k in range(4) for j in range(2)]
+    inner = "".join(f"<p>{t}</p>" for t in long)
+    want = "\n\n".join(" ".join(t.split()) for t in long)
+    cases = [
+        (page(f"<div title='the hidden valley'>{inner}</div>"), want), (page(f"<div class='post social-history'><article>{inner}</article></div>"), want),
+        (page(f"<article><p>Teaser.</p></article><div>{inner}</div>"), None), (page(f"<div>{inner}</div><div hidden><p>{'secret ' * 80}</p></div>"), want),
+        (page(f"<main>{inner}</main><section id=comments><article><p>{'I agree. ' * 300}</p></article></section>"), want), (page(f"<div>{inner}</div><a <a <a "), None),
+        (page(f"<div><p>x &lt; y &amp; a &#233; b</p>{inner}</div>"), "x < y & a é b\n\n" + want), (page(f"<div>{inner}</div><script>if (a<b) document.write('<p>{'no ' * 90}</p>')</script>"), want),
+        (None, ""), ("", ""), ("<nav>x</nav>", ""), ("<p>" + "long " * 300_000, " ".join(["long"] * 300_000)),
+    ]
+    rows = [(k, f"u{k}", html, "clash", 3) for k, (html, _) in enumerate(cases)]
+    rows.append(rows[0])
+    docs = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int")
+    got = html_text.extract(docs).collect()
+    assert len(got) == len(rows) and all(r["n_chars"] == len(r["text"]) for r in got)
+    for r in got:
+        expected = cases[r["page_id"]][1]
+        assert r["text"] == expected if expected is not None else want in r["text"], r["page_id"]
+    assert html_text.extract(docs.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("piece", ["<a ", '<p x="', "<![CDATA[", '<a "', "<b></i>", "<!--", "</", "<div class=side>", "&#"])
+def test_html_text_of_broken_markup_takes_linear_time(piece):
+    import time
+
+    began = time.process_time()
+    html_text.main_text("<body><p>text</p>" + piece * (1_000_000 // len(piece)))
+    assert time.process_time() - began < 20
+
+
 def test_toxicity(spark):
     rows = [(k, prose(60, k) + (" idiot moron" if k % 8 == 0 else ""), "en", "s", 0, 1, "x") for k in range(400)] + [(999, None, "en", "s", 0, 1, "x")]
     labels = spark.createDataFrame([(k, 1, int(k % 8 == 0)) for k in range(200)] + [(5, 1, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
