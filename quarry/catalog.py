@@ -11,14 +11,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quarry import bindings, oracle
 from quarry.functions import dictionaries as rules
 from quarry.functions import text
-from quarry.operators import sessions, signals, views
+from quarry.operators import gate, sessions, signals, views
 from quarry.sources.readers import ms, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-SHORT = 300  # claims are cut to so many code points by the extractors
 
 
 def query(sql: str | None = None):
@@ -87,33 +87,53 @@ def first_message_uniqueness(spark, sf_dir):
     return rows.groupBy("source").agg(F.count("*").alias("n"), F.count_distinct("first").alias("firsts")).withColumn("ratio", d6(F.col("firsts") / F.col("n")))
 
 
-SIGNALS = f"""{GAPS}, h AS (SELECT project, hour, count(session) AS n FROM (SELECT DISTINCT project FROM ev) p CROSS JOIN range(24) t(hour) LEFT JOIN ev USING (project) WHERE ts_ms IS NULL OR true GROUP BY ALL),
+SIGNALS = f"""{GAPS},
 hh AS (SELECT p.project, t.hour, (SELECT count(*) FROM ev WHERE ev.project = p.project AND (ts_ms // 3600000) % 24 = t.hour) AS n FROM (SELECT DISTINCT project FROM ev) p CROSS JOIN range(24) t(hour)),
 v AS (SELECT project, (24 * sum(n * n) - sum(n) * sum(n))::DOUBLE / (sum(n) * sum(n))::DOUBLE AS hour_variance FROM hh GROUP BY project),
 m AS (SELECT project, {MEDIAN.format('gap_ms')} AS median_ms FROM g WHERE gap_ms > 0 GROUP BY project),
-s AS (SELECT project, count(*) AS sessions, count(DISTINCT title) / count(*) AS title_ratio, count(*) * 100.0 / sum(count(*)) OVER () AS share FROM ev GROUP BY project),
-sig AS (SELECT project, sessions, hour_variance, title_ratio, coalesce(median_ms, 0) AS median_ms, share FROM s JOIN v USING (project) LEFT JOIN m USING (project)),
-marked AS (SELECT *, (hour_variance < 0.5 AND sessions > 60)::INT AS flat_hours, (title_ratio < 0.3)::INT AS same_titles, (median_ms > 0 AND median_ms < 60000)::INT AS short_gaps, (share > 70)::INT AS most_sessions FROM sig),
-r AS (SELECT *, flat_hours + same_titles + short_gaps + most_sessions AS broken FROM marked)""".replace("h AS (SELECT project, hour, count(session) AS n FROM (SELECT DISTINCT project FROM ev) p CROSS JOIN range(24) t(hour) LEFT JOIN ev USING (project) WHERE ts_ms IS NULL OR true GROUP BY ALL),\n", "")
+s AS (SELECT project, count(*) AS sessions, count(DISTINCT title) / count(*) AS title_ratio, count(*) * 100.0 / sum(count(*)) OVER () AS share, count(*) FILTER (value > 90) / count(*) AS user_ratio FROM ev GROUP BY project),
+sig AS (SELECT project, sessions, hour_variance, title_ratio, coalesce(median_ms, 0) AS median_ms, share, user_ratio FROM s JOIN v USING (project) LEFT JOIN m USING (project)),
+marked AS (SELECT *, (hour_variance < 0.5 AND sessions > {{least}})::INT AS flat_hours, (title_ratio < 0.3)::INT AS same_titles, (median_ms > 0 AND median_ms < 60000)::INT AS short_gaps, (share > 70)::INT AS most_sessions, (user_ratio < 0.2)::INT AS few_user_messages FROM sig),
+r AS (SELECT *, flat_hours + same_titles + short_gaps + most_sessions + few_user_messages AS broken FROM marked)"""
 
 
-@query(f"{SIGNALS} SELECT project, sessions, hour_variance, round(title_ratio, 6) AS title_ratio, median_ms, round(share, 6) AS share FROM sig")
+def noise(spark, sf_dir) -> DataFrame:
+    """Noise signals of projects; an event above 90 stands for a user's message."""
+    rows = events(spark, sf_dir)
+    user = rows.groupBy("project").agg((F.count_if(F.col("value") > 90) / F.count("*")).alias("user_ratio"))
+    return sessions.noise_signals(rows).join(user, "project")
+
+
+@query(f"{SIGNALS.format(least=100)} SELECT project, sessions, hour_variance, round(title_ratio, 6) AS title_ratio, median_ms, round(share, 6) AS share, round(user_ratio, 6) AS user_ratio FROM sig")
 def noise_signals(spark, sf_dir):
-    rows = sessions.noise_signals(events(spark, sf_dir))
-    return rows.withColumns({c: d6(F.col(c)) for c in ("title_ratio", "share")})
+    return noise(spark, sf_dir).withColumns({c: d6(F.col(c)) for c in ("title_ratio", "share", "user_ratio")})
+
+
+_BROKEN = ("project", "flat_hours", "same_titles", "short_gaps", "most_sessions", "few_user_messages", "broken", "is_noise")
+for _name, _least in (("noise_rules", 100), ("noise_rules_of_60_sessions", 60)):
+    QUERIES[_name] = lambda spark, sf_dir, least=_least: sessions.noise_rules(noise(spark, sf_dir), least_sessions=least).select(*_BROKEN)
+    SQL[_name] = f"{SIGNALS.format(least=_least)} SELECT {', '.join(_BROKEN[:-1])}, (broken >= 2)::INT AS is_noise FROM r"
 
 
-@query(f"{SIGNALS} SELECT project, flat_hours, same_titles, short_gaps, most_sessions, broken, (broken >= 2)::INT AS is_noise FROM r")
-def noise_rules(spark, sf_dir):
-    rows = sessions.noise_rules(sessions.noise_signals(events(spark, sf_dir)), least_sessions=60)
-    return rows.select("project", "flat_hours", "same_titles", "short_gaps", "most_sessions", "broken", "is_noise")
+REPORT = f"{SIGNALS.format(least=60)}, p AS (SELECT project, sessions, CASE WHEN project % 10 = 1 THEN 0 WHEN project % 10 = 2 THEN 1 ELSE (broken >= 2)::INT END AS is_noise, CASE project % 3 WHEN 0 THEN 'opencode' ELSE 'claude-code' END AS source FROM r)"
 
 
-@query(f"{SIGNALS} SELECT CASE WHEN grouping(broken >= 2) = 1 THEN 'total' WHEN broken >= 2 THEN 'filtered' ELSE 'retained' END AS part, count(*) AS projects, sum(sessions)::BIGINT AS sessions FROM r GROUP BY ROLLUP (broken >= 2)")
+@query(f"{REPORT} SELECT CASE WHEN grouping(is_noise) = 1 THEN 'total' WHEN is_noise = 1 THEN 'filtered' ELSE 'retained' END AS part, coalesce(source, 'total') AS source, count(*) AS projects, sum(sessions)::BIGINT AS sessions FROM p GROUP BY GROUPING SETS ((is_noise, source), (is_noise), ())")
 def noise_report(spark, sf_dir):
-    rows = sessions.noise_rules(sessions.noise_signals(events(spark, sf_dir)), least_sessions=60)
-    per = rows.rollup("is_noise").agg(F.count("*").alias("projects"), F.sum("sessions").alias("sessions"), F.grouping("is_noise").alias("all"))
-    return per.select(F.when(F.col("all") == 1, "total").when(F.col("is_noise") == 1, "filtered").otherwise("retained").alias("part"), "projects", "sessions")
+    """Projects and sessions that are filtered and retained, by source and in all; listed projects
+    are always in (id ends with 1) or always out (2), whatever the rules say."""
+    rows = sessions.noise_rules(noise(spark, sf_dir), least_sessions=60).withColumn("source", F.when(F.col("project") % 3 == 0, "opencode").otherwise("claude-code"))
+    rows = rows.withColumn("is_noise", sessions.overridden(F.col("is_noise"), F.col("project") % 10 == 1, F.col("project") % 10 == 2))
+    out = sessions.report(rows)
+    return out.select("part", "source", "projects", "sessions")
+
+
+@query(f"WITH {EV}, h AS (SELECT project, CASE session % 2 WHEN 0 THEN 'opencode' ELSE 'claude-code' END AS source, (ts_ms // 3600000) % 24 AS hour, count(*) AS n FROM ev GROUP BY 1, 2, 3), per AS (SELECT project, CASE session % 2 WHEN 0 THEN 'opencode' ELSE 'claude-code' END AS source, count(DISTINCT title) / count(*) AS ratio, count(*) * 100.0 / sum(count(*)) OVER (PARTITION BY CASE session % 2 WHEN 0 THEN 'opencode' ELSE 'claude-code' END) AS share FROM ev GROUP BY 1, 2), m AS (SELECT project, round(min(ratio), 6) AS ratio, round(max(share), 6) AS share FROM per GROUP BY project), s AS (SELECT project, string_agg(n::VARCHAR, ',' ORDER BY hour) AS hours FROM (SELECT p.project, t.hour, coalesce(sum(n), 0)::BIGINT AS n FROM (SELECT DISTINCT project FROM ev) p CROSS JOIN range(24) t(hour) LEFT JOIN h ON h.project = p.project AND h.hour = t.hour GROUP BY 1, 2) GROUP BY project) SELECT * FROM m JOIN s USING (project)")
+def noise_merge_of_sources(spark, sf_dir):
+    """Signals of the sources of a project as one: hours add up, the least ratio, the greatest share."""
+    rows = events(spark, sf_dir).withColumn("source", F.when(F.col("session") % 2 == 0, "opencode").otherwise("claude-code"))
+    merged = sessions.merged_sources(sessions.source_signals(rows))
+    return merged.select("project", d6(F.col("ratio")).alias("ratio"), d6(F.col("share")).alias("share"), F.array_join(F.transform("hours", lambda x: x.cast("string")), ",").alias("hours"))
 
 
 NEAR = f"WITH {EV} SELECT a.project, a.session, count(b.session) AS near FROM ev a LEFT JOIN ev b ON a.project = b.project AND a.session <> b.session AND abs(a.ts_ms - b.ts_ms) < 86400000 GROUP BY a.project, a.session"
@@ -141,27 +161,32 @@ n AS (SELECT a.session, count(b.session) AS near FROM o a LEFT JOIN o b ON a.pro
 scored AS (SELECT o.*, (CASE WHEN title LIKE '%URGENT%' THEN 3 ELSE 0 END + CASE WHEN churn > 100 THEN 2 ELSE 0 END + CASE WHEN near >= 1 THEN 2 ELSE 0 END + CASE WHEN messages > 5 THEN 1 ELSE 0 END)::BIGINT AS score FROM o JOIN n USING (session))"""
 
 
-def _scored(spark, sf_dir):
+def _scored(spark, sf_dir, **limits):
     rows = sessions.neighbours(_orders(spark, sf_dir))
-    return rows.withColumn("score", sessions.score(F.col("title").contains("URGENT"), F.col("churn") + 400, F.col("near"), F.col("messages") + 10).cast("long"))
+    return rows.withColumn("score", sessions.score(F.col("title").contains("URGENT"), F.col("churn"), F.col("near"), F.col("messages"), **limits).cast("long"))
 
 
 @query(f"{SCORED} SELECT project, session, score FROM scored")
 def session_score(spark, sf_dir):
+    return _scored(spark, sf_dir, churn_above=100, messages_above=5).select("project", "session", "score")
+
+
+@query(f"{SCORED.replace('churn > 100', 'churn > 500').replace('messages > 5', 'messages > 15')} SELECT project, session, score FROM scored")
+def session_score_default(spark, sf_dir):
     return _scored(spark, sf_dir).select("project", "session", "score")
 
 
 @query(f"{SCORED} SELECT project, session, score FROM scored WHERE score >= 3 AND status <> 'F' AND session NOT IN (SELECT event_id FROM events WHERE value > 50) ORDER BY score DESC, ts_ms, session LIMIT 500")
 def high_value_sessions(spark, sf_dir):
     done = table(spark, sf_dir, "events").where("value > 50").select(F.col("event_id").alias("session"))
-    rows = _scored(spark, sf_dir).where("score >= 3 and status <> 'F'").join(done, "session", "left_anti")
+    rows = _scored(spark, sf_dir, churn_above=100, messages_above=5).where("score >= 3 and status <> 'F'").join(done, "session", "left_anti")
     return rows.orderBy(F.desc("score"), "ts_ms", "session").limit(500).select("project", "session", "score")
 
 
-@query(f"WITH {MSG}, r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS n FROM msg) SELECT conv_id, string_agg(left(text, 200), chr(10) ORDER BY n) AS content FROM r WHERE n <= 20 GROUP BY conv_id")
+@query(f"WITH {MSG}, r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS n FROM msg) SELECT conv_id, string_agg(left(text, 2000), chr(10) ORDER BY n) AS content FROM r WHERE n <= 20 GROUP BY conv_id")
 def message_assembly(spark, sf_dir):
     n = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "text"))
-    rows = messages(spark, sf_dir).withColumn("n", n).where("n <= 20").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("n", F.substring("text", 1, 200).alias("t")))).alias("all"))
+    rows = messages(spark, sf_dir).withColumn("n", n).where("n <= 20").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("n", F.substring("text", 1, 2000).alias("t")))).alias("all"))
     return rows.select("conv_id", F.array_join(F.transform("all", lambda x: x["t"]), "\n").alias("content"))
 
 
@@ -243,50 +268,35 @@ def _scalar(name: str, column, sql: str):
     SQL[name] = f"SELECT doc_id, {sql} AS out FROM documents"
 
 
-HARD, SOFT = text.HARD_MARKS, text.SOFT_MARKS
-
-
-def _clamp_sql(n: int) -> str:
-    c = COLLAPSE.format("text")
-    last = lambda marks: f"length(regexp_extract(left(c, {n + 1}), '(?s)^(.*[{marks}])', 1))"
-    return f"(SELECT CASE WHEN length(c) <= {n} THEN c WHEN {last(HARD)} - 1 > {n // 2} THEN left(c, {last(HARD)}) WHEN {last(SOFT)} - 1 > {n // 2} THEN left(c, {last(SOFT)}) WHEN {last(' ')} - 1 > {n // 2} THEN left(c, {last(' ')} - 1) ELSE left(c, {n - 1}) || '…' END FROM (SELECT {c} AS c))"
-
-
-def _shorten_sql(n: int) -> str:
-    last = f"length(regexp_extract(left(c, {n + 1}), '(?s)^(.*[{HARD}{SOFT} ])', 1))"
-    return f"(SELECT CASE WHEN length(c) <= {n} THEN c WHEN {last} > {int(0.55 * n)} THEN trim(left(c, {last})) ELSE trim(left(c, {n})) END FROM (SELECT {COLLAPSE.format('text')} AS c))"
-
-
 _scalar("normalize_text", lambda T: text.normalize(T), NORM.format("text"))
 _scalar("content_hash", lambda T: text.content_hash(T), "left(sha256(text), 16)")
 _scalar("fingerprint", lambda T: text.fingerprint("decision", F.col("source"), T), f"sha256('decision:' || {NORM.format('source')} || chr(1) || {NORM.format('text')})")
 _scalar("canonical_key", lambda T: text.canonical_key((F.col("source"), None), (T, 30)), f"{NORM.format('source')} || ':' || {NORM.format('left(text, 30)')}")
 for _n in (20, 120, 320):
-    _scalar(f"clamp_text_{_n}", lambda T, n=_n: text.clamp(T, n), _clamp_sql(_n))
-_scalar("shorten_text", lambda T: text.shorten(T, 80), _shorten_sql(80))
-_R = "regexp_replace({0}, '{1}', '{2}', 'g')"
-
-
-def _chain(s: str, pairs) -> str:
-    for p, r in pairs:
-        s = _R.format(s, p, r)
-    return s
-
-
-_scalar("sanitize_line", lambda T: text.sanitize_line(F.substring(T, 1, 200)), COLLAPSE.format(_chain("left(text, 200)", (("^\\s*[-*+]\\s+", ""), ("^\\s*\\d+[.)]\\s+", ""), ("\\*\\*([^*]*)\\*\\*", "\\1"), ("`([^`]*)`", "\\1"), ("\\[([^\\]]*)\\]\\([^)]*\\)", "\\1"), ("\\|", " ")))))
-_scalar("markdown_echo", lambda T: T.rlike(signals.MARKDOWN).cast("int"), f"regexp_matches(text, '{signals.MARKDOWN}')::INT")
-_scalar("heading_summary", lambda T: text.first_sentence(T), f"coalesce(nullif(regexp_extract(text, '(?m)^#+\\s+(.+)$', 1), ''), nullif(regexp_extract({COLLAPSE.format('text')}, '^(.*?[.!?])(\\s|$)', 1), ''), nullif(trim(regexp_extract(text, '^([^\\n]*)', 1)), ''), '(untitled)')")
-_scalar("paragraph_blocks", lambda T: F.array_size(F.filter(F.split(T, r"\n\s*\n"), lambda p: F.trim(p) != "")), "len(list_filter(string_split_regex(text, '\\n\\s*\\n'), lambda p: trim(p) <> ''))::INT")
-_scalar("relevance_class", lambda T: text.first_match(F.substring(T, 1, 500), rules.RELEVANCE, "generic_execution"), text.duck("left(text, 500)", rules.RELEVANCE, "generic_execution"))
-_scalar("stance", lambda T: text.first_match(T, rules.STANCES, "conditional"), text.duck("text", rules.STANCES, "conditional"))
-_scalar("event_type_class", lambda T: text.first_match(F.substring(T, 1, 120), rules.EVENT_TYPES, "milestone"), text.duck("left(text, 120)", rules.EVENT_TYPES, "milestone"))
-
-
-@query("SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?im)^\\s*(sources?|generated):.*$', '', 'g'), '<[^>]+>', '', 'g'), '[ \\t]+', ' ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g')) AS out FROM pages")
+    _scalar(f"clamp_text_{_n}", lambda T, n=_n: text.clamp(T, n), oracle.clamp("text", _n))
+_scalar("shorten_text", lambda T: text.shorten(T, 80), oracle.shorten("text", 80))
+_scalar("sanitize_line", lambda T: text.sanitize_line(T), oracle.sanitize("text"))
+_scalar("markdown_echo", lambda T: T.rlike(gate.MARKDOWN).cast("int"), f"{oracle.rx('text', gate.MARKDOWN)}::INT")
+_scalar("heading_summary", lambda T: text.first_sentence(T), oracle.first_sentence("text"))
+_scalar("paragraph_blocks", lambda T: F.concat_ws("|", F.size(text.paragraphs(T)).cast("string"), F.size(text.blocks(T)).cast("string"), text.relevant_paragraph(T, "(?i:licen[sc]e|copyright)")), f"concat_ws('|', len({oracle.paragraphs('text')})::VARCHAR, len({oracle.blocks('text')})::VARCHAR, {oracle.relevant('text', '(?i:licen[sc]e|copyright)')})")
+_scalar("relevance_class", lambda T: text.relevance(T, F.col("source"), rules), oracle.relevance("text", "source"))
+_scalar("stance", lambda T: text.first_match(T, rules.STANCES, "conditional"), oracle.case("text", rules.STANCES, "conditional"))
+_scalar("event_type_class", lambda T: text.first_match(T, rules.EVENT_TYPES, "milestone"), oracle.case("text", rules.EVENT_TYPES, "milestone"))
+_scalar("line_counts", lambda T: F.concat_ws(",", text.line_breaks(T).cast("string"), text.bullets(T).cast("string")), "concat_ws(',', len(regexp_extract_all(text, '\\n'))::VARCHAR, len(regexp_extract_all(text, '(?m)^\\s*[-*+]\\s+'))::VARCHAR)")
+_scalar("stable_id", lambda T: text.stable_id(F.concat(F.lit("/a//b/./"), "source", F.lit("/"))), "left(sha256(regexp_replace(regexp_replace(regexp_replace('/a//b/./' || source || '/', '/(\\./)+', '/', 'g'), '/+', '/', 'g'), '(.)/\\z', '\\1', 'g')), 16)")
+_scalar("dedupe_key", lambda T: text.dedupe_key(T), oracle.norm(oracle.clean_view("text")))
+
+
+@query(f"SELECT page_id, {oracle.clean_view('html')} AS out FROM pages")
 def clean_view_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.clean_view(F.col("html")).alias("out"))
 
 
+@query(f"SELECT page_id, {oracle.clean_evidence('html', 80)} AS out FROM pages")
+def clean_evidence(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", text.clean_evidence(F.col("html")).alias("out"))
+
+
 @query(f"WITH d AS (SELECT doc_id, left(text, 30) AS p, {NORM.format('text')} AS n FROM documents) SELECT a.doc_id AS a, b.doc_id AS b, round(CASE WHEN a.n = '' OR b.n = '' THEN 0 WHEN a.n = b.n THEN 1 WHEN contains(a.n, b.n) OR contains(b.n, a.n) THEN least(length(a.n), length(b.n)) / greatest(length(a.n), length(b.n)) ELSE 0 END, 6) AS ratio FROM d a JOIN d b ON a.p = b.p AND b.doc_id = (SELECT max(doc_id) FROM d c WHERE c.p = a.p AND c.doc_id < a.doc_id)")
 def overlap_ratio(spark, sf_dir):
     """Each document against the one before it with the same first 30 characters."""
@@ -295,17 +305,40 @@ def overlap_ratio(spark, sf_dir):
     return rows.select("a", "b", d6(text.overlap_ratio(F.col("text"), F.col("other"))).alias("ratio"))
 
 
-@query(f"WITH d AS (SELECT doc_id, {text.duck('text', rules.TASK_TYPES, 'other')} AS task, left(text, 60) AS sample FROM documents) SELECT task, count(*) AS n, round(count(*) * 100.0 / sum(count(*)) OVER ())::BIGINT AS percent, min_by(sample, doc_id) AS example FROM d GROUP BY task")
+PAIRS = "d AS (SELECT doc_id, left(text, 30) AS p, text FROM documents), pairs AS (SELECT * FROM (SELECT doc_id AS a, lag(doc_id) OVER w AS b, text, lag(text) OVER w AS other FROM d WINDOW w AS (PARTITION BY p ORDER BY doc_id)) WHERE b IS NOT NULL)"
+
+
+@query(f"WITH {PAIRS}, k AS (SELECT a, b, {oracle.norm(oracle.clean_view('text'))} AS x, {oracle.norm(oracle.clean_view('other'))} AS y FROM pairs) SELECT a, b, (x <> '' AND y <> '' AND (contains(x, y) OR contains(y, x)))::INT AS same FROM k")
+def near_duplicates(spark, sf_dir):
+    """Each document against the one before it with the same first 30 characters, by words."""
+    before = Window.partitionBy(F.substring("text", 1, 30)).orderBy("doc_id")
+    rows = docs(spark, sf_dir).select(F.col("doc_id").alias("a"), F.lag("doc_id").over(before).alias("b"), "text", F.lag("text").over(before).alias("other")).where("b is not null")
+    return rows.select("a", "b", text.near_duplicates(F.col("text"), F.col("other")).cast("int").alias("same"))
+
+
+@query(f"WITH {bindings.cte('sess')}, k AS (SELECT session, title, {oracle.case('title', rules.TASK_TYPES, '其他')} AS task, length({oracle.collapse('title')}) >= 10 AND NOT {oracle.rx(oracle.collapse('title'), rules.EXAMPLE_NOISE)} AS good FROM sess) SELECT task, count(*) AS n, floor(count(*) * 100.0 / sum(count(*)) OVER () + 0.5)::BIGINT AS percent, min_by(title, session) FILTER (good) AS example FROM k GROUP BY task")
 def task_types(spark, sf_dir):
-    per = docs(spark, sf_dir).groupBy(text.first_match(F.col("text"), rules.TASK_TYPES, "other").alias("task")).agg(F.count("*").alias("n"), F.min_by(F.substring("text", 1, 60), "doc_id").alias("example"))
-    return per.withColumn("percent", F.round(F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy())).cast("long"))
+    """Task types of session titles, with the first title that is a good example."""
+    title = F.col("title")
+    good = (F.char_length(text.collapse(title)) >= 10) & ~text.collapse(title).rlike(rules.EXAMPLE_NOISE)
+    rows = bindings.bound(spark, sf_dir, "sess").select("session", "title", text.first_match(title, rules.TASK_TYPES, "其他").alias("task"), good.alias("good"))
+    per = rows.groupBy("task").agg(F.count("*").alias("n"), F.min_by("title", F.when(F.col("good"), F.col("session"))).alias("example"))
+    return per.withColumn("percent", F.floor(F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy()) + 0.5).cast("long"))
+
 
+_FIRST = rules.FIRST_MESSAGES
+_FIRST_SQL = f"CASE WHEN {oracle.rx('trim(text)', _FIRST[0][1])} THEN {oracle.q(_FIRST[0][0])} WHEN length(text) > 500 OR {oracle.rx('text', _FIRST[1][1])} THEN {oracle.q(_FIRST[1][0])} WHEN {oracle.rx('trim(text)', _FIRST[2][1])} THEN {oracle.q(_FIRST[2][0])} WHEN {oracle.rx('text', _FIRST[3][1])} THEN {oracle.q(_FIRST[3][0])} ELSE '其他' END"
 
-@query(f"WITH f AS (SELECT conv_id, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) n FROM conversations WHERE role = 'user') WHERE n = 1), c AS (SELECT conv_id, text, CASE WHEN length(text) > 500 THEN 'document' ELSE {text.duck('text', rules.FIRST_MESSAGES, 'other')} END AS pattern FROM f) SELECT pattern, count(*) AS n, min_by(left(text, 80), conv_id) AS example FROM c GROUP BY pattern")
+
+def first_message_kind(message: Column) -> Column:
+    (order, by_order), (document, by_document), (question, by_question), (link, by_link) = rules.FIRST_MESSAGES
+    return F.when(F.trim(message).rlike(by_order), order).when((F.char_length(message) > 500) | message.rlike(by_document), document).when(F.trim(message).rlike(by_question), question).when(message.rlike(by_link), link).otherwise("其他")
+
+
+@query(f"WITH f AS (SELECT conv_id, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) n FROM conversations WHERE role = 'user') WHERE n = 1 UNION ALL SELECT -session, first_user FROM ({bindings.SESSIONS.replace('{orders}', 'orders')})), c AS (SELECT conv_id, text, {_FIRST_SQL} AS pattern FROM f) SELECT pattern, count(*) AS n, min_by(left(text, 80), conv_id) AS example FROM c GROUP BY pattern")
 def first_message_patterns(spark, sf_dir):
-    first = first_user_message(spark, sf_dir)
-    pattern = F.when(F.char_length("text") > 500, "document").otherwise(text.first_match(F.col("text"), rules.FIRST_MESSAGES, "other"))
-    return first.groupBy(pattern.alias("pattern")).agg(F.count("*").alias("n"), F.min_by(F.substring("text", 1, 80), "conv_id").alias("example"))
+    first = first_user_message(spark, sf_dir).select("conv_id", "text").unionByName(bindings.bound(spark, sf_dir, "sess").select((-F.col("session")).alias("conv_id"), F.col("first_user").alias("text")))
+    return first.groupBy(first_message_kind(F.col("text")).alias("pattern")).agg(F.count("*").alias("n"), F.min_by(F.substring("text", 1, 80), "conv_id").alias("example"))
 
 
 def _mentions(name: str, dictionary):
@@ -314,14 +347,7 @@ def _mentions(name: str, dictionary):
     QUERIES[name] = lambda spark, sf_dir: docs(spark, sf_dir).select("doc_id", "source", F.explode(text.all_matches(F.col("text"), dictionary)).alias("name")).groupBy("name").agg(F.count("*").alias("documents"), F.count_distinct("source").alias("projects"))
 
 
-_mentions("tech_mentions", rules.TECHNOLOGIES)
-_mentions("focus_domains", rules.PROSE_TERMS)
-
-
-@query("SELECT o_orderpriority AS task, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) >= 3 AND count(*) >= 0.2 * (SELECT count(*) FROM orders)")
-def role_inference(spark, sf_dir):
-    per = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("task")).agg(F.count("*").alias("n"))
-    return per.withColumn("all", F.sum("n").over(Window.partitionBy())).where("n >= 3 and n >= 0.2 * all").select("task", "n")
+_mentions("prose_terms", rules.PROSE_TERMS)
 
 
 @query("WITH c AS (SELECT CASE WHEN grouping(event_type) = 1 THEN 'all' ELSE event_type END AS kind, count(*) AS n, count(*) FILTER (props IS NOT NULL AND json_valid(props)) AS valid FROM events GROUP BY ROLLUP (event_type)) SELECT * FROM c")
@@ -342,120 +368,18 @@ def memory_incremental_diff(spark, sf_dir):
     return met.groupBy(state.alias("state")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT doc_id FROM documents WHERE left(sha256(left(text, 40)), 16) NOT IN (SELECT left(sha256(left(text, 40)), 16) FROM benchmark)")
-def memory_hash_antijoin(spark, sf_dir):
-    hashed = text.content_hash(F.substring("text", 1, 40))
-    known = table(spark, sf_dir, "benchmark").select(hashed.alias("hash"))
-    return docs(spark, sf_dir).withColumn("hash", hashed).join(known, "hash", "left_anti").select("doc_id")
-
-
-CAND = f"""lab AS (SELECT doc_id, max(CASE WHEN quality = 1 AND toxic = 0 THEN 4 WHEN quality = 1 THEN 3 ELSE 2 END) AS trust FROM labels GROUP BY doc_id),
-cand AS (SELECT left(sha256('{{kind}}:' || doc_id), 16) AS id, doc_id, source AS project, lang AS topic, left(text, {SHORT}) AS raw, {{claim}} AS claim, {{why}} AS rationale, coalesce(trust, 2) AS trust, 1 AS evidence, CASE WHEN coalesce(trust, 2) >= 4 THEN 0.8 WHEN coalesce(trust, 2) = 3 THEN 0.6 ELSE 0.45 END AS confidence, n_chars AS observed_ms FROM documents LEFT JOIN lab USING (doc_id))"""
-KINDS = {"decision": (120, 60), "tech_preference": (20, 60), "pain_point": (120, 60), "work_style": (120, 20), "profile_fact": (80, 0), "timeline_event": (80, 0), "open_thread": (60, 0)}
-
-
-def _cut(n: int) -> str:
-    return _clamp_sql(n).replace("(SELECT " + COLLAPSE.format("text") + " AS c)", "(SELECT " + COLLAPSE.format(f"left(text, {SHORT})") + " AS c)")
-
-
-def candidates(spark, sf_dir, kind: str) -> DataFrame:
-    longest, why = KINDS[kind]
-    trust = F.when((F.col("quality") == 1) & (F.col("toxic") == 0), 4).when(F.col("quality") == 1, 3).otherwise(2)
-    known = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max(trust).alias("trust"))
-    rows = docs(spark, sf_dir).join(known, "doc_id", "left").withColumn("trust", F.coalesce("trust", F.lit(2)))
-    raw = F.substring("text", 1, SHORT)
-    confidence = F.when(F.col("trust") >= 4, 0.8).when(F.col("trust") == 3, 0.6).otherwise(0.45)
-    rationale = F.substring(text.collapse(F.substring("text", SHORT + 1, 400)), 1, why) if why else F.lit("")
-    return rows.select(
-        F.substring(F.sha2(F.concat(F.lit(f"{kind}:"), F.col("doc_id").cast("string")), 256), 1, 16).alias("id"), "doc_id", F.col("source").alias("project"), F.col("lang").alias("topic"), raw.alias("raw"),
-        text.clamp(raw, longest).alias("claim"), rationale.alias("rationale"), "trust", F.lit(1).alias("evidence"), confidence.alias("confidence"), F.col("n_chars").alias("observed_ms"),
-    )
-
-
-def _candidate_sql(kind: str) -> str:
-    longest, why = KINDS[kind]
-    rationale = f"left({COLLAPSE.format(f'substr(text, {SHORT + 1}, 400)')}, {why})" if why else "''"
-    return CAND.format(kind=kind, claim=_cut(longest), why=rationale)
-
-
-def _gate_sql(kind: str) -> str:
-    longest, longest_why, least, needs_why = signals.LIMITS[kind]
-    norm_raw, norm_claim = NORM.format("raw"), NORM.format("claim")
-    ratio = f"CASE WHEN {norm_raw} = '' OR {norm_claim} = '' THEN 0 WHEN {norm_raw} = {norm_claim} THEN 1 WHEN contains({norm_raw}, {norm_claim}) OR contains({norm_claim}, {norm_raw}) THEN least(length({norm_raw}), length({norm_claim})) / greatest(length({norm_raw}), length({norm_claim})) ELSE 0 END"
-    tests = [
-        ("missing_required", "trim(claim) = '' OR trim(coalesce(topic, '')) = ''"), ("missing_rationale", "trim(rationale) = ''" if needs_why else "false"), ("too_vague", f"trim(claim) <> '' AND length({NORM.format('trim(claim)')}) < {least}"),
-        ("too_long", f"length(trim(claim)) > {longest} OR length(trim(rationale)) > {longest_why}"), ("echo_raw_text", f"len(regexp_extract_all(claim, '\\n')) > 2 OR regexp_matches(claim, '{signals.MARKDOWN}') OR (length(raw) > length(claim) + 20 AND {ratio} >= 0.85)"),
-        ("single_occurrence_low_trust", "evidence <= 1 AND trust <= 2 AND confidence < 0.6"), ("weak_evidence", "evidence < 2 AND trust < 4"),
-    ]
-    listed = "list_filter([" + ", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c in tests) + "], lambda x: x IS NOT NULL)"
-    has = lambda codes: f"list_has_any(issues, [{', '.join(map(repr, codes))}])"
-    cost = " + ".join(f"CASE WHEN list_contains(issues, '{n}') THEN {p} ELSE 0 END" for n, p in signals.PENALTY.items())
-    return f"""gated AS (SELECT *, {listed} AS issues FROM cand),
-judged AS (SELECT *, greatest(0, 100 - ({cost})) AS score, CASE WHEN {has(signals.REJECTING)} THEN 'reject' WHEN {has(signals.QUARANTINING)} THEN 'quarantine' WHEN {has(signals.MERGING)} THEN 'needs_merge' ELSE 'accept' END AS decision FROM gated)"""
-
-
-def judged(spark, sf_dir, kind: str) -> DataFrame:
-    return signals.gate(candidates(spark, sf_dir, kind), kind)
-
-
-for _kind in KINDS:
-    QUERIES[f"candidates_{_kind}"] = lambda spark, sf_dir, kind=_kind: candidates(spark, sf_dir, kind).select("id", "project", "topic", "claim", "rationale", "trust", "confidence")
-    SQL[f"candidates_{_kind}"] = f"WITH {_candidate_sql(_kind)} SELECT id, project, topic, claim, rationale, trust, confidence FROM cand"
-    QUERIES[f"gate_{_kind}"] = lambda spark, sf_dir, kind=_kind: judged(spark, sf_dir, kind).select("id", F.array_join("issues", ",").alias("issues"), F.col("score").cast("long").alias("score"), "decision")
-    SQL[f"gate_{_kind}"] = f"WITH {_candidate_sql(_kind)}, {_gate_sql(_kind)} SELECT id, array_to_string(issues, ',') AS issues, score::BIGINT AS score, decision FROM judged"
+KNOWN = "known AS (SELECT text FROM benchmark UNION ALL SELECT text FROM documents WHERE doc_id % 3 = 0)"
 
 
-@query(f"WITH {_candidate_sql('decision')}, {_gate_sql('decision')} SELECT code, count(*) AS n FROM (SELECT unnest(issues) AS code FROM judged WHERE decision IN ('reject', 'quarantine')) GROUP BY code")
-def quarantine_reasons(spark, sf_dir):
-    rows = judged(spark, sf_dir, "decision").where("decision in ('reject', 'quarantine')")
-    return rows.select(F.explode("issues").alias("code")).groupBy("code").agg(F.count("*").alias("n"))
+def known_texts(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select("text").unionByName(docs(spark, sf_dir).where("doc_id % 3 = 0").select("text"))
 
 
-MERGED = f"WITH {_candidate_sql('work_style')}, {_gate_sql('work_style')}, keyed AS (SELECT *, {NORM.format('topic')} || ':' || {NORM.format('left(claim, 20)')} AS key, sha256('work_style:' || {NORM.format('topic')} || chr(1) || {NORM.format('claim')}) AS fingerprint, left(sha256(doc_id::VARCHAR), 16) AS evidence_id FROM judged WHERE decision IN ('accept', 'needs_merge')), merged AS (SELECT key, max(trust) AS trust, max(confidence) AS confidence, min(observed_ms) AS first_ms, max(observed_ms) AS last_ms, count(DISTINCT evidence_id) AS support, count(DISTINCT fingerprint) AS fingerprints, min(project) AS project FROM keyed GROUP BY key), best AS (SELECT key, id, claim FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY trust DESC, confidence DESC, observed_ms DESC, id) AS n FROM keyed) WHERE n = 1), signals AS (SELECT * FROM merged JOIN best USING (key))"
-
-
-def merged(spark, sf_dir) -> DataFrame:
-    rows = judged(spark, sf_dir, "work_style").where("decision in ('accept', 'needs_merge')")
-    key = text.canonical_key((F.col("topic"), None), (F.col("claim"), 20))
-    rows = rows.withColumns({"key": key, "fingerprint": text.fingerprint("work_style", F.col("topic"), F.col("claim")), "evidence_id": text.content_hash(F.col("doc_id").cast("string"))})
-    out = signals.merge(rows)
-    return out.select("key", "id", "claim", "trust", "confidence", "first_ms", F.col("observed_ms").alias("last_ms"), F.col("support").cast("long").alias("support"), F.array_size("fingerprints").cast("long").alias("fingerprints"), "project")
-
-
-@query(f"{MERGED} SELECT key, id, claim, trust, confidence, first_ms, last_ms, support, fingerprints, project FROM signals")
-def merge_signals(spark, sf_dir):
-    return merged(spark, sf_dir)
-
-
-def by_rank() -> list[Column]:
-    return [F.desc("trust"), F.desc("support"), F.desc("confidence"), F.desc("last_ms"), F.asc("id")]
-
-
-ORDER_SQL = "trust DESC, support DESC, confidence DESC, last_ms DESC, id"
-VIEW_BUDGETS = {"weekly_focus": (30, 12), "timeline": (80, 10), "open_threads": (60, 10), "decisions": (50, 50), "pain_points": (35, 35), "tech_preferences": (40, 10), "work_profile": (30, 30)}
-for _view, (_items, _per) in VIEW_BUDGETS.items():
-    QUERIES[f"view_{_view}_items"] = lambda spark, sf_dir, items=_items, per=_per: views.item_budget(views.capped(merged(spark, sf_dir), "project", by_rank(), per), by_rank(), items).select("place", "project", "item_rank", "id", "claim")
-    SQL[f"view_{_view}_items"] = f"{MERGED}, ranked AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY {ORDER_SQL}) AS item_rank FROM signals), placed AS (SELECT *, row_number() OVER (ORDER BY {ORDER_SQL}) AS place FROM ranked WHERE item_rank <= {_per}) SELECT place, project, item_rank, id, claim FROM placed WHERE place <= {_items}"
-
-
-@query(f"{MERGED}, placed AS (SELECT *, row_number() OVER (ORDER BY {ORDER_SQL}) AS place FROM signals), used AS (SELECT place, id, claim, sum(length(claim) + 1) OVER (ORDER BY place) AS used FROM placed WHERE place <= 50) SELECT place, id, claim, used::BIGINT AS used FROM used WHERE used <= 3000")
-def view_char_budget_prefix(spark, sf_dir):
-    return views.char_budget(views.item_budget(merged(spark, sf_dir), by_rank(), 50), "claim", 3000).select("place", "id", "claim", F.col("used").cast("long").alias("used"))
-
-
-@query()
-def view_char_budget_skip(spark, sf_dir):
-    return views.skip_budget(views.item_budget(merged(spark, sf_dir), by_rank(), 50).select("place", "id", "claim"), "claim", 2000)
-
-
-@query()
-def greedy_containment_dedup(spark, sf_dir):
-    return views.greedy_distinct(views.item_budget(merged(spark, sf_dir), by_rank(), 200).select("place", "id", "claim"), "claim")
-
-
-@query()
-def render_markdown(spark, sf_dir):
-    return views.markdown(views.item_budget(views.capped(merged(spark, sf_dir), "project", by_rank(), 10), by_rank(), 60), "Signals", "project", "claim")
+@query(f"WITH {KNOWN} SELECT doc_id FROM documents WHERE left(sha256(text), 16) NOT IN (SELECT left(sha256(text), 16) FROM known WHERE text IS NOT NULL)")
+def memory_hash_antijoin(spark, sf_dir):
+    """Documents whose text isn't known yet, by content hash."""
+    known = known_texts(spark, sf_dir).select(text.content_hash(F.col("text")).alias("hash"))
+    return docs(spark, sf_dir).withColumn("hash", text.content_hash(F.col("text"))).join(known, "hash", "left_anti").select("doc_id")
 
 
 @query("SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders) WHERE n = 1")
@@ -470,11 +394,11 @@ def replace_kind(spark, sf_dir):
     return signals.replace_kind(rows, new, "P").groupBy("kind").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {EV}, now AS (SELECT max(ts_ms) AS t FROM ev) SELECT project, count(*) AS n FROM ev, now WHERE t - ts_ms <= 7 * 86400000::BIGINT GROUP BY project ORDER BY n DESC, project LIMIT 5")
-def active_projects(spark, sf_dir):
+@query(f"WITH {EV}, now AS (SELECT max(ts_ms) AS t FROM ev) SELECT project, count(*) AS n FROM ev, now WHERE t - ts_ms <= 30 * 86400000::BIGINT GROUP BY project ORDER BY n DESC, project LIMIT 5")
+def active_projects_30d(spark, sf_dir):
     rows = events(spark, sf_dir)
     now = rows.agg(F.max("ts_ms")).first()[0] or 0
-    return rows.where(F.col("ts_ms") >= now - 7 * sessions.DAY_MS).groupBy("project").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "project").limit(5)
+    return rows.where(F.col("ts_ms") >= now - 30 * sessions.DAY_MS).groupBy("project").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "project").limit(5)
 
 
 @query("WITH p AS (SELECT lower(p_brand) AS technology, CASE WHEN p_size < 15 THEN 'avoid' WHEN p_size < 40 THEN 'prefer' ELSE 'conditional' END AS stance, p_partkey, p_type, p_retailprice FROM part) SELECT technology, count(*) AS support, count(DISTINCT p_type) AS projects, CASE WHEN bool_or(stance = 'prefer') AND bool_or(stance = 'avoid') THEN 'mixed' WHEN bool_or(stance = 'prefer') THEN 'prefer' WHEN bool_or(stance = 'avoid') THEN 'avoid' ELSE 'conditional' END AS stance, min(p_partkey) FILTER (p_retailprice = m) AS representative FROM (SELECT *, max(p_retailprice) OVER (PARTITION BY technology) AS m FROM p) GROUP BY technology")
@@ -498,9 +422,10 @@ def weekly_focus_items(spark, sf_dir):
     return views.item_budget(rows, [F.asc("rank"), F.asc("item_rank")], 30).select("place", "status", "o_orderkey")
 
 
-@query("WITH c AS (SELECT item_id, sha256(left(text, 40)) AS key FROM benchmark), d AS (SELECT doc_id, sha256(left(text, 40)) AS key FROM documents) SELECT doc_id, (min(item_id) IS NOT NULL)::INT AS hit, coalesce(min(item_id)::VARCHAR, 'draft') AS section FROM d LEFT JOIN c USING (key) GROUP BY doc_id")
+@query(f"WITH c AS (SELECT sha256(text) AS key, 'c' || left(sha256(text), 6) AS section FROM ({KNOWN.split('(', 1)[1][:-1]}) GROUP BY text) SELECT doc_id, (section IS NOT NULL)::INT AS hit, coalesce(section, 'draft') AS section FROM documents LEFT JOIN c ON sha256(documents.text) = c.key")
 def polish_cache_hits(spark, sf_dir):
-    key = F.sha2(F.substring("text", 1, 40), 256)
-    cache = table(spark, sf_dir, "benchmark").groupBy(key.alias("key")).agg(F.min("item_id").alias("item_id"))
+    """Sections by the hash of their draft: the cached text, or the draft where there is none."""
+    key = F.sha2("text", 256)
+    cache = known_texts(spark, sf_dir).groupBy(key.alias("key")).agg(F.lit(1).alias("hit"))
     rows = docs(spark, sf_dir).select("doc_id", key.alias("key")).join(cache, "key", "left")
-    return rows.select("doc_id", F.col("item_id").isNotNull().cast("int").alias("hit"), F.coalesce(F.col("item_id").cast("string"), F.lit("draft")).alias("section"))
+    return rows.select("doc_id", F.coalesce("hit", F.lit(0)).alias("hit"), F.when(F.col("hit") == 1, F.concat(F.lit("c"), F.substring("key", 1, 6))).otherwise("draft").alias("section"))

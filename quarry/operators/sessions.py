@@ -51,13 +51,14 @@ def noise_signals(sessions: DataFrame) -> DataFrame:
     return per.select("project", "sessions", ((24 * squares - all_squared) / all_squared).alias("hour_variance"), (F.col("titles") / F.col("sessions")).alias("title_ratio"), F.coalesce("median", F.lit(0)).alias("median_ms"), (F.col("sessions") * 100.0 / total).alias("share"))
 
 
-def noise_rules(signals: DataFrame, least_sessions: int = 100, variance: float = 0.5, titles: float = 0.3, median_ms: int = 60_000, share: float = 70.0, needed: int = 2) -> DataFrame:
+def noise_rules(signals: DataFrame, least_sessions: int = 100, variance: float = 0.5, titles: float = 0.3, median_ms: int = 60_000, share: float = 70.0, user_ratio: float = 0.2, needed: int = 2) -> DataFrame:
     """Which rules a project breaks; noise from ``needed`` on."""
     rules = {
         "flat_hours": (F.col("hour_variance") < variance) & (F.col("sessions") > least_sessions),
         "same_titles": F.col("title_ratio") < titles,
         "short_gaps": (F.col("median_ms") > 0) & (F.col("median_ms") < median_ms),
         "most_sessions": F.col("share") > share,
+        "few_user_messages": F.col("user_ratio") < user_ratio,
     }
     marked = signals.withColumns({k: v.cast("int") for k, v in rules.items()})
     broken = sum((F.col(k) for k in rules), F.lit(0))
@@ -79,5 +80,37 @@ def neighbours_by_join(sessions: DataFrame, span_ms: int = DAY_MS) -> DataFrame:
     return sessions.join(met.groupBy("project", "session").agg(F.count("*").alias("near")), ["project", "session"], "left").withColumn("near", F.coalesce("near", F.lit(0)))
 
 
-def score(keyword: Column, churn: Column, near: Column, messages: Column) -> Column:
-    return F.when(keyword, 3).otherwise(0) + F.when(churn > 500, 2).otherwise(0) + F.when(near >= 1, 2).otherwise(0) + F.when(messages > 15, 1).otherwise(0)
+def score(keyword: Column, churn: Column, near: Column, messages: Column, churn_above: int = 500, messages_above: int = 15) -> Column:
+    """Points of a session; a null counts as none."""
+    points = ((keyword, 3), (churn > churn_above, 2), (near >= 1, 2), (messages > messages_above, 1))
+    return sum((F.when(F.coalesce(test, F.lit(False)), n).otherwise(0) for test, n in points), F.lit(0))
+
+
+def overridden(is_noise: Column, included: Column, excluded: Column) -> Column:
+    """What lists say beats the rules, and to be included beats to be excluded."""
+    return F.when(included, 0).when(excluded, 1).otherwise(is_noise)
+
+
+def report(projects: DataFrame) -> DataFrame:
+    """(part, source, projects, sessions) of (project, source, sessions, is_noise), with totals."""
+    per = projects.groupingSets([["is_noise", "source"], ["is_noise"], []], "is_noise", "source").agg(F.count("*").alias("projects"), F.sum("sessions").alias("sessions"), F.grouping("is_noise").alias("all"))
+    part = F.when(F.col("all") == 1, "total").when(F.col("is_noise") == 1, "filtered").otherwise("retained")
+    return per.select(part.alias("part"), F.coalesce("source", F.lit("total")).alias("source"), "projects", "sessions")
+
+
+def source_signals(sessions: DataFrame) -> DataFrame:
+    """By (project, source): 24 counts by hour, share of distinct titles, percent of the source's sessions."""
+    hours = [F.count_if(F.pmod(F.floor(F.col("ts_ms") / 3_600_000), F.lit(24)) == h) for h in range(24)]
+    per = sessions.groupBy("project", "source").agg(F.count("*").alias("n"), F.count_distinct("title").alias("titles"), F.array(*hours).alias("hours"))
+    all_ = per.groupBy("source").agg(F.sum("n").alias("all"))
+    return per.join(F.broadcast(all_), "source").select("project", "source", "hours", (F.col("titles") / F.col("n")).alias("ratio"), (F.col("n") * 100.0 / F.col("all")).alias("share"))
+
+
+def merged_sources(signals: DataFrame) -> DataFrame:
+    """By project: hours added up element by element, the least ratio and the greatest share."""
+    return signals.groupBy("project").agg(F.array(*[F.sum(F.col("hours")[h]) for h in range(24)]).alias("hours"), F.min("ratio").alias("ratio"), F.max("share").alias("share"))
+
+
+def is_subagent(title: Column) -> Column:
+    """Whether a title marks a delegated session; null doesn't."""
+    return F.coalesce(title.rlike(r"\(@[A-Za-z0-9_]+") | title.rlike(r"(?i:subagent\))"), F.lit(False))

@@ -1,8 +1,9 @@
-"""Candidates, quality gate, deterministic merge and store of signals.
+"""Merge of accepted candidates into signals, and the store of signals.
 
-A candidate is a row (id, kind, topic, claim, rationale, project, trust, confidence, observed_ms,
-evidence_id). The gate lists issue codes and decides; accepted candidates of one canonical key
-become one signal whose text is that of the best member (trust, confidence, time, id).
+The store has two tables. ``signals`` has one row a key: SIGNAL, the payload being that of the best
+member by trust, confidence, time and id. ``members`` holds what a signal gathers, one row for each
+(key, what, value): its evidence, fingerprints, sources, projects and what was merged into it. So no
+signal's lists are ever held in one row, and a merge depends neither on order nor on how rows are dealt.
 """
 
 from __future__ import annotations
@@ -10,74 +11,62 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions import text
-
-#: How many points an issue costs.
-PENALTY = {"echo_raw_text": 45, "too_long": 45, "too_vague": 60, "missing_required": 60, "missing_rationale": 60, "weak_evidence": 20, "single_occurrence_low_trust": 20, "no_actionability": 10, "meta_commentary": 60, "invalid_date": 60}
-REJECTING = ("missing_required", "too_vague", "meta_commentary", "invalid_date")
-QUARANTINING = ("echo_raw_text", "too_long", "no_actionability", "missing_rationale")
-MERGING = ("weak_evidence", "single_occurrence_low_trust")
-MARKDOWN = r"(?m)^\s*[-*+]\s|^\s*#{1,6}\s|```|\*\*|^\|.*\|"
-
-#: Per kind: (longest claim, longest rationale, least claim, whether a rationale is needed).
-LIMITS = {"decision": (200, 150, 8, True), "pain_point": (200, 150, 10, False), "tech_preference": (60, 150, 2, True), "work_style": (150, 150, 8, False), "profile_fact": (100, 150, 2, False), "timeline_event": (200, 150, 1, False), "open_thread": (200, 150, 1, False)}
-
-
-def issues(kind: str) -> Column:
-    """Issue codes of a candidate, in fixed order."""
-    longest, longest_why, least, needs_why = LIMITS[kind]
-    claim, why = F.trim(F.coalesce("claim", F.lit(""))), F.trim(F.coalesce("rationale", F.lit("")))
-    raw = F.coalesce("raw", F.lit(""))
-    found = [
-        ("missing_required", (claim == "") | (F.trim(F.coalesce("topic", F.lit(""))) == "")),
-        ("missing_rationale", (why == "") if needs_why else F.lit(False)),
-        ("too_vague", (claim != "") & (F.char_length(text.normalize(claim)) < least)),
-        ("too_long", (F.char_length(claim) > longest) | (F.char_length(why) > longest_why)),
-        ("echo_raw_text", (F.regexp_count(claim, F.lit("\n")) > 2) | claim.rlike(MARKDOWN) | ((F.char_length(raw) > F.char_length(claim) + 20) & (text.overlap_ratio(raw, claim) >= 0.85))),
-        ("single_occurrence_low_trust", (F.col("evidence") <= 1) & (F.col("trust") <= 2) & (F.col("confidence") < 0.6)),
-        ("weak_evidence", (F.col("evidence") < 2) & (F.col("trust") < 4)),
-    ]
-    return F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in found]), lambda x: x.isNotNull())
-
-
-def gate(candidates: DataFrame, kind: str) -> DataFrame:
-    """Candidates with issues, score and decision (reject, quarantine, needs_merge or accept)."""
-    rows = candidates.withColumn("issues", issues(kind))
-    cost = F.create_map(*[F.lit(x) for pair in PENALTY.items() for x in pair])
-    score = F.greatest(F.lit(0), 100 - F.aggregate("issues", F.lit(0), lambda a, code: a + cost[code]))
-    has = lambda codes: F.arrays_overlap("issues", F.array(*map(F.lit, codes)))
-    decision = F.when(has(REJECTING), "reject").when(has(QUARANTINING), "quarantine").when(has(MERGING), "needs_merge").otherwise("accept")
-    return rows.withColumns({"score": score, "decision": decision})
-
-
-def with_evidence(candidates: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Distinct evidence rows and their largest trust, for each candidate's list of evidence ids."""
-    ids = candidates.select("id", F.explode("evidence_ids").alias("evidence_id"))
-    per = ids.join(evidence, "evidence_id").groupBy("id").agg(F.count_distinct("evidence_id").alias("evidence"), F.max("trust").alias("evidence_trust"))
-    return candidates.join(per, "id", "left").withColumn("evidence", F.coalesce("evidence", F.lit(0)))
-
-
-def best_first() -> list[Column]:
-    return [F.desc("trust"), F.desc("confidence"), F.desc("observed_ms"), F.asc("id")]
-
-
-def merge(candidates: DataFrame, existing: DataFrame | None = None) -> DataFrame:
-    """One signal for each key. A candidate whose fingerprint an existing signal holds takes that
-    signal's key. Independent of order and of how rows are dealt."""
-    rows = candidates.withColumn("fingerprints", F.array("fingerprint")).withColumn("evidence_ids", F.array("evidence_id"))
-    columns = ("key", "id", "claim", "trust", "confidence", "observed_ms", "first_ms", "fingerprints", "evidence_ids", "project")
-    rows = rows.withColumn("first_ms", F.col("observed_ms"))
-    if existing is not None:
-        known = existing.select(F.explode("fingerprints").alias("fingerprint"), F.col("key").alias("known_key")).groupBy("fingerprint").agg(F.min("known_key").alias("known_key"))
-        rows = rows.join(known, "fingerprint", "left").withColumn("key", F.coalesce("known_key", "key"))
-        rows = rows.select(*columns).unionByName(existing.select(*columns))
-    best = F.max_by(F.struct("id", "claim"), F.struct("trust", "confidence", "observed_ms", F.transform(F.split("id", ""), lambda c: -F.ascii(c))))
-    out = rows.groupBy("key").agg(
-        best.alias("best"), F.max("trust").alias("trust"), F.max("confidence").alias("confidence"), F.min("first_ms").alias("first_ms"), F.max("observed_ms").alias("observed_ms"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("fingerprints")))).alias("fingerprints"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("evidence_ids")))).alias("evidence_ids"), F.min("project").alias("project"),
+from quarry.operators.extract import PAYLOAD
+
+SIGNAL = ("kind", "key", "id", *PAYLOAD, "summary", "trust", "confidence", "first_ms", "last_ms", "support", "project", "status")
+GATHERED = {"evidence": "evidence_id", "fingerprint": "fingerprint", "label": "label", "project": "project"}
+
+
+def seen_ms(observed: Column, now_ms: Column) -> Column:
+    """When a candidate was observed; now, if that isn't said or isn't a time."""
+    return F.coalesce(F.unix_millis(F.try_to_timestamp(observed)), now_ms)
+
+
+def summary(kind: Column) -> Column:
+    """What a signal says in one line."""
+    said = {"tech_preference": F.concat("subject", F.lit(" ("), "detail", F.lit("): "), "reason"), "decision": F.concat_ws(": ", "subject", "body"), "work_style": F.col("body"), "profile_fact": F.col("body"), "timeline_event": F.concat_ws(" ", "detail", "subject")}
+    out = F
+    for name, text in said.items():
+        out = out.when(kind == name, text)
+    return out.otherwise(F.col("subject"))
+
+
+def wrong_kind(candidates: DataFrame, kind: str) -> DataFrame:
+    """Candidates that a merge of ``kind`` must not take: they go to quarantine."""
+    return candidates.where(F.col("kind") != kind)
+
+
+def resolved(candidates: DataFrame, members: DataFrame | None) -> DataFrame:
+    """``candidates`` with the key of the signal that holds their fingerprint, if one does, else their own."""
+    if members is None:
+        return candidates
+    known = members.where("what = 'fingerprint'").groupBy(F.col("value").alias("fingerprint")).agg(F.min("key").alias("known"))
+    return candidates.join(known, "fingerprint", "left").withColumn("key", F.coalesce("known", "key")).drop("known")
+
+
+def merge(candidates: DataFrame, kind: str, now_ms: Column, signals: DataFrame | None = None, members: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(signals, members) of ``kind`` after the candidates of that kind are merged into the store, if
+    there is one. A rerun with the same candidates gives the same tables. A key's first signal gives
+    the id; where no signal had the key, its best candidate does."""
+    rows = resolved(candidates.where(F.col("kind") == kind), members)
+    seen = seen_ms(F.col("observed"), now_ms)
+    new = rows.select(*(F.col(c) for c in ("kind", "key", "id", *PAYLOAD, "trust", "confidence")), seen.alias("first_ms"), seen.alias("last_ms"), "project", F.lit(False).alias("old"))
+    gathered = F.explode(F.filter(F.array(*[F.when(F.col(c).isNotNull(), F.struct(F.lit(w).alias("what"), F.col(c).alias("value"))) for w, c in GATHERED.items()], F.struct(F.lit("merged").alias("what"), F.col("id").alias("value"))), lambda x: x.isNotNull()))
+    held = rows.select("key", gathered.alias("m")).select("key", "m.what", "m.value")
+    if signals is not None:
+        own = signals.where(F.col("kind") == kind)
+        new = new.unionByName(own.select(*new.columns[:-1], F.lit(True).alias("old")))
+        held = held.unionByName(members.join(own.select("key"), "key", "left_semi"))
+    held = held.distinct()
+    rank = F.struct((-F.col("trust")).alias("t"), (-F.col("confidence")).alias("c"), (-F.col("last_ms")).alias("m"), F.col("id"))
+    best = F.min_by(F.struct("id", *PAYLOAD), rank)
+    out = new.groupBy("kind", "key").agg(
+        best.alias("best"), F.min(F.when(F.col("old"), F.struct("first_ms", "id"))).alias("first"), F.max("trust").alias("trust"), F.max("confidence").alias("confidence"),
+        F.min("first_ms").alias("first_ms"), F.max("last_ms").alias("last_ms"), F.min("project").alias("project"),
     )
-    return out.select("key", "best.id", "best.claim", "trust", "confidence", "first_ms", "observed_ms", "fingerprints", "evidence_ids", "project", F.array_size("evidence_ids").alias("support"))
+    support = held.where("what = 'evidence'").groupBy("key").agg(F.count("*").alias("support"))
+    out = out.join(support, "key", "left").select("kind", "key", F.coalesce("first.id", "best.id").alias("id"), *[F.col(f"best.{c}").alias(c) for c in PAYLOAD], "trust", "confidence", "first_ms", "last_ms", F.coalesce("support", F.lit(0)).alias("support"), "project", F.lit("active").alias("status"))
+    return out.withColumn("summary", summary(F.col("kind"))).select(*SIGNAL), held
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
@@ -86,8 +75,32 @@ def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 
 
 def latest(rows: DataFrame, key: str, order: list[Column]) -> DataFrame:
+    """The first row of each key, by map-side aggregation where the order allows a struct."""
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_n = 1").drop("_n")
 
 
 def replace_kind(store: DataFrame, new: DataFrame, kind: str) -> DataFrame:
     return store.where(F.col("kind") != kind).unionByName(new)
+
+
+def consistent(signals: DataFrame, members: DataFrame) -> DataFrame:
+    """What is wrong with a store, none if all is well: (key, problem)."""
+    support = members.where("what = 'evidence'").groupBy("key").agg(F.count("*").alias("n"))
+    met = signals.join(support, "key", "full")
+    problem = F.when(F.col("id").isNull(), "members without signal").when(F.coalesce("n", F.lit(0)) != F.col("support"), "support differs").when(F.col("first_ms") > F.col("last_ms"), "times reversed")
+    return met.select("key", problem.alias("problem")).where("problem is not null")
+
+
+def fold(candidates: DataFrame) -> DataFrame:
+    """The same candidates folded one after the other in the order of ``arrival``, as a sequential
+    engine does: a payload is replaced only by a candidate that beats the signal's greatest trust,
+    confidence and time so far. Signals by key: (key, id, body, trust, confidence, members)."""
+    rows = F.array_sort(F.collect_list(F.struct("arrival", "id", F.coalesce("body", F.lit("")).alias("body"), "trust", "confidence", "ms")))
+
+    def take(a: Column, x: Column) -> Column:
+        better = (x["trust"] > a["trust"]) | ((x["trust"] == a["trust"]) & ((x["confidence"] > a["confidence"]) | ((x["confidence"] == a["confidence"]) & ((x["ms"] > a["ms"]) | ((x["ms"] == a["ms"]) & (x["id"] < a["id"]))))))
+        return F.struct(a["id"].alias("id"), F.when(better, x["body"]).otherwise(a["body"]).alias("body"), F.greatest(a["trust"], x["trust"]).alias("trust"), F.greatest(a["confidence"], x["confidence"]).alias("confidence"), F.greatest(a["ms"], x["ms"]).alias("ms"))
+
+    all_ = candidates.groupBy("key").agg(rows.alias("all"))
+    first = F.struct(*[F.col("all")[0][c].alias(c) for c in ("id", "body", "trust", "confidence", "ms")])
+    return all_.select("key", F.aggregate("all", first, take).alias("s"), F.size("all").alias("members")).select("key", "s.id", "s.body", "s.trust", "s.confidence", "members")
