@@ -246,12 +246,14 @@ PARTS = {
     "pain_point": [_pain(CLAIM_PAINS, False), _pain("SELECT * FROM memory_pained", True)], "work_style": [_work(CLAIM_STYLES, False), _work("SELECT * FROM profiled", True)],
     "profile_fact": [_fact("memory-profile", _MEMORY_FACTS), _fact("layer3-decision-role", _ROLE), _fact("layer3-decision-resp", _RESP), _fact("layer3-focus", _FOCUS)],
 }
+_TIES = ("project", "observed", "body", "detail", "reason", "extra", "trigger")
 _COLUMNS = ("id", "evidence_id", "source_kind", "label", "project", "confidence", "trust", "observed", "raw_text", *PAYLOAD)
 
 
 def cand_sql(kind: str, name: str = "cand") -> str:
     parts = " UNION ALL ".join(f"SELECT {', '.join(_COLUMNS).replace('confidence', 'confidence::DOUBLE AS confidence')} FROM ({p})" for p in PARTS[kind])
-    one = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY evidence_id, raw_text, trust DESC) AS copy FROM ({parts})) WHERE copy = 1"
+    ties = ", ".join(f"coalesce({c}, '')" for c in _TIES)
+    one = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY evidence_id, raw_text, trust DESC, {ties}) AS copy FROM ({parts})) WHERE copy = 1"
     return f"{name} AS ({_candidates(kind, f'SELECT * EXCLUDE (copy) FROM ({one})')})"
 
 
@@ -291,7 +293,7 @@ def candidates(spark, sf_dir, kind: str) -> DataFrame:
     rows = parts[0]
     for part in parts[1:]:
         rows = rows.unionByName(part)
-    return extract.first_by(rows, ["id"], [F.asc("evidence_id"), F.asc("raw_text"), F.desc("trust")])
+    return extract.first_by(rows, ["id"], [F.asc("evidence_id"), F.asc("raw_text"), F.desc("trust"), *[F.coalesce(c, F.lit("")) for c in _TIES]])
 
 
 for _kind in KINDS:
