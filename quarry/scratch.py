@@ -7,6 +7,7 @@ instead of being computed again. The folder is ``spark.checkpoint.dir``; only on
 
 from __future__ import annotations
 
+import gc
 import math
 import tempfile
 import uuid
@@ -45,6 +46,13 @@ def delete(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def free(spark: SparkSession) -> None:
+    """Let the files of shuffles go whose results have been written: the driver drops them when it
+    collects what nothing refers to any more, which it may put off for long."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 @contextmanager
 def passing(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
     """Tables that ``materialize`` writes in this block are deleted at its end. The function given
