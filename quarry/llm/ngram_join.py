@@ -23,8 +23,8 @@ with itself and with the group's smallest set; only sets outside the group's lar
 found are then compared with all other blocks. So a large group of near copies costs about its
 size, and no link between components is missed.
 
-Skew: copies collapse in each task before they are sent; a family is split into blocks; hot keys
-meet only one-row-a-key tables. Nothing but the sketch (a byte for each counter) is collected.
+Skew: copies collapse in each task before they are sent; a shingle that the sketch finds in many
+documents is dealt to several parts; a family is split into blocks; hot keys meet only one-row-a-key tables. Nothing but the sketch (a byte for each counter) is collected.
 Two different shingles are taken as equal only if their words' 64-bit hashes or the polynomials
 modulo a 61-bit prime over them collide, two sets only if a 64-bit hash of all their shingles does.
 
@@ -44,12 +44,14 @@ from pyspark.sql import functions as F
 
 from quarry.llm import tokens
 from quarry.llm.components import components
-from quarry.scratch import groups_for, materialize, passing
+from quarry.scratch import free, groups_for, materialize, passing
 
 SKETCH = 22
 SKETCH_BLOCK = 1 << 13
 #: Sketches of so many tasks are summed at once.
 FAN = 64
+#: A shingle that stands in more documents is dealt to several parts, of about so many each.
+HOT = 512
 BLOCK = 128
 BLOCK_TOKENS = 1 << 19
 #: The shortest bitmap: small sets differ in few shingles, of which few may fall together by chance.
@@ -185,6 +187,9 @@ def _prefixes(width: int, percent: int, classes):
     def run(batches):
         shingler, table = Shingler(width), classes.value
         noise = float(np.median(table))
+        # Into how many parts a shingle of each sketch class is dealt, by what it has above the noise.
+        counts = np.exp2(np.arange(256) / 2)
+        parts_of = 1 + np.floor(np.maximum(counts - 2 ** (noise / 2), 0) / max(HOT, 8 * 2 ** (noise / 2))).astype(np.int64)
         seen: set[int] = set()
         for batch in batches:
             for _, rows, h, of in shingler.sets(batch.column(0), table):
@@ -202,8 +207,9 @@ def _prefixes(width: int, percent: int, classes):
                 if len(seen) > 2_000_000:
                     seen.clear()
                 keep = fresh[of] & (rank < length[of])
-                o = of[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (h[keep].view(np.int64), ids[o], n[o], m[o])], ["token", "set_id", "n", "m"])
+                o, salts = of[keep], parts_of[table[slots(h[keep])]]
+                salt = np.where(salts > 1, (tokens.mix(ids[o].view(np.uint64)) % salts.astype(np.uint64)).view(np.int64), -1)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (h[keep].view(np.int64), salt.astype(np.int32), ids[o], n[o], m[o])], ["token", "salt", "set_id", "n", "m"])
         tokens.release()
 
     return run
@@ -390,6 +396,20 @@ def _linked(members: DataFrame, payload: DataFrame, compare, groups: int) -> Dat
     return roots if more.isEmpty() else components(edges.unionByName(more))
 
 
+def _met(rows: DataFrame) -> DataFrame:
+    """Of (token, salt, set_id, n, m) the rows whose token several sets have, with the token's smallest
+    set (family) and m (least_m). A token with a salt is dealt to parts by it; its parts' results are
+    put together and joined back, which splits a hot token's rows again."""
+    own = Window.partitionBy("token", "salt")
+    part = rows.withColumns({"sets": F.count("*").over(own), "family": F.min("set_id").over(own), "least_m": F.min("m").over(own)})
+    held = materialize(part.where("sets > 1 or salt >= 0").drop("sets"))
+    hot = held.where("salt >= 0")
+    if hot.isEmpty():
+        return held
+    whole = hot.groupBy("token").agg(F.count("*").alias("sets"), F.min("family").alias("family"), F.min("least_m").alias("least_m")).where("sets > 1").drop("sets")
+    return held.where("salt < 0").unionByName(hot.drop("family", "least_m").join(materialize(whole), "token").select(*held.columns))
+
+
 def _memberships(held: DataFrame) -> DataFrame:
     """(family, set_id, n), families of one set included. A set leaves the families that it meets at the fewest shingles, as long
     as it gives up at most (m - 1) / 2 of them: two linked sets share m, so that at least one
@@ -439,23 +459,23 @@ def _components_of(docs: DataFrame, width: int, percent: int, keys: bool) -> Dat
     shared = spark.sparkContext.broadcast(classes)
 
     parts, groups = groups_for(texts, 4, 1), groups_for(texts)
-    prefixes = texts.select("text").mapInArrow(_prefixes(width, percent, shared), "token long, set_id long, n long, m long").repartition(parts, "token")
-    prefixes = prefixes.groupBy("token", "set_id").agg(F.first("n").alias("n"), F.first("m").alias("m"))
-    same = Window.partitionBy("token")
-    met = lambda df: df.withColumns({"sets": F.count("*").over(same), "family": F.min("set_id").over(same), "least_m": F.min("m").over(same)}).where("sets > 1").drop("sets")
-    held = materialize(met(prefixes))
+    prefixes = texts.select("text").mapInArrow(_prefixes(width, percent, shared), "token long, salt int, set_id long, n long, m long").repartition(parts, "token", "salt")
+    held = _met(prefixes.groupBy("token", "salt", "set_id").agg(F.first("n").alias("n"), F.first("m").alias("m")))
+    free(spark)
     for _ in range(2):
         enough = held.groupBy("set_id").agg(F.count("*").alias("hits"), F.min(F.least("m", "least_m")).alias("needs")).where("hits >= needs")
-        left = held.join(materialize(enough.select("set_id")), "set_id", "left_semi").select("token", "set_id", "n", "m")
-        held = materialize(met(left))
+        held = _met(held.join(materialize(enough.select("set_id")), "set_id", "left_semi").select("token", "salt", "set_id", "n", "m"))
+        free(spark)
     members = materialize(_memberships(held))
     several = members.groupBy("family").count().where("count > 1").select("family")
     members = materialize(members.join(several, "family", "left_semi"))
+    free(spark)
 
     wanted = members.select("set_id").distinct()
     bits = survey.where("bits is not null").select("set_id", F.col("bits").alias("data"))
     bits = materialize(bits.join(wanted, "set_id", "left_semi").dropDuplicates(["set_id"]))
     close = _linked(members, bits, _close(percent), groups)
+    free(spark)
 
     of_set = known.where("n > 0").groupBy("set_id").agg(F.min("key").alias("key"), F.first("n").alias("n"))
     chosen = materialize(of_set.join(close.select(F.col("node").alias("set_id"), F.col("root").alias("family")), "set_id"))

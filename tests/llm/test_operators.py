@@ -466,3 +466,21 @@ def test_toxicity(spark):
     got = {r["doc_id"]: r for r in toxicity.grade(spark.createDataFrame(rows, DOCS), labels).collect()}
     assert all(got[k]["toxic"] == (k % 8 == 0) for k in range(200, 400)) and not got[999]["toxic"]
     assert toxicity.grade(spark.createDataFrame(rows, DOCS), labels.limit(0)).where("toxic").count() == 0
+
+
+def test_ngram_join_of_hot_shingles(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "HOT", 4)
+    base = prose(120, 3).split()
+    texts = [" ".join(base[:k] + [f"q{k}"] + base[k + 1 :]) for k in range(8, 110)] + [prose(60, k) for k in range(20)]
+    rows = [(k, t) for k, t in enumerate(texts)]
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.join_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    sets = [{tuple(t.split()[i : i + 3]) for i in range(len(t.split()) - 2)} for t in texts]
+    root = list(range(len(texts)))
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if 100 * len(sets[i] & sets[j]) >= 90 * len(sets[i] | sets[j]):
+            a, b = sorted((root[i], root[j]))
+            root = [a if r == b else r for r in root]
+    assert got == dict(enumerate(root))
+    assert ngram_join.join_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    long = spark.createDataFrame([(1, "x " * 200_000), (2, "x " * 200_000 + "y"), (3, "word " + "z" * 300_000)], "doc_id long, text string")
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.join_components(long).collect()} == {1: (1, 1), 2: (2, 2), 3: (1, 3)}
