@@ -11,11 +11,13 @@ shuffled order, repeated as often as needed. A source that has got all blocks of
 no more; a source that is still short of a few blocks after the last slot gets them at the end,
 so that every source meets its target to the word. The last block is cut.
 
-A source may hold any share of the rows: positions are sums over hash ranges of a source and
-then within them, and slots are ranked within ranges of slots.
+A source may hold any share of the rows: positions are sums over hash ranges of a source, whose
+number grows with the input, and then within them; slots are ranked within ranges of slots. Sources
+are few against rows: their table, one row each, is ordered in one task.
 
 Defined cases: null text has size 0; a size-0 document takes 0; without any word all targets
-are 0; equal rows stand one behind the other. Reruns give the same rows.
+are 0; equal rows stand one behind the other; texts of any length are cut to blocks; an empty table
+gives no rows; other columns are ignored. Reruns give the same rows.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.scratch import materialize, shuffle_partitions
+from quarry.scratch import groups_for, materialize
 
 GOLDEN = 0.6180339887498949
 BLOCK = 1024
@@ -100,7 +102,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: floa
     the method and the defined cases."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), *([F.xxhash64("text").alias("own"), F.col(key)] if key else []))
-    parts = max(16, 4 * shuffle_partitions(spark))
+    parts = max(16, groups_for(docs.select("text"), 64))
     rows = rows.withColumn("mixed", F.xxhash64(F.coalesce("doc_id", F.col("own") if key else F.lit(-1)), F.lit("mix")))
     keys, told = ([key], ["own", key]) if key else ([], [])
     sizes = materialize(rows.withColumn("part", F.pmod(F.shiftright("mixed", 20), F.lit(parts)).cast("int")))
