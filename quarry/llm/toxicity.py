@@ -7,12 +7,15 @@ chosen features in them, into 1 (mild) and 2 (severe). One weight vector is shar
 thresholds: P(grade > k) = sigmoid(w x - threshold_k). Output: the expected grade.
 
 Training reads a bounded sample: ``sample`` labelled documents, half of them toxic where there
-are as many, weighted back to the true shares, and keeps ``features`` words. Scoring counts the
-words of every whole text.
+are as many, weighted back to the true shares, at most ``bag`` different words of each, and keeps
+``features`` words. Scoring counts the words of every whole text. The labels have two classes; that
+there are two grades of toxic ones is this operator's own reading of their evidence.
 
 Defined cases: null or empty text has only the thresholds' probabilities; several labels of one
 document count as toxic if one is; null labels and labels without document are left out; with
-only one class among the labels every document gets that class's grade 0 or 1 without a model.
+only one class among the labels, or no word whose share differs surely, every document gets the
+share of toxic labels as its probability, without a model; rows that share an id are judged each; an
+empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -45,19 +48,28 @@ def _words(text_column):
         yield row, len(offsets) - 1, tokens.word_hashes(values, part, first, behind), doc
 
 
-def _bags(batches):
-    """Distinct words and counts of each document, as bytes."""
+def _bags(most: int):
+    """Distinct words and counts of each document, as bytes; of more than ``most`` words, those with
+    the least hashes, which are the same for all documents."""
+
+    def run(batches):
+        yield from _bags_of(batches, most)
+
+    return run
+
+
+def _bags_of(batches, most: int):
     for batch in batches:
         words, counts = [], []
         for _, rows, h, doc in _words(batch.column(1)):
             cuts = np.searchsorted(doc, np.arange(rows + 1))
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                w, n = np.unique(h[a:b], return_counts=True)
+                w, n = (x[:most] for x in np.unique(h[a:b], return_counts=True))
                 words.append(w.tobytes()), counts.append(n.astype("<u4").tobytes())
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.binary()), pa.array(counts, pa.binary())], ["toxic", "words", "counts"])
 
 
-def labelled_bags(docs: DataFrame, labels: DataFrame, sample: int):
+def labelled_bags(docs: DataFrame, labels: DataFrame, sample: int, bag: int):
     """Bags of at most ``sample`` labelled documents and the share of all labels that is toxic."""
     marks = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     marks = marks.withColumn("turn", F.xxhash64("doc_id", F.lit("labels")))
@@ -68,7 +80,7 @@ def labelled_bags(docs: DataFrame, labels: DataFrame, sample: int):
     # At most ``sample`` rows of 12 bytes.
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     rows = rows.join(F.broadcast(chosen), "doc_id").select("toxic", "text")
-    return rows.mapInArrow(_bags, "toxic int, words binary, counts binary").collect(), share
+    return rows.mapInArrow(_bags(bag), "toxic int, words binary, counts binary").collect(), share
 
 
 class Grader:
@@ -158,12 +170,12 @@ def _graded(grader: Grader | None, share: float):
     return run
 
 
-def grade(docs: DataFrame, labels: DataFrame, sample: int = 4000, features: int = 1024) -> DataFrame:
+def grade(docs: DataFrame, labels: DataFrame, sample: int = 4000, features: int = 1024, bag: int = 4096) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, severity (expected grade, 0 to 2), p_toxic
     (P(grade > 0)), grade (likeliest) and toxic (p_toxic of at least one half), from a model
     fitted to ``labels`` (doc_id, toxic). See the module."""
     tokens.small_batches(docs.sparkSession)
-    bags, share = labelled_bags(docs, labels, sample)
+    bags, share = labelled_bags(docs, labels, sample, bag)
     share = share or 0.0
     grader = fit(bags, share, features) if bags else None
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
