@@ -220,9 +220,9 @@ def semi_open_projects(spark, sf_dir):
     return table(spark, sf_dir, "customer").join(running, "c_custkey", "left_semi").select("c_custkey", "c_name")
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P' AND o_totalprice > 50000)")
 def anti_unprocessed(spark, sf_dir):
-    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey", "c_name")
+    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders").where("o_orderstatus = 'P' and o_totalprice > 50000").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey", "c_name")
 
 
 @query("WITH u AS (SELECT n_name AS path, 'customer' AS source, 0 AS rank, c_name AS name FROM customer JOIN nation ON c_nationkey = n_nationkey UNION ALL SELECT n_name, 'supplier', 1, s_name FROM supplier JOIN nation ON s_nationkey = n_nationkey) SELECT path, min_by(name, (rank, name)) AS name, count(*) AS members, string_agg(DISTINCT source, ',' ORDER BY source) AS sources FROM u GROUP BY path")
@@ -357,17 +357,6 @@ def json_coercion(spark, sf_dir):
     return per.select(F.when(F.col("g") == 1, "all").otherwise(F.col("event_type")).alias("kind"), "n", "valid")
 
 
-@query("SELECT CASE WHEN doc_id % 7 = 0 THEN 'new' WHEN doc_id % 5 = 0 THEN 'changed' WHEN doc_id % 3 = 0 THEN 'gone' ELSE 'same' END AS state, count(*) AS n FROM documents GROUP BY 1")
-def memory_incremental_diff(spark, sf_dir):
-    """Two snapshots of notes by stable id and content hash: unchanged, changed, new and retracted."""
-    hashed = docs(spark, sf_dir).select("doc_id", text.content_hash(F.col("text")).alias("hash"))
-    old = hashed.where("doc_id % 7 <> 0").withColumn("old_hash", F.when(F.col("doc_id") % 5 == 0, F.concat("hash", F.lit("-"))).otherwise(F.col("hash"))).select("doc_id", "old_hash")
-    new = hashed.where("doc_id % 3 <> 0 or doc_id % 5 = 0 or doc_id % 7 = 0")
-    met = old.join(new, "doc_id", "full")
-    state = F.when(F.col("old_hash").isNull(), "new").when(F.col("hash").isNull(), "gone").when(F.col("hash") == F.col("old_hash"), "same").otherwise("changed")
-    return met.groupBy(state.alias("state")).agg(F.count("*").alias("n"))
-
-
 KNOWN = "known AS (SELECT text FROM benchmark UNION ALL SELECT text FROM documents WHERE doc_id % 3 = 0)"
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 Model = Callable[[list[str]], list]
 RETRIES, PAUSE = 3, 1.0
 #: Sessions asked about at once, and the length from which the long-context model answers.
-BATCH, LONG_CHARS = 30, 60_000
+BATCH, LONG_CHARS = 30, 250_000
 #: Up to so many records a project, or in all, are kept as they are.
 KEEP_DECISIONS, KEEP_PAINS, KEEP_PAINS_IN_ALL, KEEP_PREFERENCES, CHUNK = 3, 3, 5, 10, 150
 QUESTIONS = ("decisions", "pain_points", "preferences")

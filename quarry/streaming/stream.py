@@ -2,37 +2,41 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.scratch import shared_dir
+from quarry.operators import state
 
 
-def run_once(stream: DataFrame, path: str, each) -> None:
+def run_once(stream: DataFrame, path: str, each, mode: str = "append") -> None:
     """Process what is there in micro-batches, then stop; ``path`` keeps the offsets."""
-    stream.writeStream.foreachBatch(each).option("checkpointLocation", f"{path}/offsets").trigger(availableNow=True).start().awaitTermination()
+    stream.writeStream.outputMode(mode).foreachBatch(each).option("checkpointLocation", f"{path}/offsets").trigger(availableNow=True).start().awaitTermination()
 
 
-def upsert_available(spark: SparkSession, source: str, key: str, order: list[str]) -> DataFrame:
-    """The latest row of each key of a growing folder of files, kept as versioned tables: each
-    batch merges into a new version, and the highest complete version is the state. Folder
-    listings go through Spark's file system, a rerun batch rewrites its own version."""
-    path = f"{shared_dir(spark)}/quarry/{uuid.uuid4().hex}"
+def upsert_available(spark: SparkSession, source: str, key: str, order: list[str], path: str) -> DataFrame:
+    """The latest row of each key of a growing folder of files. State and offsets are under ``path``, so
+    that the next call reads new files only and goes on from the state. A batch merges into a version of
+    its own number; one that is run again after a failure writes the same version from the one before."""
     schema = spark.read.parquet(source).schema
-    done: list[int] = []
+    best = F.max_by(F.struct(*schema.names), F.struct(*order)).alias("row")
 
     def each(batch: DataFrame, number: int) -> None:
-        rows = batch.unionByName(spark.read.schema(schema).parquet(f"{path}/v{done[-1]}")) if done else batch
-        best = F.max_by(F.struct(*schema.names), F.struct(*order)).alias("row")
-        rows.groupBy(key).agg(best).select("row.*").write.mode("overwrite").parquet(f"{path}/v{number}")
-        done.append(number)
+        rows = batch.unionByName(state.load(batch.sparkSession, f"{path}/state", schema, below=number))
+        state.save(rows.groupBy(key).agg(best).select("row.*"), f"{path}/state", number)
 
     run_once(spark.readStream.schema(schema).parquet(source), path, each)
-    return spark.read.schema(schema).parquet(f"{path}/v{done[-1]}") if done else spark.createDataFrame([], schema)
+    return state.load(spark, f"{path}/state", schema)
 
 
 def windowed_activity(stream: DataFrame, time: str, key: str, late: str = "1 day", width: str = "7 days", step: str = "1 day") -> DataFrame:
     """Events by key in sliding windows, with late data allowed for; on a batch the same windows."""
     return stream.withWatermark(time, late).groupBy(F.window(time, width, step).alias("w"), key).agg(F.count("*").alias("n"))
+
+
+def windows_available(spark: SparkSession, source: str, time: str, key: str, path: str) -> DataFrame:
+    """``windowed_activity`` of a growing folder of files, whose counts the stream keeps: (begin, key, n)."""
+    schema = spark.read.parquet(source).schema
+    stream = spark.readStream.schema(schema).parquet(source).withColumn(time, F.col(time).cast("timestamp"))
+    counted = windowed_activity(stream, time, key).select(F.col("w.start").alias("begin"), key, "n")
+    run_once(counted, path, lambda batch, number: state.save(batch, f"{path}/counts", number), "complete")
+    return state.load(spark, f"{path}/counts", counted.schema)
