@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Marks that end a clause, hard and soft, in the order in which they are tried.
@@ -102,6 +102,12 @@ def once(s: Column, use) -> Column:
     return F.transform(F.array(s), use)[0]
 
 
+def settled(rows: DataFrame, **columns: Column) -> DataFrame:
+    """``rows`` with columns that are evaluated once: as a generator's output, they are not written out
+    again in each filter and column that uses them, nor are such filters pushed below them."""
+    return rows.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
 def shorten(s: Column, n: int) -> Column:
     """At most n code points: up to the last boundary of any kind if past 0.55 n, else hard; trimmed.
     Where a mark at n makes it one longer, the last word goes if a space past 0.55 n is before it."""
@@ -216,9 +222,14 @@ def paragraphs(s: Column) -> Column:
     return F.filter(F.transform(F.split(s, r"\n\s*\n"), lambda p: F.regexp_replace(p, r"^\s+|\s+\z", "")), lambda p: p != "")
 
 
+def first_relevant(parts: Column, pattern: str) -> Column:
+    """The first of some paragraphs in which the pattern occurs; null if none."""
+    return tidy(F.try_element_at(F.filter(parts, lambda p: p.rlike(pattern)), F.lit(1)))
+
+
 def relevant_paragraph(s: Column, pattern: str) -> Column:
     """The first paragraph in which the pattern occurs; null if none."""
-    return tidy(F.try_element_at(F.filter(paragraphs(s), lambda p: p.rlike(pattern)), F.lit(1)))
+    return first_relevant(paragraphs(s), pattern)
 
 
 def blocks(s: Column) -> Column:

@@ -117,11 +117,12 @@ def technologies_of_notes(notes: DataFrame) -> DataFrame:
     """Preferences by line and technology of (note, path, project_path, kind, memory_type, label,
     content): rules, and memories that are references."""
     rows = notes.where("kind = 'rule' or (kind = 'auto-memory' and memory_type = 'reference')").withColumn("title", text.path_title(F.col("path")))
-    rows = rows.select("note", "path", "project_path", "kind", "label", "title", F.posexplode(F.split("content", r"\r?\n")).alias("at", "raw")).withColumn("line", text.sanitize_line(F.col("raw")))
+    rows = rows.select("note", "path", "project_path", "kind", "label", "title", F.posexplode(F.split("content", r"\r?\n")).alias("at", "raw"))
+    rows = text.settled(rows, line=text.sanitize_line(F.col("raw")))
     rows = rows.where(~is_operational(F.col("raw"), F.col("line"))).where(~text.relevance(F.col("line"), F.col("title"), rules).isin("noise", "generic_execution"))
-    rows = rows.withColumn("found", technologies(F.col("line"))).where(F.size("found") > 0)
+    rows = text.settled(rows, found=technologies(F.col("line"))).where(F.size("found") > 0)
     line = F.col("line")
-    rows = rows.withColumns({"explicit": says_preference(line), "stack": declares_stack(line, F.col("found"))}).where("explicit or stack").withColumn("t", F.explode("found"))
+    rows = text.settled(rows, explicit=says_preference(line), stack=declares_stack(line, F.col("found"))).where("explicit or stack").withColumn("t", F.explode("found"))
     rows = rows.withColumn("stance", F.when(F.col("explicit"), text.first_match(line, rules.STANCES, "conditional")).otherwise("prefer"))
     rationale = F.when(~F.col("explicit"), F.concat(F.lit("技术栈中使用 "), F.col("t.name"))).otherwise(line)
     rule = F.col("kind") == "rule"
@@ -137,10 +138,12 @@ def session_mentions(sessions: DataFrame) -> DataFrame:
     """Technologies that sessions prefer, avoid or declare: (project, source, session, day, snippet,
     category, name, stance, stack). A session speaks by its title, or by its first message without one."""
     titled = F.trim(F.coalesce("title", F.lit(""))) != ""
-    rows = sessions.withColumn("said", F.when(titled, F.col("title")).otherwise(F.col("first_user"))).where(F.trim("said") != "").withColumn("snippet", text.sanitize_line(F.col("said")))
+    rows = sessions.withColumn("said", F.when(titled, F.col("title")).otherwise(F.col("first_user"))).where(F.trim("said") != "")
+    rows = text.settled(rows, snippet=text.sanitize_line(F.col("said")))
     snippet = F.col("snippet")
     rows = rows.where(~is_operational(snippet, snippet) & ~snippet.rlike(rules.PROMPT_LIKE) & (F.char_length(snippet) <= SNIPPET_CHARS)).where(text.relevance(snippet, F.col("title"), rules) == "preference_rich")
-    rows = rows.withColumn("found", technologies(snippet)).where(F.size("found") > 0).withColumns({"explicit": says_preference(snippet), "stack": declares_stack(snippet, F.col("found"))}).where("explicit or stack")
+    rows = text.settled(rows, found=technologies(snippet)).where(F.size("found") > 0)
+    rows = text.settled(rows, explicit=says_preference(snippet), stack=declares_stack(snippet, F.col("found"))).where("explicit or stack")
     rows = rows.withColumn("stance", F.when(F.col("explicit"), text.first_match(snippet, rules.STANCES, "conditional")).otherwise("prefer"))
     return rows.select("project", "source", "session", "day", "snippet", "stance", "stack", F.explode("found").alias("t")).select("project", "source", "session", "day", "snippet", "t.category", "t.name", "stance", "stack")
 

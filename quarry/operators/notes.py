@@ -82,7 +82,8 @@ def technologies(notes: DataFrame) -> DataFrame:
     """Of routed notes, the technologies that rules and references name anywhere, each with its first paragraph."""
     rows = notes.where("goes in ('rule', 'reference')")
     body = F.col("body")
-    found = F.filter(F.array(*[F.when(body.rlike(pattern), F.struct(F.lit(k).alias("at"), F.lit(category).alias("category"), F.lit(name).alias("name"), F.coalesce(text.relevant_paragraph(body, pattern), text.first_sentence(body)).alias("said"))) for k, (category, name, pattern) in enumerate(rules.TECHNOLOGIES)]), lambda x: x.isNotNull())
+    rows = text.settled(rows, parts=text.paragraphs(body), first=text.first_sentence(body))
+    found = F.filter(F.array(*[F.when(body.rlike(pattern), F.struct(F.lit(k).alias("at"), F.lit(category).alias("category"), F.lit(name).alias("name"), F.coalesce(text.first_relevant(F.col("parts"), pattern), F.col("first")).alias("said"))) for k, (category, name, pattern) in enumerate(rules.TECHNOLOGIES)]), lambda x: x.isNotNull())
     rows = rows.select("note", "label", "project_path", "paths", F.explode(found).alias("t"))
     of_paths = F.when(F.size("paths") > 0, F.concat(F.lit(" (paths: "), F.array_join("paths", ", "), F.lit(")"))).otherwise("")
     return rows.select(text.derived_id(F.col("note").cast("string"), F.lit("tech"), F.col("t.at").cast("string")).alias("place"), "label", "t.category", "t.name", F.concat("t.said", of_paths).alias("description"), F.when(F.col("project_path").isNotNull(), text.path_title(F.col("project_path"))).alias("project"))
