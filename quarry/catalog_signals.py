@@ -15,7 +15,7 @@ from quarry.bindings import bound
 from quarry.catalog import QUERIES, SQL, query
 from quarry.functions import dictionaries as rules
 from quarry.functions import text
-from quarry.operators import extract, gate, notes, signals, views
+from quarry.operators import extract, gate, notes, profile, signals, views
 from quarry.operators.extract import CLAMPS, KINDS, PAYLOAD
 from quarry.oracle import (
     behind, blocks, case, clamp, clean_evidence, clean_project, clean_title, clean_view, did, every, first_sentence, fingerprint, hash16, let, noise, norm, operational, overlap, preference, q, relevance, relevant, rep, rx, sanitize, stack, strip, technologies, tidy,
@@ -651,3 +651,58 @@ def chunks_for_models(spark, sf_dir):
 
     rows = chunked(bound(spark, sf_dir, "claims"), "project", [F.asc("claim")], 150)
     return rows.groupBy("project", "chunk").agg(F.count("*").alias("claims"), F.min("claim").alias("first"))
+
+
+# --- profile and projects ----------------------------------------------------------------------------
+
+NAMES = ["hot bolt", "Old Gear", "ab"]
+_TOKEN = lambda e: f"regexp_replace(lower({e}), '\\s+', '', 'g')"
+_NAMED = lambda e: f"(contains({_TOKEN(e)}, 'hotbolt') OR contains({_TOKEN(e)}, 'oldgear'))"
+
+
+@query(f"{CLAIMS_SQL} SELECT claim, (length(what) > 0 AND length(what) <= 30 AND NOT {rx('what', rules.either(rules.LONG_SENTENCE, rules.PROJECT_DESCRIPTION, profile.TASK_VERBS))} AND NOT {_NAMED('what')} AND NOT {rx('trim(what)', profile.GENERIC_ROLES)})::INT AS role, (length(what) > 0 AND length(what) <= 30 AND NOT {rx('what', rules.LONG_SENTENCE)} AND NOT {_NAMED('what')})::INT AS responsibility, (length(observation) > 0 AND length(observation) <= 15 AND NOT {rx('observation', rules.LONG_SENTENCE)})::INT AS focus FROM claims")
+def profile_validators(spark, sf_dir):
+    what = F.col("what")
+    return bound(spark, sf_dir, "claims").select("claim", *_ints(role=profile.valid_role(what, NAMES), responsibility=profile.valid_responsibility(what, NAMES), focus=profile.valid_focus(F.col("observation"))))
+
+
+_SUMMARY_OF = "CASE claim % 4 WHEN 0 THEN project || '系统' WHEN 1 THEN '用于管理' || claim WHEN 2 THEN 'a/b 工具' ELSE what END"
+
+
+@query(f"{CLAIMS_SQL}, s AS (SELECT claim, project, trim({_SUMMARY_OF}) AS said FROM claims) SELECT claim, (length(said) BETWEEN 5 AND 40 AND NOT contains(said, '/') AND {_TOKEN('said')} <> {_TOKEN('project')} AND NOT (length({_TOKEN('project')}) >= 3 AND contains({_TOKEN('said')}, {_TOKEN('project')})) AND {rx('said', profile.SUMMARY_WORDS)})::INT AS valid FROM s")
+def summary_validator(spark, sf_dir):
+    key = F.col("claim")
+    said = F.when(key % 4 == 0, F.concat("project", F.lit("系统"))).when(key % 4 == 1, F.concat(F.lit("用于管理"), key.cast("string"))).when(key % 4 == 2, "a/b 工具").otherwise(F.col("what"))
+    return bound(spark, sf_dir, "claims").select("claim", profile.valid_summary(F.col("project"), said).cast("int").alias("valid"))
+
+
+_HITS = f"label_hits AS (SELECT label, sum(n)::BIGINT AS n FROM (SELECT trim(body) AS label, support AS n FROM signals WHERE kind = 'profile_fact' AND subject = 'focus_area' AND trim(body) <> '' UNION ALL SELECT unnest({every('s', rules.FOCUS_DOMAINS)}), 1 FROM (SELECT unnest([coalesce(subject, ''), coalesce(body, ''), coalesce(reason, '')]) AS s FROM signals WHERE kind = 'decision')) GROUP BY label)"
+
+
+def _facts_and_decisions(spark, sf_dir) -> DataFrame:
+    return merged(spark, sf_dir, "profile_fact")[0].unionByName(merged(spark, sf_dir, "decision")[0])
+
+
+@query(f"{_each(('profile_fact', 'decision'))}, {_HITS} SELECT label, n FROM label_hits")
+def focus_hit_map(spark, sf_dir):
+    return profile.focus_hits(_facts_and_decisions(spark, sf_dir))
+
+
+@query(f"{_each(('profile_fact', 'decision'))}, {_HITS} SELECT label, n FROM label_hits WHERE n >= 2 AND length(label) > 0 AND length(label) <= 15 AND NOT {rx('label', rules.LONG_SENTENCE)} AND lower(trim(label)) NOT IN ('知识库', 'defi')")
+def focus_supplement(spark, sf_dir):
+    said = spark.createDataFrame([("知识库",), (" DeFi ",)], "area string")
+    return profile.supplement(profile.focus_hits(_facts_and_decisions(spark, sf_dir)), said)
+
+
+@query(f"{SESS}, p AS (SELECT DISTINCT project FROM sess) SELECT project, CASE WHEN right(project, 1) = '7' THEN '(unknown)' ELSE '用于管理数据的系统' END AS description FROM p")
+def project_descriptions(spark, sf_dir):
+    """A description of each project by a stub, which has none for some."""
+    contexts = bound(spark, sf_dir, "sess").groupBy("project").agg(F.min("title").alias("titles"), F.max("title").alias("topics"))
+    return profile.describe(contexts, profile.stub, pause=0)
+
+
+@query()
+def work_patterns(spark, sf_dir):
+    from quarry import catalog
+
+    return profile.work_patterns(catalog.task_types(spark, sf_dir), catalog.hour_histogram(spark, sf_dir), catalog.first_message_patterns(spark, sf_dir))

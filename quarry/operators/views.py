@@ -253,8 +253,9 @@ def work_profile(signals: DataFrame, now_ms: Column) -> DataFrame:
 
 
 def core_profile(signals: DataFrame, now_ms: Column, days: int = 30) -> DataFrame:
-    """One row: role, main and further responsibilities, focus areas and the busiest projects of the days."""
-    facts = active(signals, "profile_fact").withColumn("n", F.row_number().over(Window.partitionBy("subject").orderBy(*ORDERS["profile_fact"]()))).where("n <= 15")
+    """One row of the facts of global scope: role, main and further responsibilities, focus areas; and the
+    busiest projects of the days."""
+    facts = active(signals, "profile_fact").where("detail = 'global'").withColumn("n", F.row_number().over(Window.partitionBy("subject").orderBy(*ORDERS["profile_fact"]()))).where("n <= 15")
     focus = facts.where("subject = 'focus_area'").withColumn("same", F.lower(F.regexp_replace("body", r"\s+", "")))
     focus = focus.withColumn("k", F.row_number().over(Window.partitionBy("same").orderBy("n"))).where("k = 1").orderBy("n").limit(10)
     listed = lambda df, sep: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "body"))), lambda x: x["body"]), sep)

@@ -10,7 +10,7 @@ import __spark_entry__ as entry
 from quarry import catalog_signals
 from quarry.functions import dictionaries as rules
 from quarry.functions import text
-from quarry.operators import completion, extract, gate, notes, sessions, signals, state, views
+from quarry.operators import completion, extract, gate, notes, profile, sessions, signals, state, views
 from quarry.sources import readers
 from quarry.streaming import stream
 
@@ -211,6 +211,24 @@ def test_state_survives_a_broken_version(spark, tmp_path):
     assert [state.staged(spark, path, "one", table).first()["k"] for _ in range(2)] == [7, 7] and ran == [1]
 
 
+def test_profile_of_a_model(spark):
+    said = {"role": "区块链产品经理", "responsibilities": ["写文档", " ", "维护 Old Gear", "四", "五"], "focus_areas": ["AI", "一" * 16, "DeFi"], "more": 1}
+    rows = spark.createDataFrame([(json.dumps(said),), ('{"role": "开发者"}',), ("no json",), (None,)], "answer string")
+    got = sorted((r["dimension"], r["claim"], r["confidence"]) for r in profile.facts_of_model(rows, ["old gear"]).collect())
+    assert got == [("focus_area", "AI", 0.85), ("focus_area", "DeFi", 0.85), ("responsibility", "写文档", 0.85), ("responsibility", "四", 0.85), ("role", "区块链产品经理", 0.9)]
+    contexts = spark.createDataFrame([("alpha", "t", "d"), ("beta7", "", ""), ("gamma", None, None)], "project string, titles string, topics string")
+    assert {r["project"]: r["description"] for r in profile.describe(contexts, profile.stub, 0).collect()} == {"alpha": "用于管理数据的系统", "beta7": "(unknown)", "gamma": "用于管理数据的系统"}
+    assert {r["description"] for r in profile.describe(contexts, lambda ps: ["no json"], 0).collect()} == {"(unknown)"}
+
+
+def test_work_patterns(spark):
+    tasks = spark.createDataFrame([("测试", 1, 10, None), ("重构", 9, 90, "a|b is the title")], "task string, n long, percent long, example string")
+    hours = spark.createDataFrame([(3, 10), (7, 4), (9, 0)], "hour int, n int")
+    firsts = spark.createDataFrame([("x", 2, "hello there")], "pattern string, n long, example string")
+    text_ = profile.work_patterns(tasks, hours, firsts).first()[0]
+    assert "| 重构 | 9 | 90% | \"a\\|b is the title\" |\n| 测试 | 1 | 10% | — |" in text_ and "| 03:00-03:59 | ██████████ 10 sessions |\n| 07:00-07:59 | ████ 4 sessions |" in text_ and "09:00" not in text_
+
+
 def test_models_that_fail(spark):
     rows = spark.createDataFrame([(1, "first line\nmore"), (2, "second"), (3, "")], "session long, content string")
     got = {(r["session"], r["question"]): r for r in completion.ask_sessions(rows, {"short": completion.stub, "long": completion.stub}, 0).collect()}
