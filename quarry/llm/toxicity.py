@@ -102,6 +102,21 @@ class Grader:
         return np.bincount(cell // len(self.words), np.log1p(n) * self.weights[cell % len(self.words)], rows)
 
 
+def objective(x: np.ndarray, grade: np.ndarray, case: np.ndarray, w: np.ndarray, cut: np.ndarray, shrink: float = 1e-4):
+    """Weighted loss of weights and thresholds (cut[0], and cut[0] + exp(cut[1])), and its gradient."""
+    thresholds = np.array([cut[0], cut[0] + np.exp(cut[1])])
+    above = 1 / (1 + np.exp(-np.clip((x @ w)[:, None] - thresholds, -30, 30)))
+    p = np.stack([1 - above[:, 0], above[:, 0] - above[:, 1], above[:, 1]], 1)
+    own = np.maximum(p[np.arange(len(x)), grade], 1e-9)
+    slope = above * (1 - above)
+    # d log p(grade) / d score at each threshold: + where it is the lower bound, - where the upper.
+    low = np.where((np.arange(GRADES - 1) + 1) == grade[:, None], slope, 0) / own[:, None]
+    high = np.where(np.arange(GRADES - 1) == grade[:, None], slope, 0) / own[:, None]
+    each = (high - low) * case[:, None]
+    gradient = np.concatenate([x.T @ each.sum(1) + shrink * w, [-each.sum(), -(each[:, 1]).sum() * np.exp(cut[1])]])
+    return -(case * np.log(own)).sum() + shrink / 2 * (w * w).sum(), gradient
+
+
 def fit(bags, share: float, features: int = 1024, rounds: int = 400) -> Grader | None:
     toxic = np.array([b["toxic"] for b in bags], np.int64)
     if len(set(toxic.tolist())) < 2:
@@ -137,16 +152,7 @@ def fit(bags, share: float, features: int = 1024, rounds: int = 400) -> Grader |
     w, cut = np.zeros(len(chosen)), np.array([0.0, 1.0])  # second threshold: first + exp(cut[1])
     m, v = np.zeros(len(w) + 2), np.zeros(len(w) + 2)
     for step in range(1, rounds + 1):
-        thresholds = np.array([cut[0], cut[0] + np.exp(cut[1])])
-        above = 1 / (1 + np.exp(-np.clip((x @ w)[:, None] - thresholds, -30, 30)))
-        p = np.stack([1 - above[:, 0], above[:, 0] - above[:, 1], above[:, 1]], 1)
-        own = np.maximum(p[np.arange(len(bags)), grade], 1e-9)
-        slope = above * (1 - above)
-        # d log p(grade) / d score at each threshold: + where it is the lower bound, - where the upper.
-        low = np.where((np.arange(GRADES - 1) + 1) == grade[:, None], slope, 0) / own[:, None]
-        high = np.where(np.arange(GRADES - 1) == grade[:, None], slope, 0) / own[:, None]
-        each = (high - low) * case[:, None]
-        g = np.concatenate([x.T @ each.sum(1) + 1e-4 * w, [-each.sum(), -(each[:, 1]).sum() * np.exp(cut[1])]])
+        g = objective(x, grade, case, w, cut)[1]
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         move = 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
         w, cut = w - move[:-2], cut - move[-2:]

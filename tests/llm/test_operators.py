@@ -1,5 +1,6 @@
 """Each operator against a brute-force version, and its defined cases, on small tables."""
 
+import collections
 import hashlib
 import itertools
 import math
@@ -460,6 +461,60 @@ def test_html_text_of_broken_markup_takes_linear_time(piece):
     assert time.process_time() - began < 20
 
 
+def test_mixing_takes_the_words_of_the_schedule(spark):
+    draw = random.Random(8)
+    rows = [(k, prose(draw.randrange(0, 70), k), "en", ["a", "b", "c", None][min(draw.randrange(7), 3)], 0, 1, "x") for k in range(200)] + [(500, "w " * 3000, "en", "b", 0, 1, "x")]
+    docs, block = spark.createDataFrame(rows, DOCS), 32
+    parts = max(16, mixing.groups_for(docs.select("text"), 64))
+    hashes = {r["doc_id"]: r["h"] for r in docs.select("doc_id", F.xxhash64(F.col("doc_id"), F.lit("mix")).alias("h")).collect()}
+    got = {r["doc_id"]: r for r in mixing.mix_sources(docs, block=block).collect()}
+    for source in ("a", "b", "c", None):
+        mine = sorted((k for k, r in got.items() if r["source"] == source), key=lambda k: ((hashes[k] >> 20) % parts, hashes[k]))
+        words, size, at = int(got[mine[0]]["target"] + 0.5), sum(got[k]["size"] for k in mine), 0
+        for k in mine:
+            n = got[k]["size"]
+            want = sum(max(0, min(at + n + turn * size, words) - (at + turn * size)) for turn in range(words // size + 1))
+            assert got[k]["taken"] == want
+            at += n
+    per = mixing.targets(docs.select("source", mixing.word_count(F.col("text")).alias("size")))
+    lows = sorted((r["low"], r["source_no"], r["words"]) for r in per.collect())
+    slots = -(-sum(r[2] for r in lows) // block)
+    plan = sorted((r["slot"], r["source_no"], r["rank"]) for r in mixing.schedule(per, len(lows), slots, block).collect())
+    ranks, want = collections.Counter(), []
+    for slot in range(slots):
+        point = slot * mixing.GOLDEN % 1
+        number = max(r for r in lows if r[0] <= point)[1]
+        if ranks[number] < -(-next(r[2] for r in lows if r[1] == number) // block):
+            want.append((slot, number, ranks[number]))
+        ranks[number] += 1
+    for _, number, words in lows:
+        want += [(slots + k, number, k) for k in range(min(ranks[number], -(-words // block)), -(-words // block))]
+    assert plan == sorted(want)
+
+
+def test_ordinal_gradient():
+    draw = np.random.default_rng(6)
+    x, grade, case = draw.normal(size=(30, 5)), draw.integers(0, 3, 30), draw.random(30)
+    w, cut = draw.normal(size=5), np.array([0.3, -0.4])
+    gradient = toxicity.objective(x, grade, case, w, cut)[1]
+    for k in range(7):
+        step = np.zeros(7)
+        step[k] = 1e-5
+        up, down = (toxicity.objective(x, grade, case, w + s * step[:5], cut + s * step[5:])[0] for s in (1, -1))
+        assert abs((up - down) / 2e-5 - gradient[k]) < 1e-5
+
+
+def test_toxicity_of_odd_rows(spark):
+    rows = [(k, prose(40, k) + (" idiot moron" if k % 5 == 0 else "")) for k in range(100)] + [(7, "you idiot moron idiot"), (None, "moron"), (900, ""), (901, "clean " * 200_000), (902, None)]
+    docs = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, grade int, toxic string")
+    labels = spark.createDataFrame([(k, int(k % 5 == 0)) for k in range(100)] + [(3, 1), (3, 0), (3, None), (None, 1), (9999, 1)], "doc_id long, toxic int")
+    got = toxicity.grade(docs, labels, bag=30).collect()
+    assert len(got) == len(rows) and all(0 <= r["severity"] <= 2 and r["grade"] in (0, 1, 2) for r in got)
+    assert [r["toxic"] for r in got if r["doc_id"] == 901] == [False]
+    one = toxicity.grade(docs, labels.where("toxic = 1")).collect()
+    assert len(one) == len(rows) and toxicity.grade(docs.limit(0), labels).count() == 0
+
+
 def test_toxicity(spark):
     rows = [(k, prose(60, k) + (" idiot moron" if k % 8 == 0 else ""), "en", "s", 0, 1, "x") for k in range(400)] + [(999, None, "en", "s", 0, 1, "x")]
     labels = spark.createDataFrame([(k, 1, int(k % 8 == 0)) for k in range(200)] + [(5, 1, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
