@@ -69,8 +69,9 @@ def message_stats(spark, sf_dir):
 
 @query(f"WITH {EV} SELECT project, count(*) AS n, round(count(*) * 100.0 / sum(count(*)) OVER (), 6) AS share FROM ev GROUP BY project")
 def project_session_share(spark, sf_dir):
-    per = events(spark, sf_dir).groupBy("project").agg(F.count("*").alias("n"))
-    return per.withColumn("share", d6(F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy())))
+    rows = events(spark, sf_dir)
+    total = F.lit(max(rows.count(), 1))
+    return rows.groupBy("project").agg(F.count("*").alias("n")).withColumn("share", d6(F.col("n") * 100.0 / total))
 
 
 GAPS = f"WITH {EV}, g AS (SELECT *, ts_ms - lag(ts_ms) OVER (PARTITION BY project ORDER BY ts_ms, session) AS gap_ms FROM ev)"
@@ -323,7 +324,7 @@ def task_types(spark, sf_dir):
     good = (F.char_length(text.collapse(title)) >= 10) & ~text.collapse(title).rlike(rules.EXAMPLE_NOISE)
     rows = bindings.bound(spark, sf_dir, "sess").select("session", "title", text.first_match(title, rules.TASK_TYPES, "其他").alias("task"), good.alias("good"))
     per = rows.groupBy("task").agg(F.count("*").alias("n"), F.min_by("title", F.when(F.col("good"), F.col("session"))).alias("example"))
-    return per.withColumn("percent", F.floor(F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy()) + 0.5).cast("long"))
+    return per.withColumn("percent", F.floor(F.col("n") * 100.0 / F.lit(max(rows.count(), 1)) + 0.5).cast("long"))
 
 
 _FIRST = rules.FIRST_MESSAGES

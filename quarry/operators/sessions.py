@@ -46,7 +46,7 @@ def noise_signals(sessions: DataFrame) -> DataFrame:
     squares = F.aggregate("hours", F.lit(0).cast("long"), lambda a, x: a + x * x)
     all_squared = F.col("sessions") * F.col("sessions")
     positive = upper_median_by(gaps(sessions).where("gap_ms > 0"), "project", "gap_ms")
-    total = F.sum("sessions").over(Window.partitionBy())
+    total = F.lit(max(sessions.count(), 1))
     per = per.join(positive, "project", "left")
     return per.select("project", "sessions", ((24 * squares - all_squared) / all_squared).alias("hour_variance"), (F.col("titles") / F.col("sessions")).alias("title_ratio"), F.coalesce("median", F.lit(0)).alias("median_ms"), (F.col("sessions") * 100.0 / total).alias("share"))
 

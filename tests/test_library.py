@@ -276,5 +276,21 @@ def test_against_sql(spark, name):
     assert as_rows(got) == as_rows(answer.fetchall())
 
 
+def test_scratch_tables_go_but_what_is_kept(spark):
+    import os
+
+    from quarry import scratch
+
+    rows = spark.range(5)
+    with scratch.passing(spark) as outer:
+        with scratch.passing(spark) as keep:
+            gone, left = scratch.materialize(rows), keep(rows)
+        assert left.count() == 5 and not any(os.path.exists(f.replace("file://", "")) for f in gone.inputFiles())
+        kept = outer(left)
+    assert kept.count() == 5
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist|FILE_NOT_EXIST"):
+        left.count()
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
