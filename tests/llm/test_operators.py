@@ -112,6 +112,12 @@ def test_bitmaps_bound_the_difference():
         assert (ngram_join.fold(x, m, to) ^ ngram_join.fold(y, n, to)).bit_count() <= len(one) + len(two)
 
 
+def test_components_of_odd_edges(spark):
+    edges = spark.createDataFrame([(5, 4), (4, 2), (9, 9), (None, 3), (8, None), (5, 4), (11, 10), (12, 11), (13, 12)], "a long, b long")
+    assert {r["node"]: r["root"] for r in ngram_join.components(edges).collect()} == {2: 2, 4: 2, 5: 2, 9: 9, 10: 10, 11: 10, 12: 10, 13: 10}
+    assert ngram_join.components(edges.limit(0)).count() == 0
+
+
 def test_overlaps_and_forest():
     draw = np.random.default_rng(1)
     sets = [np.unique(draw.integers(0, 40, 20).astype(np.uint64)) for _ in range(12)]
@@ -396,6 +402,13 @@ def test_language_sample(spark):
     assert language_id.training_sample(docs.limit(0), 400, 100) == []
 
 
+def test_language_id_of_held_out_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    said = language_id.identify(docs).where("held_out and lang_pred <> 'und'").join(docs.select("doc_id", "lang").where("lang is not null"), "doc_id")
+    right, n = said.selectExpr("count_if(lang = lang_pred)", "count(*)").first()
+    assert n > 100 and right >= 0.97 * n
+
+
 def test_language_id_of_repeated_and_odd_rows(spark):
     rows = [(5, "the and of with that", "en"), (5, "the and of with that", "en"), (None, "der und die", "de"), (6, None, None), (7, "123 !", "en"), (8, "der und die " * 9000, None)]
     docs = spark.createDataFrame([(*r, 0.5) for r in rows], "doc_id long, text string, lang string, score double")
