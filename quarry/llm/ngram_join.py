@@ -398,16 +398,19 @@ def _linked(members: DataFrame, payload: DataFrame, compare, groups: int) -> Dat
 
 def _met(rows: DataFrame) -> DataFrame:
     """Of (token, salt, set_id, n, m) the rows whose token several sets have, with the token's smallest
-    set (family) and m (least_m). A token with a salt is dealt to parts by it; its parts' results are
-    put together and joined back, which splits a hot token's rows again."""
+    set (family) and m (least_m). A token with a salt is dealt to parts by it; what its parts find
+    is put together and told to each part by a row of its own, so that no task gets the whole token."""
     own = Window.partitionBy("token", "salt")
     part = rows.withColumns({"sets": F.count("*").over(own), "family": F.min("set_id").over(own), "least_m": F.min("m").over(own)})
     held = materialize(part.where("sets > 1 or salt >= 0").drop("sets"))
     hot = held.where("salt >= 0")
     if hot.isEmpty():
         return held
-    whole = hot.groupBy("token").agg(F.count("*").alias("sets"), F.min("family").alias("family"), F.min("least_m").alias("least_m")).where("sets > 1").drop("sets")
-    return held.where("salt < 0").unionByName(hot.drop("family", "least_m").join(materialize(whole), "token").select(*held.columns))
+    whole = hot.groupBy("token").agg(F.count("*").alias("sets"), F.min("family").alias("family"), F.min("least_m").alias("least_m"), F.max("salt").alias("last")).where("sets > 1")
+    told = whole.select("token", F.explode(F.sequence(F.lit(0), "last")).alias("salt"), "family", "least_m")
+    met = hot.drop("family", "least_m").unionByName(told, allowMissingColumns=True)
+    met = met.withColumns({c: F.max(c).over(own) for c in ("family", "least_m")}).where("set_id is not null and family is not null")
+    return held.where("salt < 0").unionByName(materialize(met.select(*held.columns)))
 
 
 def _memberships(held: DataFrame) -> DataFrame:

@@ -35,6 +35,9 @@ from quarry.scratch import groups_for, materialize
 
 NULL_ID = -(1 << 63)
 FLUSH = 1 << 20
+#: Beyond so many buckets windows are dealt in two steps, as a task has too few for each bucket: first
+#: to parts of ``FINE`` buckets, then, each part in a stream of its own, to the buckets.
+COARSE, FINE = 8192, 256
 #: Up to so many ids that stand for several texts are broadcast (8 bytes each).
 BROADCAST_IDS = 1_000_000
 PACKED = "key int, kind int, block binary"
@@ -90,7 +93,9 @@ def _first_of_equal(h: np.ndarray, places) -> np.ndarray:
     return out
 
 
-def _windows(width: int, groups: int):
+def _windows(width: int, groups: int, buckets: int):
+    """Blocks of windows by bucket and of later places by their document's group."""
+
     def run(batches):
         (one, base), (two, other), separators = tokens.ONE, tokens.TWO, tokens.white_space()
         one, two = tokens.byte_values(False, one), tokens.byte_values(False, two)
@@ -122,7 +127,7 @@ def _windows(width: int, groups: int):
                 first, behind, doc = tokens.word_spans(part, offsets, separators)
                 at, h = tokens.window_hashes(tokens.word_hashes(one, part, first, behind), doc, width, base)
                 if len(h):
-                    key = tokens.window_hashes(tokens.word_hashes(two, part, first, behind), doc, width, other)[1] % np.uint64(groups)
+                    key = tokens.window_hashes(tokens.word_hashes(two, part, first, behind), doc, width, other)[1] % np.uint64(buckets)
                     where = doc[at]
                     begin = np.searchsorted(doc, where)
                     held.append(((n_rows + row + where).astype(np.int32), (at - begin).astype(np.int32), h, key.astype(np.int32)))
@@ -140,6 +145,37 @@ def _windows(width: int, groups: int):
     return run
 
 
+def _deal_again(batches):
+    """Blocks of windows of parts of FINE buckets (part, kind, block), a part's together, as blocks of
+    buckets: the part and eight bits of the hash. Other blocks pass through with a kind of their own."""
+    at, held, size = None, [], 0
+
+    def flush():
+        doc, nth, place, h = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
+        for fine, _, block in _deal(((h >> np.uint64(8)) % np.uint64(FINE)).astype(np.int64), 0, lambda i: tuple(x[np.sort(i)] for x in (doc, nth, place, h))):
+            yield at * FINE + fine, 0, block
+
+    def out(rows):
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in ((0, pa.int32()), (1, pa.int32()), (2, pa.binary()))], ["key", "kind", "block"])
+
+    for batch in batches:
+        for part, kind, block in zip(*(batch.column(i) for i in range(3)), strict=True):
+            part, kind = part.as_py(), kind.as_py()
+            if held and (part != at or kind == 1 or size >= FLUSH):
+                yield out(list(flush()))
+                size = 0
+            if kind == 1:
+                yield out([(-1 - part, 1, block.as_py())])
+                continue
+            at = part
+            held.append(_unpack(block.as_py(), True))
+            size += len(held[-1][0])
+    if held:
+        yield out(list(flush()))
+    tokens.release()
+
+
 def _count(groups: int):
     def run(table: pa.Table) -> pa.Table:
         rows = []
@@ -155,7 +191,8 @@ def _count(groups: int):
                 rows = [(k, b) for k, _, b in _deal(_home(doc, nth, groups), 1, lambda i: (doc[i], nth[i], at[i]))]
         marked = [_unpack(b.as_py(), False) for k, b in zip(kinds, blocks, strict=True) if k == 1]
         if marked:  # their key is their documents' group
-            rows.append((table.column("key")[0].as_py(), _pack(*(np.concatenate(x) for x in zip(*marked, strict=True)))))
+            key = table.column("key")[0].as_py()
+            rows.append((key if key >= 0 else -1 - key, _pack(*(np.concatenate(x) for x in zip(*marked, strict=True)))))
         del places, marked
         tokens.release()
         return pa.table({"home": pa.array([r[0] for r in rows], pa.int32()), "block": pa.array([r[1] for r in rows], pa.binary())})
@@ -230,7 +267,11 @@ def substring_dedup(docs: DataFrame, width: int = 20, carry: tuple[str, ...] = (
     tokens.small_batches(docs.sparkSession)
     groups = groups_for(rows.select("doc_id", "text"))
     rows = _told_apart(rows)
-    marks = rows.select("doc_id", "nth", "text").mapInArrow(_windows(width, groups), PACKED).groupBy("key").applyInArrow(_count(groups), "home int, block binary")
+    coarse = groups if groups <= COARSE else -(-groups // FINE)
+    blocks = rows.select("doc_id", "nth", "text").mapInArrow(_windows(width, groups, coarse), PACKED)
+    if groups > COARSE:
+        blocks = blocks.repartition(min(coarse, COARSE), "key", "kind").sortWithinPartitions("kind", "key").mapInArrow(_deal_again, PACKED)
+    marks = blocks.groupBy("key").applyInArrow(_count(groups), "home int, block binary")
     home = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(NULL_ID)), "nth"), F.lit(groups)).cast("int")
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema if f.name not in ("text", "nth")}
     result = ", ".join([*(f"`{name}` {kind}" for name, kind in kinds.items()), RESULT])

@@ -61,6 +61,17 @@ def test_long_words_that_cancel_modulo_powers_of_two(spark):
     assert sorted(r["component_id"] for r in ngram_join.join_components(docs).collect()) == [0, 1]
 
 
+def test_substring_dedup_in_two_steps(spark, monkeypatch):
+    texts = [prose(60, k % 17) + " " + prose(40, k) for k in range(60)] * 2 + ["z " * 90]
+    docs = table(spark, texts).repartition(4)
+    plain = lambda: sorted(map(str, substring_dedup.substring_dedup(docs, 20).collect()))
+    want = plain()
+    monkeypatch.setattr(substring_dedup, "COARSE", 2)
+    monkeypatch.setattr(substring_dedup, "FINE", 4)
+    monkeypatch.setattr(substring_dedup, "FLUSH", 700)
+    assert plain() == want
+
+
 def test_substring_dedup_of_shared_ids(spark):
     x, y = prose(60, 1), prose(60, 2)
     rows = [(1, x), (5, x), (5, y), (None, y), (None, x), (9, f"{x} {y}"), (9, f"{x} {y}")]
