@@ -526,6 +526,7 @@ def _each(kinds: tuple[str, ...]) -> str:
 
 
 _W = ("open_thread", "timeline_event", "decision")
+_TRUST = "(CASE WHEN trust >= 4 THEN '高' WHEN trust >= 3 THEN '中' ELSE '低' END || '（' || support || ' 条证据）')"
 _SINCE = f"{NOW} - 7 * 86400000::BIGINT"
 VIEW_SQL = {
     "weekly_focus": (_W, f"""named AS (SELECT * FROM signals WHERE coalesce(project, '') <> ''), moved AS (SELECT * FROM named WHERE kind = 'timeline_event' AND {_TL_MS} >= {_SINCE}),
@@ -537,10 +538,12 @@ SELECT place, section, id, '- [' || {clean_project('project')} || '] ' || {_LABE
 ranked AS (SELECT *, max(last_ms) OVER (PARTITION BY section) AS latest, row_number() OVER (PARTITION BY section ORDER BY status_rank, last_ms DESC, trust DESC, support DESC, id) AS item_rank FROM s), placed AS (SELECT *, row_number() OVER (ORDER BY latest DESC, section, item_rank) AS place FROM ranked WHERE item_rank <= 10)
 SELECT place, section, id, '- ' || {_LABEL(_UTC('last_ms'))} || ' · ' || {clean_title('subject')} || coalesce('（' || CASE WHEN ({NOW} - last_ms) / 86400000 > 30 THEN '搁置 30+ 天' WHEN ({NOW} - last_ms) / 86400000 > 14 THEN '搁置 2+ 周' WHEN ({NOW} - last_ms) / 86400000 > 7 THEN '搁置 1+ 周' END || '）', '') AS line FROM placed WHERE place <= 60"""),
     "decisions": (("decision",), f"""s AS (SELECT *, {clean_project('project')} AS section, {_EFFECTIVE} AS day FROM signals), d AS (SELECT *, row_number() OVER (PARTITION BY section, day, same ORDER BY trust DESC, support DESC, confidence DESC, last_ms DESC, id) AS nth FROM (SELECT *, {norm(clean_title('body'))} AS same FROM s)),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY section ORDER BY day DESC, trust DESC, support DESC, confidence DESC, last_ms DESC, id) AS item_rank FROM d WHERE nth = 1), placed AS (SELECT *, row_number() OVER (ORDER BY section, item_rank) AS place FROM ranked WHERE item_rank <= 50)
-SELECT place, section, id, '### ' || day || ' · ' || {clean_title('subject')} AS line FROM placed WHERE place <= 50"""),
-    "pain_points": (("pain_point",), f"""s AS (SELECT *, row_number() OVER (ORDER BY {_RANK('detail', views.RECURRENCE_RANK, 0)} DESC, trust DESC, support DESC, confidence DESC, last_ms DESC, id) AS place FROM signals WHERE {clean_view('body')} <> '' OR {clean_view('reason')} <> '')
-SELECT place, '' AS section, id, '### ' || {clean_title('subject')} || ' · ' || CASE detail WHEN 'high' THEN '高频' WHEN 'medium' THEN '中频' WHEN 'low' THEN '低频' ELSE detail END AS line FROM s WHERE place <= 35"""),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY section ORDER BY day DESC, trust DESC, support DESC, confidence DESC, last_ms DESC, id) AS item_rank FROM d WHERE nth = 1), placed AS (SELECT *, row_number() OVER (ORDER BY section, item_rank) AS place FROM ranked WHERE item_rank <= 50),
+said AS (SELECT *, {clean_title('subject')} AS topic, {clean_title('body')} AS decided, {clean_evidence('reason', 250)} AS why, {clean_evidence('extra', 120)} AS others FROM placed WHERE place <= 50),
+keyed AS (SELECT *, {norm(clean_view('topic'))} AS x, {norm(clean_view('decided'))} AS y FROM said)
+SELECT place, section, id, '### ' || day || CASE WHEN x <> '' AND y <> '' AND (contains(x, y) OR contains(y, x)) THEN '' ELSE chr(10) || '- **主题**: ' || topic END || chr(10) || '- **决定**: ' || decided || CASE WHEN why <> '' AND why <> decided THEN chr(10) || '- **理由**: ' || why ELSE '' END || CASE WHEN others <> '' THEN chr(10) || '- **替代方案**: ' || others ELSE '' END || chr(10) || '- **依据强度**: ' || {_TRUST} AS line FROM keyed"""),
+    "pain_points": (("pain_point",), f"""d AS (SELECT *, {clean_evidence('body', 250)} AS diagnosed, {clean_evidence('reason', 250)} AS solved FROM signals), s AS (SELECT *, row_number() OVER (ORDER BY {_RANK('detail', views.RECURRENCE_RANK, 0)} DESC, trust DESC, support DESC, confidence DESC, last_ms DESC, id) AS place FROM d WHERE diagnosed <> '' OR solved <> '')
+SELECT place, '' AS section, id, concat_ws(chr(10), '## ' || {clean_title('subject')}, CASE WHEN diagnosed <> '' THEN '- **诊断**: ' || diagnosed END, CASE WHEN solved <> '' THEN '- **解决方式**: ' || solved END, '- **复发频率**: ' || CASE detail WHEN 'high' THEN '高频' WHEN 'medium' THEN '中频' WHEN 'low' THEN '低频' ELSE detail END, '- **依据强度**: ' || {_TRUST}) AS line FROM s WHERE place <= 35"""),
     "tech_preferences": (("tech_preference",), f"""g AS (SELECT lower(subject) AS technology, arg_min({{'id': id, 'subject': subject, 'section': body, 'reason': reason, 'trust': trust}}, (-trust, -support, -confidence, -({_RANK('detail', views.STANCE_RANK, 0)}), -last_ms, id)) AS b, sum(support)::BIGINT AS support, count(DISTINCT project) AS projects, CASE WHEN bool_or(detail = 'prefer') AND bool_or(detail = 'avoid') THEN '视场景而定' WHEN bool_or(detail = 'prefer') THEN '偏好' WHEN bool_or(detail = 'avoid') THEN '避免' ELSE '视场景而定' END AS stance FROM signals GROUP BY 1),
 f AS (SELECT b.id AS id, b.subject AS subject, b.section AS section, b.reason AS reason, b.trust AS trust, support, projects, stance, coalesce(nullif(list_position(['前端', '后端', 'AI', '工具', '部署'], b.section), 0), 99) AS section_rank FROM g),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY section ORDER BY subject, id) AS item_rank, dense_rank() OVER (ORDER BY section_rank, section) AS nth_section FROM f), placed AS (SELECT *, row_number() OVER (ORDER BY section_rank, section, item_rank) AS place FROM ranked WHERE item_rank <= 10 AND nth_section <= 5),
@@ -706,3 +709,11 @@ def work_patterns(spark, sf_dir):
     from quarry import catalog
 
     return profile.work_patterns(catalog.task_types(spark, sf_dir), catalog.hour_histogram(spark, sf_dir), catalog.first_message_patterns(spark, sf_dir))
+
+
+@query(f"{_each(('decision', 'pain_point'))} SELECT 'legacy' AS view_id, 1 AS items UNION ALL SELECT kind, count(*) FROM signals GROUP BY kind")
+def store_manifest(spark, sf_dir):
+    """The views' manifest: one row a view, replaced where a view was compiled again."""
+    old = spark.createDataFrame([("legacy", 1), ("decision", 0)], "view_id string, items long")
+    rows = merged(spark, sf_dir, "decision")[0].unionByName(merged(spark, sf_dir, "pain_point")[0])
+    return signals.upsert(old, rows.groupBy(F.col("kind").alias("view_id")).agg(F.count("*").alias("items")), "view_id")

@@ -19,8 +19,9 @@ BUDGETS = {"weekly_focus": (6000, 30, 12, 3), "timeline": (18_000, 80, 80, 80),
 #: Sections of the weekly view, ranks of statuses, recurrences and stances.
 WEEKLY = ("进行中", "已完成", "关键决策")
 STATUS_RANK, RECURRENCE_RANK, STANCE_RANK = {"in_progress": 0, "blocked": 1, "open": 2}, {"high": 2, "medium": 1, "low": 0}, {"prefer": 2, "avoid": 1, "conditional": 0}
+DIMENSION_ORDER = ("交互风格", "语言偏好", "技术审美", "工作节奏")
 LEAST_PER_PROJECT = 3
-PLACEHOLDER = "未知"
+PLACEHOLDER = "(待提取)"
 
 
 def rank_of(c: str, ranks: dict[str, int], other: int) -> Column:
@@ -206,15 +207,21 @@ def decisions(signals: DataFrame, now_ms: Column) -> DataFrame:
     best = [F.desc("trust"), F.desc("support"), F.desc("confidence"), F.desc("last_ms"), F.asc("id")]
     rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("section", "day", "same").orderBy(*best))).where("nth = 1")
     rows = capped(rows, "section", ORDERS["decision"](), items)
-    return item_budget(rows, [F.asc("section"), F.asc("item_rank")], items).withColumn("line", F.concat(F.lit("### "), "day", F.lit(" · "), text.clean_title(F.col("subject"))))
+    rows = text.settled(item_budget(rows, [F.asc("section"), F.asc("item_rank")], items), topic=text.clean_title(F.col("subject")), decided=text.clean_title(F.col("body")), why=text.clean_evidence(F.col("reason"), 250), others=text.clean_evidence(F.col("extra"), 120))
+    point = lambda name, c, shown: F.when(shown, F.concat(F.lit(f"- **{name}**: "), c))
+    decided = F.col("decided")
+    parts = (F.concat(F.lit("### "), "day"), point("主题", "topic", ~text.near_duplicates(F.col("topic"), decided)), point("决定", "decided", F.lit(True)), point("理由", "why", (F.col("why") != "") & (F.col("why") != decided)), point("替代方案", "others", F.col("others") != ""), point("依据强度", text.trust_shown(F.col("trust"), F.col("support")), F.lit(True)))
+    return rows.withColumn("line", F.concat_ws("\n", *parts))
 
 
 def pain_points(signals: DataFrame, now_ms: Column) -> DataFrame:
     """Problems that come with a diagnosis or a workaround, the most frequent first."""
     _, items, _, _ = BUDGETS["pain_points"]
-    rows = active(signals, "pain_point").where((text.clean_view(F.col("body")) != "") | (text.clean_view(F.col("reason")) != "")).withColumn("section", F.lit(""))
-    shown = F.concat(F.lit("### "), text.clean_title(F.col("subject")), F.lit(" · "), text.shown(F.col("detail"), text.RECURRENCE_SHOWN, lower=True))
-    return item_budget(rows, ORDERS["pain_point"](), items).withColumn("line", shown)
+    rows = text.settled(active(signals, "pain_point").withColumn("section", F.lit("")), diagnosed=text.clean_evidence(F.col("body"), 250), solved=text.clean_evidence(F.col("reason"), 250)).where("diagnosed <> '' or solved <> ''")
+    rows = item_budget(rows, ORDERS["pain_point"](), items)
+    point = lambda name, c: F.when(c != "", F.concat(F.lit(f"- **{name}**: "), c))
+    parts = (F.concat(F.lit("## "), text.clean_title(F.col("subject"))), point("诊断", F.col("diagnosed")), point("解决方式", F.col("solved")), point("复发频率", text.shown(F.col("detail"), text.RECURRENCE_SHOWN, lower=True)), point("依据强度", text.trust_shown(F.col("trust"), F.col("support"))))
+    return rows.withColumn("line", F.concat_ws("\n", *parts))
 
 
 def tech_groups(signals: DataFrame) -> DataFrame:
@@ -243,12 +250,15 @@ def tech_preferences(signals: DataFrame, now_ms: Column) -> DataFrame:
 def work_profile(signals: DataFrame, now_ms: Column) -> DataFrame:
     """Claims by dimension, without those that say what an earlier one does; what doesn't fit is left out."""
     chars, items, per_section, sections = BUDGETS["work_profile"]
-    rows = active(signals, "work_style").withColumn("section", F.col("subject"))
-    chosen = rows.groupBy("section").count().orderBy(F.desc("count"), "section").limit(sections)
+    rows = active(signals, "work_style").withColumns({"section": F.col("subject"), "section_rank": rank_of("subject", {d: k for k, d in enumerate(DIMENSION_ORDER)}, 99)})
+    chosen = rows.select("section", "section_rank").distinct().orderBy("section_rank", "section").limit(sections)
     rows = capped(rows.join(F.broadcast(chosen.select("section")), "section", "left_semi"), "section", ORDERS["work_style"](), 4 * per_section)
-    rows = item_budget(rows, [F.asc("section"), F.asc("item_rank")], 4 * items).select("place", "section", "id", "body", text.dedupe_key(F.col("body")).alias("same"))
-    rows = greedy_distinct(rows, "same", "section")
-    rows = rows.withColumn("line", F.concat(F.lit("- "), text.clean_view(F.col("body")))).select("place", "section", "id", "line")
+    rows = item_budget(rows, [F.asc("section_rank"), F.asc("section"), F.asc("item_rank")], 4 * items)
+    why, plain = text.sanitize_line(F.coalesce("reason", F.lit(""))), lambda c: F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
+    shown = F.when((why != "") & (plain(why) != plain(F.col("body"))), F.concat(F.lit(" — *"), text.clean_evidence(why, 70), F.lit("*"))).otherwise("")
+    line = F.concat(F.lit("- "), "body", shown, F.lit(" ("), F.col("support").cast("string"), F.lit(" 条证据, 信任度 "), F.col("trust").cast("string"), F.lit(")"))
+    rows = rows.select("place", "section", "id", text.dedupe_key(F.col("body")).alias("same"), line.alias("line"))
+    rows = greedy_distinct(rows, "same", "section").select("place", "section", "id", "line")
     return item_budget(skip_budget(rows, "line", chars).withColumnRenamed("place", "ranked"), [F.asc("ranked")], items)
 
 
