@@ -107,9 +107,12 @@ def chunked(rows: DataFrame, group: str, order: list[Column], size: int = CHUNK)
     return rows.withColumn("chunk", F.floor((n - 1) / size))
 
 
-def consolidate(rows: DataFrame, group: str, record: str, model: Model, keep: int, pause: float = PAUSE) -> DataFrame:
-    """(group, items): the JSON records of each group in chunks of CHUNK, rewritten by the model. A
-    group of at most ``keep``, or whose answer is no list, stays as it is."""
+def consolidate(rows: DataFrame, group: str, record: str, model: Model, keep: int, pause: float = PAUSE, keep_all: int = 0) -> DataFrame:
+    """(group, chunk, items, n): the JSON records of each group in chunks of CHUNK, rewritten by the
+    model. A chunk of at most ``keep``, or whose answer is no list, stays as it is; so do all if there
+    are at most ``keep_all`` records."""
+    if keep_all and rows.limit(keep_all + 1).count() <= keep_all:
+        keep = keep_all
     per = chunked(rows, group, [F.asc(record)]).groupBy(group, "chunk").agg(F.array_sort(F.collect_list(record)).alias("records"), F.count("*").alias("n"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -125,6 +128,24 @@ def consolidate(rows: DataFrame, group: str, record: str, model: Model, keep: in
     return per.mapInPandas(run, f"{group} string, chunk long, items string, n int")
 
 
+def finish(chunks: DataFrame, group: str, model: Model, above: int = 80, pause: float = PAUSE) -> DataFrame:
+    """(group, items, n): a group's chunks as one list, which the model goes over once more if it has
+    more than ``above`` records; a model's chunks are short, so that one call holds them."""
+    lists = chunks.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "items"))), lambda x: x["items"]).alias("lists"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for name, lists in zip(frame[group], frame["lists"], strict=True):
+                items = [x for part in lists for x in json.loads(part)]
+                answer = parse_json(_ask(model, [json.dumps(items, ensure_ascii=False)], pause)[0][0]) if len(items) > above else None
+                items = answer if isinstance(answer, list) else items
+                out.append((name, json.dumps(items, ensure_ascii=False), len(items)))
+            yield pd.DataFrame(out, columns=[group, "items", "n"])
+
+    return lists.mapInPandas(run, f"{group} string, items string, n int")
+
+
 def polish(sections: DataFrame, cache: DataFrame, model: Model, pause: float = PAUSE) -> tuple[DataFrame, DataFrame]:
     """(section, draft) with ``polished``: from the cache (key, polished) by the hash of the draft, else
     from the model, else the draft; and what the cache gains. Only misses are asked about."""

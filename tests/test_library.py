@@ -211,6 +211,17 @@ def test_state_survives_a_broken_version(spark, tmp_path):
     assert [state.staged(spark, path, "one", table).first()["k"] for _ in range(2)] == [7, 7] and ran == [1]
 
 
+def test_consolidation(spark):
+    rows = spark.createDataFrame([(g, json.dumps({"k": k})) for g, n in (("a", 2), ("b", 200), ("c", 6)) for k in range(n)], "g string, r string")
+    half = lambda prompts: [json.dumps(json.loads(p)[::2]) for p in prompts]
+    chunks = completion.consolidate(rows, "g", "r", half, 5, 0)
+    assert sorted((r["g"], r["chunk"], r["n"]) for r in chunks.collect()) == [("a", 0, 2), ("b", 0, 75), ("b", 1, 25), ("c", 0, 3)]
+    assert {r["g"]: r["n"] for r in completion.finish(chunks, "g", half, 80, 0).collect()} == {"a": 2, "b": 50, "c": 3}
+    assert {r["g"]: r["n"] for r in completion.finish(chunks, "g", lambda ps: ["none"], 80, 0).collect()} == {"a": 2, "b": 100, "c": 3}
+    few = rows.where("g <> 'b'")
+    assert sorted(r["n"] for r in completion.consolidate(few, "g", "r", half, 1, 0, keep_all=8).collect()) == [2, 6]
+
+
 def test_profile_of_a_model(spark):
     said = {"role": "区块链产品经理", "responsibilities": ["写文档", " ", "维护 Old Gear", "四", "五"], "focus_areas": ["AI", "一" * 16, "DeFi"], "more": 1}
     rows = spark.createDataFrame([(json.dumps(said),), ('{"role": "开发者"}',), ("no json",), (None,)], "answer string")
