@@ -18,7 +18,7 @@ from quarry.functions import text
 from quarry.operators import extract, gate, notes, profile, signals, views
 from quarry.operators.extract import CLAMPS, KINDS, PAYLOAD
 from quarry.oracle import (
-    behind, blocks, case, clamp, clean_evidence, clean_project, clean_title, clean_view, did, every, first_sentence, fingerprint, hash16, let, noise, norm, operational, overlap, preference, q, relevance, relevant, rep, rx, sanitize, stack, strip, technologies, tidy,
+    blocks, case, clamp, clean_evidence, clean_project, clean_title, clean_view, did, every, first_sentence, fingerprint, let, noise, norm, operational, overlap, preference, q, relevance, relevant, rep, rx, sanitize, stack, strip, technologies, tidy,
 )
 from quarry.scratch import materialize
 from quarry.sources.readers import table
