@@ -51,8 +51,8 @@ SKETCH_BLOCK = 1 << 13
 #: Sketches of so many tasks are summed at once.
 FAN = 64
 #: A shingle that stands in more documents is dealt to several parts, of about so many each.
-HOT = 512
-BLOCK = 128
+HOT = 128
+BLOCK = 96
 BLOCK_TOKENS = 1 << 19
 #: The shortest bitmap: small sets differ in few shingles, of which few may fall together by chance.
 LEAST_PLACES = 256
