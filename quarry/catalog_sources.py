@@ -57,7 +57,7 @@ def sessions_since(spark, sf_dir):
 _PARTS = "SELECT l_orderkey AS message, l_linenumber AS part, epoch_us(l_shipdate) // 1000 AS part_ms, CASE l_linenumber % 4 WHEN 0 THEN '\"' || l_returnflag || '\"' WHEN 1 THEN '{\"type\":\"text\",\"text\":\"' || l_linestatus || l_partkey || '\"}' WHEN 2 THEN '{\"type\":\"tool\"}' ELSE '{broken' END AS data, CASE l_linenumber % 4 WHEN 0 THEN l_returnflag WHEN 1 THEN l_linestatus || l_partkey END AS said FROM lineitem"
 
 
-@query(f"WITH parts AS ({_PARTS}), t AS (SELECT message, string_agg(said, chr(10) ORDER BY part_ms, part) AS content FROM parts WHERE said IS NOT NULL GROUP BY message) SELECT o_custkey AS session, o_orderkey AS message, CASE o_orderkey % 3 WHEN 0 THEN 'assistant' ELSE 'user' END AS role, coalesce(content, '') AS content FROM orders LEFT JOIN t ON message = o_orderkey")
+@query(f"WITH parts AS ({_PARTS}), t AS (SELECT message, string_agg(said, chr(10) ORDER BY part_ms, part, said) AS content FROM parts WHERE said IS NOT NULL GROUP BY message) SELECT o_custkey AS session, o_orderkey AS message, CASE o_orderkey % 3 WHEN 0 THEN 'assistant' ELSE 'user' END AS role, coalesce(content, '') AS content FROM orders LEFT JOIN t ON message = o_orderkey")
 def message_parts(spark, sf_dir):
     """Messages with their parts: strings, objects with and without text, broken JSON."""
     key = F.col("o_orderkey")

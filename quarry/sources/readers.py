@@ -73,7 +73,7 @@ def part_text(data: Column) -> Column:
 
 def assembled(messages: DataFrame, parts: DataFrame) -> DataFrame:
     """(session, message, role, content, ts_ms) of (session, message, data, ts_ms) and parts (message,
-    data, part_ms, part): texts by (time, part), joined by newlines; a role that is no ``assistant``, or
+    data, part_ms, part): texts by (time, part), joined by newlines (ties by text); a role that is no ``assistant``, or
     broken JSON, is the user's; a message without text is empty."""
     said = parts.withColumn("said", part_text(F.col("data"))).where("said is not null")
     texts = said.groupBy("message").agg(F.array_sort(F.collect_list(F.struct("part_ms", "part", "said"))).alias("all"))
