@@ -101,10 +101,11 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: floa
     rows are then told apart by their text, with null or repeated ids as well. See the module for
     the method and the defined cases."""
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), *([F.xxhash64("text").alias("own"), F.col(key)] if key else []))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("own"), *([F.col(key)] if key else []))
     parts = max(16, groups_for(docs.select("text"), 64))
-    rows = rows.withColumn("mixed", F.xxhash64(F.coalesce("doc_id", F.col("own") if key else F.lit(-1)), F.lit("mix")))
-    keys, told = ([key], ["own", key]) if key else ([], [])
+    # By id and text, so that rows of a null or much repeated id are dealt to all parts.
+    rows = rows.withColumn("mixed", F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "own", F.lit("mix")))
+    keys, told = ([key], ["own", key]) if key else ([], ["own"])
     sizes = materialize(rows.withColumn("part", F.pmod(F.shiftright("mixed", 20), F.lit(parts)).cast("int")))
     per = materialize(targets(sizes, weights, cap))
     n_sources, words = per.agg(F.count("*"), F.coalesce(F.sum("words"), F.lit(0))).first()

@@ -490,7 +490,7 @@ def test_mixing_takes_the_words_of_the_schedule(spark):
     rows = [(k, prose(draw.randrange(0, 70), k), "en", ["a", "b", "c", None][min(draw.randrange(7), 3)], 0, 1, "x") for k in range(200)] + [(500, "w " * 3000, "en", "b", 0, 1, "x")]
     docs, block = spark.createDataFrame(rows, DOCS), 32
     parts = max(16, mixing.groups_for(docs.select("text"), 64))
-    hashes = {r["doc_id"]: r["h"] for r in docs.select("doc_id", F.xxhash64(F.col("doc_id"), F.lit("mix")).alias("h")).collect()}
+    hashes = {r["doc_id"]: r["h"] for r in docs.select("doc_id", F.xxhash64(F.col("doc_id"), F.xxhash64("text"), F.lit("mix")).alias("h")).collect()}
     got = {r["doc_id"]: r for r in mixing.mix_sources(docs, block=block).collect()}
     for source in ("a", "b", "c", None):
         mine = sorted((k for k, r in got.items() if r["source"] == source), key=lambda k: ((hashes[k] >> 20) % parts, hashes[k]))
