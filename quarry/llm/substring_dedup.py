@@ -67,9 +67,9 @@ def _deal(key: np.ndarray, kind: int, columns):
         yield int(key[a]), kind, _pack(*columns(order[a:b]))
 
 
-def _home(doc: np.ndarray, nth: np.ndarray, groups: int) -> np.ndarray:
-    """The group of a document, as Spark's pmod(xxhash64(doc_id, nth), groups)."""
-    return tokens.hash_long(nth, tokens.hash_long(doc)) % np.int64(groups)
+def _home(doc: np.ndarray, nth: np.ndarray, homes: int) -> np.ndarray:
+    """The home of a document, as Spark's pmod(xxhash64(doc_id, nth), homes)."""
+    return tokens.hash_long(nth, tokens.hash_long(doc)) % np.int64(homes)
 
 
 def _first_of_equal(h: np.ndarray, places) -> np.ndarray:
@@ -93,8 +93,8 @@ def _first_of_equal(h: np.ndarray, places) -> np.ndarray:
     return out
 
 
-def _windows(width: int, groups: int, buckets: int):
-    """Blocks of windows by bucket and of later places by their document's group."""
+def _windows(width: int, homes: int, buckets: int):
+    """Blocks of windows by bucket and of later places by their document's home."""
 
     def run(batches):
         (one, base), (two, other), separators = tokens.ONE, tokens.TWO, tokens.white_space()
@@ -112,7 +112,7 @@ def _windows(width: int, groups: int, buckets: int):
             later = np.flatnonzero(~first)
             if len(later):
                 later = places(later)
-                yield from _deal(_home(*later[:2], groups), 1, lambda i: tuple(x[i] for x in later))
+                yield from _deal(_home(*later[:2], homes), 1, lambda i: tuple(x[i] for x in later))
             first = np.flatnonzero(first)
             yield from _deal(key[first], 0, lambda i: (*places(first[i]), h[first[i]]))
 
@@ -176,7 +176,7 @@ def _deal_again(batches):
     tokens.release()
 
 
-def _count(groups: int):
+def _count(homes: int):
     def run(table: pa.Table) -> pa.Table:
         rows = []
         kinds, blocks = table.column("kind").to_pylist(), table.column("block")
@@ -188,7 +188,7 @@ def _count(groups: int):
             if len(later):
                 later = later[np.lexsort((at[later], nth[later], doc[later]))]
                 doc, nth, at = doc[later], nth[later], at[later]
-                rows = [(k, b) for k, _, b in _deal(_home(doc, nth, groups), 1, lambda i: (doc[i], nth[i], at[i]))]
+                rows = [(k, b) for k, _, b in _deal(_home(doc, nth, homes), 1, lambda i: (doc[i], nth[i], at[i]))]
         marked = [_unpack(b.as_py(), False) for k, b in zip(kinds, blocks, strict=True) if k == 1]
         if marked:  # their key is their documents' group
             key = table.column("key")[0].as_py()
@@ -265,14 +265,15 @@ def substring_dedup(docs: DataFrame, width: int = 20, carry: tuple[str, ...] = (
     and the removed intervals of word positions. See the module for the method and the defined cases."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(F.col(c).alias(f"carry_{c}") for c in carry))
     tokens.small_batches(docs.sparkSession)
-    groups = groups_for(rows.select("doc_id", "text"))
+    # A bucket sends one block to each home at most, so homes are fewer and larger than buckets.
+    groups, homes = groups_for(rows.select("doc_id", "text")), groups_for(rows.select("doc_id", "text"), 32, 1)
     rows = _told_apart(rows)
     coarse = groups if groups <= COARSE else -(-groups // FINE)
-    blocks = rows.select("doc_id", "nth", "text").mapInArrow(_windows(width, groups, coarse), PACKED)
+    blocks = rows.select("doc_id", "nth", "text").mapInArrow(_windows(width, homes, coarse), PACKED)
     if groups > COARSE:
         blocks = blocks.repartition(min(coarse, COARSE), "key", "kind").sortWithinPartitions("kind", "key").mapInArrow(_deal_again, PACKED)
-    marks = blocks.groupBy("key").applyInArrow(_count(groups), "home int, block binary")
-    home = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(NULL_ID)), "nth"), F.lit(groups)).cast("int")
+    marks = blocks.groupBy("key").applyInArrow(_count(homes), "home int, block binary")
+    home = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(NULL_ID)), "nth"), F.lit(homes)).cast("int")
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema if f.name not in ("text", "nth")}
     result = ", ".join([*(f"`{name}` {kind}" for name, kind in kinds.items()), RESULT])
     return rows.withColumn("home", home).groupBy("home").cogroup(marks.groupBy("home")).applyInArrow(_remove(width, untouched), result)
