@@ -13,7 +13,9 @@ the executors by broadcast (a vocabulary is a fixed file of about a megabyte). S
 are ordinary text.
 
 Defined cases: null text encodes to no ids and decodes to no bytes; ids outside the vocabulary
-raise an error on decoding, null ids decode to no bytes.
+raise an error on decoding, null ids decode to no bytes; repeated rows are coded each; an empty table
+gives no rows. A text and a piece are whole in one task: a run of one letter is a single piece, whose
+merges take about 110 microseconds a byte.
 """
 
 from __future__ import annotations

@@ -29,7 +29,8 @@ Two different shingles are taken as equal only if their words' 64-bit hashes or
 modulo a 61-bit prime over them collide, two sets only if a 64-bit hash of all their shingles does.
 
 Defined cases: null text, or text without words, has the empty set, its own component and no
-link; fewer words than ``width`` are one shingle; rows that share a doc_id are documents of their
+link; a very long text is hashed by one task, its set is sent once; an empty table gives no rows;
+other columns are ignored; fewer words than ``width`` are one shingle; rows that share a doc_id are documents of their
 own with one id; a null doc_id is never a component's id unless all its members have none.
 """
 

@@ -17,7 +17,8 @@ part of the place, and orders the rows of the id.
 Defined cases: null text is an empty text; fewer words than ``width`` lose nothing; rows that
 share a doc_id but not the text are documents of their own; equal rows (id and text) are one
 document, so that its windows at the same place are no repetition; a null doc_id counts as the
-smallest; an empty table gives no rows. Other columns of the input are ignored unless carried.
+smallest; a very long text is read by one task, its windows leave it by the million; an empty table
+gives no rows. Other columns of the input are ignored unless carried.
 """
 
 from __future__ import annotations
