@@ -57,8 +57,7 @@ def hour_histogram(spark, sf_dir):
 
 @query("SELECT conv_id, turn, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) n FROM conversations WHERE role = 'user') WHERE n = 1")
 def first_user_message(spark, sf_dir):
-    first = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "text"))
-    return messages(spark, sf_dir).where("role = 'user'").withColumn("n", first).where("n = 1").select("conv_id", "turn", "text")
+    return messages(spark, sf_dir).where("role = 'user'").groupBy("conv_id").agg(F.min(F.struct("turn", "text")).alias("first")).select("conv_id", "first.*")
 
 
 @query(f"WITH {MSG} SELECT conv_id, count(*) AS messages, count(*) FILTER (role = 'user') AS user_messages, round(avg((role = 'user')::INT), 6) AS user_ratio, (count(*) FILTER (role = 'user') > 5)::INT AS many FROM msg GROUP BY conv_id")
