@@ -27,6 +27,7 @@ import itertools
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -236,11 +237,15 @@ def _remove(width: int, untouched: bool):
             if gone:
                 edges = [0, *itertools.chain.from_iterable(gone), len(words)]
                 words = [w for x, y in zip(edges[::2], edges[1::2], strict=True) for w in words[x:y]]
-            kept.append(whole if untouched and not gone else b" ".join(words))
+            kept.append(None if untouched and not gone else b" ".join(words))
+        left = pa.array(kept, pa.binary()).cast(pa.string())
+        if untouched:
+            left = pc.coalesce(left, docs.column("text").combine_chunks(), pa.scalar(""))
+        del kept, of, at
         tokens.release()
         own = {name: docs.column(name) for name in docs.column_names if name not in ("text", "home", "nth")}
         return pa.table(own | {
-            "kept_text": pa.array(kept, pa.binary()).cast(pa.string()), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()),
+            "kept_text": left, "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()),
             "removed": pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("behind", pa.int64())]))),
         })
 
