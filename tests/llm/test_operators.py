@@ -297,7 +297,7 @@ def test_mixing(spark):
     for s in order:
         mine = [r for r in got if r["source"] == s]
         assert all(abs(r["target"] - target[s]) < 1e-6 and r["source_size"] == size[s] and 0 <= r["taken"] <= 3 * r["size"] for r in mine)
-        assert abs(sum(r["taken"] for r in mine) - target[s]) <= 1
+        assert abs(sum(r["taken"] for r in mine) - target[s]) <= 3 * mixing.block_of(round(target[s]), 64)
     assert sorted(map(str, got)) == sorted(map(str, mixing.mix_sources(docs.repartition(5), block=64).collect()))
     assert mixing.mix_sources(docs.limit(0)).count() == 0
 
@@ -376,6 +376,21 @@ def test_lz_likeness_is_that_of_the_phrase_sets():
     assert len(parse.hashes) == 4  # a, ab, abb
 
 
+def test_lz_likeness_of_long_texts():
+    draw = np.random.default_rng(12)
+    text = lambda letters, n: "".join(np.array(list(letters))[draw.integers(0, len(letters), n)])
+    for n in (50_000, 200_000, 1_000_000):
+        one, other = text("abcdefgh", n), text("ijklmnop", n)
+        assert not phrases(one) & phrases(other)
+        assert lz_fingerprint.likeness(lz_fingerprint.signature(one), lz_fingerprint.signature(other)) == 0
+    for n in (50_000, 1_000_000):
+        one = text("abcdefgh", n)
+        for other in (one[: n // 2] + text("ijklmnop", n // 2), text("abcdefgh", n)):
+            want = jaccard(phrases(one), phrases(other))
+            got = lz_fingerprint.likeness(lz_fingerprint.signature(one), lz_fingerprint.signature(other))
+            assert abs(got - want) <= 3 * math.sqrt(want * (1 - want) / lz_fingerprint.MINIMA)
+
+
 def test_language_gradients():
     draw = np.random.default_rng(3)
     net = language_id.Network(["a", "b", "c"])
@@ -485,35 +500,49 @@ def test_html_text_of_broken_markup_takes_linear_time(piece):
     assert time.process_time() - began < 20
 
 
-def test_mixing_takes_the_words_of_the_schedule(spark):
+def plain_schedule(per, block):
+    """(source_no, rank) to the slot's place in the mix, by a loop over the slots of each size of blocks."""
+    plan = {}
+    for size in {mixing.block_of(r["words"], block) for r in per if r["words"]}:
+        mine = sorted((r["source_no"], r["target"]) for r in per if r["words"] and mixing.block_of(r["words"], block) == size)
+        total, counts = sum(t for _, t in mine), collections.Counter()
+        slots = -(-sum(r["words"] for r in per if r["source_no"] in dict(mine)) // size)
+        for slot in range(slots):
+            at, below = slot * mixing.GOLDEN % 1 * total, 0.0
+            for number, target in mine:
+                below += target
+                if at < below:
+                    break
+            plan[number, counts[number]] = slot / slots
+            counts[number] += 1
+    return plan
+
+
+def test_mixing_takes_the_words_of_the_schedule(spark, monkeypatch):
     draw = random.Random(8)
-    rows = [(k, prose(draw.randrange(0, 70), k), "en", ["a", "b", "c", None][min(draw.randrange(7), 3)], 0, 1, "x") for k in range(200)] + [(500, "w " * 3000, "en", "b", 0, 1, "x")]
+    rows = [(k, prose(draw.randrange(0, 70), k), "en", ["a", "b", "c", None][min(draw.randrange(7), 3)], 0, 1, "x") for k in range(200)] + [(500, "w " * 9000, "en", "b", 0, 1, "x"), (501, "tiny source", "en", "d", 0, 1, "x")]
     docs, block = spark.createDataFrame(rows, DOCS), 32
     parts = max(16, mixing.groups_for(docs.select("text"), 64))
     hashes = {r["doc_id"]: r["h"] for r in docs.select("doc_id", F.xxhash64(F.col("doc_id"), F.xxhash64("text"), F.lit("mix")).alias("h")).collect()}
+    per = mixing.targets(docs.select("source", mixing.word_count(F.col("text")).alias("size"))).collect()
     got = {r["doc_id"]: r for r in mixing.mix_sources(docs, block=block).collect()}
-    for source in ("a", "b", "c", None):
-        mine = sorted((k for k, r in got.items() if r["source"] == source), key=lambda k: ((hashes[k] >> 20) % parts, hashes[k]))
-        words, size, at = int(got[mine[0]]["target"] + 0.5), sum(got[k]["size"] for k in mine), 0
+    plan = plain_schedule(per, block)
+    blocks = collections.Counter(number for number, _ in plan)
+    for source in per:
+        number, size, own = source["source_no"], source["source_size"], mixing.block_of(source["words"], block)
+        words = min(blocks[number] * own, 3 * size)
+        assert abs(words - source["target"]) <= 3 * own
+        mine, at = sorted((k for k, r in got.items() if r["source"] == source["source"]), key=lambda k: ((hashes[k] >> 20) % parts, hashes[k])), 0
         for k in mine:
             n = got[k]["size"]
-            want = sum(max(0, min(at + n + turn * size, words) - (at + turn * size)) for turn in range(words // size + 1))
-            assert got[k]["taken"] == want
+            spans = [(at + turn * size, min(at + n + turn * size, words)) for turn in range(3) if at + turn * size < words and n]
+            assert got[k]["taken"] == sum(b - a for a, b in spans)
+            met = sorted(plan[number, rank] for a, b in spans for rank in range(a // own, (b - 1) // own + 1))
+            assert (got[k]["n_slots"], got[k]["first_slot"]) == (len(met), met[0] if met else None)
             at += n
-    per = mixing.targets(docs.select("source", mixing.word_count(F.col("text")).alias("size")))
-    lows = sorted((r["low"], r["source_no"], r["words"]) for r in per.collect())
-    slots = -(-sum(r[2] for r in lows) // block)
-    plan = sorted((r["slot"], r["source_no"], r["rank"]) for r in mixing.schedule(per, len(lows), slots, block).collect())
-    ranks, want = collections.Counter(), []
-    for slot in range(slots):
-        point = slot * mixing.GOLDEN % 1
-        number = max(r for r in lows if r[0] <= point)[1]
-        if ranks[number] < -(-next(r[2] for r in lows if r[1] == number) // block):
-            want.append((slot, number, ranks[number]))
-        ranks[number] += 1
-    for _, number, words in lows:
-        want += [(slots + k, number, k) for k in range(min(ranks[number], -(-words // block)), -(-words // block))]
-    assert plan == sorted(want)
+    monkeypatch.setattr(mixing, "GOLDEN", 0.25)  # another schedule is another mix
+    other = {r["doc_id"]: r["taken"] for r in mixing.mix_sources(docs, block=block).collect()}
+    assert other != {k: r["taken"] for k, r in got.items()}
 
 
 def test_ordinal_gradient():
@@ -532,13 +561,21 @@ def test_toxicity_of_odd_rows(spark):
     rows = [(k, prose(40, k) + (" idiot moron" if k % 5 == 0 else "")) for k in range(100)] + [(7, "you idiot moron idiot"), (None, "moron"), (900, ""), (901, "clean " * 200_000), (902, None)]
     docs = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, grade int, toxic string")
     labels = spark.createDataFrame([(k, int(k % 5 == 0)) for k in range(100)] + [(3, 1), (3, 0), (3, None), (None, 1), (9999, 1)], "doc_id long, toxic int")
-    got = toxicity.grade(docs, labels, bag=30).collect()
+    got = toxicity.grade(docs, labels).collect()
     assert len(got) == len(rows) and all(0 <= r["severity"] <= 2 and r["grade"] in (0, 1, 2) for r in got)
     assert [r["toxic"] for r in got if r["doc_id"] == 901] == [False]
     one = toxicity.grade(docs, labels.where("toxic = 1")).collect()
     assert len(one) == len(rows) and toxicity.grade(docs.limit(0), labels).count() == 0
 
 
+def test_toxicity_sample_is_bounded_by_texts(spark):
+    rows = [(5, prose(20, k % 700)) for k in range(3000)] + [(6, prose(20, 9000)), (6, prose(20, 9000)), (7, "z " * 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(5, 1), (6, 0), (7, 0)], "doc_id long, toxic int")
+    bags, _ = toxicity.labelled_bags(docs, labels, 8)
+    assert sorted(b["toxic"] for b in bags) == [0, 0, 1, 1, 1, 1]
+
+
 def test_toxicity(spark):
     rows = [(k, prose(60, k) + (" idiot moron" if k % 8 == 0 else ""), "en", "s", 0, 1, "x") for k in range(400)] + [(999, None, "en", "s", 0, 1, "x")]
     labels = spark.createDataFrame([(k, 1, int(k % 8 == 0)) for k in range(200)] + [(5, 1, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
