@@ -6,9 +6,9 @@ labelled toxic ones are split at the median of their evidence per word, the mean
 chosen features in them, into 1 (mild) and 2 (severe). One weight vector is shared by the ordered
 thresholds: P(grade > k) = sigmoid(w x - threshold_k). Output: the expected grade.
 
-Training reads a bounded sample: ``sample`` labelled documents, half of them toxic where there
-are as many, weighted back to the true shares, at most ``bag`` different words of each, and keeps
-``features`` words. Scoring counts the words of every whole text. The labels have two classes; that
+Training reads a bounded sample: ``sample`` labelled texts, half of them toxic where there are as many,
+weighted back to the true shares, whole, and keeps ``features`` words. The bound is on texts: an id that
+many rows share gives as many different texts as others would. Scoring counts the words of every whole text. The labels have two classes; that
 there are two grades of toxic ones is this operator's own reading of their evidence.
 
 Defined cases: null or empty text has only the thresholds' probabilities; several labels of one
@@ -48,39 +48,33 @@ def _words(text_column):
         yield row, len(offsets) - 1, tokens.word_hashes(values, part, first, behind), doc
 
 
-def _bags(most: int):
-    """Distinct words and counts of each document, as bytes; of more than ``most`` words, those with
-    the least hashes, which are the same for all documents."""
-
-    def run(batches):
-        yield from _bags_of(batches, most)
-
-    return run
-
-
-def _bags_of(batches, most: int):
+def _bags(batches):
+    """Distinct words and counts of each document, as bytes."""
     for batch in batches:
         words, counts = [], []
         for _, rows, h, doc in _words(batch.column(1)):
             cuts = np.searchsorted(doc, np.arange(rows + 1))
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                w, n = (x[:most] for x in np.unique(h[a:b], return_counts=True))
+                w, n = np.unique(h[a:b], return_counts=True)
                 words.append(w.tobytes()), counts.append(n.astype("<u4").tobytes())
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.binary()), pa.array(counts, pa.binary())], ["toxic", "words", "counts"])
 
 
-def labelled_bags(docs: DataFrame, labels: DataFrame, sample: int, bag: int):
-    """Bags of at most ``sample`` labelled documents and the share of all labels that is toxic."""
+def labelled_bags(docs: DataFrame, labels: DataFrame, sample: int):
+    """Bags of at most ``sample`` labelled texts, half of them of each mark, and the share of all labels
+    that is toxic. Of rows that share an id every different text may be one; equal rows are one."""
     marks = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    marks = marks.withColumn("turn", F.xxhash64("doc_id", F.lit("labels")))
     share = marks.agg(F.avg(F.col("toxic").cast("double"))).first()[0]
     half = sample // 2
-    some = [marks.where(F.col("toxic") == k).orderBy("turn", "doc_id").limit(half) for k in (0, 1)]
-    chosen = some[0].unionByName(some[1]).select("doc_id", "toxic")
-    # At most ``sample`` rows of 12 bytes.
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    rows = rows.join(F.broadcast(chosen), "doc_id").select("toxic", "text")
-    return rows.mapInArrow(_bags(bag), "toxic int, words binary, counts binary").collect(), share
+    first = lambda df, k, *order: df.where(F.col("toxic") == k).orderBy(*order).limit(half)
+    both = lambda df, *order: first(df, 0, *order).unionByName(first(df, 1, *order))
+    some = both(marks.withColumn("turn", F.xxhash64("doc_id", F.lit("labels"))), "turn", "doc_id").select("doc_id", "toxic")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null").withColumn("own", F.xxhash64("text"))
+    # At most ``sample`` ids of 12 bytes, then as many texts by id and hash.
+    texts = rows.select("doc_id", "own").join(F.broadcast(some), "doc_id").distinct()
+    chosen = both(texts, F.xxhash64("doc_id", "own"), "doc_id", "own")
+    kept = rows.join(F.broadcast(chosen), ["doc_id", "own"]).groupBy("doc_id", "own").agg(F.any_value("toxic").alias("toxic"), F.any_value("text").alias("text"))
+    return kept.select("toxic", "text").mapInArrow(_bags, "toxic int, words binary, counts binary").collect(), share
 
 
 class Grader:
@@ -176,12 +170,12 @@ def _graded(grader: Grader | None, share: float):
     return run
 
 
-def grade(docs: DataFrame, labels: DataFrame, sample: int = 4000, features: int = 1024, bag: int = 4096) -> DataFrame:
+def grade(docs: DataFrame, labels: DataFrame, sample: int = 4000, features: int = 1024) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, severity (expected grade, 0 to 2), p_toxic
     (P(grade > 0)), grade (likeliest) and toxic (p_toxic of at least one half), from a model
     fitted to ``labels`` (doc_id, toxic). See the module."""
     tokens.small_batches(docs.sparkSession)
-    bags, share = labelled_bags(docs, labels, sample, bag)
+    bags, share = labelled_bags(docs, labels, sample)
     share = share or 0.0
     grader = fit(bags, share, features) if bags else None
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
