@@ -7,9 +7,10 @@ others, which is one water level found from sums over the sorted sources.
 Schedule: slot k of the mix is the point frac(k * golden ratio). Where the point falls among the
 cumulative target shares names the slot's source. The slots of a source are ranked, and slot r
 of a source takes block r of its words: ``block`` consecutive words of the source's documents in
-shuffled order, repeated as often as needed. A source that has got all blocks of its target takes
-no more; a source that is still short of a few blocks after the last slot gets them at the end,
-so that every source meets its target to the word. The last block is cut.
+shuffled order, repeated as often as needed, up to ``cap`` times. So the points decide how many blocks a source
+gives and where they stand: its words are its target within the points' discrepancy, a few blocks. Sources
+whose target isn't ``LEAST`` blocks are scheduled among themselves in blocks that are ``LEAST`` times
+smaller, and so on down to blocks of one word, so that a few blocks are few words for them, too.
 
 A source may hold any share of the rows: positions are sums over hash ranges of a source, whose
 number grows with the input, and then within them; slots are ranked within ranges of slots. Sources
@@ -22,6 +23,8 @@ gives no rows; other columns are ignored. Reruns give the same rows.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +32,8 @@ from quarry.scratch import groups_for, materialize
 
 GOLDEN = 0.6180339887498949
 BLOCK = 1024
+#: Blocks that a source's target has at least, unless they are of one word.
+LEAST = 256
 #: Up to so many sources their table is broadcast (about 100 bytes each); beyond, it is joined by shuffle.
 BROADCAST_SOURCES = 20_000
 
@@ -60,21 +65,35 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float =
     first = F.min(F.when(level <= F.col("ratio"), F.struct("ratio", "source_no", level.alias("level")))).over(everywhere)
     per = per.withColumn("level", first["level"])
     per = per.withColumn("target", F.least("most", F.coalesce(F.col("level") * F.col("weight"), F.col("most"))))
-    before = Window.orderBy("source_no").rowsBetween(Window.unboundedPreceding, -1)
-    whole = F.sum("target").over(everywhere)
-    per = per.withColumn("low", F.coalesce(F.sum("target").over(before), F.lit(0.0)) / F.when(whole > 0, whole))
-    return per.select("source", "source_no", "source_size", "weight", "target", "low", (F.round("target").cast("long")).alias("words"))
+    return per.select("source", "source_no", "source_size", "weight", "target", (F.round("target").cast("long")).alias("words"))
+
+
+def sizes_of_blocks(block: int) -> list[int]:
+    out = [block]
+    while out[-1] > 1:
+        out.append(max(1, out[-1] // LEAST))
+    return out
+
+
+def block_of(words: int, block: int) -> int:
+    """The block of a source that is to give ``words``."""
+    return next((b for b in sizes_of_blocks(block) if words >= b * LEAST), 1)
 
 
-def schedule(sources: DataFrame, n_sources: int, slots: int, block: int) -> DataFrame:
-    """Rows (slot, source_no, rank): which block of which source stands in which slot of the mix."""
+def schedule(sources: DataFrame, n_sources: int, slots: int, own: int) -> DataFrame:
+    """Rows (source_no, rank, slot): of ``slots`` slots, each a block of ``own`` words, which stands where
+    in the mix (as a share of it), and is which one of its source's."""
     spark = sources.sparkSession
     span = max(256, int(slots**0.5))
-    full = sources.where("words > 0")
     grid = max(4096, 4 * n_sources)
     # Cumulative shares by cell of a fixed grid, so that a point meets only the sources near it.
-    high = F.coalesce(F.lead("low").over(Window.orderBy("low", "source_no")), F.lit(1.0))
-    ranges = full.withColumn("high", high).select("source_no", "low", "high", (F.ceil(F.col("words") / F.lit(float(block)))).alias("quota"))
+    by_number = Window.orderBy("source_no")
+    whole = F.sum("target").over(Window.partitionBy())
+    upto = F.sum("target").over(by_number.rowsBetween(Window.unboundedPreceding, Window.currentRow)) / whole
+    ranges = sources.where("words > 0").withColumn("high", upto)
+    ranges = ranges.withColumn("low", F.coalesce(F.lag("high").over(by_number), F.lit(0.0)))
+    last = F.lead("high").over(by_number).isNull()
+    ranges = ranges.select("source_no", "low", F.when(last, F.lit(1.0)).otherwise(F.col("high")).alias("high"))
     cell = lambda x: F.least(F.floor(x * grid), F.lit(grid - 1))
     cells = ranges.withColumn("cell", F.explode(F.sequence(cell(F.col("low")), cell(F.col("high")))))
     point = F.col("slot") * F.lit(GOLDEN)
@@ -85,19 +104,14 @@ def schedule(sources: DataFrame, n_sources: int, slots: int, block: int) -> Data
     per_span = per_span.select("source_no", "span", F.coalesce(earlier, F.lit(0)).alias("earlier"))
     within = F.row_number().over(Window.partitionBy("source_no", "span").orderBy("slot"))
     ranked = met.withColumn("within", within - 1).join(per_span, ["source_no", "span"])
-    ranked = ranked.select("slot", "source_no", (F.col("earlier") + F.col("within")).alias("rank"))
-    quota = _small(ranges.select("source_no", "quota"), n_sources)
-    kept = ranked.join(quota, "source_no").where("rank < quota").select("slot", "source_no", "rank")
-    had = kept.groupBy("source_no").count()
-    short = ranges.join(_small(had, n_sources), "source_no", "left").withColumn("had", F.coalesce("count", F.lit(0))).where("had < quota")
-    late = short.select("source_no", F.explode(F.sequence(F.col("had"), F.col("quota") - 1)).alias("rank"))
-    return kept.unionByName(late.select((F.lit(slots) + F.col("rank")).alias("slot"), "source_no", "rank"))
+    return ranked.select("source_no", (F.col("earlier") + F.col("within")).alias("rank"), (F.col("slot") / F.lit(float(slots))).alias("slot"))
 
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float = 3.0, block: int = BLOCK, key: str | None = None) -> DataFrame:
     """Per row of ``docs`` (doc_id, text, source): doc_id, source, size, source_size, target,
     taken: the words that the mix takes of it, repeats counted, at most ``cap`` times its size
-    (``cap`` should be whole for that). ``key`` names a column of unique longs that is returned too;
+    (``cap`` should be whole for that), n_slots: the blocks that hold some of them, first_slot: where the
+    first of these stands, as a share of the mix. ``key`` names a column of unique longs that is returned too;
     rows are then told apart by their text, with null or repeated ids as well. See the module for
     the method and the defined cases."""
     spark = docs.sparkSession
@@ -107,10 +121,18 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: floa
     rows = rows.withColumn("mixed", F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "own", F.lit("mix")))
     keys, told = ([key], ["own", key]) if key else ([], ["own"])
     sizes = materialize(rows.withColumn("part", F.pmod(F.shiftright("mixed", 20), F.lit(parts)).cast("int")))
-    per = materialize(targets(sizes, weights, cap))
-    n_sources, words = per.agg(F.count("*"), F.coalesce(F.sum("words"), F.lit(0))).first()
-    slots = -(-words // block)
-    plan = schedule(per, n_sources, slots, block).withColumn("taken_block", F.lit(1))
+    own = F.lit(1)
+    for size in sizes_of_blocks(block)[::-1]:
+        own = F.when(F.col("words") >= size * LEAST, F.lit(size)).otherwise(own)
+    per = materialize(targets(sizes, weights, cap).withColumn("block", own.cast("long")))
+    plans = []
+    for r in per.where("words > 0").groupBy("block").agg(F.count("*").alias("n"), F.sum("words").alias("words")).collect():  # the sizes of blocks
+        plans.append(schedule(per.where(F.col("block") == r["block"]), r["n"], -(-r["words"] // r["block"]), r["block"]))
+    n_sources = per.count()
+    plan = reduce(DataFrame.unionByName, plans) if plans else spark.createDataFrame([], "source_no long, rank long, slot double")
+    plan = materialize(plan)
+    most = F.least(F.coalesce("blocks", F.lit(0)) * F.col("block"), F.floor(F.lit(cap) * F.col("source_size")))
+    per = per.join(_small(plan.groupBy("source_no").agg(F.count("*").alias("blocks")), n_sources), "source_no", "left").withColumn("words", most).drop("blocks")
 
     sizes = sizes.join(_small(per.withColumnRenamed("source", "of"), n_sources), F.col("source").eqNullSafe(F.col("of"))).drop("of")
     by_part = sizes.groupBy("source_no", "part").agg(F.sum("size").alias("part_size"))
@@ -118,15 +140,16 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: floa
     by_part = by_part.select("source_no", "part", F.coalesce(begin, F.lit(0)).alias("part_begin"))
     within = F.sum("size").over(Window.partitionBy("source_no", "part").orderBy("mixed", "doc_id", "size", *told).rowsBetween(Window.unboundedPreceding, -1))
     placed = sizes.withColumn("within", F.coalesce(within, F.lit(0))).join(by_part, ["source_no", "part"])
-    placed = placed.withColumn("begin", F.col("part_begin") + F.col("within")).drop("part_begin", "within", "part", "mixed", "weight", "low")
+    placed = placed.withColumn("begin", F.col("part_begin") + F.col("within")).drop("part_begin", "within", "part", "mixed", "weight")
 
     rounds = F.sequence(F.lit(0), F.floor((F.col("words") - 1) / F.col("source_size")))
     pieces = placed.where("size > 0 and words > 0").withColumn("round", F.explode(rounds))
     pieces = pieces.withColumn("from", F.col("begin") + F.col("round") * F.col("source_size")).where("`from` < words")
     pieces = pieces.withColumn("to", F.least(F.col("from") + F.col("size"), "words"))
-    pieces = pieces.withColumn("rank", F.explode(F.sequence(F.floor(F.col("from") / block), F.floor((F.col("to") - 1) / block))))
-    overlap = F.least(F.col("to"), (F.col("rank") + 1) * block) - F.greatest(F.col("from"), F.col("rank") * block)
-    taken = pieces.join(plan, ["source_no", "rank"]).groupBy("source_no", "begin").agg(F.sum(overlap * F.col("taken_block")).alias("got"))
-    zero = F.when(F.col("size") > 0, F.col("got"))
-    out = placed.join(taken, ["source_no", "begin"], "left")
-    return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce(zero, F.lit(0)).cast("long").alias("taken"), *keys)
+    pieces = pieces.withColumn("rank", F.explode(F.sequence(F.floor(F.col("from") / F.col("block")), F.floor((F.col("to") - 1) / F.col("block")))))
+    overlap = F.least(F.col("to"), (F.col("rank") + 1) * F.col("block")) - F.greatest(F.col("from"), F.col("rank") * F.col("block"))
+    taken = pieces.join(plan, ["source_no", "rank"]).groupBy("source_no", "begin").agg(F.sum(overlap).alias("got"), F.count("*").alias("met"), F.min("slot").alias("at"))
+    some = placed.where("size > 0").join(taken, ["source_no", "begin"], "left")
+    none = placed.where("size = 0").select("*", *[F.lit(None).cast(t).alias(c) for c, t in (("got", "long"), ("met", "long"), ("at", "double"))])  # they share their place
+    out = some.unionByName(none)
+    return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("got", F.lit(0)).cast("long").alias("taken"), F.coalesce("met", F.lit(0)).alias("n_slots"), F.col("at").alias("first_slot"), *keys)
