@@ -348,7 +348,7 @@ def profile_category(spark, sf_dir):
 
 # --- gate ------------------------------------------------------------------------------------------
 
-_EV = "own AS (SELECT id, evidence_id AS of_ FROM cand UNION ALL SELECT id, other FROM (SELECT id, lag(evidence_id) OVER (ORDER BY id) AS other FROM cand) WHERE ascii(right(id, 1)) % 5 = 0 AND other IS NOT NULL), ev AS (SELECT DISTINCT ON (id) evidence_id AS id, trust, source_kind FROM cand WHERE ascii(right(evidence_id, 1)) % 11 <> 0 ORDER BY id, trust DESC, source_kind), facts AS (SELECT own.id, count(*) AS n, count(DISTINCT own.of_) AS different, max(trust) AS most_trust, min((source_kind = 'session_message')::INT) AS sessions_only FROM own JOIN ev ON own.of_ = ev.id GROUP BY own.id), met AS (SELECT cand.*, coalesce(n, 0) AS n, coalesce(different, 0) AS different, coalesce(most_trust, 0) AS most_trust, coalesce(sessions_only, 0) AS sessions_only FROM cand LEFT JOIN facts USING (id))"
+_EV = "own AS (SELECT id, evidence_id AS of_ FROM cand UNION ALL SELECT id, other FROM (SELECT id, min(evidence_id) OVER (PARTITION BY left(sha256(id), 2)) AS other FROM cand) WHERE ascii(right(id, 1)) % 5 = 0 AND other IS NOT NULL), ev AS (SELECT DISTINCT ON (id) evidence_id AS id, trust, source_kind FROM cand WHERE ascii(right(evidence_id, 1)) % 11 <> 0 ORDER BY id, trust DESC, source_kind), facts AS (SELECT own.id, count(*) AS n, count(DISTINCT own.of_) AS different, max(trust) AS most_trust, min((source_kind = 'session_message')::INT) AS sessions_only FROM own JOIN ev ON own.of_ = ev.id GROUP BY own.id), met AS (SELECT cand.*, coalesce(n, 0) AS n, coalesce(different, 0) AS different, coalesce(most_trust, 0) AS most_trust, coalesce(sessions_only, 0) AS sessions_only FROM cand LEFT JOIN facts USING (id))"
 
 
 def _tests(kind: str) -> list[tuple[str, str]]:
@@ -396,11 +396,10 @@ judged AS (SELECT *, greatest(0, 100 - coalesce(list_sum(list_transform(issues,
 def judged(spark, sf_dir, kind: str) -> DataFrame:
     """Candidates of a kind with evidence, issues, score and decision. The candidates are written
     first, so that no filter on the outcome repeats their extraction."""
-    from pyspark.sql import Window
-
     rows = materialize(candidates(spark, sf_dir, kind))
-    other = F.lag("evidence_id").over(Window.orderBy("id"))  # in this binding only
-    rows = rows.withColumn("other", other).withColumn("evidence_ids", F.when((F.ascii(F.substring("id", -1, 1)) % 5 == 0) & F.col("other").isNotNull(), F.array("evidence_id", "other")).otherwise(F.array("evidence_id")))
+    rows = rows.withColumn("deal", F.substring(F.sha2("id", 256), 1, 2))
+    other = rows.groupBy("deal").agg(F.min("evidence_id").alias("other"))  # 256 rows at most; in this binding only
+    rows = rows.join(F.broadcast(other), "deal", "left").withColumn("evidence_ids", F.when((F.ascii(F.substring("id", -1, 1)) % 5 == 0) & F.col("other").isNotNull(), F.array("evidence_id", "other")).otherwise(F.array("evidence_id"))).drop("deal")
     held = extract.first_by(rows.select(F.col("evidence_id").alias("id"), "trust", "source_kind"), ["id"], [F.desc("trust"), F.asc("source_kind")]).where(F.ascii(F.substring("id", -1, 1)) % 11 != 0)
     return gate.judge(gate.with_evidence(rows, held), kind)
 
@@ -640,10 +639,10 @@ def preferences_by_head(spark, sf_dir):
     return extract.first_by(rows, ["legacy", "head"], [F.asc("claim")]).select("claim", "legacy", "observation")
 
 
-@query(f"{CLAIMS_SQL}, o AS (SELECT DISTINCT replace(lower(observation), ' ', '') AS same, min(claim) OVER (PARTITION BY replace(lower(observation), ' ', '')) AS claim FROM claims WHERE claim <= 400) SELECT claim, same FROM o ORDER BY claim LIMIT 10")
+@query(f"{CLAIMS_SQL}, o AS (SELECT DISTINCT replace(lower(observation), ' ', '') AS same, min(claim) OVER (PARTITION BY replace(lower(observation), ' ', '')) AS claim FROM claims) SELECT claim, same FROM o ORDER BY claim LIMIT 10")
 def focus_dedup(spark, sf_dir):
     """The first ten different focus areas, by their text without spaces and case."""
-    rows = bound(spark, sf_dir, "claims").where("claim <= 400").groupBy(F.regexp_replace(F.lower("observation"), " ", "").alias("same")).agg(F.min("claim").alias("claim"))
+    rows = bound(spark, sf_dir, "claims").groupBy(F.regexp_replace(F.lower("observation"), " ", "").alias("same")).agg(F.min("claim").alias("claim"))
     return rows.orderBy("claim").limit(10)
 
 

@@ -10,7 +10,7 @@ from quarry.bindings import bound
 from quarry.catalog import query
 from quarry.functions import text
 from quarry.operators import completion, state
-from quarry.scratch import shared_dir
+from quarry.scratch import new_path
 from quarry.sources import readers
 from quarry.sources.readers import ms, table
 from quarry.streaming import stream
@@ -95,7 +95,7 @@ def session_logs(spark, sf_dir):
     said = F.to_json(F.struct(F.col("role").alias("type"), F.col("text").alias("content")))
     rows = table(spark, sf_dir, "conversations").where("role in ('user', 'assistant')").select("conv_id", "turn", "text", said.alias("line"))
     lines = rows.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text", "line"))), lambda x: x["line"]), "\n").alias("lines"))
-    folder = f"{shared_dir(spark)}/quarry/{_unique()}"
+    folder = new_path(spark)
     texts = lines.select(F.concat(F.lit("s"), F.col("conv_id").cast("string")).alias("session"), F.concat(F.lit('{broken\n{"type":"summary","content":"all"}\n'), "lines").alias("value"))
     texts.write.partitionBy("session").text(folder)
     logs = readers.read_session_logs(spark, folder, files="*.txt", session="session=([^/]+)")
@@ -125,7 +125,7 @@ def high_water_marks(spark, sf_dir):
 @query("SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1")
 def stream_upsert_availablenow(spark, sf_dir):
     """The latest event of each user, from a stream of files into state that a second run goes on from."""
-    place = f"{shared_dir(spark)}/quarry/{_unique()}"
+    place = new_path(spark)
     rows = table(spark, sf_dir, "events").select("user_id", "event_id", "value", ms(F.col("ts")).alias("ms"))
     rows.where("event_id % 3 <> 0").write.parquet(f"{place}/in")
     stream.upsert_available(spark, f"{place}/in", "user_id", ["ms", "event_id"], f"{place}/own")
@@ -136,18 +136,12 @@ def stream_upsert_availablenow(spark, sf_dir):
 @query("WITH e AS (SELECT event_type, epoch_us(ts) // 86400000000 AS day FROM events) SELECT (day - k) * 86400000 AS begin_ms, event_type, count(*) AS n FROM e, range(7) t(k) GROUP BY 1, 2")
 def stream_windowed_activity(spark, sf_dir):
     """Events by type in windows of seven days that begin each day."""
-    place = f"{shared_dir(spark)}/quarry/{_unique()}"
+    place = new_path(spark)
     table(spark, sf_dir, "events").select("ts", "event_type").write.parquet(f"{place}/in")
     rows = stream.windows_available(spark, f"{place}/in", "ts", "event_type", f"{place}/own")
     return rows.select(F.unix_millis("begin").alias("begin_ms"), "event_type", "n")
 
 
-def _unique() -> str:
-    import uuid
-
-    return uuid.uuid4().hex
-
-
 # --- language-model stages -----------------------------------------------------------------------------
 
 CONTENT = "SELECT conv_id AS session, string_agg(left(text, 2000), chr(10) ORDER BY n) AS content FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS n FROM conversations WHERE role IN ('user', 'assistant')) WHERE n <= 20 GROUP BY conv_id"

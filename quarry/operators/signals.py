@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.operators.components import components
 from quarry.operators.extract import PAYLOAD
 
 SIGNAL = ("kind", "key", "id", *PAYLOAD, "summary", "trust", "confidence", "first_ms", "last_ms", "support", "project", "status")
@@ -69,6 +70,34 @@ def merge(candidates: DataFrame, kind: str, now_ms: Column, signals: DataFrame |
     return out.withColumn("summary", summary(F.col("kind"))).select(*SIGNAL), held
 
 
+def owners(signals: DataFrame, members: DataFrame) -> DataFrame:
+    """(id, root): signals that come to own one key or share a fingerprint, with the least id of those that
+    such chains reach. A fingerprint links its signals to the first of them, so it gives as many links
+    as it has signals."""
+    held = signals.select("kind", "key", "id").join(members.where("what = 'fingerprint'").select("key", F.col("value").alias("print")), "key", "left")
+    marks = held.select("kind", "id", F.explode(F.array(F.concat(F.lit("k:"), "key"), F.concat(F.lit("f:"), "print"))).alias("mark")).where("mark is not null").distinct()
+    first = marks.groupBy("kind", "mark").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
+    links = marks.join(first, ["kind", "mark"]).select("a", F.col("id").alias("b")).distinct()
+    found = components(links)
+    return signals.select("id").join(found.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("root"))
+
+
+def unite(signals: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The store after signals that ``owners`` links are one: payload, project and key of the best by trust,
+    confidence, time and id, whose id it has, too; the others' ids are among its members as ``merged-signal``."""
+    rows = signals.join(owners(signals, members), "id")
+    rank = F.struct((-F.col("trust")).alias("t"), (-F.col("confidence")).alias("c"), (-F.col("last_ms")).alias("m"), F.col("id"))
+    best = F.min_by(F.struct("kind", "key", "id", *PAYLOAD, "summary", "project", "status"), rank).alias("best")
+    out = rows.groupBy("root").agg(best, F.max("trust").alias("trust"), F.max("confidence").alias("confidence"), F.min("first_ms").alias("first_ms"), F.max("last_ms").alias("last_ms"))
+    to = rows.select("key", "root", "id").join(out.select("root", F.col("best.key").alias("to"), F.col("best.id").alias("best_id")), "root")
+    held = members.join(to.select("key", "to"), "key").select(F.col("to").alias("key"), "what", "value")
+    held = held.unionByName(to.where("id <> best_id").select(F.col("to").alias("key"), F.lit("merged-signal").alias("what"), F.col("id").alias("value"))).distinct()
+    support = held.where("what = 'evidence'").groupBy("key").agg(F.count("*").alias("support"))
+    out = out.withColumn("key", F.col("best.key")).join(support, "key", "left")
+    columns = {c: F.col(f"best.{c}") for c in ("kind", "id", *PAYLOAD, "summary", "project", "status")}
+    return out.withColumns(columns).withColumn("support", F.coalesce("support", F.lit(0))).select(*SIGNAL), held
+
+
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """Rows of ``new`` replace those of ``old`` with the same key; both have one row a key."""
     return old.join(new.select(key), key, "left_anti").unionByName(new)

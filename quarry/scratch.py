@@ -2,7 +2,8 @@
 
 A table written here cuts lineage: it survives the loss of any executor and is read back
 instead of being computed again. The folder is ``spark.checkpoint.dir``; only on one machine
-(master ``local``) and where that is unset, a folder of this session is made and set.
+(master ``local``) and where that is unset, a folder of this session is made and set. What a ``passing``
+block wrote goes at its end, all else when the session ends.
 """
 
 from __future__ import annotations
@@ -13,12 +14,14 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _UNKNOWN = 1 << 60
-#: Paths written in each open ``passing`` block, the innermost last.
-_open: list[list[str]] = []
+#: Paths written in each open ``passing`` block of this thread, the innermost last.
+_open: ContextVar[tuple[list[str], ...]] = ContextVar("open_blocks", default=())
+_folders: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,19 +34,40 @@ def shared_dir(spark: SparkSession) -> str:
     return place.rstrip("/")
 
 
+def own_dir(spark: SparkSession) -> str:
+    """A folder of this application in the shared one, which goes when its driver ends."""
+    path = f"{shared_dir(spark)}/quarry/{spark.sparkContext.applicationId}"
+    if path not in _folders:
+        fs, place = _fs(spark, path)
+        fs.mkdirs(place)
+        fs.deleteOnExit(place)
+        _folders.add(path)
+    return path
+
+
+def new_path(spark: SparkSession) -> str:
+    """A path that nothing was written to, on the list of the innermost open block."""
+    path = f"{own_dir(spark)}/{uuid.uuid4().hex}"
+    if _open.get():
+        _open.get()[-1].append(path)
+    return path
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once and return a reader of what was written."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quarry/{uuid.uuid4().hex}"
-    if _open:
-        _open[-1].append(path)
+    path = new_path(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def delete(spark: SparkSession, path: str) -> None:
+def _fs(spark: SparkSession, path: str):
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    fs, place = _fs(spark, path)
+    fs.delete(place, True)
 
 
 def free(spark: SparkSession) -> None:
@@ -58,19 +82,21 @@ def passing(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
     """Tables that ``materialize`` writes in this block are deleted at its end. The function given
     writes a result that stays (for the block around this one, if there is one)."""
     own: list[str] = []
-    _open.append(own)
+    outer = _open.get()
+    _open.set((*outer, own))
 
     def keep(df: DataFrame) -> DataFrame:
-        _open[:] = [x for x in _open if x is not own]
+        inner = _open.get()
+        _open.set(outer)
         try:
             return materialize(df)
         finally:
-            _open.append(own)
+            _open.set(inner)
 
     try:
         yield keep
     finally:
-        _open[:] = [x for x in _open if x is not own]
+        _open.set(outer)
         for path in own:
             delete(spark, path)
 
