@@ -9,8 +9,9 @@ cumulative target shares names the slot's source. The slots of a source are rank
 of a source takes block r of its words: ``block`` consecutive words of the source's documents in
 shuffled order, repeated as often as needed, up to ``cap`` times. So the points decide how many blocks a source
 gives and where they stand: its words are its target within the points' discrepancy, a few blocks. Sources
-whose target isn't ``LEAST`` blocks are scheduled among themselves in blocks that are ``LEAST`` times
-smaller, and so on down to blocks of one word, so that a few blocks are few words for them, too.
+whose target isn't ``LEAST`` blocks are scheduled among themselves in blocks that are ``STEP`` times
+smaller, and so on down to blocks of one word, so that a few blocks are few words for them, too, and no such
+source has more than ``LEAST`` times ``STEP`` blocks.
 
 A source may hold any share of the rows: positions are sums over hash ranges of a source, whose
 number grows with the input, and then within them; slots are ranked within ranges of slots. Sources
@@ -32,8 +33,8 @@ from quarry.scratch import groups_for, materialize
 
 GOLDEN = 0.6180339887498949
 BLOCK = 1024
-#: Blocks that a source's target has at least, unless they are of one word.
-LEAST = 256
+#: Blocks that a source's target has at least, unless they are of one word; how much smaller the next blocks are.
+LEAST, STEP = 64, 4
 #: Up to so many sources their table is broadcast (about 100 bytes each); beyond, it is joined by shuffle.
 BROADCAST_SOURCES = 20_000
 
@@ -71,7 +72,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float =
 def sizes_of_blocks(block: int) -> list[int]:
     out = [block]
     while out[-1] > 1:
-        out.append(max(1, out[-1] // LEAST))
+        out.append(max(1, out[-1] // STEP))
     return out
 
 
