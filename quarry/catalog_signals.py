@@ -20,7 +20,7 @@ from quarry.operators.extract import CLAMPS, KINDS, PAYLOAD
 from quarry.oracle import (
     blocks, case, clamp, clean_evidence, clean_project, clean_title, clean_view, did, every, first_sentence, fingerprint, let, noise, norm, operational, overlap, preference, q, relevance, relevant, rep, rx, sanitize, stack, strip, technologies, tidy,
 )
-from quarry.scratch import materialize
+from quarry.scratch import materialize, new_path
 from quarry.sources.readers import table
 
 NOW = "(SELECT (epoch_us(max(o_orderdate)) // 1000) + 86400000 FROM orders)"
@@ -480,6 +480,36 @@ def merge_incremental(spark, sf_dir):
     return signals.merge(rows.where(~half), "decision", now, before, members)[0].select(*_SIGNAL)
 
 
+_TAKEN_BACK = "right(id, 1) IN ('3', 'e')"
+
+
+@query(f"WITH {SOURCES},\n{cand_sql('decision')}, {gate_sql('decision')}, taken AS (SELECT * FROM judged WHERE decision IN ('accept', 'needs_merge') AND NOT {_TAKEN_BACK}),\n{merge_sql('taken', 'signals')} SELECT {', '.join(_SIGNAL)} FROM signals")
+def stream_merge_signals(spark, sf_dir):
+    """The merge as a stream: candidates in three runs, the second of which brings some of the first again,
+    the third takes some back. Each run goes on from the state of the one before."""
+    from quarry.streaming import merge
+
+    rows, now, place = materialize(accepted(spark, sf_dir, "decision")), now_ms(spark, sf_dir), new_path(spark)
+    last = F.substring("id", -1, 1)
+    batches = (merge.events(rows.where(last < "6"), now), merge.events(rows.where((last >= "4") & (last < "b")), now), merge.events(rows.where(last >= "b"), now).unionByName(merge.events(rows.where(last.isin("3", "e")), now, "retract")))
+    for batch in batches:
+        batch.write.mode("append").parquet(f"{place}/in")
+        out = merge.merge_available(spark, f"{place}/in", f"{place}/own")
+    return out.select(*_SIGNAL)
+
+
+_MARKED = "marks AS (SELECT kind, id, 'k:' || key AS mark FROM signals UNION SELECT s.kind, s.id, 'f:' || m.value FROM signals s JOIN signals_members m ON m.key = s.key AND m.what = 'fingerprint'), links AS (SELECT DISTINCT a.id AS a, b.id AS b FROM marks a JOIN marks b ON a.kind = b.kind AND a.mark = b.mark), reach AS (SELECT id AS a, id AS b FROM signals UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a), roots AS (SELECT a AS id, min(b) AS root FROM reach GROUP BY a)"
+
+
+@query(f"{chain_sql('pain_point').replace('WITH ', 'WITH RECURSIVE ', 1)}, {_MARKED}, u AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY trust DESC, confidence DESC, last_ms DESC, id) AS n FROM signals JOIN roots USING (id)), f AS (SELECT root, count(*) AS signals, max(trust) AS trust, min(first_ms) AS first_ms, max(last_ms) AS last_ms FROM u GROUP BY root), e AS (SELECT root, count(DISTINCT value) AS support FROM u JOIN signals_members m ON m.key = u.key AND m.what = 'evidence' GROUP BY root) SELECT key, id, subject, f.trust, f.first_ms, f.last_ms, e.support, f.signals FROM u JOIN f USING (root) JOIN e USING (root) WHERE n = 1")
+def signals_united(spark, sf_dir):
+    """Signals that share fingerprints, in chains, as one."""
+    rows, members = merged(spark, sf_dir, "pain_point")
+    one, held = signals.unite(rows, members)
+    others = held.where("what = 'merged-signal'").groupBy("key").agg(F.count("*").alias("others"))
+    return one.join(others, "key", "left").select("key", "id", "subject", "trust", "first_ms", "last_ms", "support", (F.coalesce("others", F.lit(0)) + 1).alias("signals"))
+
+
 @query()
 def merge_sequential(spark, sf_dir):
     """The same candidates folded in the order of their ids."""

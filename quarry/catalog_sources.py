@@ -13,7 +13,7 @@ from quarry.operators import completion, state
 from quarry.scratch import new_path
 from quarry.sources import readers
 from quarry.sources.readers import ms, table
-from quarry.streaming import stream
+from quarry.streaming import stream, windows
 
 SESS = f"WITH {bindings.cte('sess')}"
 
@@ -135,11 +135,39 @@ def stream_upsert_availablenow(spark, sf_dir):
 
 @query("WITH e AS (SELECT event_type, epoch_us(ts) // 86400000000 AS day FROM events) SELECT (day - k) * 86400000 AS begin_ms, event_type, count(*) AS n FROM e, range(7) t(k) GROUP BY 1, 2")
 def stream_windowed_activity(spark, sf_dir):
-    """Events by type in windows of seven days that begin each day."""
+    """Events by type in windows of seven days that begin each day, open and closed."""
     place = new_path(spark)
     table(spark, sf_dir, "events").select("ts", "event_type").write.parquet(f"{place}/in")
-    rows = stream.windows_available(spark, f"{place}/in", "ts", "event_type", f"{place}/own")
-    return rows.select(F.unix_millis("begin").alias("begin_ms"), "event_type", "n")
+    rows = windows.windows_available(spark, f"{place}/in", "ts", "event_type", f"{place}/own")[0]
+    return rows.select("begin_ms", F.col("key").alias("event_type"), "n")
+
+
+_BATCHED = "b AS (SELECT event_type, epoch_ms(ts) AS ms, CASE WHEN event_id % 50 = 0 THEN 9 ELSE least(9, (day(ts) - 1) // 3) END AS batch FROM events)"
+_MARKS = "marks AS (SELECT t.batch, coalesce((SELECT max(ms) FROM b WHERE b.batch < t.batch) - 86400000, -1) AS passed FROM range(10) t(batch))"
+_WINDOWED = "w AS (SELECT event_type, (ms // 86400000 - k) * 86400000 AS begin_ms, passed FROM b JOIN marks USING (batch), range(7) t(k)), counted AS (SELECT event_type, begin_ms, count(*) AS n FROM w WHERE begin_ms + 7 * 86400000::BIGINT > passed GROUP BY ALL)"
+
+
+def in_ten_batches(spark, sf_dir) -> tuple[DataFrame, DataFrame, list[int]]:
+    """Events in ten files, a batch each, of three days; every fiftieth event comes with the last one."""
+    place = new_path(spark)
+    rows = table(spark, sf_dir, "events").withColumn("batch", F.when(F.col("event_id") % 50 == 0, 9).otherwise(F.least(F.lit(9), F.floor((F.dayofmonth("ts") - 1) / 3))))
+    for k in range(10):
+        rows.where(F.col("batch") == k).select("ts", "event_type").coalesce(1).write.mode("append").parquet(f"{place}/in")
+    return windows.windows_available(spark, f"{place}/in", "ts", "event_type", f"{place}/own", files=1)
+
+
+@query(f"WITH {_BATCHED}, {_MARKS}, {_WINDOWED} SELECT event_type, begin_ms, n FROM counted WHERE begin_ms + 7 * 86400000::BIGINT <= (SELECT max(ms) - 86400000 FROM b)")
+def stream_closed_windows(spark, sf_dir):
+    """Windows that the watermark has closed after ten batches, without what came too late for them."""
+    rows = in_ten_batches(spark, sf_dir)[0].where("what = 'closed'")
+    return rows.select(F.col("key").alias("event_type"), "begin_ms", "n")
+
+
+@query(f"WITH {_BATCHED}, {_MARKS} SELECT event_type, count(*) AS n FROM b JOIN marks USING (batch) WHERE (ms // 86400000 + 7) * 86400000 <= passed GROUP BY event_type")
+def stream_late_events(spark, sf_dir):
+    """Events that came when all their windows were closed."""
+    rows = in_ten_batches(spark, sf_dir)[1]
+    return rows.groupBy(F.col("key").alias("event_type")).agg(F.sum("n").alias("n"))
 
 
 # --- language-model stages -----------------------------------------------------------------------------

@@ -31,12 +31,3 @@ def upsert_available(spark: SparkSession, source: str, key: str, order: list[str
 def windowed_activity(stream: DataFrame, time: str, key: str, late: str = "1 day", width: str = "7 days", step: str = "1 day") -> DataFrame:
     """Events by key in sliding windows, with late data allowed for; on a batch the same windows."""
     return stream.withWatermark(time, late).groupBy(F.window(time, width, step).alias("w"), key).agg(F.count("*").alias("n"))
-
-
-def windows_available(spark: SparkSession, source: str, time: str, key: str, path: str) -> DataFrame:
-    """``windowed_activity`` of a growing folder of files, whose counts the stream keeps: (begin, key, n)."""
-    schema = spark.read.parquet(source).schema
-    stream = spark.readStream.schema(schema).parquet(source).withColumn(time, F.col(time).cast("timestamp"))
-    counted = windowed_activity(stream, time, key).select(F.col("w.start").alias("begin"), key, "n")
-    run_once(counted, path, lambda batch, number: state.save(batch, f"{path}/counts", number), "complete")
-    return state.load(spark, f"{path}/counts", counted.schema)
