@@ -15,7 +15,7 @@ from quarry.bindings import bound
 from quarry.catalog import QUERIES, SQL, query
 from quarry.functions import dictionaries as rules
 from quarry.functions import text
-from quarry.operators import extract, gate, notes, profile, signals, views
+from quarry.operators import extract, gate, notes, profile, publish, signals, views
 from quarry.operators.extract import CLAMPS, KINDS, PAYLOAD
 from quarry.oracle import (
     blocks, case, clamp, clean_evidence, clean_project, clean_title, clean_view, did, every, first_sentence, fingerprint, let, noise, norm, operational, overlap, preference, q, relevance, relevant, rep, rx, sanitize, stack, strip, technologies, tidy,
@@ -634,6 +634,62 @@ for _name, _kinds in VIEW_KINDS.items():
     QUERIES[f"render_markdown_{_name}"] = lambda spark, sf_dir, name=_name, kinds=_kinds: views.markdown(view(spark, sf_dir, name, kinds), name, "section", "line").select(views.finalize(F.lit(""), F.col("markdown"), views.BUDGETS[name][0]).alias("markdown"))
 
 
+# --- published views -------------------------------------------------------------------------------
+
+#: How a view's items look at more than its budget in SQL, and what is told of each item.
+_LOOKS = {"decisions": ("place <= 50", "place <= 1000"), "tech_preferences": ("place <= 40", "place <= 80")}
+_SUBS = {"timeline": "'### ' || detail", "open_threads": "'### ' || CASE body WHEN 'in_progress' THEN '进行中' WHEN 'blocked' THEN '阻塞' ELSE '待处理' END"}
+_IDS = {"tech_preferences": "(SELECT list(o.id ORDER BY o.id) FROM signals o WHERE lower(o.subject) = lower(g.subject))"}
+NOTES = "<!-- user notes -->\nkeep these\n<!-- /user notes -->"
+_Q = lambda text_: q(text_).replace("\n", "' || chr(10) || '")
+
+
+def published_sql(view_: str, budget: publish.Budget, notes_: str) -> str:
+    """The document and its sections by a recursive walk over the items, for budgets that no finished document exceeds."""
+    kinds, items = VIEW_SQL[view_] if view_ in VIEW_SQL else (("timeline_event",), TIMELINE_SQL)
+    items = items.replace(*_LOOKS.get(view_, ("", "")))
+    rule, weekly, own_head = publish.RULES[view_], view_ == "weekly_focus", view_ == "pain_points"
+    around = f"(SELECT length(head || chr(10) || meta || note) + {0 if weekly else 1} FROM frame)"
+    fits = "room" if rule == "none" else f"room AND {around} + {1 if weekly else 2} + done_ + 2 * secs_ + own_ <= {budget.chars}"
+    shut = "(shut OR (room AND NOT fits))" if rule in ("section", "all") else "false"
+    return f"""{_each(kinds).replace('WITH ', 'WITH RECURSIVE ', 1)},
+frame AS (SELECT '# {publish.TITLES[view_]}' || chr(10) AS head, '<!-- generated: ' || strftime({_UTC(NOW)}, '%Y-%m-%dT%H:%M:%S.%g') || 'Z | sources: two of them -->' || chr(10) AS meta, {_Q('' if weekly else notes_)} AS note),
+v AS (WITH {items}),
+it AS MATERIALIZED (SELECT row_number() OVER (ORDER BY place) AS place, {"format('{:09d}', place)" if own_head else 'v.section'} AS section, {"''" if own_head else "'## ' || v.section"} AS heading, coalesce({_SUBS.get(view_, 'NULL')}, '') AS sub, line, {_IDS.get(view_, '[v.id]')} AS ids FROM v JOIN signals g ON g.id = v.id),
+rec AS (SELECT 0::BIGINT AS place, 0::BIGINT AS done, 0::BIGINT AS secs, NULL::VARCHAR AS section, '' AS sub, 0::BIGINT AS own, 0::BIGINT AS n, 0::BIGINT AS total, false AS shut, false AS kept
+UNION ALL SELECT place, done_, secs_, section, CASE WHEN fits THEN isub WHEN fresh THEN '' ELSE sub END, CASE WHEN fits THEN own_ WHEN n_ > 0 THEN own ELSE 0 END, n_ + fits::INT, total + fits::INT, {shut}, fits FROM (
+  SELECT *, ({fits}) AS fits FROM (
+  SELECT *, CASE WHEN n_ > 0 THEN own WHEN head > 0 THEN head ELSE -1 END + CASE WHEN isub <> '' AND (fresh OR n_ = 0 OR sub <> isub) THEN length(isub) + 1 ELSE 0 END + size + 1 AS own_, NOT shut AND n_ < {budget.per_section} AND total < {budget.items} AS room FROM (
+  SELECT i.place, i.section, i.sub AS isub, length(i.heading) AS head, length(i.line) AS size, r.section IS NULL OR r.section <> i.section AS fresh, r.own, r.sub, r.total, {'r.shut' if rule == 'all' else 'CASE WHEN r.section IS NULL OR r.section <> i.section THEN false ELSE r.shut END'} AS shut,
+    r.done + CASE WHEN r.section <> i.section AND r.n > 0 THEN r.own ELSE 0 END AS done_, r.secs + CASE WHEN r.section <> i.section AND r.n > 0 THEN 1 ELSE 0 END AS secs_, CASE WHEN r.section = i.section THEN r.n ELSE 0 END AS n_
+  FROM rec r JOIN it i ON i.place = r.place + 1)))),
+k AS (SELECT it.*, coalesce(lag(it.sub) OVER (PARTITION BY it.section ORDER BY it.place), '') AS above FROM rec JOIN it ON it.place = rec.place WHERE rec.kept),
+secs AS (SELECT row_number() OVER (ORDER BY min(place)) AS n, section AS title, CASE WHEN min(heading) <> '' THEN min(heading) || chr(10) ELSE '' END || string_agg(CASE WHEN sub <> above THEN sub || chr(10) ELSE '' END || line, chr(10) ORDER BY place) AS text, flatten(list(ids ORDER BY place)) AS ids FROM k GROUP BY section)
+SELECT n, title, text, array_to_string(ids, ',') AS ids FROM secs
+UNION ALL SELECT 0, '{publish.TITLES[view_]}', head || chr(10) || coalesce((SELECT string_agg(text, chr(10) || chr(10) ORDER BY n) FROM secs) || {'chr(10)' if weekly else 'chr(10) || chr(10)'}, '') || meta || {'note' if weekly else 'note || chr(10)'}, coalesce((SELECT array_to_string(flatten(list(ids ORDER BY n)), ',') FROM secs), '') FROM frame"""
+
+
+def publish_view(spark, sf_dir, name: str, previous: str | None = None, **changes: int) -> DataFrame:
+    kinds = VIEW_KINDS[name] + (("profile_fact", "timeline_event") if name == "work_profile" else ())
+    rows = merged(spark, sf_dir, kinds[0])[0]
+    for kind in kinds[1:]:
+        rows = rows.unionByName(merged(spark, sf_dir, kind)[0])
+    found, _ = publish.published(name, rows, now_ms(spark, sf_dir), "two of them", previous, publish.Budget.of(name, **changes))
+    return found.select("n", "title", "text", F.array_join("ids", ",").alias("ids"))
+
+
+TIMELINE_SQL = SQL["view_timeline_items"][len(_each(("timeline_event",))) + 2 :]
+#: Budgets that force each case: the view's own, few characters, few items.
+_BUDGETS = {"": {}, "_few_chars": {"chars": 1200}, "_few_items": {"items": 7, "per_section": 3}}
+for _name in VIEW_KINDS:
+    for _case, _changes in _BUDGETS.items():
+        if _case and _name not in ("decisions", "pain_points", "tech_preferences"):
+            continue
+        QUERIES[f"published_{_name}{_case}"] = lambda spark, sf_dir, name=_name, case=_case, changes=_changes: publish_view(spark, sf_dir, name, f"old\n{NOTES}\n" if case else None, **changes)
+        if _name != "work_profile":
+            SQL[f"published_{_name}{_case}"] = published_sql(_name, publish.Budget.of(_name, **_changes), NOTES if _case else publish.DEFAULT_NOTES)
+
+
 @query()
 def core_profile(spark, sf_dir):
     rows = merged(spark, sf_dir, "profile_fact")[0].unionByName(merged(spark, sf_dir, "timeline_event")[0])

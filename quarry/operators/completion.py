@@ -161,3 +161,36 @@ def polish(sections: DataFrame, cache: DataFrame, model: Model, pause: float = P
     gained = asked.mapInPandas(run, "key string, polished string").where("polished is not null")
     rows = met.withColumnRenamed("polished", "hit").join(gained, "key", "left")
     return rows.select("section", F.coalesce("hit", "polished", "draft").alias("polished"), F.col("hit").isNotNull().cast("int").alias("hit")), gained
+
+
+#: Characters of a call that polishes sections, by default.
+CALL_CHARS = 24_000
+
+
+def polish_packed(sections: DataFrame, cache: DataFrame | None, model: Model, view: str, title: str, pause: float = PAUSE, most_chars: int = CALL_CHARS, version: str = "v1") -> tuple[DataFrame, DataFrame]:
+    """``sections`` (n, title, draft, ids) of a view with ``text``: polished by the cache (key, polished), else by the
+    model, else the draft; and what the cache gains. A call holds as many sections that the cache has not, in
+    order, as its characters allow; its answer is JSON of sections by id. A bounded view's sections are few."""
+    from quarry.operators.views import chunk_by_chars
+
+    spark = sections.sparkSession
+    cache = cache if cache is not None else spark.createDataFrame([], "key string, polished string")
+    key = F.sha2(F.concat_ws("\x1f", F.lit(version), F.lit(view), "title", "draft"), 256)
+    met = sections.withColumn("key", key).join(cache, "key", "left")
+    asked = met.where("polished is null").select("n", "key", "title", "draft", F.concat("title", "draft").alias("line"), F.col("n").alias("place"))
+    calls = chunk_by_chars(asked, "line", most_chars).groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("n", "key", "title", "draft"))).alias("all"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for rows in frame["all"]:
+                given = [{"sectionId": r["title"], "title": r["title"], "draftMarkdown": r["draft"]} for r in rows]
+                answer = parse_json(_ask(model, [json.dumps({"viewTitle": title, "sections": given}, ensure_ascii=False)], pause)[0][0])
+                parts = answer.get("sections") if isinstance(answer, dict) else None
+                said = {p.get("sectionId"): p.get("markdown") for p in parts or [] if isinstance(p, dict)}
+                out += [(r["key"], said[r["title"]]) for r in rows if isinstance(said.get(r["title"]), str) and said[r["title"]].strip()]
+            yield pd.DataFrame(out, columns=["key", "polished"])
+
+    gained = calls.mapInPandas(run, "key string, polished string").dropDuplicates(["key"])
+    rows = met.withColumnRenamed("polished", "hit").join(gained, "key", "left")
+    return rows.select("n", "title", F.rtrim(F.coalesce("hit", "polished", "draft")).alias("text"), "ids"), gained

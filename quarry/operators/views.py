@@ -129,7 +129,7 @@ def chunk_by_chars(rows: DataFrame, line: str, most_chars: int) -> DataFrame:
     return rows.withColumn("chunk", F.lit(0)).withColumn("_view", F.lit(0)).groupBy("_view").applyInPandas(lambda pdf: fold(pdf).drop(columns="_view"), schema)
 
 
-def weekly_focus(signals: DataFrame, now_ms: Column, days: int = 7) -> DataFrame:
+def weekly_focus(signals: DataFrame, now_ms: Column, days: int = 7, look: int = 1) -> DataFrame:
     """Open threads begun within the days in projects whose timeline moved, what was completed, and decisions."""
     chars, items, per_section, _ = BUDGETS["weekly_focus"]
     since, named = now_ms - days * DAY_MS, signals.where("status = 'active' and coalesce(project, '') <> ''")
@@ -172,7 +172,7 @@ def shares(projects: DataFrame, most: int, least: int = LEAST_PER_PROJECT) -> Da
     return rows.select(F.explode(F.when(F.col("all") * least <= most, F.col("b.out")).otherwise(same)).alias("s")).select("s.project", "s.share")
 
 
-def timeline(signals: DataFrame, now_ms: Column) -> DataFrame:
+def timeline(signals: DataFrame, now_ms: Column, look: int = 1) -> DataFrame:
     """Events by project, the latest project first; titles of little value only beside others, one a project."""
     _, items, _, _ = BUDGETS["timeline"]
     rows = active(signals, "timeline_event").where(~text.is_noise(F.col("subject")))
@@ -189,7 +189,7 @@ def timeline(signals: DataFrame, now_ms: Column) -> DataFrame:
     return item_budget(kept, [F.asc("section_rank"), F.asc("item_rank")], items).withColumn("line", F.concat(F.lit("- "), "title"))
 
 
-def open_threads(signals: DataFrame, now_ms: Column) -> DataFrame:
+def open_threads(signals: DataFrame, now_ms: Column, look: int = 1) -> DataFrame:
     """Threads by project, the latest project first, then by status; idle ones say since when."""
     _, items, per_section, _ = BUDGETS["open_threads"]
     rows = active(signals, "open_thread").where(F.col("body").isin(*STATUS_RANK)).withColumn("section", text.clean_project(F.col("project")))
@@ -200,21 +200,21 @@ def open_threads(signals: DataFrame, now_ms: Column) -> DataFrame:
     return rows.withColumn("line", F.concat(F.lit("- "), text.date_label(F.timestamp_millis("last_ms"), F.timestamp_millis(now_ms)), F.lit(" · "), text.clean_title(F.col("subject")), F.coalesce(F.concat(F.lit("（"), idle, F.lit("）")), F.lit(""))))
 
 
-def decisions(signals: DataFrame, now_ms: Column) -> DataFrame:
+def decisions(signals: DataFrame, now_ms: Column, look: int = 1) -> DataFrame:
     """Decisions by project; of those of one day that say the same, the one of most trust and support."""
     _, items, _, _ = BUDGETS["decisions"]
     rows = active(signals, "decision").withColumns({"section": text.clean_project(F.col("project")), "day": effective_date(), "same": text.normalize(text.clean_title(F.col("body")))})
     best = [F.desc("trust"), F.desc("support"), F.desc("confidence"), F.desc("last_ms"), F.asc("id")]
     rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("section", "day", "same").orderBy(*best))).where("nth = 1")
     rows = capped(rows, "section", ORDERS["decision"](), items)
-    rows = text.settled(item_budget(rows, [F.asc("section"), F.asc("item_rank")], items), topic=text.clean_title(F.col("subject")), decided=text.clean_title(F.col("body")), why=text.clean_evidence(F.col("reason"), 250), others=text.clean_evidence(F.col("extra"), 120))
+    rows = text.settled(item_budget(rows, [F.asc("section"), F.asc("item_rank")], look * items), topic=text.clean_title(F.col("subject")), decided=text.clean_title(F.col("body")), why=text.clean_evidence(F.col("reason"), 250), others=text.clean_evidence(F.col("extra"), 120))
     point = lambda name, c, shown: F.when(shown, F.concat(F.lit(f"- **{name}**: "), c))
     decided = F.col("decided")
     parts = (F.concat(F.lit("### "), "day"), point("主题", "topic", ~text.near_duplicates(F.col("topic"), decided)), point("决定", "decided", F.lit(True)), point("理由", "why", (F.col("why") != "") & (F.col("why") != decided)), point("替代方案", "others", F.col("others") != ""), point("依据强度", text.trust_shown(F.col("trust"), F.col("support")), F.lit(True)))
     return rows.withColumn("line", F.concat_ws("\n", *parts))
 
 
-def pain_points(signals: DataFrame, now_ms: Column) -> DataFrame:
+def pain_points(signals: DataFrame, now_ms: Column, look: int = 1) -> DataFrame:
     """Problems that come with a diagnosis or a workaround, the most frequent first."""
     _, items, _, _ = BUDGETS["pain_points"]
     rows = text.settled(active(signals, "pain_point").withColumn("section", F.lit("")), diagnosed=text.clean_evidence(F.col("body"), 250), solved=text.clean_evidence(F.col("reason"), 250)).where("diagnosed <> '' or solved <> ''")
@@ -234,7 +234,7 @@ def tech_groups(signals: DataFrame) -> DataFrame:
     return groups.select("technology", "best.id", "best.subject", F.col("best.body").alias("section"), "best.reason", "best.trust", "support", "projects", "stance")
 
 
-def tech_preferences(signals: DataFrame, now_ms: Column) -> DataFrame:
+def tech_preferences(signals: DataFrame, now_ms: Column, look: int = 1) -> DataFrame:
     """Technologies by category in the fixed order, by name within."""
     _, items, per_section, sections = BUDGETS["tech_preferences"]
     place = F.when(F.array_position(F.array(*map(F.lit, rules.TECH_CATEGORIES)), F.col("section")) > 0, F.array_position(F.array(*map(F.lit, rules.TECH_CATEGORIES)), F.col("section"))).otherwise(99)
@@ -244,21 +244,29 @@ def tech_preferences(signals: DataFrame, now_ms: Column) -> DataFrame:
     why = text.clean_evidence(text.sanitize_line(F.col("reason")), 100)
     more = F.when(F.col("projects") > 1, F.concat(F.lit(", "), F.col("projects").cast("string"), F.lit(" 个项目"))).otherwise("")
     line = F.concat(F.lit("- **"), "subject", F.lit("** ("), text.shown(F.col("stance"), text.STANCE_SHOWN, lower=True), F.lit(")"), F.when(why != "", F.concat(F.lit(": "), why)).otherwise(""), F.lit(" — *"), F.col("support").cast("string"), F.lit(" 条证据"), more, F.lit(", 信任度 "), F.col("trust").cast("string"), F.lit("*"))
-    return item_budget(rows, [F.asc("section_rank"), F.asc("section"), F.asc("item_rank")], items).withColumn("line", line)
+    return item_budget(rows, [F.asc("section_rank"), F.asc("section"), F.asc("item_rank")], look * items).withColumn("line", line)
 
 
-def work_profile(signals: DataFrame, now_ms: Column) -> DataFrame:
-    """Claims by dimension, without those that say what an earlier one does; what doesn't fit is left out."""
-    chars, items, per_section, sections = BUDGETS["work_profile"]
+def work_styles(signals: DataFrame, look: int = 4) -> DataFrame:
+    """(place, section, id, same, line) of claims by dimension; ``same`` is what tells repeated ones."""
+    _, items, per_section, sections = BUDGETS["work_profile"]
     rows = active(signals, "work_style").withColumns({"section": F.col("subject"), "section_rank": rank_of("subject", {d: k for k, d in enumerate(DIMENSION_ORDER)}, 99)})
     chosen = rows.select("section", "section_rank").distinct().orderBy("section_rank", "section").limit(sections)
-    rows = capped(rows.join(F.broadcast(chosen.select("section")), "section", "left_semi"), "section", ORDERS["work_style"](), 4 * per_section)
-    rows = item_budget(rows, [F.asc("section_rank"), F.asc("section"), F.asc("item_rank")], 4 * items)
-    why, plain = text.sanitize_line(F.coalesce("reason", F.lit(""))), lambda c: F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
-    shown = F.when((why != "") & (plain(why) != plain(F.col("body"))), F.concat(F.lit(" — *"), text.clean_evidence(why, 70), F.lit("*"))).otherwise("")
+    rows = capped(rows.join(F.broadcast(chosen.select("section")), "section", "left_semi"), "section", ORDERS["work_style"](), look * per_section)
+    rows = item_budget(rows, [F.asc("section_rank"), F.asc("section"), F.asc("item_rank")], look * items)
+    plain = lambda c: F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
+    rows = text.settled(rows, why=text.sanitize_line(F.coalesce("reason", F.lit(""))))
+    why = F.col("why")
+    rows = text.settled(rows, told=text.clean_evidence(why, 70))
+    shown = F.when((why != "") & (plain(why) != plain(F.col("body"))), F.concat(F.lit(" — *"), "told", F.lit("*"))).otherwise("")
     line = F.concat(F.lit("- "), "body", shown, F.lit(" ("), F.col("support").cast("string"), F.lit(" 条证据, 信任度 "), F.col("trust").cast("string"), F.lit(")"))
-    rows = rows.select("place", "section", "id", text.dedupe_key(F.col("body")).alias("same"), line.alias("line"))
-    rows = greedy_distinct(rows, "same", "section").select("place", "section", "id", "line")
+    return rows.select("place", "section", "id", text.dedupe_key(F.col("body")).alias("same"), line.alias("line"))
+
+
+def work_profile(signals: DataFrame, now_ms: Column, look: int = 1) -> DataFrame:
+    """Claims by dimension, without those that say what an earlier one does; what doesn't fit is left out."""
+    chars, items, _, _ = BUDGETS["work_profile"]
+    rows = greedy_distinct(work_styles(signals), "same", "section").select("place", "section", "id", "line")
     return item_budget(skip_budget(rows, "line", chars).withColumnRenamed("place", "ranked"), [F.asc("ranked")], items)
 
 
