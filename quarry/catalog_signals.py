@@ -802,3 +802,61 @@ def store_manifest(spark, sf_dir):
     old = spark.createDataFrame([("legacy", 1), ("decision", 0)], "view_id string, items long")
     rows = merged(spark, sf_dir, "decision")[0].unionByName(merged(spark, sf_dir, "pain_point")[0])
     return signals.upsert(old, rows.groupBy(F.col("kind").alias("view_id")).agg(F.count("*").alias("items")), "view_id")
+
+
+# --- the run ---------------------------------------------------------------------------------------------
+
+
+class Broken(Exception):
+    """Stands for a lost driver."""
+
+
+def extraction_run(spark, root: str, rows: DataFrame, now, notes_: DataFrame, break_at: str | None = None) -> None:
+    """One run over ``rows`` (accepted candidates of decisions) and ``notes_`` (id, hash): candidates of sessions that
+    were processed before are left out, signals merged, those that rest only on notes that are gone or changed
+    taken out first. ``break_at``: where the driver is lost."""
+    from quarry.operators import run, state, store
+
+    def reached(name: str) -> None:
+        if break_at == name:
+            raise Broken(name)
+
+    this = run.begin(spark, root)
+    held = store.Store(spark, root)
+    diff = this.stage("diff", lambda: state.changes(run.read(spark, root, "hashes"), notes_))
+    reached("diff")
+    new = this.stage("new", lambda: rows.join(run.read(spark, root, "processed"), "id", "left_anti"))
+    reached("new")
+    stale = diff.where("state in ('gone', 'changed')").select(F.col("id").alias("value"))
+
+    def lost() -> DataFrame:  # signals all of whose evidence is gone
+        rests = held.read("members").where("what = 'evidence'").join(stale.withColumn("stale", F.lit(1)), "value", "left")
+        return held.read("signals").join(rests.groupBy("key").agg(F.min(F.coalesce("stale", F.lit(0))).alias("all")).where("all = 1"), "key", "left_semi")
+
+    gone = this.stage("lost", lambda: lost().select("kind", "key"))
+    changed = this.stage("signals", lambda: held.merged("decision", new, now)[0])
+    reached("signals")
+    this.change("signals", lambda: changed.join(gone, ["kind", "key"], "left_anti"), lambda: gone.join(changed.select("key"), "key", "left_anti"))
+    this.change("members", lambda: held.merged("decision", new, now)[1], lambda: held.read("members").join(gone, "key", "left_semi"))
+    this.change("processed", lambda: new.select("id"))
+    this.change("hashes", lambda: diff.where("state <> 'gone'"), lambda: diff.where("state = 'gone'"))
+    this.change("marks", lambda: new.agg(F.max(signals.seen_ms(F.col("observed"), now)).alias("ms")).select(F.lit("claims").alias("source"), "ms").where("ms is not null"))
+    reached("commit")
+    this.commit()
+
+
+
+@query(f"WITH {SOURCES},\n{cand_sql('decision')}, {gate_sql('decision')}, early AS (SELECT * FROM judged WHERE decision IN ('accept', 'needs_merge') AND {FIRST_HALF}), late AS (SELECT * FROM judged WHERE decision IN ('accept', 'needs_merge') AND NOT {FIRST_HALF}),\n{merge_sql('early', 'before')},\n{merge_sql('late', 'signals', 'before')} SELECT {', '.join(_SIGNAL)} FROM signals")
+def run_of_stages(spark, sf_dir):
+    """Two runs, of which the second is broken twice and begun again; a third has nothing new."""
+    from quarry.operators import run
+
+    rows, now, root = materialize(accepted(spark, sf_dir, "decision")), now_ms(spark, sf_dir), new_path(spark)
+    half, none = F.substring("id", -1, 1) < "8", spark.createDataFrame([], "id string, hash string")
+    extraction_run(spark, root, rows.where(half), now, none)
+    for break_at in ("new", "commit", None, None):
+        try:
+            extraction_run(spark, root, rows, now, none, break_at)
+        except Broken:
+            pass
+    return run.read(spark, root, "signals").select(*_SIGNAL)

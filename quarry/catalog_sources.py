@@ -10,8 +10,8 @@ from quarry.bindings import bound
 from quarry.catalog import query
 from quarry.functions import text
 from quarry.operators import completion, state
-from quarry.scratch import new_path
-from quarry.sources import readers
+from quarry.scratch import materialize, new_path
+from quarry.sources import adapters, readers
 from quarry.sources.readers import ms, table
 from quarry.streaming import stream, windows
 
@@ -102,6 +102,35 @@ def session_logs(spark, sf_dir):
     return logs.select("session_id", "role", "content", F.col("idx").cast("long").alias("idx"))
 
 
+@query("WITH m AS (SELECT conv_id, turn, role, text FROM conversations WHERE role IN ('user', 'assistant')), s AS (SELECT conv_id, count(*) AS messages FROM m GROUP BY conv_id), o AS (SELECT o_orderkey, epoch_us(o_orderdate) // 1000 AS ms, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey) AS messages FROM orders), r AS (SELECT unnest([1, 2]) AS run) SELECT run, 'claude-code' AS source, 'CC' AS label, count(*) AS sessions, sum(messages)::BIGINT AS messages FROM s, r WHERE run = 1 OR conv_id % 5 = 0 GROUP BY run UNION ALL SELECT run, 'opencode', 'OC', count(*), sum(messages)::BIGINT FROM o, r WHERE run = 1 OR ms > (SELECT max(ms) - 86400000::BIGINT * 100 FROM o) GROUP BY run")
+def adapters_incremental(spark, sf_dir):
+    """Sessions of two adapters, logs and tables, in a first run and a second one behind its marks, which opens
+    only the log that was written since. A log holds many sessions, and its lines name them."""
+    place, key = new_path(spark), F.col("o_orderkey").cast("string")
+    said = F.to_json(F.struct(F.concat(F.lit("s"), F.col("conv_id").cast("string")).alias("sessionId"), F.col("role").alias("type"), F.col("text").alias("content")))
+    rows = table(spark, sf_dir, "conversations").where("role in ('user', 'assistant')").withColumn("value", said)
+    logs = lambda df, name: df.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "text").select("value").write.text(f"{place}/{name}")
+    orders = table(spark, sf_dir, "orders").select(key.alias("session_id"), F.col("o_custkey").cast("string").alias("project_id"), ms(F.col("o_orderdate")).alias("ts_ms"))
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("session"))
+    two = adapters.Registry(spark).register(adapters.LogAdapter(spark, "claude-code", place, files="*.txt", session="$.sessionId")).register(adapters.TableAdapter(spark, "opencode", {"sessions": lambda: orders, "messages": lambda: lines}))
+    told = lambda rows, run: materialize(rows.groupBy("source", "label").agg(F.count("*").alias("sessions"), F.sum("messages").alias("messages")).withColumn("run", F.lit(run)))
+    logs(rows, "old")
+    _aged(spark, f"{place}/old", 3_600_000)
+    marks = two.marks()
+    first = told(two.sessions(), 1)
+    logs(rows.where("conv_id % 5 = 0"), "new")
+    last = marks["opencode"] - 100 * 86_400_000
+    return first.unionByName(told(two.sessions(marks | {"claude-code": marks["claude-code"] + 60_000, "opencode": last}), 2))
+
+
+def _aged(spark, folder: str, by_ms: int) -> None:
+    """Say that the files of a folder were written earlier."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for file in fs.listStatus(place):
+        fs.setTimes(file.getPath(), file.getModificationTime() - by_ms, -1)
+
+
 _HASHED = "SELECT doc_id AS id, left(sha256(text), 16) AS hash FROM documents"
 
 

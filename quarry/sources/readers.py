@@ -7,6 +7,7 @@ may be split; a line's place is the start of its split and its number there.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from datetime import UTC, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -102,15 +103,21 @@ def block_text(s):
     return F.when(s.startswith("["), F.array_join(texts, "\n")).otherwise(s)
 
 
-def read_lines(spark: SparkSession, path: str, files: str = "*.jsonl", session: str = r"([^/]+)\.jsonl$") -> DataFrame:
+def read_lines(spark: SparkSession, path: str, files: str = "*.jsonl", session: str = r"([^/]+)\.jsonl$", since_ms: int | None = None) -> DataFrame:
     """Lines of session logs, one file a session, in folders named by their project's path. ``session``:
-    what of a file's path names the session."""
+    what of a file's path names the session, or, from a $ on, the field of a line that does, where a file holds many
+    sessions. Of files that were last written before ``since_ms``, to the second, none is opened."""
     if not exists(spark, path):
         return spark.createDataFrame([], LINES)
-    lines = spark.read.option("pathGlobFilter", files).option("recursiveFileLookup", "true").text(path)
+    reader = spark.read.option("pathGlobFilter", files).option("recursiveFileLookup", "true")
+    if since_ms is not None:
+        after = datetime.fromtimestamp(since_ms // 1000 - 1, UTC)
+        reader = reader.option("modifiedAfter", after.strftime("%Y-%m-%dT%H:%M:%S")).option("timeZone", "UTC")
+    lines = reader.text(path)
     name = F.col("_metadata.file_path")
+    own = F.get_json_object("value", session) if session.startswith("$") else F.regexp_extract(name, session, 1)
     rows = lines.select(
-        F.regexp_extract(name, session, 1).alias("session_id"), F.regexp_extract(name, r"([^/]+)/[^/]+$", 1).alias("dir"),
+        own.alias("session_id"), F.regexp_extract(name, r"([^/]+)/[^/]+$", 1).alias("dir"),
         F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")).alias("place"), F.col("value").alias("line"), F.col("_metadata.file_modification_time").alias("modified"),
     )
     return rows.where(F.trim("line") != "")
@@ -127,7 +134,7 @@ def events(lines: DataFrame) -> DataFrame:
     return lines.withColumn("e", F.from_json("line", EVENT)).where("e.type is not null").drop("line")
 
 
-def read_session_logs(spark: SparkSession, path: str, **files: str) -> DataFrame:
+def read_session_logs(spark: SparkSession, path: str, **files) -> DataFrame:
     """Messages: user events take a string, or the nested message; assistant events also text blocks at
     the top. Events without either are no messages. ``idx`` counts a session's messages from 0.
     ``files``: as of ``read_lines``."""
@@ -143,11 +150,11 @@ def read_session_logs(spark: SparkSession, path: str, **files: str) -> DataFrame
     return rows.withColumn("idx", F.row_number().over(Window.partitionBy("session_id").orderBy("place")) - 1).drop("place")
 
 
-def summarise_logs(spark: SparkSession, path: str) -> DataFrame:
+def summarise_logs(spark: SparkSession, path: str, **files) -> DataFrame:
     """Sessions: project (path of the folder's name, every - a /), first time (else the file's), end by
     the duration that the log states or its last time if another, messages, and title: of the last
     summary, else of the folder's index, else the first message of the user, else a constant."""
-    lines = read_lines(spark, path)
+    lines = read_lines(spark, path, **files)
     rows = events(lines)
     own, nested = F.col("e.content"), F.col("e.message.content")
     at = F.unix_millis(F.try_to_timestamp(F.col("e.timestamp")))
