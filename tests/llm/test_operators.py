@@ -466,6 +466,51 @@ def test_html_text_keeps_short_ends_of_a_mark():
     assert html_text.main_text(page).split("\n\n") == ["Hi.", "Go on.", " ".join(["word"] * 80), "So.", "The end."]
 
 
+LONG = "A sentence of the article stands here, and goes on for a while. " * 4
+
+
+def test_html_text_loses_no_part_of_an_article():
+    said = LONG.strip()
+    inside = [
+        ('<h2 id="related-work">Related work</h2>', "Related work"), ('<section id="discussion"><h2>Discussion</h2><p>We discuss.</p></section>', "Discussion\n\nWe discuss."), ('<p id="navigation-systems">On ships.</p>', "On ships."),
+        ('<div class="social-history"><p>Of towns.</p></div>', "Of towns."), ('<div class="commentary"><p>Verse by verse.</p></div>', "Verse by verse."), ("<p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> hold.</p>", "Let x=2 hold."),
+        ("<p><label>Figure 1</label></p>", "Figure 1"), ('<p><a href="/x">See the whole report</a></p>', "See the whole report"), ('<div style="display: none"><p>Unseen.</p></div>', ""), ('<div class="share"><p>Share this</p></div>', ""), ('<div class="comments"><p>First!</p></div>', ""),
+    ]
+    for part, want in inside:
+        page = f"<body><nav><a href=/>Home</a></nav><article><p>{LONG}</p>{part}<p>{LONG}</p></article><footer>c</footer></body>"
+        assert html_text.main_text(page).split("\n\n") == [said, *(want.split("\n\n") if want else []), said], part
+
+
+def test_html_text_of_unmarked_pages_and_teasers():
+    said = LONG.strip()
+    ends = ["short one", "short two", "short three", "bye"]
+    page = "<body><nav><a href=/>Home</a></nav><div>" + f"<p>{LONG}</p>" * 3 + "".join(f"<p>{t}</p>" for t in ends) + "</div><footer>c</footer></body>"
+    assert html_text.main_text(page).split("\n\n") == [said] * 3 + ends
+    page = f"<body><article><p>{LONG}</p></article><div>" + f"<p>{LONG}</p>" * 3 + "</div></body>"
+    assert html_text.main_text(page).split("\n\n") == [said] * 4
+    section = '<section id="discussion"><h2>Discussion</h2>' + f"<p>{LONG}</p></section>"
+    assert html_text.main_text(f"<body><div><p>{LONG}</p><p>{LONG}</p>{section}</div></body>").split("\n\n") == [said, said, "Discussion", said]
+    replies = '<section id="discussion">' + "".join(f'<div class="reply"><time>today</time><p>{LONG}</p></div>' for _ in range(3)) + "</section>"
+    assert html_text.main_text(f"<body><div><p>{LONG}</p><p>{LONG}</p></div>{replies}</body>").split("\n\n") == [said, said]
+
+
+def plain_lines(weight, share, window):
+    """First and last line whose window reaches the threshold, by the book."""
+    sums = [sum(min(w, html_text.LINE) for w in weight[max(0, k - window // 2) : k + window // 2 + 1]) for k in range(len(weight))]
+    some = [k for k, w in enumerate(weight) if w and sums[k] >= max(1, share * max(sums))]
+    return some[0], some[-1]
+
+
+def test_html_text_is_between_surge_and_dive():
+    draw = random.Random(21)
+    for _ in range(60):
+        sizes = [draw.choice([3, 8, 60, 200]) for _ in range(draw.randrange(3, 30))]
+        texts = [f"{'x' * n} {k}" for k, n in enumerate(sizes)]
+        page = "<body>" + "".join(f"<div><p>{t}</p></div>" for t in texts) + "</body>"  # a block each, so that nothing is next to the dive
+        first, last = plain_lines([len(t) for t in texts], html_text.SHARE, html_text.WINDOW)
+        assert html_text.main_text(page).split("\n\n") == texts[first : last + 1]
+
+
 def test_html_text_through_spark(spark):
     def page(body):
         return "<html><head><title>T</title><style>p{}</style></head><body><nav><ul><li><a href=/>Home</a></ul></nav>" + body + "<footer>Imprint</footer></body></html>"
