@@ -218,6 +218,20 @@ def llm_extract_stub(spark, sf_dir):
     return rows.select("session", "question", "model", "n", F.col("error").isNotNull().cast("int").alias("failed"))
 
 
+def _refusing(prompts: list[str]) -> list[str]:
+    if any("a" not in p for p in prompts):
+        raise completion.Refused(400)
+    return [str(len(p)) for p in prompts]
+
+
+@query(f"WITH {bindings.cte('titles')} SELECT id, CASE WHEN contains(title, 'a') THEN length(title)::VARCHAR END AS answer, CASE WHEN NOT contains(title, 'a') THEN 'Refused: status 400' END AS error FROM titles")
+def llm_answers_resumed(spark, sf_dir):
+    """Prompts asked in waves, in two runs, of which the second asks what the first has no answer to; some are refused."""
+    rows, place = bound(spark, sf_dir, "titles").select("id", F.col("title").alias("prompt")), new_path(spark)
+    completion.ask_resumable(rows.where("id % 2 = 0"), _refusing, place, waves=2, batch=1, pause=0)
+    return completion.ask_resumable(rows, _refusing, place, waves=2, batch=1, pause=0).select("id", "answer", "error")
+
+
 @query(f"WITH c AS ({CONTENT}) SELECT count(*) AS sessions FROM c")
 def llm_processed_sessions(spark, sf_dir):
     answers = completion.ask_sessions(contents(spark, sf_dir), {"short": completion.stub, "long": completion.stub}, pause=0)

@@ -1,22 +1,31 @@
 """Stages that ask a language model: prompts go out by partition through a function that is passed
 in, so that any service, or the deterministic stub here, can answer.
 
-A model is ``Callable[[list[str]], list[str | None]]``. A call that raises is tried again, ``RETRIES``
-times with doubling pauses; an answer that is None or no JSON marks its session as failed, so that the
-next run asks again. Failures are rows, never exceptions of the job.
+A model is ``Callable[[list[str]], list[str | None]]``. A call that a service refuses for now (``Refused``
+with a status of 429 or 5xx) or that doesn't get through (OSError) is tried again, ``RETRIES`` times, after the
+seconds that the service names or a doubling pause with some jitter; other errors aren't, as the same call would fail
+again. An answer that is None or no JSON marks its session as failed, so that the next run asks again.
+Failures are rows, never exceptions of the job.
+
+``ask_resumable`` keeps answers by the hash of their prompt in a table that grows wave by wave: what was answered
+is never asked again, whatever broke the run.
 """
 
 from __future__ import annotations
 
 import json
+import random
 import re
 import time
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.scratch import materialize
+
 Model = Callable[[list[str]], list]
 RETRIES, PAUSE = 3, 1.0
 #: Sessions asked about at once, and the length from which the long-context model answers.
@@ -38,6 +47,66 @@ def stub(prompts: list[str]) -> list[str]:
     return out
 
 
+class Refused(Exception):
+    """A service's answer that is none: its status, and after how many seconds it may be asked again, if it says so."""
+
+    def __init__(self, status: int, retry_after: float | None = None) -> None:
+        super().__init__(f"status {status}")
+        self.status, self.retry_after = status, retry_after
+
+
+def _wait(error: Exception, attempt: int, pause: float) -> float | None:
+    """Seconds to wait before the next attempt; None if there should be none."""
+    status = getattr(error, "status", None)
+    if attempt >= RETRIES or not (status == 429 or 500 <= (status or 0) < 600 or (status is None and isinstance(error, OSError))):
+        return None
+    said = getattr(error, "retry_after", None)
+    return float(said) if said else pause * (2**attempt + random.random() / 2)
+
+
+def _ask(model: Model, prompts: list[str], pause: float) -> tuple[list, str | None]:
+    for attempt in range(RETRIES + 1):
+        try:
+            answers = model(prompts)
+            if len(answers) != len(prompts):
+                return [None] * len(prompts), f"{len(answers)} answers to {len(prompts)} prompts"
+            return answers, None
+        except Exception as error:
+            failed, wait = f"{type(error).__name__}: {error}", _wait(error, attempt, pause)
+            if wait is None:
+                break
+            time.sleep(wait)
+    return [None] * len(prompts), failed
+
+
+def ask_resumable(prompts: DataFrame, model: Model, path: str, waves: int = 8, batch: int = BATCH, pause: float = PAUSE) -> DataFrame:
+    """``prompts`` (id, prompt) with ``answer`` and ``error``. Equal prompts are asked once. Answers stand by the hash of their
+    prompt in a table at ``path``, to which each of the ``waves``, a part of the prompts by hash, is
+    appended as a whole; a run that is begun again asks only what has no answer there, so at most one wave twice.
+    A batch that fails leaves its prompts without an answer and the others as they are."""
+    from quarry.operators.store import read
+
+    spark, schema = prompts.sparkSession, "key string, answer string"
+    keyed = prompts.withColumn("key", F.sha2("prompt", 256))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for at in range(0, len(frame), batch):
+                part = frame[at : at + batch]
+                answers, failed = _ask(model, part["prompt"].tolist(), pause)
+                yield pd.DataFrame({"key": part["key"], "answer": answers, "error": [None if a is not None else failed or "no answer" for a in answers]}).astype({"error": object})
+
+    failures = []
+    for wave in range(waves):
+        known = read(spark, f"{path}/answers", schema)
+        open_ = keyed.where(F.pmod(F.xxhash64("key"), F.lit(waves)) == wave).select("key", "prompt").dropDuplicates(["key"]).join(known.select("key"), "key", "left_anti")
+        got = materialize(open_.mapInPandas(run, schema + ", error string"))
+        got.where("answer is not null").select("key", "answer", F.lit(wave).alias("bucket")).write.mode("append").partitionBy("bucket").parquet(f"{path}/answers")
+        failures.append(got.where("answer is null").select("key", "error"))
+    failed = reduce(DataFrame.unionByName, failures)
+    return keyed.join(read(spark, f"{path}/answers", schema).dropDuplicates(["key"]), "key", "left").join(failed, "key", "left").select("id", "prompt", "answer", "error")
+
+
 def parse_json(answer: str | None):
     """The JSON of a fenced block, of all, or from the first brace to the last; None without one."""
     if not answer:
@@ -60,17 +129,6 @@ def snake(value):
     return [snake(v) for v in value] if isinstance(value, list) else value
 
 
-def _ask(model: Model, prompts: list[str], pause: float) -> tuple[list, str | None]:
-    for attempt in range(RETRIES + 1):
-        try:
-            return model(prompts), None
-        except Exception as error:
-            failed = f"{type(error).__name__}: {error}"
-            if attempt < RETRIES:
-                time.sleep(pause * 2**attempt)
-    return [None] * len(prompts), failed
-
-
 def route(content: Column) -> Column:
     """Which model answers: by the length of what it has to read."""
     return F.when(F.char_length(content) > LONG_CHARS, "long").otherwise("short")

@@ -93,22 +93,42 @@ def skip_budget(rows: DataFrame, line: str, most_chars: int) -> DataFrame:
     return _whole(rows, fold)
 
 
+def within(texts: list[str]) -> list[list[int]]:
+    """For each of different texts those of them that it contains, itself left out, by one automaton of all of them."""
+    import ahocorasick
+
+    words = ahocorasick.Automaton()
+    for k, s in enumerate(texts):
+        words.add_word(s, k)
+    words.make_automaton()
+    return [sorted({k for _, k in words.iter(s)} - {n}) for n, s in enumerate(texts)]
+
+
 def greedy_distinct(rows: DataFrame, line: str, section: str | None = None) -> DataFrame:
     """Rows in order, without those whose text contains or is contained in an earlier kept one of
-    their section (of the whole bounded view, if none is named). Blank texts go."""
+    their section (of the whole view, if none is named). Blank texts go. Sections are dealt to tasks; in one, texts
+    meet those that they contain through an Aho-Corasick automaton, not each other."""
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("place")
-        kept: dict[object, list[str]] = {}
-        keep = []
-        for s, own in zip(pdf[line], pdf[section] if section else [None] * len(pdf), strict=True):
-            held = kept.setdefault(own, [])
-            keep.append(bool(s) and not any(s in k or k in s for k in held))
+        names = [s for s in dict.fromkeys(pdf[line]) if s]
+        place = {s: k for k, s in enumerate(names)}
+        inside = within(names) if names else []
+        around: list[list[int]] = [[] for _ in names]
+        for k, parts in enumerate(inside):
+            for part in parts:
+                around[part].append(k)
+        kept, keep = [False] * len(names), []
+        for s in pdf[line]:
+            k = place.get(s)
+            keep.append(k is not None and not kept[k] and not any(kept[o] for o in inside[k]) and not any(kept[o] for o in around[k]))
             if keep[-1]:
-                held.append(s)
+                kept[k] = True
         return pdf[keep]
 
-    return _whole(rows, fold)
+    if section is None:
+        return _whole(rows, fold)
+    return rows.groupBy(section).applyInPandas(fold, rows.schema)
 
 
 def chunk_by_chars(rows: DataFrame, line: str, most_chars: int) -> DataFrame:

@@ -11,16 +11,16 @@ from __future__ import annotations
 import gc
 import math
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
-from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _UNKNOWN = 1 << 60
-#: Paths written in each open ``passing`` block of this thread, the innermost last.
-_open: ContextVar[tuple[list[str], ...]] = ContextVar("open_blocks", default=())
+#: By thread, the paths written in each of its open ``passing`` blocks, the innermost last.
+_open: dict[int, tuple[list[str], ...]] = {}
 _folders: set[str] = set()
 
 
@@ -48,8 +48,8 @@ def own_dir(spark: SparkSession) -> str:
 def new_path(spark: SparkSession) -> str:
     """A path that nothing was written to, on the list of the innermost open block."""
     path = f"{own_dir(spark)}/{uuid.uuid4().hex}"
-    if _open.get():
-        _open.get()[-1].append(path)
+    if blocks := _open.get(threading.get_ident()):
+        blocks[-1].append(path)
     return path
 
 
@@ -82,21 +82,25 @@ def passing(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
     """Tables that ``materialize`` writes in this block are deleted at its end. The function given
     writes a result that stays (for the block around this one, if there is one)."""
     own: list[str] = []
-    outer = _open.get()
-    _open.set((*outer, own))
+    thread = threading.get_ident()
+    outer = _open.get(thread, ())
+    _open[thread] = (*outer, own)
 
     def keep(df: DataFrame) -> DataFrame:
-        inner = _open.get()
-        _open.set(outer)
+        inner = _open.get(thread, ())
+        _open[thread] = outer
         try:
             return materialize(df)
         finally:
-            _open.set(inner)
+            _open[thread] = inner
 
     try:
         yield keep
     finally:
-        _open.set(outer)
+        if outer:
+            _open[thread] = outer
+        else:
+            _open.pop(thread, None)
         for path in own:
             delete(spark, path)
 

@@ -276,7 +276,7 @@ def test_stream_upsert_goes_on_from_its_state(spark, tmp_path):
 CHAINS = (
     "title_filters line_filters claim_filters shown_values front_matter_items memory_routing memory_decisions memory_pain_points memory_profiles session_tech_accumulator role_inference responsibility_theme focus_domains "
     "candidates_tech_preference candidates_profile_fact gate_decision gate_pain_point gate_work_style merge_signals merge_incremental view_weekly_focus_items view_timeline_items view_open_threads_items view_decisions_items "
-    "view_char_budget_skip project_contexts focus_supplement profile_validators summary_validator store_manifest"
+    "view_char_budget_skip published_decisions_few_chars published_tech_preferences_few_items stream_merge_signals signals_united project_contexts focus_supplement profile_validators summary_validator store_manifest"
 ).split()
 
 
