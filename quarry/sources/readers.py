@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import text
+from quarry.sources import yaml
 
 LINES = "session_id string, dir string, place struct<block:long,at:long>, line string, modified timestamp"
 EVENT = "type string, timestamp string, durationMs long, summary string, content string, message struct<role:string,content:string>"
@@ -243,60 +244,6 @@ class Config:
     output_dir: str = "."
 
 
-def _scalar(s: str):
-    s = s.strip()
-    if s[:1] in "\"'" and s.endswith(s[:1]) and len(s) > 1:
-        return s[1:-1]
-    s = s.split(" #")[0].strip()
-    if s in ("", "~", "null"):
-        return None
-    if s.lower() in ("true", "false"):
-        return s.lower() == "true"
-    if s in ("[]", "{}"):
-        return [] if s == "[]" else {}
-    for kind in (int, float):
-        try:
-            return kind(s)
-        except ValueError:
-            pass
-    return s
-
-
-def parse_yaml(content: str):
-    """Maps, lists and scalars of block YAML by indentation; what else there is raises ValueError."""
-    lines = [(len(x) - len(x.lstrip()), x.strip()) for x in content.splitlines() if x.strip() and not x.strip().startswith("#")]
-
-    def block(at: int, depth: int):
-        out = [] if lines[at][1].startswith("- ") else {}
-        while at < len(lines) and lines[at][0] == depth:
-            line = lines[at][1]
-            if isinstance(out, list) != line.startswith("- "):
-                raise ValueError(f"list and map mixed at {line!r}")
-            if isinstance(out, list):
-                out.append(_scalar(line[2:]))
-                at += 1
-                continue
-            key, colon, value = line.partition(":")
-            if not colon:
-                raise ValueError(f"no key in {line!r}")
-            at += 1
-            nested = at < len(lines) and (lines[at][0] > depth or (lines[at][0] == depth and lines[at][1].startswith("- ")))
-            if nested and not value.split(" #")[0].strip():
-                out[_scalar(key)], at = block(at, lines[at][0])
-            else:
-                out[_scalar(key)] = _scalar(value)
-        if at < len(lines) and lines[at][0] > depth:
-            raise ValueError(f"indentation of {lines[at][1]!r}")
-        return out, at
-
-    if not lines:
-        return {}
-    out, at = block(0, lines[0][0])
-    if at < len(lines):
-        raise ValueError(f"indentation of {lines[at][1]!r}")
-    return out
-
-
 def read_config(spark: SparkSession, folder: str) -> Config:
     """``config.yaml``, or else ``config.yml``, of a folder; defaults for what it doesn't say, for all if
     there is none or it can't be read."""
@@ -304,7 +251,7 @@ def read_config(spark: SparkSession, folder: str) -> Config:
         if not exists(spark, f"{folder}/{name}"):
             continue
         try:
-            said = parse_yaml(spark.read.text(f"{folder}/{name}", wholetext=True).first()[0])
+            said = yaml.parse(spark.read.text(f"{folder}/{name}", wholetext=True).first()[0])
             said = said if isinstance(said, dict) else {}
         except (ValueError, TypeError):
             return Config()

@@ -294,6 +294,31 @@ def test_answers_are_kept_and_not_asked_again(spark, tmp_path):
     assert asked() == sorted(f"q{k}" for k in range(20))  # each once in all
 
 
+YAML = [
+    ("", {}), ("# only\n", {}), ("a: 1\nb: two # c\nc: 'x # y'\nd:\n", {"a": 1, "b": "two", "c": "x # y", "d": None}), ("- a\n- 2.5\n- ~\n- true\n", ["a", 2.5, None, True]),
+    ("a:\n- b\n- c\nd:\n  - e\n", {"a": ["b", "c"], "d": ["e"]}), ("- a: 1\n  b: 2\n- - x\n  - y\n", [{"a": 1, "b": 2}, ["x", "y"]]), ("a: [1, 'b, c', {d: e}, []] # x\nf: {g: [h], i: , \"j k\": 3}\n", {"a": [1, "b, c", {"d": "e"}, []], "f": {"g": ["h"], "i": None, "j k": 3}}),
+    ("a: [1,\n  2, # two\n  3]\nb: 4\n", {"a": [1, 2, 3], "b": 4}), ('"a b": "x\\n\\u00e9"\n\'it\'\'s\': 1\n', {"a b": "x\né", "it's": 1}), ("a: |\n  one\n   two\n\n  three\nb: 1\n", {"a": "one\n two\n\nthree\n", "b": 1}),
+    ("a: >-\n  one\n  two\n\n  three\n", {"a": "one two\nthree"}), ("a: |+\n  x\n\n\nb: |-\n  y\n", {"a": "x\n\n\n", "b": "y"}), ("base: &b {x: 1, y: 2}\nown:\n  <<: *b\n  y: 3\nlist: [*b]\n", {"base": {"x": 1, "y": 2}, "own": {"x": 1, "y": 3}, "list": [{"x": 1, "y": 2}]}),
+    ("a: &n\n  k: v\nb: *n\n", {"a": {"k": "v"}, "b": {"k": "v"}}), ("url: http://x.org/a:b\ntime: 12:30\n", {"url": "http://x.org/a:b", "time": "12:30"}), ("---\na: 1\n", {"a": 1}), ("a: 1\na: 2\n", {"a": 2}),
+    ("- |\n  t\n- &x y\n- *x\n", ["t\n", "y", "y"]), ("a:\n  b:\n    - c: [d]\n      e: f\n  g: 0\n", {"a": {"b": [{"c": ["d"], "e": "f"}], "g": 0}}),
+]
+
+
+@pytest.mark.parametrize(("content", "value"), YAML)
+def test_yaml(content, value):
+    from quarry.sources import yaml
+
+    assert yaml.parse(content) == value
+
+
+@pytest.mark.parametrize("content", ["a:\n - b\n  c: d", "a: [1, 2", "a: 'x", "a: *none", "a: 1\n  b: 2", "a: !!str x", "- a\nb: c", "a: {b: 1]", "<<: 3", "a: 'x' y"])
+def test_yaml_that_is_broken(content):
+    from quarry.sources import yaml
+
+    with pytest.raises(ValueError):
+        yaml.parse(content)
+
+
 def test_notes_of_a_reader_stay(spark):
     kept = "<!-- user notes -->\nmine\n<!-- /user notes -->"
     said = lambda previous: spark.range(1).select(publish.notes_of(previous)).first()[0]
