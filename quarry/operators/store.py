@@ -30,8 +30,8 @@ SCHEMAS = {
 }
 
 
-def schema_of(spark: SparkSession, schema: str) -> StructType:
-    return spark.createDataFrame([], schema).schema
+def schema_of(spark: SparkSession, schema: str | StructType) -> StructType:
+    return schema if isinstance(schema, StructType) else spark.createDataFrame([], schema).schema
 
 
 def bucket_of(key: tuple[str, ...], buckets: int) -> Column:

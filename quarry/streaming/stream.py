@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.operators import state
+from quarry.operators import store
 
 
 def run_once(stream: DataFrame, path: str, each, mode: str = "append") -> None:
@@ -15,17 +15,21 @@ def run_once(stream: DataFrame, path: str, each, mode: str = "append") -> None:
 
 def upsert_available(spark: SparkSession, source: str, key: str, order: list[str], path: str) -> DataFrame:
     """The latest row of each key of a growing folder of files. State and offsets are under ``path``, so
-    that the next call reads new files only and goes on from the state. A batch merges into a version of
-    its own number; one that is run again after a failure writes the same version from the one before."""
+    that the next call reads new files only and goes on from the state. The state is a bucketed table, of which a
+    batch reads and rewrites the buckets of its keys; one that is run again after a failure changes nothing more."""
     schema = spark.read.parquet(source).schema
     best = F.max_by(F.struct(*schema.names), F.struct(*order)).alias("row")
+    latest = lambda rows: rows.groupBy(key).agg(best).select("row.*")
 
     def each(batch: DataFrame, number: int) -> None:
-        rows = batch.unionByName(state.load(batch.sparkSession, f"{path}/state", schema, below=number))
-        state.save(rows.groupBy(key).agg(best).select("row.*"), f"{path}/state", number)
+        new = latest(batch).persist()
+        touched = [r["bucket"] for r in new.select(store.bucket_of((key,), store.BUCKETS)).distinct().collect()]  # at most so many
+        old = store.read(batch.sparkSession, f"{path}/state", schema, touched)
+        store.upsert(f"{path}/state", latest(new.unionByName(old.join(new.select(key), key, "left_semi"))), schema, (key,))
+        new.unpersist()
 
     run_once(spark.readStream.schema(schema).parquet(source), path, each)
-    return state.load(spark, f"{path}/state", schema)
+    return store.read(spark, f"{path}/state", schema)
 
 
 def windowed_activity(stream: DataFrame, time: str, key: str, late: str = "1 day", width: str = "7 days", step: str = "1 day") -> DataFrame:
