@@ -494,7 +494,7 @@ def stream_merge_signals(spark, sf_dir):
     batches = (merge.events(rows.where(last < "6"), now), merge.events(rows.where((last >= "4") & (last < "b")), now), merge.events(rows.where(last >= "b"), now).unionByName(merge.events(rows.where(last.isin("3", "e")), now, "retract")))
     for batch in batches:
         batch.write.mode("append").parquet(f"{place}/in")
-        out = merge.merge_available(spark, f"{place}/in", f"{place}/own")
+        out = merge.merge_available(spark, f"{place}/in", f"{place}/own", partitions=4)
     return out.select(*_SIGNAL)
 
 

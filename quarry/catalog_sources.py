@@ -167,7 +167,7 @@ def stream_windowed_activity(spark, sf_dir):
     """Events by type in windows of seven days that begin each day, open and closed."""
     place = new_path(spark)
     table(spark, sf_dir, "events").select("ts", "event_type").write.parquet(f"{place}/in")
-    rows = windows.windows_available(spark, f"{place}/in", "ts", "event_type", f"{place}/own")[0]
+    rows = windows.windows_available(spark, f"{place}/in", "ts", "event_type", f"{place}/own", partitions=4)[0]
     return rows.select("begin_ms", F.col("key").alias("event_type"), "n")
 
 
@@ -182,7 +182,7 @@ def in_ten_batches(spark, sf_dir) -> tuple[DataFrame, DataFrame, list[int]]:
     rows = table(spark, sf_dir, "events").withColumn("batch", F.when(F.col("event_id") % 50 == 0, 9).otherwise(F.least(F.lit(9), F.floor((F.dayofmonth("ts") - 1) / 3))))
     for k in range(10):
         rows.where(F.col("batch") == k).select("ts", "event_type").coalesce(1).write.mode("append").parquet(f"{place}/in")
-    return windows.windows_available(spark, f"{place}/in", "ts", "event_type", f"{place}/own", files=1)
+    return windows.windows_available(spark, f"{place}/in", "ts", "event_type", f"{place}/own", files=1, partitions=4)
 
 
 @query(f"WITH {_BATCHED}, {_MARKS}, {_WINDOWED} SELECT event_type, begin_ms, n FROM counted WHERE begin_ms + 7 * 86400000::BIGINT <= (SELECT max(ms) - 86400000 FROM b)")

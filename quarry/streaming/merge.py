@@ -117,15 +117,19 @@ class Merger(StatefulProcessor):
 
 
 @contextmanager
-def stateful(spark: SparkSession) -> Iterator[None]:
-    """Streams that begin in this block keep their state in RocksDB, as stateful operators need."""
-    name = "spark.sql.streaming.stateStore.providerClass"
-    given = spark.conf.get(name, None)
-    spark.conf.set(name, PROVIDER)
+def stateful(spark: SparkSession, partitions: int | None = None) -> Iterator[None]:
+    """Streams that begin in this block keep their state in RocksDB, as stateful operators need, and write its
+    changes, not whole copies, with each batch. ``partitions``: of their state, for as long as they live."""
+    own = {"spark.sql.streaming.stateStore.providerClass": PROVIDER, "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
+    own |= {} if partitions is None else {"spark.sql.shuffle.partitions": str(partitions)}
+    given = {name: spark.conf.get(name, None) for name in own}
+    for name, value in own.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.unset(name) if given is None else spark.conf.set(name, given)
+        for name, value in given.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 def events(candidates: DataFrame, now_ms: Column, op: str = "add") -> DataFrame:
@@ -134,12 +138,13 @@ def events(candidates: DataFrame, now_ms: Column, op: str = "add") -> DataFrame:
     return candidates.select(F.lit(op).alias("op"), *[ms if c == "ms" else F.col(c) for c in EVENT[1:]])
 
 
-def merge_available(spark: SparkSession, source: str, path: str, buckets: int = 64) -> DataFrame:
+def merge_available(spark: SparkSession, source: str, path: str, buckets: int = 64, partitions: int | None = None) -> DataFrame:
     """Merge what is new in the folder ``source`` of events (parquet) into the signals under ``path``, and stop:
-    the signals of all kinds. Each batch rewrites only the buckets of the store that its signals are in."""
+    the signals of all kinds. Each batch rewrites only the buckets of the store that its signals are in. ``partitions``:
+    of the state, when the stream begins."""
     schema = StructType([f for f in spark.read.parquet(source).schema.fields if f.name in EVENT])
     stream = spark.readStream.schema(schema).parquet(source).where("key is not null and id is not null")
-    with stateful(spark):
+    with stateful(spark, partitions):
         changed = stream.groupBy("key").transformWithStateInPandas(Merger(), OUT, "update", "none")
 
         def each(batch: DataFrame, number: int) -> None:

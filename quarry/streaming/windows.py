@@ -81,10 +81,10 @@ def counted(stream: DataFrame, time: str, key: str, late: str, width_ms: int, st
     return rows.groupBy("key").transformWithStateInPandas(Windows(width_ms, step_ms), OUT, "update", "EventTime")
 
 
-def windows_available(spark: SparkSession, source: str, time: str, key: str, path: str, late: str = "1 day", width_ms: int = 7 * 86_400_000, step_ms: int = 86_400_000, files: int | None = None) -> tuple[DataFrame, DataFrame, list[int]]:
+def windows_available(spark: SparkSession, source: str, time: str, key: str, path: str, late: str = "1 day", width_ms: int = 7 * 86_400_000, step_ms: int = 86_400_000, files: int | None = None, partitions: int | None = None) -> tuple[DataFrame, DataFrame, list[int]]:
     """Count what is new in a growing folder of files and stop: (windows, late, state): windows
     (key, begin_ms, n, what: open or closed), late events (key, batch, n), and how many rows of state each batch left.
-    ``files``: so many files a batch at most."""
+    ``files``: so many files a batch at most. ``partitions``: of the state, when the stream begins."""
     schema = spark.read.parquet(source).schema
     reader = spark.readStream.schema(schema)
     reader = reader if files is None else reader.option("maxFilesPerTrigger", files)
@@ -99,7 +99,7 @@ def windows_available(spark: SparkSession, source: str, time: str, key: str, pat
         store.upsert(f"{path}/late", tardy, LATE, ("key", "batch"))
         held.unpersist()
 
-    with stateful(spark):
+    with stateful(spark, partitions):
         query = counted(rows, time, key, late, width_ms, step_ms).writeStream.outputMode("update").foreachBatch(each).option("checkpointLocation", f"{path}/offsets").trigger(availableNow=True).start()
         query.awaitTermination()
     held = [sum(op["numRowsTotal"] for op in p["stateOperators"]) for p in query.recentProgress]
