@@ -10,7 +10,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from quarry import catalog_signals, scratch
+from quarry import bindings, catalog_signals, scratch
 from quarry.operators import completion, publish, run, signals, store, views
 from quarry.operators.components import components
 from quarry.sources import adapters
@@ -419,5 +419,17 @@ def catalog_signals_sf():
     return "/root/testdata/sf0.001"
 
 
+def test_bound_rows_are_dealt_to_tasks(spark, tmp_path, monkeypatch):
+    spark.range(1, 5001).selectExpr("id as p_partkey", "concat('part ', id % 7) as p_name", "'b' as p_brand").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    whole = plain(bindings.bound(spark, str(tmp_path), "claims"))
+    monkeypatch.setitem(bindings.DEALT, "part", ("p_partkey", 500))
+    rows = bindings.bound(spark, str(tmp_path), "claims")
+    sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id().alias("part")).count().collect()]
+    assert len(sizes) == 10 and max(sizes) < 1000 and plain(rows) == whole
+    # What the rules cost is paid behind the exchange, not by the one task that reads the file.
+    plan = rows.where(F.col("problem").rlike("breaks"))._jdf.queryExecution().executedPlan().toString()
+    assert "breaks" in plan[: plan.index("REPARTITION_BY_NUM")] and "breaks" not in plan[plan.index("REPARTITION_BY_NUM") :]
+
+
 def test_views_look_further_than_their_budget(spark):
     assert publish.Budget.of("decisions").items == views.BUDGETS["decisions"][1] and set(publish.RULES) == set(views.VIEWS)
