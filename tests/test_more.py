@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry import bindings, catalog_signals, scratch
-from quarry.operators import completion, publish, run, signals, store, views
+from quarry.operators import completion, extract, publish, run, signals, store, views
 from quarry.operators.components import components
 from quarry.sources import adapters
 from quarry.streaming import merge, windows
@@ -431,5 +431,14 @@ def test_bound_rows_are_dealt_to_tasks(spark, tmp_path, monkeypatch):
     assert "breaks" in plan[: plan.index("REPARTITION_BY_NUM")] and "breaks" not in plan[plan.index("REPARTITION_BY_NUM") :]
 
 
+def test_sessions_that_say_the_same_are_read_once(spark):
+    rows = [("p", "a", "2024-01-03", 5, "always React", None), ("p", "b", "2024-01-02", 7, "always React", None), ("p", "c", "2024-01-02", 6, "always React", "x"), ("p", "d", "2024-01-09", 1, None, "never use React"), ("q", "e", "2024-01-01", 2, "always React", None), (None, "f", "2024-01-04", 3, " ", "avoid React")]
+    sess = spark.createDataFrame(rows * 3, "project string, source string, day string, session long, title string, first_user string")
+    said = extract.session_mentions(sess)
+    assert sorted((str(r["project"]), r["n"], r["session"], r["source"], r["latest"]) for r in said.collect()) == [("None", 3, 3, "f", "2024-01-04"), ("p", 3, 1, "d", "2024-01-09"), ("p", 9, 6, "c", "2024-01-03"), ("q", 3, 2, "e", "2024-01-01")]
+    got = {str(r["project"]): tuple(r)[3:] for r in extract.accumulate(said).collect()}
+    assert got == {"None": (3, 0, 3, 0, "2024-01-04", "avoid React", "f"), "p": (12, 9, 3, 0, "2024-01-09", "never use React", "c"), "q": (3, 3, 0, 0, "2024-01-01", "always React", "e")}
+
+
 def test_views_look_further_than_their_budget(spark):
     assert publish.Budget.of("decisions").items == views.BUDGETS["decisions"][1] and set(publish.RULES) == set(views.VIEWS)
