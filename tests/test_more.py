@@ -440,5 +440,12 @@ def test_sessions_that_say_the_same_are_read_once(spark):
     assert got == {"None": (3, 0, 3, 0, "2024-01-04", "avoid React", "f"), "p": (12, 9, 3, 0, "2024-01-09", "never use React", "c"), "q": (3, 3, 0, 0, "2024-01-01", "always React", "e")}
 
 
+def test_a_merge_reads_what_the_gate_let_pass_once_written(spark):
+    rows = catalog_signals.accepted(spark, catalog_signals_sf(), "work_style")
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Join" not in plan and "Window" not in plan
+    assert {r["decision"] for r in rows.collect()} <= {"accept", "needs_merge"}
+
+
 def test_views_look_further_than_their_budget(spark):
     assert publish.Budget.of("decisions").items == views.BUDGETS["decisions"][1] and set(publish.RULES) == set(views.VIEWS)
