@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry import bindings, catalog_signals, scratch
-from quarry.operators import completion, extract, publish, run, signals, store, views
+from quarry.operators import completion, extract, gate, publish, run, signals, store, views
 from quarry.operators.components import components
 from quarry.sources import adapters
 from quarry.streaming import merge, windows
@@ -447,5 +447,45 @@ def test_a_merge_reads_what_the_gate_let_pass_once_written(spark):
     assert {r["decision"] for r in rows.collect()} <= {"accept", "needs_merge"}
 
 
+def reads_each_text_once(df):
+    """Whether no pattern of the rules stands below the first aggregate of the plan, where it would read every row."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return "Aggregate" in plan and "RLIKE" not in plan[plan.rindex("Aggregate") :].split("\n", 1)[1]
+
+
+def test_decisions_that_say_the_same_are_read_once(spark):
+    rows = [("p", "design the API and its roadmap", "agent", None), ("p", "design the API and its roadmap", "agent", None), (" p ", "design the API and its roadmap", None, "agent"), ("q", "知识库 and funding", None, None), (None, None, None, None), ("p", "x", "", ""), ("q", "", None, None), ("q", "知识库 and funding", None, None)]
+    both = spark.createDataFrame(rows * 4, "project string, what string, why string, trigger_text string")
+    said = [" ".join(x or "" for x in r[1:]) for r in rows]
+    of = lambda patterns: {name: 4 * sum(spark.range(1).select(F.lit(s).rlike(p).alias("x")).first()["x"] for s in said) for name, p in patterns}
+    shares, hits, top = extract.role_shares(both), extract.focus_hits(both), extract.themes(both)
+    assert shares.first().asDict() == {"total": 32} | {f"n{k}": n for k, n in enumerate(of([(k, p) for k, (_, _, p) in enumerate(extract.rules.ROLE_PARTS)]).values())}
+    assert {r["domain"]: r["n"] for r in hits.collect()} == {d: n for d, n in of(extract.rules.FOCUS_DOMAINS).items() if n}
+    assert {r["project"]: r["n"] for r in top.collect()}.items() <= {"p": 16, "q": 12}.items()
+    entries = both.select(F.lit(1).alias("place"), F.lit("rule").alias("label"), F.concat(F.lit("负责 "), "what").alias("observation"))
+    facts = extract.facts_of_memory(entries)
+    assert facts.count() == facts.select("id").distinct().count() > 0
+    assert all(map(reads_each_text_once, (shares, hits, facts)))
+
+
+def test_a_merge_counts_evidence_without_other_members(spark):
+    rows = candidates(spark, 60)
+    one, members = signals.merge(rows, "decision", F.lit(0).cast("long"))
+    assert "merged" not in one._jdf.queryExecution().optimizedPlan().toString()
+    counted = {r["key"]: r["count"] for r in members.where("what = 'evidence'").groupBy("key").count().collect()}
+    assert {r["key"]: r["support"] for r in one.collect()} == counted
+    two, held = signals.merge(candidates(spark, 40, seed=2), "decision", F.lit(0).cast("long"), one, members)
+    counted = {r["key"]: r["count"] for r in held.where("what = 'evidence'").groupBy("key").count().collect()}
+    assert {r["key"]: r["support"] for r in two.collect()} == counted
+
+
+def test_evidence_that_is_named_twice(spark):
+    rows = spark.createDataFrame([("a", ["e", "e", "f"]), ("b", ["e", None]), ("c", ["x"]), ("d", [])], "id string, evidence_ids array<string>")
+    held = spark.createDataFrame([("e", 2, "session_message"), ("f", 4, "rule_file"), ("g", 5, "rule_file")], "id string, trust int, source_kind string")
+    found = gate.with_evidence(rows, held)
+    assert sorted((r["id"], r["n"], r["different"], r["most_trust"], r["sessions_only"]) for r in found.collect()) == [("a", 3, 2, 4, 0), ("b", 1, 1, 2, 1), ("c", 0, 0, 0, 0), ("d", 0, 0, 0, 0)]
+    assert "distinct" not in found._jdf.queryExecution().optimizedPlan().toString().replace("array_distinct", "")
+
+
 def test_views_look_further_than_their_budget(spark):
     assert publish.Budget.of("decisions").items == views.BUDGETS["decisions"][1] and set(publish.RULES) == set(views.VIEWS)
