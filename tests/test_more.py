@@ -489,3 +489,27 @@ def test_evidence_that_is_named_twice(spark):
 
 def test_views_look_further_than_their_budget(spark):
     assert publish.Budget.of("decisions").items == views.BUDGETS["decisions"][1] and set(publish.RULES) == set(views.VIEWS)
+
+
+def test_gate_passes_without_evidence_what_it_judges_to_pass_with_it(spark):
+    subjects, bodies, details, reasons = ["", "role", "看一下", "Keep the queue in one place", "x" * 201], ["", "open", "TODO", "no explicit decision", "修改了代码", "b" * 160, "Use it for the queue, always"], ["global", "2024-02-30", "2024-02-29", None], [None, "", "because it is proven", "- a\n- b\n- c\n- d"]
+    rows = [(f"c{k}", *said) for k, said in enumerate(itertools.product(subjects, bodies, details, reasons))]
+    made = spark.createDataFrame(rows, "id string, subject string, body string, detail string, reason string").withColumns({"confidence": F.lit(0.5), "raw_text": F.concat_ws(" ", "subject", "body")})
+    held = spark.createDataFrame([("e1", 2, "session_message"), ("e2", 5, "rule_file")], "id string, trust int, source_kind string")
+    for kind in gate.DECIDED_BY_TEXT:
+        cand = extract.candidates(made, kind)
+        got = {r["id"] for r in gate.passing(cand, kind).collect()}
+        assert got and len(got) < len(rows)
+        for ids in ([], ["e1"], ["e1", "e2"]):
+            known = gate.with_evidence(cand.withColumn("evidence_ids", F.array(*map(F.lit, ids)).cast("array<string>")), held)
+            assert got == {r["id"] for r in gate.judge(known, kind).where("decision in ('accept', 'needs_merge')").collect()}
+    for kind in set(gate.HEAVY_CODES) - set(gate.DECIDED_BY_TEXT):
+        with pytest.raises(ValueError):
+            gate.passing(extract.candidates(made, kind), kind)
+
+
+def test_signals_of_one_reader_are_merged_as_far_as_it_reads(spark):
+    rows = catalog_signals.signals_of(spark, catalog_signals_sf(), "decision", "profile_fact")
+    said = rows.where("kind = 'decision'").select("subject", "body")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in said and "Union" not in said  # no support, and no other kind
+    assert plain(rows) == sorted(x for kind in ("decision", "profile_fact") for x in plain(catalog_signals.merged(spark, catalog_signals_sf(), kind)[0]))
