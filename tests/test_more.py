@@ -513,3 +513,13 @@ def test_signals_of_one_reader_are_merged_as_far_as_it_reads(spark):
     said = rows.where("kind = 'decision'").select("subject", "body")._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in said and "Union" not in said  # no support, and no other kind
     assert plain(rows) == sorted(x for kind in ("decision", "profile_fact") for x in plain(catalog_signals.merged(spark, catalog_signals_sf(), kind)[0]))
+
+
+def test_merge_joins_support_where_signals_are(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = signals.merge(candidates(spark, 50), "decision", F.lit(0))[0]._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("Exchange hashpartitioning") == 3  # by key, by key and evidence, by key
