@@ -515,6 +515,23 @@ def test_signals_of_one_reader_are_merged_as_far_as_it_reads(spark):
     assert plain(rows) == sorted(x for kind in ("decision", "profile_fact") for x in plain(catalog_signals.merged(spark, catalog_signals_sf(), kind)[0]))
 
 
+def test_texts_of_sessions_are_read_once(spark):
+    titles = [None, "", "  ", "(untitled)", " Fix the bug ", "Fix the bug", "Deploy: (v1.2) — done!", "x. " * 50, "Prefer SQLite for small tools, always"]
+    rows = [(k % 23, project, "src", title, day, "pending" if k % 2 else "in_progress") for k, (title, project, day) in enumerate(itertools.product(titles, ("p", "P-1", None), ("2024-01-02", None)))]
+    sess = spark.createDataFrame(rows * 2, "session long, project string, source string, title string, day string, status string").withColumn("day", F.col("day").cast("date"))
+    got = extract.timeline_events(sess)
+    again = extract.candidates(got.drop("kind", "fingerprint", "key"), "timeline_event")
+    assert plain(got) == plain(again.select(*got.columns)) and got.count() == got.select("id").distinct().count()
+    own = lambda k: (rows[k][1] or "", str(rows[k][4] or ""), rows[k][0])
+    assert got.count() == len({own(k) for k in range(len(rows)) if (rows[k][3] or "").strip() not in ("", "(untitled)")})
+    threads = extract.open_threads(sess.withColumnRenamed("title", "content"), F.lit("2024-02-01"))
+    first = threads.groupBy("id").agg(F.count("*").alias("n"), F.min("evidence_id")).collect()
+    assert {r["n"] for r in first} == {1} and len(first) == len({(r[1] or "", r[3]) for r in rows if (r[3] or "").strip()})
+    for made in (got, threads):  # the rules' patterns are below the texts that were written
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        assert "deploy" not in plan and "instr" not in plan.lower() and "parquet" in plan
+
+
 def test_merge_joins_support_where_signals_are(spark):
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
