@@ -1,5 +1,6 @@
 """Store, streams, published views, adapters and runs: unit tests."""
 
+import datetime
 import itertools
 import json
 import os
@@ -540,3 +541,20 @@ def test_merge_joins_support_where_signals_are(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert plan.count("Exchange hashpartitioning") == 3  # by key, by key and evidence, by key
+
+
+def test_events_of_a_views_days_are_those_of_all_days(spark, tmp_path):
+    day = lambda k: datetime.datetime(2024, 3, 1) - datetime.timedelta(days=k)
+    rows = [(k, k % 3, "OPF"[k % 3], None if k % 17 == 0 else day(k % 40)) for k in range(600)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string, o_orderdate timestamp").write.parquet(f"{tmp_path}/orders.parquet")
+    now = catalog_signals.now_ms(spark, str(tmp_path))
+    whole = catalog_signals.merged(spark, str(tmp_path), "timeline_event")[0]
+    for view, days in views.EVENT_DAYS.items():
+        since = now - days * views.DAY_MS
+        few = catalog_signals.signals_for(spark, str(tmp_path), ("timeline_event",), now, views.EVENT_DAYS[view])
+        assert plain(few) == plain(whole.where(views.timeline_ms() >= since)) == plain(whole.where(F.col("last_ms") >= since))
+        assert 0 < few.count() < whole.count()
+    cut = bindings.bound(spark, str(tmp_path), "sess", "session", "day", where=extract.of_days_since(now))
+    assert cut.columns == ["session", "day"]
+    plan = cut._jdf.queryExecution().optimizedPlan().toString()
+    assert "Deploy" not in plan and plan.index("Generate") < plan.index("Filter")
