@@ -558,3 +558,11 @@ def test_events_of_a_views_days_are_those_of_all_days(spark, tmp_path):
     assert cut.columns == ["session", "day"]
     plan = cut._jdf.queryExecution().optimizedPlan().toString()
     assert "Deploy" not in plan and plan.index("Generate") < plan.index("Filter")
+
+
+def test_equal_observations_are_read_once(spark):
+    rows = [(f"s{k}", "ai", c, o, e) for k, (c, o, e) in enumerate(itertools.product((" Rhythm", "Rhythm"), ("always checks twice", "Task: do it", None), ("seen", " seen ", None)))]
+    told = spark.createDataFrame(rows, "place string, label string, category string, observation string, evidence string")
+    got = extract.work_styles(told, False)
+    assert got.count() == 2 and plain(got.select("reason")) == plain(spark.createDataFrame([("seen",), (None,)], "reason string"))
+    assert extract.work_styles(told, True).count() == 2 * 3  # a memory's place is part of its evidence
