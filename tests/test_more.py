@@ -560,6 +560,23 @@ def test_events_of_a_views_days_are_those_of_all_days(spark, tmp_path):
     assert "Deploy" not in plan and plan.index("Generate") < plan.index("Filter")
 
 
+def test_a_place_that_repeats_a_decision_gives_the_first(spark):
+    place, what, why = ("s1", "s2", None), ("Use a queue instead of polling", "TODO", ""), ("it is simpler", "", None, "insufficient context")
+    rows = [(p, project, "rule" if k % 2 else "m", w, y, other, trigger, day) for k, (p, w, y, project, other, trigger, day) in enumerate(itertools.product(place, what, why, ("p", "a:b", None), ("cron", ""), (" late ", ""), ("2024-05-01", None)))]
+    random.Random(3).shuffle(rows)
+    told = spark.createDataFrame(rows, "place string, project string, label string, what string, why string, alternatives string, trigger_text string, date string")
+    ties = [F.asc("evidence_id"), F.asc("raw_text"), F.desc("trust"), *[F.coalesce(c, F.lit("")) for c in catalog_signals._TIES]]
+    each = told.withColumn("place", F.concat(F.coalesce("place", F.lit("")), F.lit("#"), F.monotonically_increasing_id().cast("string")))  # no row repeats another
+    for memory in (False, True):
+        got = extract.decisions(told, memory)
+        assert got.count() == 3 * 2  # by place and reason ("" and null are one); of the rest none says a decision
+        whole = extract.decisions(each, memory)
+        assert whole.count() > got.count()
+        shown = [c for c in whole.columns if c not in ("id", "evidence_id", "label")]
+        want = extract.first_by(whole.withColumn("at", F.col("raw_text")), ["at"], [F.desc("trust"), *ties[3:]]).select(*shown)
+        assert set(plain(got.select(*shown))) == set(plain(want))
+
+
 def test_equal_observations_are_read_once(spark):
     rows = [(f"s{k}", "ai", c, o, e) for k, (c, o, e) in enumerate(itertools.product((" Rhythm", "Rhythm"), ("always checks twice", "Task: do it", None), ("seen", " seen ", None)))]
     told = spark.createDataFrame(rows, "place string, label string, category string, observation string, evidence string")
