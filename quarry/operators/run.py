@@ -52,7 +52,7 @@ class Run:
             return rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in whole.fields])
 
         self.stage(f"put-{table}", cut)
-        self.stage(f"gone-{table}", lambda: (gone() if gone is not None else self.spark.createDataFrame([], schema)).select(*key))
+        self.stage(f"gone-{table}", lambda: (gone() if gone is not None else store.empty(self.spark, schema)).select(*key))
         self.changes.append(table)
 
     def commit(self) -> None:

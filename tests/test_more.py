@@ -583,3 +583,12 @@ def test_equal_observations_are_read_once(spark):
     got = extract.work_styles(told, False)
     assert got.count() == 2 and plain(got.select("reason")) == plain(spark.createDataFrame([("seen",), (None,)], "reason string"))
     assert extract.work_styles(told, True).count() == 2 * 3  # a memory's place is part of its evidence
+
+
+def test_no_rows_are_no_work(spark, tmp_path):
+    none = store.read(spark, f"{tmp_path}/signals", store.SCHEMAS["signals"])
+    assert none.dtypes == [(f.name, f.dataType.simpleString()) for f in store.schema_of(spark, store.SCHEMAS["signals"]).fields] and none.isEmpty()
+    ids = spark.range(5).select(F.col("id").cast("string"))
+    left = ids.join(none, "id", "left_anti")
+    assert left.count() == 5 and "Join" not in left._jdf.queryExecution().optimizedPlan().toString()
+    assert ids.join(none, "id", "left_semi").isEmpty()
